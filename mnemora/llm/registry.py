@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import fingerprint, url_filter
+from . import bpe, fingerprint, url_filter
 
 QUERIES = {
     "op1_winnowing": fingerprint.op1_winnowing,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
+    "op7_token_counts": bpe.op7_token_counts,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {"op10_url_filter": url_filter.ORACLE}
