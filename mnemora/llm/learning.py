@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from .common import held_out
 
@@ -48,7 +49,7 @@ def score_documents(docs: DataFrame, features: Callable[[str], list[float]], pre
     """doc_id, held_out, score, predicted; with ``keep`` the columns of ``docs`` too."""
     own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")] if keep else ["doc_id"]
     rows = docs.select(*([F.col(f"`{c}`") for c in own] if keep else [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").alias("_text"), held_out().alias("held_out"))
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", "int")
+    schema = rows.drop("_text").schema.add("score", "double").add("predicted", IntegerType())
     at = rows.columns.index("_text")
 
     def run(batches):

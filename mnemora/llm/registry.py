@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, quality, toxicity, url_filter
+from . import bpe, fingerprint, minhash, mixing, projections, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_winnowing": fingerprint.op1_winnowing,
+    "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
+    "op4_minhash": minhash.op4_minhash,
+    "op5_projections": projections.op5_projections,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_token_counts": bpe.op7_token_counts,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-ORACLES = {"op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op5_projections": projections.ORACLE, "op10_url_filter": url_filter.ORACLE}
