@@ -13,7 +13,7 @@ from pyspark.sql.types import IntegerType
 from .common import held_out
 
 #: Labelled rows a classifier is fitted on, at most, whatever the input's size.
-SAMPLE_ROWS = 6000
+SAMPLE_ROWS = 10_000
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE_ROWS) -> DataFrame:

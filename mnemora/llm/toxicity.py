@@ -7,20 +7,25 @@ into a denied one, reported speech turns the insults after it in the clause into
 quoted ones, target turns an insult near a person into an aimed one, threat turns
 a target soon after a threatening word into a threat, and the scorer lets only those
 outcomes through. The machine runs over each clause that holds an insult or threat
-word, so it is matched clauses that are scored. The outcomes' weights are learned by
-logistic regression on labelled rows, as are insult words beyond the seed list.
+word, so it is matched clauses that are scored. What the outcomes weigh is learned on
+labelled rows, by logistic regression and small boosted trees whose probabilities are
+averaged; so are insult stems beyond the seed list, each with its odds.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 from .learning import labelled_sample, sample_matrix, score_documents
+from .quality import fit
 
 THRESHOLD = 0.3
 #: Words that start the lexicons; all are matched whole and without regard to case.
@@ -29,8 +34,8 @@ THREATS = ["kill", "hurt", "destroy", "punch", "shoot", "strangle", "stab", "bur
 TARGETS = ["you", "your", "he", "she", "him", "her", "they", "them", "these", "those", "people"]
 NEGATIONS = ["not", "never", "no", "isn't", "aren't", "wasn't", "don't", "nobody"]
 REPORTS = ["said", "says", "wrote", "called", "quoted", "claimed", "reported", "quote"]
-#: Learned insults: at least so many toxic documents, share of them, and z score; most taken.
-LEARN_DOCS, LEARN_SHARE, LEARN_Z, LEARN_MOST = 8, 0.6, 6.0, 200
+#: A learned stem has so many letters and toxic documents, share of them, and z score.
+STEM, LEARN_DOCS, LEARN_SHARE, LEARN_Z, CANDIDATES = (3, 10), 8, 0.4, 6.0, 20_000
 
 OTHER, INSULT, THREAT, TARGET, NEG, REPORT, DENIED, QUOTED, AIMED, MENACE = range(10)
 OUTCOMES = (INSULT, DENIED, QUOTED, AIMED, MENACE)
@@ -90,52 +95,101 @@ def grammar() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Matcher:
-    """Counts a text's outcomes. ``weights`` has the insult words' strengths."""
-
-    n_features = 2 * len(OUTCOMES) + 3
-
-    def __init__(self, insults):
-        self.classes = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEG), (REPORTS, REPORT), (THREATS, THREAT), (insults, INSULT)) for w in words}
-        triggers = sorted((w for w, c in self.classes.items() if c in (INSULT, THREAT)), key=len, reverse=True)
-        self.trigger = "|".join(map(re.escape, triggers))
+    """Matches a text's clauses. ``stems`` maps beginnings of longer words, or whole
+    words followed by a space, to log odds."""
+
+    n_features = 2 * len(OUTCOMES) + 6
+
+    def __init__(self, stems: dict[str, float]):
+        self.classes = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEG), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)) for w in words}
+        self.stems = stems
+        whole = sorted((w for w, c in self.classes.items() if c in (INSULT, THREAT)), key=len, reverse=True)
+        begin = sorted(stems, key=len, reverse=True)
+        self.pattern = r"\b(?:(?:" + "|".join(map(re.escape, whole)) + r")\b" + "".join("|" + (re.escape(x[:-1]) + r"\b" if x[-1] == " " else re.escape(x) + r"\w") for x in begin) + ")"
+        self.begin = "|".join(re.escape(x) + r"(?! )" * (x[-1] != " ") for x in begin) or r"(?!)"
         self.next, self.out = (x.tolist() for x in grammar())
         self.found = None
 
     def __getstate__(self):
-        return self.__dict__ | {"found": None}
+        return self.__dict__ | {"found": None, "stem_of": None}
 
     def features(self, text: str) -> list[float]:
         if self.found is None:
-            self.found = re.compile(rf"\b(?:{self.trigger})\b").search
+            self.found, self.stem_of = re.compile(self.pattern).search, re.compile(self.begin).match
         low = text.lower()
-        counts, kinds, clauses, words = [0] * 10, set(), 0, 0
+        counts, kinds, odds, clauses, sure = [0] * 10, set(), 0.0, 0, 0
+        words = low.count(" ") + low.count("\n") + 1
         if self.found(low):
             get, nxt, out = self.classes.get, self.next, self.out
             for clause in _CLAUSE.split(low):
-                words += clause.count(" ")
                 if not self.found(clause):
                     continue
                 state, hits = 0, 0
                 for w in _WORD.findall(clause):
                     c = get(w, OTHER)
+                    strength = 3.0 if c == INSULT else 0.0
+                    if c == OTHER and (m := self.stem_of(f"{w} ")):
+                        c, strength = INSULT, self.stems[m.group()]
                     o = out[state][c]
                     state = nxt[state][c]
                     if o:
                         counts[o] += 1
                         hits += 1
+                        odds += strength * (0.5 if o in (DENIED, QUOTED) else 1.0)
+                        sure += strength >= 2.5
                         if c == INSULT:
                             kinds.add(w)
                 clauses += hits > 0
-        return [*(float(counts[o] > 0) for o in OUTCOMES), *(np.log1p(counts[o]) for o in OUTCOMES), float(len(kinds) > 1), np.log1p(len(kinds)), np.log1p(clauses)]
+        dense = 100 * sum(counts[o] for o in OUTCOMES) / (words + 20)
+        return [*(float(counts[o] > 0) for o in OUTCOMES), *(math.log1p(counts[o]) for o in OUTCOMES), float(len(kinds) > 1), math.log1p(len(kinds)), math.log1p(clauses), odds, dense, float(sure > 0)]
+
 
+def _beginnings(text: str) -> set[str]:
+    """Proper beginnings, of STEM letters, of the text's distinct words, and the words
+    themselves followed by a space."""
+    words = set(_WORD.findall(text.lower()))
+    return {w[:k] for w in words for k in range(STEM[0], min(len(w) - 1, STEM[1]) + 1)} | {f"{w} " for w in words if len(w) >= STEM[0]}
 
-def learned_insults(sample: DataFrame) -> list[str]:
-    """Words far more frequent in the sample's toxic documents than in its others."""
-    words = sample.select("label", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("word"))
-    by = words.groupBy("word").agg(F.sum("label").alias("bad"), F.count("*").alias("n")).where((F.col("bad") >= LEARN_DOCS) & (F.col("bad") >= LEARN_SHARE * F.col("n")))
-    total = sample.agg(F.avg("label")).first()[0] or 0.0
-    z = (F.col("bad") - total * F.col("n")) / F.sqrt(total * (1 - total) * F.col("n") + 1e-9)
-    return sorted(r.word for r in by.withColumn("z", z).where(F.col("z") >= LEARN_Z).orderBy(F.desc("z"), "word").limit(LEARN_MOST).collect())
+
+def learned_stems(sample: DataFrame) -> dict[str, float]:
+    """Beginnings of words far more frequent in toxic documents than in others, with
+    the logarithm of their odds; of nested ones the clearest, then the longest.
+
+    The candidates that are sent to the driver and back are CANDIDATES at most.
+    """
+
+    def counted(wanted, only_toxic: bool) -> DataFrame:
+        def run(batches):
+            for b in batches:
+                bad, n = Counter(), Counter()
+                for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if label or not only_toxic:
+                        found = _beginnings(text or "")
+                        found = found if wanted is None else found & wanted
+                        n.update(found)
+                        if label:
+                            bad.update(found)
+                keys = list(n)
+                yield pa.record_batch([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], names=["stem", "bad", "n"])
+
+        return sample.mapInArrow(run, "stem string, bad long, n long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+
+    seen = counted(None, True).where(F.col("bad") >= LEARN_DOCS).orderBy(F.desc("bad"), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
+    wanted = frozenset(r.stem for r in seen.collect())
+    rate = sample.agg(F.avg("label")).first()[0] or 0.0
+    clear = []
+    for r in counted(wanted, False).collect() if wanted else []:
+        z = (r.bad - rate * r.n) / math.sqrt(max(rate * (1 - rate) * r.n, 1e-9))
+        if r.bad >= LEARN_SHARE * r.n and z >= LEARN_Z:
+            # Log-likelihood gain over the base rate: favours stems that explain much.
+            share = r.bad / r.n
+            gain = r.bad * math.log(share / rate) + ((r.n - r.bad) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
+            clear.append((-gain, -len(r.stem), r.stem, math.log((r.bad + 0.5) / (r.n - r.bad + 0.5))))
+    out: dict[str, float] = {}
+    for *_, stem, odds in sorted(clear):
+        if not any(stem.startswith(x) or x.startswith(stem) for x in out):
+            out[stem] = odds
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
@@ -164,10 +218,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False) -> Da
     Null and empty texts match nothing and get the score of a text without
     matches. Repeated rows score alike; other columns are ignored.
     """
-    sample = labelled_sample(docs, labels, "toxic")
-    matcher = Matcher(sorted({*INSULTS, *learned_insults(sample)}))
-    w = logistic(*sample_matrix(sample, matcher.features, Matcher.n_features))
-    predict = lambda x: 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    sample = Scratch(docs.sparkSession).keep(labelled_sample(docs, labels, "toxic"))
+    matcher = Matcher(learned_stems(sample))
+    x, y = sample_matrix(sample, matcher.features, Matcher.n_features)
+    w, trees = logistic(x, y), fit(x, y, trees=40, depth=3)
+
+    def predict(x):
+        line = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) if len(x) else np.empty(0)
+        return (line + trees.predict(x)) / 2
+
     return score_documents(docs, matcher.features, predict, THRESHOLD, keep)
 
 
