@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, minhash, mixing, projections, quality, toxicity, url_filter
+from . import bpe, fingerprint, minhash, mixing, projections, quality, suffix, toxicity, url_filter
 
 QUERIES = {
     "op1_winnowing": fingerprint.op1_winnowing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_projections": projections.op5_projections,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_token_counts": bpe.op7_token_counts,
+    "op8_suffix_arrays": suffix.op8_suffix_arrays,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
 }
