@@ -1,6 +1,6 @@
 """Byte-level BPE: a hierarchical-bitmap rank queue, and exact prefix counts.
 
-``merge`` runs one pre-token's merges. Adjacent pairs wait in buckets, one per
+``merge`` runs one pre-token's merges, ``merge_all`` those of many at once. Adjacent pairs wait in buckets, one per
 merge rank; a two-level bitmap over the ranks finds the lowest non-empty bucket
 by find-first-set. Symbols form a linked list over byte positions, and an entry
 whose pair has changed since it was queued is skipped when it is met. The cost is
@@ -20,6 +20,8 @@ import heapq
 import json
 from itertools import chain
 
+import ahocorasick
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
@@ -114,60 +116,167 @@ def merge(piece: bytes, rank_of) -> list[int]:
     return out
 
 
+class PairTable:
+    """Ranks of adjacent token pairs, looked up for arrays of pairs at once."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        pairs = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if a is not None and b is not None:
+                    pairs[a << 24 | b] = rank
+        self.keys = np.array(sorted(pairs), dtype=np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank of each pair, or -1."""
+        key = a << 24 | b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], -1)
+
+
+#: Pre-tokens up to this long share one queue; longer ones have one each.
+SHARED = 256
+
+
+def merge_all(pieces: list[bytes], pairs: PairTable, byte_ids: np.ndarray) -> list[tuple[int, ...]]:
+    """Token ids of many pre-tokens, by one rank queue over all their bytes.
+
+    A bucket holds arrays of positions. Of the lowest bucket each pre-token merges
+    its leftmost pair, all at once, and positions left over wait in it again; so each
+    goes through the merges in the order that a queue of its own would give.
+    """
+    if not pieces:
+        return []
+    sizes = np.array(list(map(len, pieces)))
+    owner = np.repeat(np.arange(len(pieces)), sizes)
+    sym = byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+    n = len(sym)
+    sym = np.append(sym, 0)
+    end = np.cumsum(sizes)
+    nxt, before = np.arange(1, n + 2), np.arange(-1, n)
+    nxt[end - 1] = n  # stands for the end of any pre-token
+    before[end - sizes] = -1
+    alive = np.ones(n, dtype=bool)
+    waits = np.full(n + 1, -1, dtype=np.int64)
+    buckets: dict[int, list[np.ndarray]] = {}
+    low: dict[int, int] = {}
+    top = 0
+
+    def push(at: np.ndarray, rank: np.ndarray) -> None:
+        nonlocal top
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order], rank[order]
+        cuts = np.flatnonzero(np.diff(rank, prepend=-1))
+        for r, x in zip(rank[cuts].tolist(), np.split(at, cuts[1:])):
+            have = buckets.get(r)
+            if have is not None:
+                have.append(x)
+                continue
+            buckets[r] = [x]
+            word = r >> LOW_BITS
+            low[word] = low.get(word, 0) | 1 << (r & (1 << LOW_BITS) - 1)
+            top |= 1 << word
+
+    first = np.flatnonzero(nxt[:n] < n)
+    rank = pairs(sym[first], sym[first + 1])
+    waits[first] = rank
+    push(first[rank >= 0], rank[rank >= 0])
+    while top:
+        word = (top & -top).bit_length() - 1
+        bits = low[word]
+        bit = bits & -bits
+        rank = word << LOW_BITS | bit.bit_length() - 1
+        held = buckets.pop(rank)
+        at = held[0] if len(held) == 1 else np.concatenate(held)
+        at = at[waits[at] == rank]  # the others are stale
+        at.sort()
+        who = owner[at]
+        lead = np.empty(len(at), dtype=bool)
+        lead[:1] = True
+        np.not_equal(who[1:], who[:-1], out=lead[1:])
+        i = at[lead]
+        if len(i) < len(at):
+            buckets[rank] = [np.unique(at[~lead])]
+        else:
+            low[word] = bits ^ bit
+            if bits == bit:
+                top ^= 1 << word
+        if not len(i):
+            continue
+        j = nxt[i]
+        k = nxt[j]
+        sym[i], nxt[i], waits[j], alive[j] = rank, k, -1, False
+        inner = k < n
+        before[k[inner]] = i[inner]
+        h = before[i]
+        left = h >= 0
+        a = np.concatenate((i[inner], h[left]))
+        b = np.concatenate((k[inner], i[left]))
+        got = pairs(sym[a], sym[b])
+        waits[i] = -1
+        waits[a] = got
+        good = got >= 0
+        push(a[good], got[good])
+    ids = sym[:n][alive].tolist()
+    count = np.cumsum(np.bincount(owner[alive], minlength=len(pieces))).tolist()
+    return [tuple(ids[a:b]) for a, b in zip([0, *count], count)]
+
+
 class Units:
-    """Splits a text into units that the pattern treats alike in any context.
+    """Splits texts into units that the pattern treats alike in any context.
 
-    A match never starts before a space it holds, so the text may be cut before a
+    A match never starts before a space it holds, so a text may be cut before a
     single space that a non-space follows. Such units repeat and are remembered.
-    ``of_piece`` maps one pre-token (bytes) to a tuple.
+    ``of_pieces`` maps a list of pre-tokens (bytes) to a list of tuples.
     """
 
-    def __init__(self, pattern: str, of_piece):
+    def __init__(self, pattern: str, of_pieces):
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
-        self.of_piece, self.words, self.pieces = of_piece, {}, {}
-
-    def _string(self, s: str) -> tuple:
-        out = []
-        for m in self.find(s):
-            t = self.pieces.get(m)
-            if t is None:
-                t = self.of_piece(m.encode())
-                if len(m) <= 32:
-                    if len(self.pieces) >= CACHE:
-                        self.pieces.clear()
-                    self.pieces[m] = t
-            out.append(t)
-        return out[0] if len(out) == 1 else tuple(chain.from_iterable(out))
+        self.of_pieces, self.words, self.pieces = of_pieces, {}, {}
+
+    def _segments(self, parts: list[str], dirty) -> list[tuple[int, int, str]]:
+        """(from, to, string) of what isn't a clean word after a space."""
+        out, at = [], None
+        for i in [0, *(i for i, w in enumerate(parts) if i and w in dirty)]:
+            if at is not None and i == at[1] and parts[at[1] - 1] in dirty:
+                at[1] = i + 1
+                continue
+            if at is not None:
+                out.append(at)
+            at = [i, i + 1]
+        out.append(at)
+        return [(a, b, " " * (a > 0) + " ".join(parts[a:b])) for a, b in out]
+
+    def batch(self, texts: list[str]):
+        """Yields for each text its units' tuples."""
+        if len(self.words) > CACHE:
+            self.words.clear()
+        if len(self.pieces) > CACHE:
+            self.pieces.clear()
+        seen: set[str] = set()
+        for t in texts:
+            seen.update(t.split(" "))
+        dirty = {w for w in seen if not w or _SPACE.search(w)}
+        fresh = [w for w in seen if w not in self.words and w not in dirty]
+        strings = {s for t in texts for *_, s in self._segments(t.split(" "), dirty)}
+        found = {s: self.find(s) for s in chain(strings, map(" ".__add__, fresh))}
+        missing = [p for p in set(chain.from_iterable(found.values())) if p not in self.pieces]
+        known = self.pieces
+        known.update(zip(missing, self.of_pieces([p.encode() for p in missing])))
+        whole = {s: known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p))) for s, p in found.items()}
+        for w in fresh:
+            self.words[w] = whole[" " + w]
+        for t in texts:
+            parts = t.split(" ")
+            out = list(map(self.words.get, parts))
+            for a, b, s in reversed(self._segments(parts, dirty)):
+                out[a:b] = [whole[s]]
+            yield out
 
     def __call__(self, text: str) -> list[tuple]:
-        parts = text.split(" ")
-        out = list(map(self.words.get, parts))
-        out[0] = None
-        if None not in out:
-            return out
-        rest: list[str] = []  # pieces with white space of their own, or empty
-        done, at = [], 0
-        for i, t in enumerate(out):
-            word = parts[i]
-            clean = t is not None or (word and not _SPACE.search(word))
-            if not clean:
-                if not rest:
-                    at = i
-                rest.append(word)
-                continue
-            if rest:
-                done.append(self._string(" " * (at > 0) + " ".join(rest)))
-                rest = []
-            if t is None:
-                t = self._string(" " * (i > 0) + word)
-                if i and len(word) <= 32:
-                    if len(self.words) >= CACHE:
-                        self.words.clear()
-                    self.words[word] = t
-            done.append(t)
-        if rest:
-            done.append(self._string(" " * (at > 0) + " ".join(rest)))
-        return done
+        return next(self.batch([text]))
 
 
 class RankFile:
@@ -177,18 +286,29 @@ class RankFile:
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.units = Units(pattern, self.piece)
+        self.units = Units(pattern, self.of_pieces)
+        self.pairs = PairTable(self.ranks)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+
+    def of_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        whole = [self.ranks.get(p) for p in pieces]
+        out = [None if t is None else (t,) for t in whole]
+        short = [i for i, t in enumerate(out) if t is None and len(pieces[i]) <= SHARED]
+        for i, ids in zip(short, merge_all([pieces[i] for i in short], self.pairs, self.byte_ids)):
+            out[i] = ids
+        return [self.piece(p) if t is None else t for p, t in zip(pieces, out)]
 
     def piece(self, piece: bytes) -> tuple[int, ...]:
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return (whole,)
         get, longest = self.ranks.get, self.longest
         cuts = merge(piece, lambda p, i, j, k: get(p[i:k]) if k - i <= longest else None)
         return tuple([self.ranks[piece[i:j]] for i, j in zip(cuts, cuts[1:])])
 
+    def encode_all(self, texts: list[str]):
+        for units in self.units.batch(texts):
+            yield list(chain.from_iterable(units))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(self.units(text)))
+        return next(self.encode_all([text]))
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -214,10 +334,14 @@ class PrefixCounts:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
         self.merges = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.bytes_of = {i: t for t, i in self.vocab.items()}
-        self.longest = max(map(len, self.vocab))
+        found = ahocorasick.Automaton()
+        for token, i in self.vocab.items():
+            found.add_word(token.decode("latin-1"), (i, len(token)))
+        found.make_automaton()
+        self.tokens_in = found.iter
         self.follows: dict[int, bool] = {}
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.units = Units(pattern, lambda piece: (self.prefixes(piece)[-1],))
+        self.units = Units(pattern, lambda pieces: [(self.prefixes(p)[-1],) for p in pieces])
 
     def bpe(self, piece: bytes) -> list[int]:
         get = self.merges.get
@@ -236,18 +360,18 @@ class PrefixCounts:
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Tokens of piece[:i] for each i from 0 to its length."""
-        n, get, longest, follows = len(piece), self.vocab.get, self.longest, self.follows
+        n, follows = len(piece), self.follows
         last, count = [START] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
-                t = get(piece[j:i])
-                if t is None:
-                    continue
-                ok = follows.get(last[j] << 24 | t)
-                if not (self._compatible(last[j], t) if ok is None else ok):
-                    continue
+        # The automaton gives the tokens that end at each byte, the longest first.
+        for at, (t, size) in self.tokens_in(piece.decode("latin-1")):
+            i = at + 1
+            if count[i]:
+                continue
+            j = i - size
+            before = last[j]
+            ok = follows.get(before << 24 | t)
+            if ok or ok is None and self._compatible(before, t):
                 last[i], count[i] = t, count[j] + 1
-                break
         return count
 
     def segments(self, text: str):
@@ -262,8 +386,21 @@ class PrefixCounts:
             at = m.end()
         yield False, text[at:]
 
+    def count_all(self, texts: list[str]) -> list[int]:
+        out, plain, of = [0] * len(texts), [], []
+        for i, t in enumerate(texts):
+            for special, s in self.segments(t):
+                if special:
+                    out[i] += 1
+                elif s:
+                    plain.append(s)
+                    of.append(i)
+        for i, units in zip(of, self.units.batch(plain)):
+            out[i] += sum(map(sum, units))
+        return out
+
     def count(self, text: str) -> int:
-        return sum(1 if special else sum(map(sum, self.units(s))) if s else 0 for special, s in self.segments(text))
+        return self.count_all([text])[0]
 
     def profile(self, text: str) -> list[tuple[int, int]]:
         """(bytes, tokens) at every byte prefix that ends within or at a pre-token.
@@ -310,7 +447,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     def run(batches):
         model = _worker_model(RankFile, content, pattern)
         for b in batches:
-            ids = [model.encode(t) if t else [] for t in b.column(1).to_pylist()]
+            ids = list(model.encode_all([t or "" for t in b.column(1).to_pylist()]))
             yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
@@ -326,8 +463,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         names = {i: str(i) for i in model.tokens}
         for b in batches:
             counts, digests, back = [], [], []
-            for t in b.column(1).to_pylist():
-                ids = model.encode(t) if t else []
+            for ids in model.encode_all([t or "" for t in b.column(1).to_pylist()]):
                 counts.append(len(ids))
                 digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
                 back.append(hashlib.sha256(model.decode(ids)).hexdigest())
@@ -351,7 +487,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str = public
         model = _worker_model(PrefixCounts, content, pattern)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(map(model.count, texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            yield pa.record_batch([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(model.count_all(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
