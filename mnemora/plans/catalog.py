@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import conflicts as C
 from ..operators import graph as G
+from ..operators import lifecycle as Y
 from ..operators import log as L
 from ..operators import recall as R
 from . import fixture as X
@@ -319,3 +320,44 @@ key("fn_trust_rank", "SELECT id, CASE trust WHEN 'trusted' THEN 0 WHEN 'reported
 key("fn_level_of", "SELECT id, CASE WHEN list_contains(tags, 'level:1') THEN 1 ELSE 0 END AS level FROM m")(lambda t: t.m.select("id", S.level_of(F.col("tags")).alias("level")))
 key("fn_pack_line", "SELECT id, '- (' || type || ')' || CASE WHEN pinned AND trust <> 'trusted' THEN ' [pinned, ' || trust || ']' WHEN pinned THEN ' [pinned]' WHEN trust <> 'trusted' THEN ' [' || trust || ']' ELSE '' END || ' ' || text AS line FROM m")(lambda t: t.m.select("id", S.pack_line(F.col("text"), F.col("type"), F.col("pinned"), F.col("trust")).alias("line")))
 key("fn_parse_duration", "SELECT * FROM (VALUES ('30m', 1800::BIGINT), ('1.5h', 5400), ('7d', 604800), ('2w', 1209600), ('10s', 10), ('x', NULL)) t(text, seconds)", "")(lambda t: t.spark.createDataFrame([("30m",), ("1.5h",), ("7d",), ("2w",), ("10s",), ("x",)], "text string").select("text", S.parse_duration(F.col("text")).alias("seconds")))
+
+# --- lifecycle ---------------------------------------------------------------
+WANT = "SELECT 'm' || lpad(doc_id::VARCHAR, 8, '0') AS src, 'm' || lpad((doc_id + 2)::VARCHAR, 8, '0') AS dst, 'related' AS rel FROM documents WHERE doc_id % 9 = 0"
+want = lambda t: t.m.where("i % 9 = 0").select(F.col("id").alias("src"), F.concat(F.lit("m"), F.lpad((F.col("i") + 2).cast("string"), 8, "0")).alias("dst"), F.lit("related").alias("rel"))
+key("link", f"SELECT src, dst, rel FROM ed UNION SELECT src, dst, rel FROM ({WANT}) w WHERE dst IN (SELECT id FROM m)")(lambda t: Y.link(t.e, want(t), t.m))
+key("unlink", "SELECT src, dst, rel FROM ed WHERE NOT (src = 'm00000000' AND rel = 'refines') AND src <> 'm00000005'")(
+    lambda t: Y.unlink(t.e, t.e.where("src = 'm00000000' AND rel = 'refines'").unionByName(t.e.where("src = 'm00000005'").withColumn("rel", F.lit(None).cast("string")))))
+key("edit", "SELECT id, CASE WHEN i % 7 = 0 THEN 'changed ' || i ELSE text END AS text, CASE WHEN i % 7 = 0 THEN 1::DOUBLE ELSE importance END AS importance FROM m")(
+    lambda t: Y.edit(t.m, t.m.where("i % 7 = 0").select("id", F.concat(F.lit(" changed "), F.col("i").cast("string")).alias("new_text"), F.lit(1.7).alias("new_importance"))).select("id", "text", "importance"))
+key("forget", "SELECT id FROM m WHERE i % 11 <> 0")(lambda t: Y.forget(t.m, t.m.where("i % 11 = 0")).select("id"))
+key("nuke", "SELECT count(*) AS n FROM m WHERE FALSE")(lambda t: Y.forget(t.m, t.m).agg(F.count("*").alias("n")))
+key("supersede", "SELECT a.id, CASE WHEN i % 50 = 1 AND i + 1 < n THEN 'm' || lpad((i + 1)::VARCHAR, 8, '0') ELSE superseded_by END AS superseded_by, (pinned AND NOT (i % 50 = 1 AND i + 1 < n)) OR (i % 50 = 2 AND (i - 1) % 41 = 0) AS pinned FROM m a, nn")(
+    lambda t: Y.supersede(t.m, t.m.where("i % 50 = 1").select(F.col("id").alias("old"), F.concat(F.lit("m"), F.lpad((F.col("i") + 1).cast("string"), 8, "0")).alias("new")), NOW).select("id", "superseded_by", "pinned"))
+key("restore", "SELECT id, CASE WHEN i % 46 = 0 THEN '' ELSE superseded_by END AS superseded_by FROM m")(lambda t: Y.restore(t.m, t.m.where("i % 46 = 0")).select("id", "superseded_by"))
+key("trash_restore", "SELECT id, seq, text FROM (SELECT id, max_by(op, seq) AS last, max(seq) AS seq, max_by(text, seq) FILTER (op <> 'forget') AS text FROM jl WHERE op IN ('remember', 'edit', 'forget') GROUP BY id) WHERE last = 'forget' AND text IS NOT NULL")(lambda t: Y.trash_visible(t.j))
+key("reflect_create")(lambda t: (lambda f: Y.reflections(C.leader_clusters(f), f).withColumn("tags", join_("tags")))(t.embedded((F.col("type") == "episodic") & R.eligible(NOW) & (S.level_of(F.col("tags")) < 1))))
+key("rerank_positions", pool_sql(10) + "SELECT qid, pool.id, pool_pos AS first_rank, row_number() OVER (PARTITION BY qid ORDER BY importance DESC, pool_pos) AS new_rank FROM pool JOIN m ON m.id = pool.id", "")(
+    lambda t: Y.rescored(t.pool(10).join(t.m, "id"), F.col("importance")).select("qid", "id", F.col("first_rank").cast("long").alias("first_rank"), F.col("new_rank").cast("long").alias("new_rank")))
+QUERIES["recall_reranker"], ORACLES["recall_reranker"] = QUERIES["rerank_positions"], ORACLES["rerank_positions"]
+key("fn_negation_diff", f"SELECT a.id, a.n % 2 <> b.n % 2 AS differs FROM (SELECT id, i, len(list_filter({TOK}, lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none'))) AS n FROM m) a JOIN (SELECT i, len(list_filter({TOK}, lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none'))) AS n FROM m) b ON b.i = a.i + 1")(
+    lambda t: t.m.select("id", "i", toks("text").alias("a")).join(t.m.select((F.col("i") - 1).alias("i"), toks("text").alias("b")), "i").select("id", S.negation_differs(F.col("a"), F.col("b")).alias("differs")))
+key("fn_validity_check", "SELECT id, valid_until = 0 OR valid_from = 0 OR valid_until > valid_from AS ok FROM m")(lambda t: t.m.select("id", ((F.col("valid_until") == 0) | (F.col("valid_from") == 0) | (F.col("valid_until") > F.col("valid_from"))).alias("ok")))
+key("fn_tag_check", "SELECT id, len(list_filter(tags, lambda x: trim(x) = '' OR contains(x, ','))) = 0 AS ok FROM m")(lambda t: t.m.select("id", (~F.exists("tags", lambda x: (F.trim(x) == "") | x.contains(","))).alias("ok")))
+key("fn_first_sentence_summary", "SELECT source, '[×' || count(*) || ' similar] ' || array_to_string(list(trim(split_part(text, '.', 1)) ORDER BY importance DESC, id)[1:3], ' | ') AS summary FROM m GROUP BY source")(
+    lambda t: t.m.groupBy("source").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("o"), "id", F.trim(F.substring_index("text", ".", 1)).alias("s")))), 1, 3).alias("top")).select("source", F.concat(F.lit("[×"), F.col("n").cast("string"), F.lit(" similar] "), F.array_join(F.transform("top", lambda x: x["s"]), " | ")).alias("summary")))
+key("auto_context")(lambda t: R.pack(semantic(t, k=10).groupBy("id", "text").agg(F.max("score").alias("score")).withColumn("qid", F.lit(0).cast("long")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).withColumn("cost", S.estimate_tokens(F.col("text"))), 800))
+key("fn_chunk_text")(lambda t: chunked(t.m.select("id", "text")))
+key("conflicts_for_one", pool_sql(12) + f"SELECT qid, pool.id, round(cosine, 4) AS similarity FROM pool JOIN m ON m.id = pool.id WHERE cosine >= 0.8 AND superseded_by = '' AND {LIVE}", "")(
+    lambda t: t.pool(12).where("cosine >= 0.8").join(t.m, "id").where(R.eligible(NOW)).select("qid", "id", F.round("cosine", 4).alias("similarity")))
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    from ..sources.files import chunk_text
+
+    def run(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            yield pd.DataFrame([(i, n, c) for i, t in zip(pdf.id, pdf.text) for n, c in enumerate(chunk_text(t))], columns=["id", "n", "chunk"])
+
+    return rows.mapInPandas(run, "id string, n int, chunk string")
