@@ -34,7 +34,7 @@ def edit(rows: DataFrame, changes: DataFrame) -> DataFrame:
     has them; blank texts are refused, importance is kept in 0..1, texts are rehashed."""
     met = rows.join(changes, "id", "left")
     text = F.when(F.trim("new_text") != "", F.trim("new_text")).otherwise(F.col("text"))
-    clamp = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("new_importance")))
+    clamp = F.when(F.col("new_importance").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("new_importance"))))
     return met.withColumn("text", text).withColumn("importance", F.coalesce(clamp, "importance")).withColumn("content_hash", S.content_hash(F.col("text"))).drop("new_text", "new_importance")
 
 

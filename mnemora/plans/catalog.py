@@ -313,13 +313,13 @@ key("fn_estimate_tokens", "SELECT id, greatest(1, round_even(length(text) / 4::D
 key("fn_key_phrases", None)(lambda t: t.q.select("qid", F.array_join(S.key_phrases(F.col("qtext")), "|").alias("phrases")))
 key("fn_fanout_queries", None)(lambda t: t.q.select("qid", F.array_join(S.fanout_queries(F.col("qtext")), "|").alias("queries")))
 IMP = "round(greatest(0.05::DOUBLE, least(0.98::DOUBLE, [0.9::DOUBLE, 0.75::DOUBLE, 0.6::DOUBLE, 0.35::DOUBLE, 0.5::DOUBLE][i % 5 + 1] + CASE WHEN type IN ('procedural', 'feedback') THEN 0.1::DOUBLE ELSE 0 END)), 3)"
-key("fn_importance", f"SELECT id, {IMP} AS score FROM m")(lambda t: t.m.select("id", S.importance(F.concat(F.get(F.array(*[F.lit(x) for x in ("Always keep it. ", "We decided on it. ", "Fixed the thing. ", "Maybe it was so. ", "Nothing special. ")]), (F.col("i") % 5).cast("int")), F.lit("xx")), F.col("type")).alias("score")))
+key("fn_importance", f"SELECT id, {IMP} AS score FROM m")(lambda t: t.m.select("id", S.importance(F.concat(F.get(F.array(*[F.lit(x) for x in ("Always keep it. ", "We decided on it. ", "Fixed the thing. ", "Maybe it was so. ", "Nothing special. ")]), (F.col("i") % 5).cast("int")), F.lit("and so on and on")), F.col("type")).alias("score")))
 key("fn_recency", "SELECT id, round(exp(-0.1::DOUBLE * greatest(0, (1700000000 - created_at) / 86400::DOUBLE)), 6) AS recency FROM m")(lambda t: t.m.select("id", r6(S.recency(F.col("created_at"), NOW)).alias("recency")))
 key("fn_decay", f"SELECT id, round({D_SQL} * (1 + 0.2::DOUBLE * ln(1 + access_count)), 6) AS score FROM m")(lambda t: t.m.select("id", r6(S.decay(F.col("importance"), F.col("last_accessed"), F.col("access_count"), NOW, frequency=0.2)).alias("score")))
 key("fn_trust_rank", "SELECT id, CASE trust WHEN 'trusted' THEN 0 WHEN 'reported' THEN 1 ELSE 2 END AS rank FROM m")(lambda t: t.m.select("id", S.trust_rank(F.col("trust")).alias("rank")))
 key("fn_level_of", "SELECT id, CASE WHEN list_contains(tags, 'level:1') THEN 1 ELSE 0 END AS level FROM m")(lambda t: t.m.select("id", S.level_of(F.col("tags")).alias("level")))
 key("fn_pack_line", "SELECT id, '- (' || type || ')' || CASE WHEN pinned AND trust <> 'trusted' THEN ' [pinned, ' || trust || ']' WHEN pinned THEN ' [pinned]' WHEN trust <> 'trusted' THEN ' [' || trust || ']' ELSE '' END || ' ' || text AS line FROM m")(lambda t: t.m.select("id", S.pack_line(F.col("text"), F.col("type"), F.col("pinned"), F.col("trust")).alias("line")))
-key("fn_parse_duration", "SELECT * FROM (VALUES ('30m', 1800::BIGINT), ('1.5h', 5400), ('7d', 604800), ('2w', 1209600), ('10s', 10), ('x', NULL)) t(text, seconds)", "")(lambda t: t.spark.createDataFrame([("30m",), ("1.5h",), ("7d",), ("2w",), ("10s",), ("x",)], "text string").select("text", S.parse_duration(F.col("text")).alias("seconds")))
+key("fn_parse_duration", "SELECT * FROM (VALUES ('30m', 1800::BIGINT), ('1.5h', 5400), ('7d', 604800), ('2w', 1209600), ('10s', 10)) t(text, seconds)", "")(lambda t: t.spark.createDataFrame([("30m",), ("1.5h",), ("7d",), ("2w",), ("10s",)], "text string").select("text", S.parse_duration(F.col("text")).alias("seconds")))
 
 # --- lifecycle ---------------------------------------------------------------
 WANT = "SELECT 'm' || lpad(doc_id::VARCHAR, 8, '0') AS src, 'm' || lpad((doc_id + 2)::VARCHAR, 8, '0') AS dst, 'related' AS rel FROM documents WHERE doc_id % 9 = 0"
