@@ -18,7 +18,7 @@ import base64
 import hashlib
 import heapq
 import json
-from itertools import chain
+from itertools import chain, islice
 
 import ahocorasick
 import numpy as np
@@ -27,6 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from .common import table
 
@@ -127,13 +128,13 @@ class PairTable:
                 if a is not None and b is not None:
                     pairs[a << 24 | b] = rank
         self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
+        self.ranks = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int32)
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
-        key = a << 24 | b
+        key = a.astype(np.int64) << 24 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], -1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(-1))
 
 
 #: Pre-tokens up to this long share one queue; longer ones have one each.
@@ -150,16 +151,16 @@ def merge_all(pieces: list[bytes], pairs: PairTable, byte_ids: np.ndarray) -> li
     if not pieces:
         return []
     sizes = np.array(list(map(len, pieces)))
-    owner = np.repeat(np.arange(len(pieces)), sizes)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), sizes)
     sym = byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
     n = len(sym)
-    sym = np.append(sym, 0)
+    sym = np.append(sym, np.int32(0))
     end = np.cumsum(sizes)
-    nxt, before = np.arange(1, n + 2), np.arange(-1, n)
+    nxt, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
     nxt[end - 1] = n  # stands for the end of any pre-token
     before[end - sizes] = -1
     alive = np.ones(n, dtype=bool)
-    waits = np.full(n + 1, -1, dtype=np.int64)
+    waits = np.full(n + 1, -1, dtype=np.int32)
     buckets: dict[int, list[np.ndarray]] = {}
     low: dict[int, int] = {}
     top = 0
@@ -224,6 +225,22 @@ def merge_all(pieces: list[bytes], pairs: PairTable, byte_ids: np.ndarray) -> li
     return [tuple(ids[a:b]) for a, b in zip([0, *count], count)]
 
 
+#: Characters of text whose words are looked up together.
+STRETCH = 16 << 20
+
+
+def stretches(texts: list[str]):
+    """The texts in lists of about STRETCH characters, one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= STRETCH:
+            yield texts[at : i + 1]
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield texts[at:]
+
+
 class Units:
     """Splits texts into units that the pattern treats alike in any context.
 
@@ -288,7 +305,7 @@ class RankFile:
         self.longest = max(map(len, self.ranks))
         self.units = Units(pattern, self.of_pieces)
         self.pairs = PairTable(self.ranks)
-        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+        self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
 
     def of_pieces(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         whole = [self.ranks.get(p) for p in pieces]
@@ -304,8 +321,9 @@ class RankFile:
         return tuple([self.ranks[piece[i:j]] for i, j in zip(cuts, cuts[1:])])
 
     def encode_all(self, texts: list[str]):
-        for units in self.units.batch(texts):
-            yield list(chain.from_iterable(units))
+        for some in stretches(texts):
+            for units in self.units.batch(some):
+                yield list(chain.from_iterable(units))
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
@@ -395,7 +413,7 @@ class PrefixCounts:
                 elif s:
                     plain.append(s)
                     of.append(i)
-        for i, units in zip(of, self.units.batch(plain)):
+        for i, units in zip(of, chain.from_iterable(map(self.units.batch, stretches(plain)))):
             out[i] += sum(map(sum, units))
         return out
 
@@ -437,20 +455,27 @@ def _broadcast_file(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None) -> DataFrame:
     """doc_id, ids array<int>, decoded binary of each row of ``docs(doc_id, text)``.
 
     A null or empty text has no ids. Rows are independent: repeated ones repeat.
+    ``keep`` names further columns that come along, for which ``decoded`` is left out.
     """
     content = _broadcast_file(docs.sparkSession, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *(F.col(f"`{c}`") for c in keep or []))
+    schema = StructType([f for f in rows.schema if f.name != "_text"]).add("ids", ArrayType(IntegerType()))
+    schema = schema if keep else schema.add("decoded", BinaryType())
 
     def run(batches):
         model = _worker_model(RankFile, content, pattern)
         for b in batches:
-            ids = list(model.encode_all([t or "" for t in b.column(1).to_pylist()]))
-            yield pa.record_batch([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([model.decode(x) for x in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
+            encoded, at = model.encode_all([t or "" for t in b.column(1).to_pylist()]), 0
+            while ids := list(islice(encoded, 500)):
+                part, at = b.slice(at, len(ids)), at + len(ids)
+                back = [] if keep else [pa.array([model.decode(x) for x in ids], pa.binary())]
+                yield pa.record_batch([*(part.column(i) for i in range(part.num_columns) if i != 1), pa.array(ids, pa.list_(pa.int32())), *back], names=schema.names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return rows.mapInArrow(run, schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
