@@ -36,6 +36,8 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE = regex.compile(f"[{SPACE}]")
 #: Distinct words whose encoding a worker remembers before it starts afresh.
 CACHE = 300_000
+#: The same where only counts are remembered.
+COUNT_CACHE = 900_000
 LOW_BITS = 8
 #: Stands for the token before a pre-token's first.
 START = (1 << 24) - 1
@@ -249,7 +251,8 @@ class Units:
     ``of_pieces`` maps a list of pre-tokens (bytes) to a list of tuples.
     """
 
-    def __init__(self, pattern: str, of_pieces):
+    def __init__(self, pattern: str, of_pieces, cache: int = CACHE):
+        self.cache = cache
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
         self.of_pieces, self.words, self.pieces = of_pieces, {}, {}
 
@@ -268,9 +271,9 @@ class Units:
 
     def batch(self, texts: list[str]):
         """Yields for each text its units' tuples."""
-        if len(self.words) > CACHE:
+        if len(self.words) > self.cache:
             self.words.clear()
-        if len(self.pieces) > CACHE:
+        if len(self.pieces) > self.cache:
             self.pieces.clear()
         seen: set[str] = set()
         for t in texts:
@@ -359,7 +362,9 @@ class PrefixCounts:
         self.tokens_in = found.iter
         self.follows: dict[int, bool] = {}
         self.split_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.units = Units(pattern, lambda pieces: [(self.prefixes(p)[-1],) for p in pieces])
+        numbers = [(n,) for n in range(1000)]  # shared, so that a remembered count is small
+        total = lambda n: numbers[n] if n < 1000 else (n,)
+        self.units = Units(pattern, lambda pieces: [total(self.prefixes(p)[-1]) for p in pieces], COUNT_CACHE)
 
     def bpe(self, piece: bytes) -> list[int]:
         get = self.merges.get
@@ -378,18 +383,16 @@ class PrefixCounts:
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Tokens of piece[:i] for each i from 0 to its length."""
-        n, follows = len(piece), self.follows
+        n, known = len(piece), self.follows.get
         last, count = [START] * (n + 1), [0] * (n + 1)
         # The automaton gives the tokens that end at each byte, the longest first.
         for at, (t, size) in self.tokens_in(piece.decode("latin-1")):
-            i = at + 1
-            if count[i]:
+            if count[at + 1]:
                 continue
-            j = i - size
-            before = last[j]
-            ok = follows.get(before << 24 | t)
-            if ok or ok is None and self._compatible(before, t):
-                last[i], count[i] = t, count[j] + 1
+            j = at + 1 - size
+            ok = known(last[j] << 24 | t)
+            if ok or ok is None and self._compatible(last[j], t):
+                last[at + 1], count[at + 1] = t, count[j] + 1
         return count
 
     def segments(self, text: str):
