@@ -13,6 +13,7 @@ reruns agree.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,7 +26,7 @@ BLOCK_WORDS, SHARD_BLOCKS, ROUNDS, SEED = 32, 4096, 10, 20240517
 CYCLE = (1, 2, 3)
 #: A source's words are used this many times at most.
 MOST = 3
-#: Slots and documents that one row or bucket stands for before it is expanded.
+#: Slots that one row stands for before it is expanded.
 RUN = 4096
 
 
@@ -100,24 +101,27 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: DataFrame | None = N
     blocks = F.ceil(F.col("source_size") / block_words)
     sources = sources.withColumn("blocks", blocks).withColumn("slots", F.when(F.col("source_size") > 0, F.round(F.col("target") / F.col("source_size") * F.col("blocks")).cast("long")).otherwise(F.lit(0).cast("long")))
     sources = scratch.keep(sources)
-    rows = max(1, sized.count() // RUN)
+    buckets = max(1, math.isqrt(sized.count()))
     ids = sources.select("sid", F.col("source").alias("s_source"))
     numbered = sized.join(ids, F.col("source").eqNullSafe(F.col("s_source"))).select("doc_id", "size", "sid")
-    # Prefix sums in two levels, so that a source's rows are never in one task.
-    numbered = numbered.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(rows)))
+    # Prefix sums in two levels, so that a source's rows are never in one task: of
+    # n rows, about sqrt(n) buckets with sqrt(n) rows each.
+    numbered = numbered.where("size > 0").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
     sums = numbered.groupBy("sid", "bucket").agg(F.sum("size").alias("n"))
     before = F.sum("n").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("n")
     inner = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    placed = numbered.withColumn("at", inner).join(sums.select("sid", "bucket", before.alias("base")), ["sid", "bucket"])
+    placed = numbered.withColumn("at", inner).join(sums.select("sid", "bucket", before.alias("base")).hint("merge"), ["sid", "bucket"])
     placed = scratch.keep(placed.select("sid", (F.col("base") + F.col("at")).alias("start"), "doc_id", "size"))
     first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
     spans = placed.select("sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     spans = spans.select("sid", "block", "start", (high - low).alias("n"))
     runs = sources.where("slots > 0").select("sid", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))).alias("run"))
-    slots = runs.repartition("sid", "run").select("sid", "blocks", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("slots")) - 1)).alias("slot"))
-    slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
     total = sources.agg(F.sum("slots")).first()[0] or 0
+    # A number of partitions of its own: adaptive execution would join these few rows.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (16 * RUN))
+    slots = runs.repartition(parts, "sid", "run").select("sid", "blocks", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("slots")) - 1)).alias("slot"))
+    slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
     shard = F.pmod(F.xxhash64(F.lit(SEED), "sid", "slot"), F.lit(max(1, -(-total // SHARD_BLOCKS))))
     slots = permuted(slots, "i", "blocks", [F.col("sid"), F.col("pass")], "block").select(shard.alias("shard"), "sid", "slot", "pass", "block")
     takes = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
@@ -126,12 +130,12 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: DataFrame | None = N
 
 def taken_words(mix: Mix) -> DataFrame:
     """sid, start, taken of each placed row: the words of it that the mix takes."""
-    return mix.spans.join(mix.takes, ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
+    return mix.spans.join(mix.takes.hint("merge"), ["sid", "block"]).groupBy("sid", "start").agg(F.sum(F.col("n") * F.col("times")).alias("taken"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"), Scratch(spark))
-    got = mix.placed.join(taken_words(mix), ["sid", "start"], "left").select("doc_id", "size", "sid", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    got = mix.placed.join(taken_words(mix).hint("merge"), ["sid", "start"], "left").select("doc_id", "size", "sid", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     ids = mix.sources.select("sid", F.col("source").alias("s_source"))
     empty = mix.sized.where("size = 0").join(ids, F.col("source").eqNullSafe(F.col("s_source"))).select("doc_id", "size", "sid", F.lit(0).cast("long").alias("taken"))
     return got.unionAll(empty).join(mix.sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
@@ -146,7 +150,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """
     scratch = Scratch(spark)
     mix = mix_sources(docs, scratch)
-    spans = mix.spans.join(mix.takes, ["sid", "block"]).select("sid", "start", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"), F.struct(F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0)).cast("int").alias("at"), F.col("n").cast("int").alias("n")).alias("span"))
+    spans = mix.spans.join(mix.takes.hint("merge"), ["sid", "block"]).select("sid", "start", "block", "n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
+    # A struct's names are lost if it is made beside a generator.
+    spans = spans.select("sid", "start", "copy", F.struct(F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0)).cast("int").alias("at"), F.col("n").cast("int").alias("n")).alias("span"))
     copies = spans.groupBy("sid", "start", "copy").agg(F.sort_array(F.collect_list("span")).alias("spans"), F.sum("span.n").alias("words"))
     # Rows of one id, source and size are alike enough to stand for each other, but
     # each stands for one row: they are numbered on both sides.
