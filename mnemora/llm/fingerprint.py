@@ -73,7 +73,7 @@ def encode(hashes: np.ndarray, positions: np.ndarray) -> str:
                 g >>= 7
             out.append(g)
         packed = bytes(out)
-    short = (hashes >> np.uint64(32)).astype("<u4").tobytes()
+    short = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes()  # chosen hashes have small high bits
     return f"{base64.b64encode(short).decode()}:{base64.b64encode(packed).decode()}"
 
 
