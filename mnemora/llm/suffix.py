@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,9 @@ from .rolling import PIECE, gram_hashes, mix, prefix, span_hash, window_minima
 
 LENGTH, K = 50, 20
 #: Bytes of text whose runs one shard is meant to hold.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 8 << 20
+#: Characters of text whose runs one batch of a task holds at a time.
+BATCH_BYTES = 8 << 20
 
 
 class Family:
@@ -94,7 +97,8 @@ def runs(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray,
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
         last = np.append(first[1:], len(anchor)) - 1
         at = anchor[first]
-        parts.append((first + start, last + start, at + start, grams[at], span_hash(pre, first, last + length)))
+        # Chosen hashes are small ones; mixed again they spread evenly over shards.
+        parts.append((first + start, last + start, at + start, mix(grams[at]), span_hash(pre, first, last + length)))
     return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
 
 
@@ -125,6 +129,16 @@ def _grouped(order_by: np.ndarray, *values: np.ndarray):
         yield order_by[part[0]], *(v[part] for v in values)
 
 
+def _by_text(ids: np.ndarray, th: np.ndarray):
+    """The indices of each distinct (id, text hash)."""
+    order = np.lexsort((th, ids))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (np.diff(ids[order]) != 0) | (np.diff(th[order]) != 0)
+    cuts = np.flatnonzero(new)
+    for at, end in zip(cuts, [*cuts[1:], len(order)]):
+        yield order[at:end]
+
+
 _ODD = np.uint64(0xA0761D6478BD642F)
 _ROW = "shard int, kind string, doc_id long, th int, data binary"
 #: What a reply says of runs: D, their bytes go; C, their text is called for.
@@ -134,20 +148,31 @@ def _run_key(a: np.ndarray, r: np.ndarray) -> np.ndarray:
     return mix(a * _ODD + r.astype(np.uint64))
 
 
+def _slices(batch: pa.RecordBatch):
+    """Stretches of a batch of about BATCH_BYTES of text, one document at least."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum([len(t or "") for t in batch.column(2).to_pylist()])
+    at = 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _scan_batches(shards: int, bits: int):
     """Stage 1 of the module's text, for each batch of (doc_id, th, text)."""
     keep = np.uint64(64 - bits)
 
     def run(batches):
-        for batch in batches:
+        for batch in chain.from_iterable(map(_slices, batches)):
             ids, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             parts = []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 first, last, _, a, r = runs(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8))
                 parts.append((np.full(len(first), i, dtype=np.uint32), first.astype(np.uint64), (last - first + 1).astype(np.uint8), a >> keep, (r & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
-            if not parts:
-                continue
             doc, first, n, a, r = (np.concatenate([p[i] for p in parts]) for i in range(5))
+            del parts
             if not len(doc):
                 continue
             family = Family()
@@ -201,8 +226,8 @@ def _settle_shard(table_: pa.Table) -> pa.Table:
         other = np.isin(a, shared)
         for kind, which in (("D", gone), ("C", other & ~gone)):
             at = np.flatnonzero(which)
-            _, row = np.unique(np.stack([owner[at], th[at].astype(np.int64)], axis=1), axis=0, return_inverse=True)
-            for _, i in _grouped(row.reshape(-1).astype(np.int64), at):
+            for i in _by_text(owner[at], th[at]):
+                i = at[i]
                 out.append((kind, int(owner[i[0]]), int(th[i[0]]), _pack(first[i], n[i], *([a[i]] if kind == "C" else []))))
     return pa.table({"kind": pa.array([x[0] for x in out], pa.string()), "doc_id": pa.array([x[1] for x in out], pa.int64()), "th": pa.array([x[2] for x in out], pa.int32()), "data": pa.array([x[3] for x in out], pa.binary())})
 
@@ -248,12 +273,9 @@ def _settle_windows(batches):
         at = np.flatnonzero(gone)
         rows = part[at]
         offset = first[rows] + at - (np.cumsum(count) - count)[rows]
-        who, inverse = np.unique(np.stack([ids[rows], th[rows].astype(np.int64)], axis=1), axis=0, return_inverse=True)
-        groups = list(_grouped(inverse.reshape(-1).astype(np.int64), offset))
-        yield pa.record_batch(
-            [pa.array(who[[int(g) for g, _ in groups], 0] if groups else [], pa.int64()), pa.array(who[[int(g) for g, _ in groups], 1] if groups else [], pa.int32()), pa.array([_pack(o.astype(np.uint64), np.ones(len(o), dtype=np.uint8)) for _, o in groups], pa.binary())],
-            names=["doc_id", "th", "data"],
-        )
+        groups = list(_by_text(ids[rows], th[rows]))
+        head = rows[[g[0] for g in groups]] if groups else rows[:0]
+        yield pa.record_batch([pa.array(ids[head], pa.int64()), pa.array(th[head], pa.int32()), pa.array([_pack(offset[g].astype(np.uint64), np.ones(len(g), dtype=np.uint8)) for g in groups], pa.binary())], names=["doc_id", "th", "data"])
 
 
 def _cut(text: str | None, blobs) -> tuple[bytes, bytes, int, int]:
@@ -276,7 +298,8 @@ def _cut(text: str | None, blobs) -> tuple[bytes, bytes, int, int]:
 def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(texts by (doc_id, th), what goes of them as (doc_id, th, blobs))."""
     spark = docs.sparkSession
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("th", F.hash("text"))
+    # Keys that can't be null, so that both joins see the same exchange of the texts.
+    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("th", F.hash("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-n_bytes // SHARD_BYTES))
     bits = max(40, n_bytes.bit_length() + 10)
@@ -284,12 +307,12 @@ def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     source = keyed.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "th", "text")
     scanned = source.mapInArrow(_scan_batches(shards, bits), _ROW)
     replies = scanned.groupBy("shard").applyInArrow(_settle_shard, "kind string, doc_id long, th int, data binary")
-    texts = keyed.repartition(parts, "doc_id", "th")
-    calls = replies.where("kind = 'C'").groupBy("doc_id", "th").agg(F.collect_list("data").alias("calls"))
-    called = texts.select("doc_id", "th", "text").join(calls.hint("merge"), ["doc_id", "th"]).mapInArrow(_called_texts, "a long, doc_id long, th int, first long, piece binary")
+    texts = keyed.repartition(parts, "key", "th")
+    calls = replies.where("kind = 'C'").groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "th").agg(F.collect_list("data").alias("calls"))
+    called = texts.join(calls.hint("merge"), ["key", "th"]).select("doc_id", "th", "text", "calls").mapInArrow(_called_texts, "a long, doc_id long, th int, first long, piece binary")
     windows = called.repartition(parts, "a").mapInArrow(_settle_windows, "doc_id long, th int, data binary")
     gone = replies.where("kind = 'D'").select("doc_id", "th", "data").unionAll(windows)
-    return texts, gone.groupBy("doc_id", "th").agg(F.collect_list("data").alias("blobs"))
+    return texts, gone.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "th").agg(F.collect_list("data").alias("blobs"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -300,23 +323,24 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     is no source of matches; rows of one doc_id don't match each other.
     """
     names = docs.columns
-    texts, gone = _settled(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), "doc_id", "text"))
-    met = texts.join(gone.hint("merge"), ["doc_id", "th"], "left").select("row", "blobs")
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
+    texts, gone = _settled(docs.select(rest.alias("row"), "doc_id", "text"))
+    met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("row", "text", "blobs")
 
     def run(batches):
         for batch in batches:
-            rows, blobs = batch.column(0), batch.column(1).to_pylist()
-            old = rows.field("text").to_pylist()
+            rows, old, blobs = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             new = [t if not b else _cut(t, b)[1].decode("utf-8", "replace") for t, b in zip(old, blobs)]
-            own = {"text": pa.array(new, rows.type.field("text").type), "n_chars": pa.array([None if t is None else len(t) for t in new], pa.int64())}
-            yield pa.record_batch([own[c].cast(rows.type.field(c).type) if c in own else rows.field(c) for c in names], names=names)
+            size = pa.array([None if t is None else len(t) for t in new], pa.int64())
+            own = {"text": pa.array(new, batch.column(1).type), "n_chars": size.cast(rows.type.field("n_chars").type) if "n_chars" in names else size}
+            yield pa.record_batch([own[c] if c in own else rows.field(c) for c in names], names=names)
 
     return met.mapInArrow(run, docs.schema)
 
 
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts, gone = _settled(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    met = texts.join(gone.hint("merge"), ["doc_id", "th"], "left").select("doc_id", "text", "blobs")
+    met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("doc_id", "text", "blobs")
 
     def run(batches):
         for batch in batches:
