@@ -9,10 +9,10 @@ independent sampling. Bands of coordinates are join keys; what they propose is
 confirmed on the full sets.
 
 Equal sets are one class. In each band bucket the members are compared with one
-pivot, and components are taken; only buckets that still hold several components
-go on, with twice the pivots each round, until none is left. So no bucket's pairs
-are all listed, and yet any two members of a bucket end up in one component or
-compared. At the default 32 bands of 4 a pair at the threshold 0.8 (0.85) is
+pivot, and components are taken; only buckets that still hold several of them go on,
+with PIVOTS times the pivots each round, until each member has been compared with all
+of other components. So a group of copies never lists its pairs, and yet any two
+members of a bucket end up in one component or compared. At the default 32 bands of 4 a pair at the threshold 0.8 (0.85) is
 never proposed with probability 5e-8 (6e-11).
 """
 
@@ -29,6 +29,8 @@ from .rolling import mix, prefix, span_hash
 BANDS, ROWS = 32, 4
 #: Members compared with one copy of a pivot's text in one group of rows.
 GROUP = 128
+#: Pivots of a bucket in its second round, and how many times as many in each later one.
+PIVOTS = 4
 _FULL = np.uint64(2**64 - 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -154,12 +156,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
     texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(live.select("doc_id").distinct(), "doc_id", "left_semi"))
     pairs = tried = scratch.keep(live.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
     used = live.select("bucket", F.col("pivot").alias("doc_id")).distinct()
-    live, pivots = live.select("bucket", "doc_id"), 1
+    found = scratch.keep(_confirmed(pairs, texts, size, part, whole))
+    links = links.unionAll(found)
+    comp = scratch.keep(components(links, scratch))
+    live = live.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    pivots, more = PIVOTS, []
     while True:
-        found = scratch.keep(_confirmed(pairs, texts, size, part, whole))
-        links = links.unionAll(found)
-        comp = scratch.keep(components(links, scratch))
-        left = live.join(used, ["bucket", "doc_id"], "left_anti").join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+        left = live.join(used, ["bucket", "doc_id"], "left_anti")
         still = left.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
         live = scratch.keep(left.join(still, "bucket"))
         if live.isEmpty():
@@ -170,9 +173,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
         chosen = scratch.keep(chosen)
         pairs = live.join(chosen, "bucket").where("c <> pc").select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b")).distinct()
         pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
+        more.append(scratch.keep(_confirmed(pairs, texts, size, part, whole)))
         tried = tried.unionAll(pairs)
-        used = chosen.select("bucket", F.col("p").alias("doc_id"))
-        live, pivots = live.select("bucket", "doc_id"), pivots * 2
+        used, pivots = chosen.select("bucket", F.col("p").alias("doc_id")), pivots * PIVOTS
+    if more:
+        links = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        for found in more:
+            links = links.unionAll(found)
+        comp = scratch.keep(components(links, scratch))
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     id_ = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(False)).alias("kept"))
