@@ -146,7 +146,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     another for those taken twice or more, and so on to MOST.
 
     A row whose words are all taken keeps its text as it is; of others the taken
-    words are joined by single spaces and n_chars is counted anew.
+    words are joined by single spaces and n_chars is counted anew. A row without
+    doc_id is a document like any other and stays without one.
     """
     scratch = Scratch(spark)
     mix = mix_sources(docs, scratch)
@@ -156,14 +157,17 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     copies = spans.groupBy("sid", "start", "copy").agg(F.sort_array(F.collect_list("span")).alias("spans"), F.sum("span.n").alias("words"))
     # Rows of one id, source and size are alike enough to stand for each other, but
     # each stands for one row: they are numbered on both sides.
-    like = Window.partitionBy("doc_id", "sid", "size")
-    wanted = mix.placed.withColumn("nth", F.row_number().over(like.orderBy("start"))).join(copies, ["sid", "start"]).select("doc_id", "sid", "size", "nth", "copy", "spans", "words")
+    # The join is on keys that can't be null, as null ids never equal each other.
+    like = Window.partitionBy("key", "no_id", "sid", "size")
+    key, no_id = F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), F.col("doc_id").isNull().alias("no_id")
+    wanted = mix.placed.select("sid", "start", "size", key, no_id).withColumn("nth", F.row_number().over(like.orderBy("start")))
+    wanted = wanted.join(copies, ["sid", "start"]).select("key", "no_id", "sid", "size", "nth", "copy", "spans", "words")
     names = docs.columns
     ids = mix.sources.select("sid", F.col("source").alias("s_source"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size")).where("size > 0")
-    rows = rows.join(ids, F.col("row.source").eqNullSafe(F.col("s_source"))).drop("s_source")
+    rows = rows.select("row", "size", key, no_id).join(ids, F.col("row.source").eqNullSafe(F.col("s_source"))).drop("s_source")
     rows = rows.withColumn("nth", F.row_number().over(like.orderBy(F.xxhash64("row.text"))))
-    met = rows.join(wanted, ["doc_id", "sid", "size", "nth"])
+    met = rows.join(wanted, ["key", "no_id", "sid", "size", "nth"])
     words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD_PATTERN), F.lit(0))
     cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, s["at"] + 1, s["n"]))), " ")
     text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(cut)

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -183,6 +184,23 @@ def test_mixing(spark):
     assert sum(len(r.text.split()) for r in out) == sum(g[3] for g in got) and out[0].asDict().keys() == {"doc_id", "text", "lang", "source", "n_chars"}
 
 
+def test_mixing_keeps_rows_without_id(spark):
+    rng = random.Random(12)
+    rows = [(None if i % 3 == 0 else i % 40, words(rng, 30 + i % 4), rng.choice(["a", "b", None])) for i in range(90)] + [(0, words(rng, 30), "a"), (None, "one two", "z"), (None, "one two", "z"), (None, None, "z")]
+    docs = frame(spark, rows)
+    mix = mixing.mix_sources(docs, Scratch(spark))
+    placed = mix.placed.join(mixing.taken_words(mix), ["sid", "start"]).collect()
+    source = {r.sid: r.source for r in mix.sources.collect()}
+    want, got = Counter(), Counter()
+    for r in placed:
+        want[r.doc_id, source[r.sid]] += r.taken
+    texts = {(i, s, w) for i, t, s in rows for w in (t or "").split()}
+    for r in mixing.mixing_stage(spark, docs, "").collect():
+        got[r.doc_id, r.source] += len(r.text.split())
+        assert all((r.doc_id, r.source, w) in texts for w in r.text.split())
+    assert got == want and got[None, "a"] and got[None, None] and got[None, "z"]
+
+
 def test_projections(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 16))

@@ -28,3 +28,19 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert left == {i: v[4].decode() for i, v in brute_repeats(good).items()}
     assert seen["encode"].count() == seen["mixing"].count() > 0
     assert seen["encode"].where("n_tokens > 0").count() == seen["encode"].count()
+
+
+def test_rows_without_id_reach_the_end(spark, tmp_path):
+    from .test_operators import frame, words
+
+    rng = random.Random(10)
+    rows = [(i, words(rng, 80), f"s{i % 3}") for i in range(60)] + [(None, words(rng, 80), f"s{i % 3}") for i in range(30)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    without = {}
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        without[name] = docs.where("doc_id IS NULL").count()
+    assert without["repeats"] > 0 and without["encode"] == without["mixing"] > 0
