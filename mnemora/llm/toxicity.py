@@ -35,7 +35,9 @@ TARGETS = ["you", "your", "he", "she", "him", "her", "they", "them", "these", "t
 NEGATIONS = ["not", "never", "no", "isn't", "aren't", "wasn't", "don't", "nobody"]
 REPORTS = ["said", "says", "wrote", "called", "quoted", "claimed", "reported", "quote"]
 #: A learned stem has so many letters and toxic documents, share of them, and z score.
-STEM, LEARN_DOCS, LEARN_SHARE, LEARN_Z, CANDIDATES = (3, 10), 8, 0.4, 6.0, 20_000
+STEM, LEARN_DOCS, LEARN_SHARE, LEARN_Z = (3, 10), 8, 0.4, 6.0
+#: A task passes its counts on when it holds so many stems.
+COUNTED = 200_000
 
 OTHER, INSULT, THREAT, TARGET, NEG, REPORT, DENIED, QUOTED, AIMED, MENACE = range(10)
 OUTCOMES = (INSULT, DENIED, QUOTED, AIMED, MENACE)
@@ -155,36 +157,36 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
     """Beginnings of words far more frequent in toxic documents than in others, with
     the logarithm of their odds; of nested ones the clearest, then the longest.
 
-    The candidates that are sent to the driver and back are CANDIDATES at most.
+    All are counted and tested on the executors; those that pass reach the driver.
     """
 
-    def counted(wanted, only_toxic: bool) -> DataFrame:
-        def run(batches):
-            for b in batches:
-                bad, n = Counter(), Counter()
-                for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    if label or not only_toxic:
-                        found = _beginnings(text or "")
-                        found = found if wanted is None else found & wanted
-                        n.update(found)
-                        if label:
-                            bad.update(found)
-                keys = list(n)
-                yield pa.record_batch([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], names=["stem", "bad", "n"])
-
-        return sample.mapInArrow(run, "stem string, bad long, n long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
-
-    seen = counted(None, True).where(F.col("bad") >= LEARN_DOCS).orderBy(F.desc("bad"), F.desc(F.length("stem")), "stem").limit(CANDIDATES)
-    wanted = frozenset(r.stem for r in seen.collect())
+    def run(batches):
+        bad, n = Counter(), Counter()
+
+        def counts():
+            keys = list(n)
+            return pa.record_batch([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], names=["stem", "bad", "n"])
+
+        for b in batches:
+            for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                found = _beginnings(text or "")
+                n.update(found)
+                if label:
+                    bad.update(found)
+                if len(n) >= COUNTED:
+                    yield counts()
+                    bad, n = Counter(), Counter()
+        yield counts()
+
     rate = sample.agg(F.avg("label")).first()[0] or 0.0
+    counted = sample.mapInArrow(run, "stem string, bad long, n long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    z = (F.col("bad") - rate * F.col("n")) / F.sqrt(F.greatest(rate * (1 - rate) * F.col("n"), F.lit(1e-9)))
     clear = []
-    for r in counted(wanted, False).collect() if wanted else []:
-        z = (r.bad - rate * r.n) / math.sqrt(max(rate * (1 - rate) * r.n, 1e-9))
-        if r.bad >= LEARN_SHARE * r.n and z >= LEARN_Z:
-            # Log-likelihood gain over the base rate: favours stems that explain much.
-            share = r.bad / r.n
-            gain = r.bad * math.log(share / rate) + ((r.n - r.bad) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
-            clear.append((-gain, -len(r.stem), r.stem, math.log((r.bad + 0.5) / (r.n - r.bad + 0.5))))
+    for r in counted.where((F.col("bad") >= LEARN_DOCS) & (F.col("bad") >= LEARN_SHARE * F.col("n")) & (z >= LEARN_Z)).collect():
+        # Log-likelihood gain over the base rate: favours stems that explain much.
+        share = r.bad / r.n
+        gain = r.bad * math.log(share / rate) + ((r.n - r.bad) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
+        clear.append((-gain, -len(r.stem), r.stem, math.log((r.bad + 0.5) / (r.n - r.bad + 0.5))))
     out: dict[str, float] = {}
     for *_, stem, odds in sorted(clear):
         if not any(stem.startswith(x) or x.startswith(stem) for x in out):

@@ -271,3 +271,13 @@ def test_classifiers_score_every_row(spark):
     assert all(toxic[i] == (i % 5 == 0) for i in range(200))
     chosen = learning.labelled_sample(docs, labels, "toxic", 10).count()
     assert chosen == 10
+
+
+def test_rare_stems_are_learned_among_many(spark):
+    """A clear stem of 8 toxic documents counts, however many stems are commoner."""
+    rng = random.Random(13)
+    common = ["".join(rng.choices(string.ascii_lowercase, k=10)) for _ in range(5000)]
+    rows = [(1, " ".join(common) + " zzqxblar" * (i < 8)) for i in range(20)] + [(0, " ".join(common)) for _ in range(40)] + [(0, "plain words") for _ in range(240)]
+    assert len(set().union(*map(toxicity._beginnings, common))) > 20_000
+    got = toxicity.learned_stems(spark.createDataFrame(rows, "label int, text string"))
+    assert set(got) == {"zzqxblar "} and got["zzqxblar "] == pytest.approx(np.log(8.5 / 0.5))
