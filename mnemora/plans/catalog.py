@@ -310,8 +310,8 @@ key("fn_jaccard", JAC)(lambda t: t.m.select("id", "i", "text").join(t.m.select((
 QUERIES["intersect"], ORACLES["intersect"] = QUERIES["fn_jaccard"], ORACLES["fn_jaccard"]
 key("fn_count_neg", f"SELECT id, len(list_filter({TOK}, lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none')))::INT AS n FROM m")(lambda t: t.m.select("id", S.count_negations(toks("text")).alias("n")))
 key("fn_estimate_tokens", "SELECT id, greatest(1, round_even(length(text) / 4::DOUBLE, 0))::INT AS tokens FROM m")(lambda t: t.m.select("id", S.estimate_tokens(F.col("text")).alias("tokens")))
-key("fn_key_phrases", None)(lambda t: t.q.select("qid", F.array_join(S.key_phrases(F.col("qtext")), "|").alias("phrases")))
-key("fn_fanout_queries", None)(lambda t: t.q.select("qid", F.array_join(S.fanout_queries(F.col("qtext")), "|").alias("queries")))
+key("fn_key_phrases", None)(lambda t: t.read("benchmark").select(F.col("item_id").alias("qid"), F.array_join(S.key_phrases(F.col("text")), "|").alias("phrases")))
+key("fn_fanout_queries", None)(lambda t: t.read("benchmark").select(F.col("item_id").alias("qid"), F.array_join(S.fanout_queries(F.col("text")), "|").alias("queries")))
 IMP = "round(greatest(0.05::DOUBLE, least(0.98::DOUBLE, [0.9::DOUBLE, 0.75::DOUBLE, 0.6::DOUBLE, 0.35::DOUBLE, 0.5::DOUBLE][i % 5 + 1] + CASE WHEN type IN ('procedural', 'feedback') THEN 0.1::DOUBLE ELSE 0 END)), 3)"
 key("fn_importance", f"SELECT id, {IMP} AS score FROM m")(lambda t: t.m.select("id", S.importance(F.concat(F.get(F.array(*[F.lit(x) for x in ("Always keep it. ", "We decided on it. ", "Fixed the thing. ", "Maybe it was so. ", "Nothing special. ")]), (F.col("i") % 5).cast("int")), F.lit("and so on and on")), F.col("type")).alias("score")))
 key("fn_recency", "SELECT id, round(exp(-0.1::DOUBLE * greatest(0, (1700000000 - created_at) / 86400::DOUBLE)), 6) AS recency FROM m")(lambda t: t.m.select("id", r6(S.recency(F.col("created_at"), NOW)).alias("recency")))

@@ -87,3 +87,14 @@ def test_pool_is_exact(spark):
     assert got == [f"m{i:03d}" for i in np.argsort(-cos)[:5]]
     with pytest.raises(ValueError):
         recall.vector_pool(m, spark.range(recall.MAX_QUERIES + 1).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("qx")), 5)
+
+
+def test_phrase_queries_read_whole_texts(spark, tmp_path):
+    from mnemora.plans import catalog
+
+    text = "the of and to in the of and silver harbour lantern"
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {n: [tuple(r) for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()] for n in ("fn_key_phrases", "fn_fanout_queries")}
+    assert got["fn_key_phrases"] == [(1, "silver harbour|harbour lantern|silver")]
+    assert got["fn_fanout_queries"] == [(1, f"{text}|silver harbour|harbour lantern|silver")]
