@@ -57,6 +57,7 @@ def held_out(doc_id="doc_id"):
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of every node in ``links(a, b)``: the smallest node reachable.
+    The result is a table in ``scratch``.
 
     Large-star / small-star rounds (Kiveris et al.): each round is two
     aggregations with map-side combine and two joins that adaptive execution can
@@ -86,4 +87,6 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             break
         mark = tuple(now)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots)
+    out = scratch.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots))
+    scratch.drop(edges)
+    return out

@@ -5,32 +5,35 @@ A document's set holds the hashes (64 bits) of its distinct word shingles. Its s
 first t rounds every element throws one value into a random bin, in the next t
 rounds into the bin of the round's number, and a bin keeps its least value, early
 rounds first. Every coordinate is therefore filled, with the concentration of
-independent sampling. Bands of coordinates are join keys; what they propose is
-confirmed on the full sets.
-
-Equal sets are one class. In each band bucket the members are compared with one
-pivot, and components are taken; only buckets that still hold several of them go on,
-with PIVOTS times the pivots each round, until each member has been compared with all
-of other components. So a group of copies never lists its pairs, and yet any two
-members of a bucket end up in one component or compared. At the default 32 bands of 4 a pair at the threshold 0.8 (0.85) is
-never proposed with probability 5e-8 (6e-11).
+independent sampling. Bands of coordinates are join keys, and a pair of 0.8 (0.85)
+shares none of the 40 bands of 6 with probability 6e-6 (6e-9).
+
+1. Equal sets are one class, which its smallest document stands for.
+2. The members of a band's bucket are compared with one pivot, the smallest of them:
+   as many pairs as members. Components are taken of the links found.
+3. Buckets whose members lie in several components are live. Among the documents of
+   live buckets all pairs of different components that can reach the threshold are
+   compared: in an order of shingles by rising frequency, linked sets share one of
+   their first (1 - threshold) * n + 1, at places that leave room for the overlap
+   (Xiao et al. 2008). Copies edited apart from each other have edits of their own
+   first, so a large group of them proposes few pairs, and none is left out.
+
+Both comparisons intersect the full sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, table
 from .rolling import mix, prefix, span_hash
 
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 40, 6
 #: Members compared with one copy of a pivot's text in one group of rows.
 GROUP = 128
-#: Pivots of a bucket in its second round, and how many times as many in each later one.
-PIVOTS = 4
 _FULL = np.uint64(2**64 - 1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -134,63 +137,94 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole:
     return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(run, "a long, b long").distinct()
 
 
+def _live(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """doc_id, component of the documents in buckets that hold several components."""
+    placed = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
+    split = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
+    return placed.join(split, "bucket").select("doc_id", "c").distinct()
+
+
+def _possible(sets: DataFrame, part: int, whole: int) -> DataFrame:
+    """Pairs (a, b), a > b, of ``sets(doc_id, th, c, set)`` that may reach the threshold.
+
+    They are of different components c, and all such pairs that do reach it are here.
+    """
+    items = sets.select("doc_id", "th", "c", F.size("set").alias("n"), F.explode("set").alias("g"))
+    often = items.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    # Shingles that only one set has come first, and need no rows: they shift the others.
+    shared = items.join(often, "g").groupBy("doc_id", "th", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("items"))
+    own = F.col("n") - F.size("items")
+    first = F.greatest(F.col("n") - F.ceil(part * F.col("n") / F.lit(whole)) + 1 - own, F.lit(0)).cast("int")
+    heads = shared.select("doc_id", "c", "n", own.alias("own"), F.posexplode(F.slice("items", 1, first)).alias("i", "item"))
+    # room: the most elements that two sets can share which first meet here
+    heads = heads.select("doc_id", "c", "n", F.col("item.g").alias("g"), (F.col("n") - F.col("own") - F.col("i")).alias("room"))
+    for _ in range(2):
+        met = heads.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).where("low < high").select("g", "least")
+        heads = heads.join(met, "g").where((whole + part) * F.col("room") >= part * (F.col("n") + F.col("least"))).drop("least")
+    one = heads.select(F.col("g").alias("ga"), F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("room").alias("ra"))
+    two = heads.select(F.col("g").alias("gb"), F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("room").alias("rb"))
+    fits = (whole * F.least("na", "nb") >= part * F.greatest("na", "nb")) & ((whole + part) * F.least("ra", "rb") >= part * (F.col("na") + F.col("nb")))
+    return one.join(two, (F.col("ga") == F.col("gb")) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & fits).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of ``docs(doc_id, text)``.
 
     Documents are linked if whole * intersection >= part * union of their shingle
     sets; a component's id is its smallest doc_id, which alone is kept. Null texts
     and texts without words have empty sets and link with nothing. Rows with one
-    doc_id are one node. A null doc_id has a null component and isn't kept. Other
-    columns of ``docs`` are ignored.
+    doc_id are one node, linked if any of their texts is. A null doc_id has a null
+    component and isn't kept. An empty table has no rows. Other columns of ``docs``
+    are ignored.
     """
     scratch = Scratch(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = scratch.keep(_signatures(docs, size, bands, rows))
     usable = sig.where("doc_id IS NOT NULL AND n > 0")
-    classes = usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    membership = usable.select("doc_id", "n", "s1", "s2").join(classes, ["n", "s1", "s2"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = scratch.keep(membership.distinct())
-    heads = usable.join(classes.select("n", "s1", "s2", F.col("rep").alias("doc_id")), ["n", "s1", "s2", "doc_id"])
-    banded = heads.select("doc_id", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("top")).where("pivot < top").select("bucket", "pivot")
-    live = scratch.keep(banded.join(shared, "bucket").select("bucket", "doc_id", "pivot"))
-    texts = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(live.select("doc_id").distinct(), "doc_id", "left_semi"))
-    pairs = tried = scratch.keep(live.where("doc_id <> pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct())
-    used = live.select("bucket", F.col("pivot").alias("doc_id")).distinct()
-    found = scratch.keep(_confirmed(pairs, texts, size, part, whole))
-    links = links.unionAll(found)
-    comp = scratch.keep(components(links, scratch))
-    live = live.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("c"))
-    pivots, more = PIVOTS, []
-    while True:
-        left = live.join(used, ["bucket", "doc_id"], "left_anti")
-        still = left.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("bucket")
-        live = scratch.keep(left.join(still, "bucket"))
-        if live.isEmpty():
-            break
-        # Another hashed order in each bucket: buckets of the same members try different pivots.
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "doc_id"), "doc_id")
-        chosen = live.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pivots).select("bucket", F.col("doc_id").alias("p"), F.col("c").alias("pc"))
-        chosen = scratch.keep(chosen)
-        pairs = live.join(chosen, "bucket").where("c <> pc").select(F.greatest("doc_id", "p").alias("a"), F.least("doc_id", "p").alias("b")).distinct()
-        pairs = scratch.keep(pairs.join(tried, ["a", "b"], "left_anti"))
-        more.append(scratch.keep(_confirmed(pairs, texts, size, part, whole)))
-        tried = tried.unionAll(pairs)
-        used, pivots = chosen.select("bucket", F.col("p").alias("doc_id")), pivots * PIVOTS
-    if more:
-        links = comp.select(F.col("node").alias("a"), F.col("component").alias("b"))
-        for found in more:
-            links = links.unionAll(found)
-        comp = scratch.keep(components(links, scratch))
+    classes = scratch.keep(usable.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
+    same = usable.select("doc_id", "n", "s1", "s2").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).where("doc_id <> rep")
+    banded = classes.select(F.col("rep").alias("doc_id"), "n", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min(F.struct("doc_id", "n")).alias("pivot"), F.max("doc_id").alias("top")).where("pivot.doc_id < top").select("bucket", "pivot")
+    members = scratch.keep(banded.join(shared, "bucket").select("bucket", "doc_id", "n", "pivot"))
+    texts = scratch.keep(docs.join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
+    near_size = whole * F.least("n", "pivot.n") >= part * F.greatest("n", "pivot.n")
+    pairs = members.where((F.col("doc_id") != F.col("pivot.doc_id")) & near_size).select(F.col("doc_id").alias("a"), F.col("pivot.doc_id").alias("b"))
+    pairs = scratch.keep(pairs.distinct())
+    links = same.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).unionAll(_confirmed(pairs, texts, size, part, whole))
+    first = components(links, scratch)
+    live = scratch.keep(_live(members.select("bucket", "doc_id"), first))
+    # A doc_id of several texts has a set for each of them.
+    sets = texts.join(live, "doc_id").select("doc_id", F.xxhash64("text").alias("th"), "c", "text").dropDuplicates(["doc_id", "th"])
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                b = batch.slice(at, 1000)
+                found = [shingles(t, size).view(np.int64) for t in b.column(3).to_pylist()]
+                edges = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                yield pa.record_batch([*(b.column(i) for i in range(3)), pa.ListArray.from_arrays(edges, np.concatenate(found))], names=["doc_id", "th", "c", "set"])
+
+    possible = scratch.keep(_possible(sets.mapInArrow(run, "doc_id long, th long, c long, set array<long>"), part, whole))
+    more = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(_confirmed(possible, texts, size, part, whole))
+    comp = components(more, scratch)
+    for done in (classes, members, texts, pairs, first, live, possible):
+        scratch.drop(done)
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     id_ = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", id_.alias("component_id"), F.coalesce(F.col("doc_id") == id_, F.lit(False)).alias("kept"))
 
 
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of documents: shingles of three words, similarity 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, part=85)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: shingles of five words, similarity 0.8."""
+    """One document of each group: shingles of five words, similarity 0.8.
+
+    Rows of one doc_id are one document, which stays or goes with all its rows. A row
+    without doc_id, with a null text or without words is compared with nothing and
+    stays. All columns of ``docs`` are kept as they are.
+    """
     gone = near_duplicates(docs).where("NOT kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
