@@ -144,27 +144,33 @@ def _live(members: DataFrame, comp: DataFrame) -> DataFrame:
     return placed.join(split, "bucket").select("doc_id", "c").distinct()
 
 
-def _possible(sets: DataFrame, part: int, whole: int) -> DataFrame:
+def _possible(sets: DataFrame, part: int, whole: int, scratch: Scratch) -> DataFrame:
     """Pairs (a, b), a > b, of ``sets(doc_id, th, c, set)`` that may reach the threshold.
 
     They are of different components c, and all such pairs that do reach it are here.
     """
-    items = sets.select("doc_id", "th", "c", F.size("set").alias("n"), F.explode("set").alias("g"))
-    often = items.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    items = sets.select("doc_id", "th", F.explode("set").alias("g"))
+    often = items.groupBy("g").agg(F.count("*").cast("int").alias("df")).where("df > 1")
     # Shingles that only one set has come first, and need no rows: they shift the others.
-    shared = items.join(often, "g").groupBy("doc_id", "th", "c", "n").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("items"))
+    shared = items.join(often, "g").groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("items"))
     own = F.col("n") - F.size("items")
     first = F.greatest(F.col("n") - F.ceil(part * F.col("n") / F.lit(whole)) + 1 - own, F.lit(0)).cast("int")
-    heads = shared.select("doc_id", "c", "n", own.alias("own"), F.posexplode(F.slice("items", 1, first)).alias("i", "item"))
+    heads = shared.join(sets.select("doc_id", "th", "c", F.size("set").alias("n")), ["doc_id", "th"])
+    heads = heads.select("doc_id", "c", "n", own.alias("own"), F.posexplode(F.slice("items", 1, first)).alias("i", "item"))
     # room: the most elements that two sets can share which first meet here
-    heads = heads.select("doc_id", "c", "n", F.col("item.g").alias("g"), (F.col("n") - F.col("own") - F.col("i")).alias("room"))
+    heads = scratch.keep(heads.select("doc_id", "c", "n", F.col("item.g").alias("g"), (F.col("n") - F.col("own") - F.col("i")).alias("room")))
     for _ in range(2):
         met = heads.groupBy("g").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("n").alias("least")).where("low < high").select("g", "least")
-        heads = heads.join(met, "g").where((whole + part) * F.col("room") >= part * (F.col("n") + F.col("least"))).drop("least")
+        fewer = scratch.keep(heads.join(met, "g").where((whole + part) * F.col("room") >= part * (F.col("n") + F.col("least"))).drop("least"))
+        scratch.drop(heads)
+        heads = fewer
     one = heads.select(F.col("g").alias("ga"), F.col("doc_id").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("room").alias("ra"))
     two = heads.select(F.col("g").alias("gb"), F.col("doc_id").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("room").alias("rb"))
     fits = (whole * F.least("na", "nb") >= part * F.greatest("na", "nb")) & ((whole + part) * F.least("ra", "rb") >= part * (F.col("na") + F.col("nb")))
-    return one.join(two, (F.col("ga") == F.col("gb")) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & fits).select("a", "b").distinct()
+    met = one.join(two, (F.col("ga") == F.col("gb")) & (F.col("ca") != F.col("cb")) & (F.col("a") > F.col("b")) & fits)
+    out = scratch.keep(met.select("a", "b").distinct())
+    scratch.drop(heads)
+    return out
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -204,10 +210,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
                 edges = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 yield pa.record_batch([*(b.column(i) for i in range(3)), pa.ListArray.from_arrays(edges, np.concatenate(found))], names=["doc_id", "th", "c", "set"])
 
-    possible = scratch.keep(_possible(sets.mapInArrow(run, "doc_id long, th long, c long, set array<long>"), part, whole))
+    sets = scratch.keep(sets.mapInArrow(run, "doc_id long, th long, c long, set array<long>"))
+    possible = _possible(sets, part, whole, scratch)
     more = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(_confirmed(possible, texts, size, part, whole))
     comp = components(more, scratch)
-    for done in (classes, members, texts, pairs, first, live, possible):
+    for done in (classes, members, texts, pairs, first, live, sets, possible):
         scratch.drop(done)
     out = sig.select("doc_id", F.col("n").alias("n_shingles")).join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     id_ = F.coalesce("component", "doc_id")
