@@ -248,11 +248,12 @@ class Units:
 
     A match never starts before a space it holds, so a text may be cut before a
     single space that a non-space follows. Such units repeat and are remembered.
-    ``of_pieces`` maps a list of pre-tokens (bytes) to a list of tuples.
+    ``of_pieces`` maps a list of pre-tokens (bytes) to a list of tuples; ``finish``
+    makes of a unit's joined tuple what is remembered and given out for it.
     """
 
-    def __init__(self, pattern: str, of_pieces, cache: int = CACHE):
-        self.cache = cache
+    def __init__(self, pattern: str, of_pieces, cache: int = CACHE, finish=None):
+        self.cache, self.finish = cache, finish
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
         self.of_pieces, self.words, self.pieces = of_pieces, {}, {}
 
@@ -270,7 +271,7 @@ class Units:
         return [(a, b, " " * (a > 0) + " ".join(parts[a:b])) for a, b in out]
 
     def batch(self, texts: list[str]):
-        """Yields for each text its units' tuples."""
+        """Yields for each text what is remembered of its units."""
         if len(self.words) > self.cache:
             self.words.clear()
         if len(self.pieces) > self.cache:
@@ -286,6 +287,8 @@ class Units:
         known = self.pieces
         known.update(zip(missing, self.of_pieces([p.encode() for p in missing])))
         whole = {s: known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p))) for s, p in found.items()}
+        if self.finish:
+            whole = {s: self.finish(t) for s, t in whole.items()}
         for w in fresh:
             self.words[w] = whole[" " + w]
         for t in texts:
@@ -300,13 +303,17 @@ class Units:
 
 
 class RankFile:
-    """Encodes as the tiktoken library does with a file of ranks, no special tokens."""
+    """Encodes as the tiktoken library does with a file of ranks, no special tokens.
 
-    def __init__(self, content: bytes, pattern: str):
+    With ``digests`` a unit's ids are remembered as their decimal string and as the
+    bytes that they decode to, so that a text's digests take no step per token.
+    """
+
+    def __init__(self, content: bytes, pattern: str, digests: bool = False):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.units = Units(pattern, self.of_pieces)
+        self.units = Units(pattern, self.of_pieces, finish=self.rendered if digests else None)
         self.pairs = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
 
@@ -331,6 +338,16 @@ class RankFile:
     def encode(self, text: str) -> list[int]:
         return next(self.encode_all([text]))
 
+    def rendered(self, ids: tuple[int, ...]) -> tuple[int, str, bytes]:
+        return len(ids), ",".join(map(str, ids)), self.decode(ids)
+
+    def digest_all(self, texts: list[str]):
+        """(tokens, SHA-256 of the ids joined by commas, SHA-256 of the decoded bytes) of each."""
+        for some in stretches(texts):
+            for units in self.units.batch(some):
+                counts, ids, back = zip(*units)
+                yield sum(counts), hashlib.sha256(",".join(filter(None, ids)).encode()).hexdigest(), hashlib.sha256(b"".join(back)).hexdigest()
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
@@ -446,10 +463,11 @@ class PrefixCounts:
         return max(size for size, tokens in self.profile(text) if tokens <= budget)
 
 
-def _worker_model(kind, content, pattern, made={}):  # noqa: B006 - one model a worker
-    if kind not in made:
-        made[kind] = kind(content.value, pattern)
-    return made[kind]
+def _worker_model(kind, content, *rest, made={}):  # noqa: B006 - one model a worker
+    key = kind, rest
+    if key not in made:
+        made[key] = kind(content.value, *rest)
+    return made[key]
 
 
 def _broadcast_file(spark: SparkSession, path: str):
@@ -482,20 +500,17 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digests are taken beside the encoder, so that ids stay in the worker."""
+    """The digests are taken beside the encoder, so that ids stay in the worker. A null
+    text counts as empty; rows are independent, and repeated ones repeat."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
     content, pattern = _broadcast_file(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN
 
     def run(batches):
-        model = _worker_model(RankFile, content, pattern)
-        names = {i: str(i) for i in model.tokens}
+        model = _worker_model(RankFile, content, pattern, True)
         for b in batches:
-            counts, digests, back = [], [], []
-            for ids in model.encode_all([t or "" for t in b.column(1).to_pylist()]):
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                back.append(hashlib.sha256(model.decode(ids)).hexdigest())
-            yield pa.record_batch([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found = list(model.digest_all([t or "" for t in b.column(1).to_pylist()]))
+            columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
+            yield pa.record_batch([b.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

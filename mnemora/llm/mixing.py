@@ -2,13 +2,15 @@
 
 Native DataFrame operations only. Each source's words, in a fixed order of its
 documents, are packed into blocks of ``block_words``. A source's target number of
-words sets how many slots it fills in the mix; each slot draws its output shard at
-random, so a source's counts over the shards are a multinomial draw whose total is
-the target. The source's k-th slot takes block perm(k mod blocks) of pass k div
-blocks, where each pass has a permutation of its own (swap-or-not, Hoang, Morris
-and Rogaway 2012: exact for any number of blocks, nothing stored). Slots meet the
-blocks' documents in a join on (source, block). All draws are hashes of a seed, so
-reruns agree.
+words sets how many slots it fills in the mix. Its slots are drawn over the output
+shards: halving the shards again and again, a binomial draw says how many go to the
+first half, so that a source's counts are a multinomial draw whose total is the
+target, and a shard's counts are one over the sources. A shard's slots of a source
+follow each other. The source's k-th slot takes block perm(k mod blocks) of pass
+k div blocks, where each pass has a permutation of its own (swap-or-not, Hoang,
+Morris and Rogaway 2012: exact for any number of blocks, nothing stored). Slots meet
+the blocks' documents in a join on (source, block). All draws are hashes of a seed,
+so reruns agree.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ BLOCK_WORDS, SHARD_BLOCKS, ROUNDS, SEED = 32, 4096, 10, 20240517
 CYCLE = (1, 2, 3)
 #: A source's words are used this many times at most.
 MOST = 3
-#: Slots that one row stands for before it is expanded.
-RUN = 4096
+#: Binomials of more trials are drawn by the normal distribution, rounded.
+EXACT = 64
 
 
 def size_of(text: Column) -> Column:
@@ -74,27 +76,60 @@ def permuted(df: DataFrame, index: str, n: str, key: list, out: str, rounds: int
     return df.withColumn(out, F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), F.col(index).cast("long"), one))
 
 
+def _uniform(*key) -> Column:
+    """In (0, 1), the same for the same key."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *key), 11) * 2.0**-53 + 2.0**-54
+
+
+def binomial(n: Column, p: Column, key: list) -> Column:
+    """Successes of n >= 1 trials of chance p, drawn by hashes of ``key``."""
+    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(EXACT)).cast("int")), F.lit(0).cast("long"), lambda s, i: s + F.when(_uniform(i, *key) < p, 1).otherwise(0))
+    normal = F.sqrt(-2 * F.log(_uniform(F.lit(-1), *key))) * F.cos(2 * math.pi * _uniform(F.lit(-2), *key))
+    many = F.round(n * p + F.sqrt(n * p * (1 - p)) * normal).cast("long")
+    return F.when(n <= EXACT, few).otherwise(F.greatest(F.lit(0).cast("long"), F.least(n, many)))
+
+
+def drawn_shards(sources: DataFrame, shards: int, parts: int) -> DataFrame:
+    """sid, blocks, shard, start, n: how many slots of ``sources(sid, blocks, slots)``,
+    from which on, fall into each shard; shards without any have no row."""
+    zero, levels = F.lit(0).cast("long"), (shards - 1).bit_length()
+    nodes = sources.where("slots > 0").select("sid", "blocks", zero.alias("shard"), F.lit(shards).cast("long").alias("wide"), zero.alias("start"), F.col("slots").alias("n"))
+    for level in range(levels):
+        if level == 8:  # from here on in many tasks
+            nodes = nodes.repartition(parts, "sid", "shard")
+        half = F.ceil(F.col("wide") / 2)
+        first = F.when(F.col("wide") == 1, F.col("n")).otherwise(binomial(F.col("n"), half / F.col("wide"), [F.col("sid"), F.col("shard"), F.col("wide")]))
+        nodes = nodes.withColumn("half", half).withColumn("first", first)
+        one = F.struct("shard", F.col("half").alias("wide"), "start", F.col("first").alias("n"))
+        two = F.struct((F.col("shard") + F.col("half")).alias("shard"), (F.col("wide") - F.col("half")).alias("wide"), (F.col("start") + F.col("first")).alias("start"), (F.col("n") - F.col("first")).alias("n"))
+        nodes = nodes.select("sid", "blocks", F.explode(F.array(one, two)).alias("node")).select("sid", "blocks", "node.*").where("wide > 0 AND n > 0")
+    return nodes.drop("wide")
+
+
 @dataclass
 class Mix:
     """sources: sid, source, source_size, target, blocks, slots. placed: sid, start,
-    doc_id, size, where a row's words start in its source. takes: sid, block, and how
-    often it is taken. slots: shard, sid, block, pass and slot, one row per block of
-    the mix. spans: sid, block, start, n: the words of a block that a row holds."""
+    doc_id, size, where a row's words start in its source. shards: sid, blocks, shard,
+    start, n, the drawn counts. slots: shard, sid, block, pass and slot, one row per
+    block of the mix. takes: sid, block, and how often it is taken. spans: sid, block,
+    start, n: the words of a block that a row holds."""
 
     sources: DataFrame
     placed: DataFrame
+    shards: DataFrame
     slots: DataFrame
     takes: DataFrame
     spans: DataFrame
     sized: DataFrame
 
 
-def mix_sources(docs: DataFrame, scratch: Scratch, weights: DataFrame | None = None, block_words: int = BLOCK_WORDS) -> Mix:
+def mix_sources(docs: DataFrame, scratch: Scratch, weights: DataFrame | None = None, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> Mix:
     """Plans a mix of ``docs(doc_id, text, source)``; see ``Mix``.
 
     Null sources are a source of their own, last in order. Texts that are null or
     have no words have size 0 and hold no block. Repeated rows are rows of their
-    own. A target below half a block of its source takes none.
+    own. A target below half a block of its source takes none. An empty table has no
+    sources. Sources are few enough for one task; nothing else is.
     """
     sized = scratch.keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size_of(F.col("text")).alias("size")))
     sources = target_words(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
@@ -116,16 +151,15 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: DataFrame | None = N
     spans = placed.select("sid", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
     low, high = F.greatest("start", F.col("block") * block_words), F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_words)
     spans = spans.select("sid", "block", "start", (high - low).alias("n"))
-    runs = sources.where("slots > 0").select("sid", "blocks", "slots", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))).alias("run"))
     total = sources.agg(F.sum("slots")).first()[0] or 0
     # A number of partitions of its own: adaptive execution would join these few rows.
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (16 * RUN))
-    slots = runs.repartition(parts, "sid", "run").select("sid", "blocks", F.explode(F.sequence(F.col("run") * RUN, F.least((F.col("run") + 1) * RUN, F.col("slots")) - 1)).alias("slot"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (16 * SHARD_BLOCKS))
+    shards = drawn_shards(sources, max(1, -(-total // shard_blocks)), parts)
+    slots = shards.repartition(parts, "sid", "shard").select("sid", "blocks", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
-    shard = F.pmod(F.xxhash64(F.lit(SEED), "sid", "slot"), F.lit(max(1, -(-total // SHARD_BLOCKS))))
-    slots = permuted(slots, "i", "blocks", [F.col("sid"), F.col("pass")], "block").select(shard.alias("shard"), "sid", "slot", "pass", "block")
+    slots = permuted(slots, "i", "blocks", [F.col("sid"), F.col("pass")], "block").select("shard", "sid", "slot", "pass", "block")
     takes = slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return Mix(sources, placed, slots, takes, spans, sized)
+    return Mix(sources, placed, shards, slots, takes, spans, sized)
 
 
 def taken_words(mix: Mix) -> DataFrame:
@@ -134,6 +168,9 @@ def taken_words(mix: Mix) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of each row of documents that the mix takes; rows without words
+    count with size 0. The mix takes about one shard's draw of blocks after another,
+    and all of them together meet each source's target to half a block."""
     mix = mix_sources(table(spark, sf_dir, "documents"), Scratch(spark))
     got = mix.placed.join(taken_words(mix).hint("merge"), ["sid", "start"], "left").select("doc_id", "size", "sid", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     ids = mix.sources.select("sid", F.col("source").alias("s_source"))
@@ -141,36 +178,67 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.unionAll(empty).join(mix.sources.select("sid", "source_size", "target"), "sid").select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix as documents: a row for the words of a document taken at least once,
-    another for those taken twice or more, and so on to MOST.
+def _placed_rows(docs: DataFrame, mix: Mix) -> DataFrame:
+    """sid, start, size, row: the rows of ``docs`` that hold words, at their places.
 
-    A row whose words are all taken keeps its text as it is; of others the taken
-    words are joined by single spaces and n_chars is counted anew. A row without
-    doc_id is a document like any other and stays without one.
+    Rows of one id, source and size are alike enough to stand for each other, but
+    each stands for one row: they are numbered on both sides. The join is on keys
+    that can't be null, as null ids never equal each other.
     """
-    scratch = Scratch(spark)
-    mix = mix_sources(docs, scratch)
-    spans = mix.spans.join(mix.takes.hint("merge"), ["sid", "block"]).select("sid", "start", "block", "n", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy"))
-    # A struct's names are lost if it is made beside a generator.
-    spans = spans.select("sid", "start", "copy", F.struct(F.greatest(F.col("block") * BLOCK_WORDS - F.col("start"), F.lit(0)).cast("int").alias("at"), F.col("n").cast("int").alias("n")).alias("span"))
-    copies = spans.groupBy("sid", "start", "copy").agg(F.sort_array(F.collect_list("span")).alias("spans"), F.sum("span.n").alias("words"))
-    # Rows of one id, source and size are alike enough to stand for each other, but
-    # each stands for one row: they are numbered on both sides.
-    # The join is on keys that can't be null, as null ids never equal each other.
     like = Window.partitionBy("key", "no_id", "sid", "size")
     key, no_id = F.coalesce("doc_id", F.lit(0).cast("long")).alias("key"), F.col("doc_id").isNull().alias("no_id")
     wanted = mix.placed.select("sid", "start", "size", key, no_id).withColumn("nth", F.row_number().over(like.orderBy("start")))
-    wanted = wanted.join(copies, ["sid", "start"]).select("key", "no_id", "sid", "size", "nth", "copy", "spans", "words")
-    names = docs.columns
     ids = mix.sources.select("sid", F.col("source").alias("s_source"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size")).where("size > 0")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), size_of(F.col("text")).alias("size")).where("size > 0")
     rows = rows.select("row", "size", key, no_id).join(ids, F.col("row.source").eqNullSafe(F.col("s_source"))).drop("s_source")
     rows = rows.withColumn("nth", F.row_number().over(like.orderBy(F.xxhash64("row.text"))))
-    met = rows.join(wanted, ["key", "no_id", "sid", "size", "nth"])
-    words = F.regexp_extract_all(F.col("row.text"), F.lit(WORD_PATTERN), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, s["at"] + 1, s["n"]))), " ")
-    text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(cut)
-    out = met.withColumn("_text", text)
+    return rows.join(wanted, ["key", "no_id", "sid", "size", "nth"]).select("sid", "start", "size", "row")
+
+
+def _words_at(text: Column, spans: Column) -> Column:
+    """The words of ``spans`` (structs at, n), joined by spaces. The one-element array
+    names the text's words, so that they are found once and not for each span."""
+    found = F.array(F.regexp_extract_all(text, F.lit(WORD_PATTERN), F.lit(0)))
+    return F.transform(found, lambda words: F.array_join(F.flatten(F.transform(spans, lambda s: F.slice(words, s["at"] + 1, s["n"]))), " "))[0]
+
+
+def _offset(block_words: int) -> Column:
+    """Of a span's first word in its row."""
+    return F.greatest(F.col("block") * block_words - F.col("start"), F.lit(0)).cast("int")
+
+
+def mixed_blocks(docs: DataFrame, weights: DataFrame | None = None, block_words: int = BLOCK_WORDS, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """shard, slot, source, block, text: the mix itself, a row for each slot.
+
+    A block's text is its words joined by spaces. Within a shard a source's slots
+    follow each other; ordering by a hash of (sid, slot) would shuffle them.
+    """
+    mix = mix_sources(docs, Scratch(docs.sparkSession), weights, block_words, shard_blocks)
+    spans = mix.spans.select("sid", "start", "block", F.struct(_offset(block_words).alias("at"), F.col("n").cast("int").alias("n")).alias("span"))
+    held = spans.join(_placed_rows(docs, mix).select("sid", "start", F.col("row.text").alias("text")), ["sid", "start"])
+    pieces = held.select("sid", "block", F.struct("start", _words_at(F.col("text"), F.array("span")).alias("words")).alias("piece"))
+    blocks = pieces.groupBy("sid", "block").agg(F.array_join(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["words"]), " ").alias("text"))
+    return mix.slots.join(blocks, ["sid", "block"]).join(mix.sources.select("sid", "source"), "sid").select("shard", "slot", "source", "block", "text")
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix as documents: a row for the words of a document taken at least once,
+    another for those taken twice or more, and so on to MOST.
+
+    A row whose words are all taken keeps its text as it is; of others the taken
+    words are joined by single spaces and n_chars is counted anew. A row without
+    doc_id is a document like any other and stays without one. Rows without words
+    hold no block and go. An empty table stays empty. Rows come by the shard that
+    the draw gave the first of their blocks to.
+    """
+    mix = mix_sources(docs, Scratch(spark))
+    nth = F.row_number().over(Window.partitionBy("sid", "block").orderBy("pass")).alias("copy")
+    spans = mix.spans.join(mix.slots.select("sid", "block", "shard", nth).hint("merge"), ["sid", "block"])
+    # A struct's names are lost if it is made beside a generator.
+    spans = spans.select("sid", "start", "copy", "shard", F.struct(_offset(BLOCK_WORDS).alias("at"), F.col("n").cast("int").alias("n")).alias("span"))
+    copies = spans.groupBy("sid", "start", "copy").agg(F.sort_array(F.collect_list("span")).alias("spans"), F.sum("span.n").alias("words"), F.min_by("shard", "span.at").alias("shard"))
+    met = _placed_rows(docs, mix).join(copies, ["sid", "start"])
+    text = F.when(F.col("words") == F.col("size"), F.col("row.text")).otherwise(_words_at(F.col("row.text"), F.col("spans")))
+    out = met.select("row", "shard", text.alias("_text")).sortWithinPartitions("shard")
     kept = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[kept.get(c, F.col(f"row.`{c}`")).alias(c) for c in names])
+    return out.select(*[kept.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -3,28 +3,31 @@
 A byte goes if a string of LENGTH bytes that covers it also starts in a document of
 smaller id. Suffixes are sampled by content: of the K-grams in every LENGTH-byte
 window the least by hash is its anchor, so equal windows have equal anchors, and
-the windows of one anchor that follow each other form a run. Sparse suffix arrays
-over runs are what batches add to an index family: a new batch is sorted,
-merge-scanned against each existing level, and equal-sized levels are merged, so
-that n batches cost n log n.
-
-1. Each task is a batch. Its runs are sorted by (anchor hash, run hash); a run that
-   repeats one of a smaller document of the batch is settled there. The smallest
-   document of each distinct run goes, as packed bytes, to the shard of its anchor.
-2. A shard adds the batches to its family. Runs that a smaller document has whole
-   are settled. A run whose anchor another document has in another context may
-   share some of its windows: its text is called for, and that of the others.
-3. Documents meet these calls and send those runs' texts to the anchor's shard,
-   which adds their windows (suffixes of LENGTH bytes) to a family and settles them.
-4. Documents meet what was settled, drop the bytes and are done.
-
-Both meetings are joins by document, and share one shuffle of the texts.
+the windows of one anchor that follow each other form a run. A run's piece is the
+text of its windows, and the piece's suffix at the anchor is what is sorted.
+
+1. Copies of a whole text, by SHA-256 and length, go whole; the first one stays.
+2. Each batch of the other texts notes where its anchors are. Anchors that several of
+   its documents have are called for at once; of the rest, hashes go to shards, which
+   call for those that several batches have. Equal hashes only propose.
+3. Documents meet the calls and give the called runs' pieces. A batch of pieces gets
+   a suffix array; pieces equal to one of a smaller document are settled there, and
+   the others go to their anchor's shard.
+4. A shard takes its pieces by rising doc_id, in batches. Each batch gets a suffix
+   array, is merge-scanned against every level of the family, and becomes a level;
+   levels of one size class are merged. Where pieces share an anchor's K bytes and
+   differ, their windows are sorted by their LENGTH bytes, anchor offset by offset.
+5. Documents meet what was settled, drop the bytes and are done.
+
+What is settled is settled by comparing bytes. All meetings are joins by document
+and share one shuffle of the texts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -32,74 +35,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-from .rolling import PIECE, gram_hashes, mix, prefix, span_hash, window_minima
+from .common import Scratch, table
+from .rolling import PIECE, gram_hashes, mix, prefix, window_minima
 
 LENGTH, K = 50, 20
-#: Bytes of text whose runs one shard is meant to hold.
-SHARD_BYTES = 8 << 20
-#: Characters of text whose runs one batch of a task holds at a time.
+#: Bytes of text whose anchors one shard is meant to hold, and whose pieces another.
+SHARD_BYTES, PIECE_BYTES = 32 << 20, 8 << 20
+#: Characters of text whose anchors or pieces a task holds at a time.
 BATCH_BYTES = 8 << 20
+#: Pieces that a shard sorts at a time.
+BATCH_PIECES = 1 << 16
+#: A batch deals its anchors to so many buckets at most, each of them again, and so on.
+FAN = 256
 
+#: Offsets of windows in a piece, and a piece as a row of bytes: what follows the
+#: anchor, what precedes it, nearest byte first, and the lengths of both.
+OFFSETS = LENGTH - K + 1
+LEFT = LENGTH - K
+WIDTH = LENGTH + LEFT + 2
+ROW, GRAM = f"S{WIDTH}", f"S{K}"
 
-class Family:
-    """A logarithmic family of sorted key arrays, each key with its smallest owner.
-
-    Keys are rows of any numpy type that sorts; owners are int64. Two levels of one
-    size class are merged, so there are log2(n) levels at most.
-    """
-
-    def __init__(self):
-        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    @staticmethod
-    def merged(a, b):
-        keys, owners = np.concatenate((a[0], b[0])), np.concatenate((a[1], b[1]))
-        order = np.argsort(keys, kind="stable")  # merges the two sorted stretches
-        keys, owners = keys[order], owners[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        return keys[first], np.minimum.reduceat(owners, first)
-
-    def add(self, keys: np.ndarray, owners: np.ndarray) -> None:
-        if not len(keys):
-            return
-        order = np.argsort(keys, kind="stable")
-        keys, owners = keys[order], owners[order]
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        level = keys[first], np.minimum.reduceat(owners, first)
-        while (size := len(level[0]).bit_length()) in self.levels:
-            level = self.merged(self.levels.pop(size), level)
-        self.levels[size] = level
-
-    def smallest(self, keys: np.ndarray) -> np.ndarray:
-        """The smallest owner of each key over all levels; the largest int64 if none."""
-        out = np.full(len(keys), np.iinfo(np.int64).max)
-        for have, owners in self.levels.values():
-            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            hit = have[at] == keys
-            out[hit] = np.minimum(out[hit], owners[at[hit]])
-        return out
 
-
-def runs(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def runs(raw: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Per run of windows: first and last window start, its anchor, the hash of the
-    anchor's gram and that of the run's bytes."""
+    anchor's gram."""
     n = len(raw)
     if n < length:
         z = np.empty(0, dtype=np.int64)
-        return z, z, z, z.view(np.uint64), z.view(np.uint64)
+        return z, z, z, z.view(np.uint64)
     parts = []
     for start in range(0, n - length + 1, PIECE):
-        piece = raw[start : start + PIECE + length - 1]
-        pre = prefix(piece)
+        pre = prefix(raw[start : start + PIECE + length - 1])
         grams = gram_hashes(pre, k)
         anchor = window_minima(grams, length - k + 1)
         first = np.flatnonzero(np.diff(anchor, prepend=-1))
         last = np.append(first[1:], len(anchor)) - 1
         at = anchor[first]
         # Chosen hashes are small ones; mixed again they spread evenly over shards.
-        parts.append((first + start, last + start, at + start, mix(grams[at]), span_hash(pre, first, last + length)))
-    return tuple(np.concatenate([p[i] for p in parts]) for i in range(5))
+        parts.append((first + start, last + start, at + start, mix(grams[at])))
+    return tuple(np.concatenate([p[i] for p in parts]) for i in range(4))
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -120,15 +94,6 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _grouped(order_by: np.ndarray, *values: np.ndarray):
-    """(group, values...) for each group of equal order_by."""
-    order = np.argsort(order_by, kind="stable")
-    cuts = np.flatnonzero(np.diff(order_by[order], prepend=order_by[order][0] - 1)) if len(order) else []
-    for at, end in zip(cuts, [*cuts[1:], len(order)]):
-        part = order[at:end]
-        yield order_by[part[0]], *(v[part] for v in values)
-
-
 def _by_text(ids: np.ndarray, th: np.ndarray):
     """The indices of each distinct (id, text hash)."""
     order = np.lexsort((th, ids))
@@ -139,20 +104,96 @@ def _by_text(ids: np.ndarray, th: np.ndarray):
         yield order[at:end]
 
 
-_ODD = np.uint64(0xA0761D6478BD642F)
-_ROW = "shard int, kind string, doc_id long, th int, data binary"
-#: What a reply says of runs: D, their bytes go; C, their text is called for.
-
-
-def _run_key(a: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return mix(a * _ODD + r.astype(np.uint64))
-
-
-def _slices(batch: pa.RecordBatch):
+# --- anchors -------------------------------------------------------------------
+
+
+@dataclass
+class Anchors:
+    """Anchors of a batch, sorted by hash: ``a``, the document's index in ``ids`` and
+    ``th``, the run's first window, its number of windows, and the anchor's distance
+    from the first. Index ``CALLED`` stands for documents that are called for already."""
+
+    ids: np.ndarray
+    th: np.ndarray
+    a: np.ndarray
+    doc: np.ndarray
+    first: np.ndarray
+    n: np.ndarray
+    off: np.ndarray
+
+    CALLED = np.uint32(2**32 - 1)
+
+    def part(self, at) -> Anchors:
+        """Some anchors and their documents."""
+        used, doc = np.unique(self.doc[at], return_inverse=True)
+        if len(used) and used[-1] == self.CALLED:
+            used, doc = used[:-1], np.where(doc == len(used) - 1, self.CALLED, doc)
+        return Anchors(self.ids[used], self.th[used], self.a[at], doc.astype(np.uint32), self.first[at], self.n[at], self.off[at])
+
+    def packed(self) -> bytes:
+        owners = _pack(self.ids.view(np.uint64), self.th.view(np.uint32))
+        return len(owners).to_bytes(4, "little") + owners + _pack(np.diff(self.a, prepend=np.uint64(0)), self.doc, self.first, self.n, self.off)
+
+    @classmethod
+    def joined(cls, blobs) -> Anchors:
+        """Of all blobs, no longer sorted."""
+        parts, base = [], 0
+        for blob in blobs:
+            size = 4 + int.from_bytes(blob[:4], "little")
+            ids, th = _unpack(blob[4:size])
+            a, doc, first, n, off = _unpack(blob[size:])
+            doc = np.where(doc == cls.CALLED, cls.CALLED, doc + np.uint32(base)).astype(np.uint32)
+            parts.append((ids.view(np.int64), th.view(np.int32), np.cumsum(a, dtype=np.uint64), doc, first, n, off))
+            base += len(ids)
+        return cls(*(np.concatenate([p[i] for p in parts]) for i in range(7)))
+
+    def dealt(self, bits: int, shards: int, width: int):
+        """(bucket, blob) for each bucket of ``width`` neighbouring shards; needs sorted anchors."""
+        shard = ((self.a >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)) // np.uint64(width)
+        cuts = np.flatnonzero(np.diff(shard)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(shard)]):
+            if lo < hi:
+                yield int(shard[lo]), self.part(slice(lo, hi)).packed()
+
+    def calls(self, which: np.ndarray):
+        """(doc_id, th, packed first, n, off) for each document of the anchors ``which``."""
+        order = which[np.argsort(self.doc[which], kind="stable")]
+        doc = self.doc[order]
+        cuts = np.flatnonzero(np.diff(doc)) + 1
+        for at in np.split(order, cuts) if len(order) else []:
+            i = self.doc[at[0]]
+            yield int(self.ids[i]), int(self.th[i]), _pack(self.first[at], self.n[at], self.off[at])
+
+
+def _shared(found: Anchors) -> tuple[Anchors, np.ndarray]:
+    """The anchors sorted, and which of them several documents have."""
+    order = np.lexsort((found.doc, found.a))
+    found = Anchors(found.ids, found.th, *(x[order] for x in (found.a, found.doc, found.first, found.n, found.off)))
+    if not len(order):
+        return found, np.empty(0, dtype=bool)
+    start = np.flatnonzero(np.concatenate(([True], found.a[1:] != found.a[:-1])))
+    size = np.diff(np.append(start, len(order)))
+    # Two indices may be rows of one doc_id: harmless, as owners are compared later.
+    last = found.doc[start + size - 1]
+    return found, np.repeat((found.doc[start] != last) | (last == Anchors.CALLED), size)
+
+
+#: Calls name a document; anchors don't.
+_ROW = "bucket long, doc_id long, th int, data binary"
+_NAMES = ["bucket", "doc_id", "th", "data"]
+
+
+def _rows(rows: list[tuple]):
+    for at in range(0, len(rows), 500):
+        some = rows[at : at + 500]
+        yield pa.record_batch([pa.array([x[i] for x in some], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=_NAMES)
+
+
+def _slices(batch: pa.RecordBatch, column: int = 2):
     """Stretches of a batch of about BATCH_BYTES of text, one document at least."""
     if not batch.num_rows:
         return
-    ends = np.cumsum([len(t or "") for t in batch.column(2).to_pylist()])
+    ends = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()])
     at = 0
     while at < len(ends):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")))
@@ -160,129 +201,290 @@ def _slices(batch: pa.RecordBatch):
         at = end
 
 
-def _scan_batches(shards: int, bits: int):
-    """Stage 1 of the module's text, for each batch of (doc_id, th, text)."""
-    keep = np.uint64(64 - bits)
+def _scan_batches(shards: int, width: int, bits: int):
+    """Step 2 for each batch of (doc_id, th, text): calls, and anchors for shards.
+
+    Calls go by way of the shards too, so that each batch is scanned once and what is
+    called and what is passed on belong to the same batch.
+    """
+    keep, buckets = np.uint64(64 - bits), -(-shards // width)
 
     def run(batches):
         for batch in chain.from_iterable(map(_slices, batches)):
-            ids, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             parts = []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                first, last, _, a, r = runs(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8))
-                parts.append((np.full(len(first), i, dtype=np.uint32), first.astype(np.uint64), (last - first + 1).astype(np.uint8), a >> keep, (r & np.uint64(0xFFFFFFFF)).astype(np.uint32)))
-            doc, first, n, a, r = (np.concatenate([p[i] for p in parts]) for i in range(5))
-            del parts
-            if not len(doc):
-                continue
-            family = Family()
-            key, owner = _run_key(a, r), ids[doc]
-            family.add(key, owner)
-            mine = family.smallest(key) == owner
-            rows = [("D", int(ids[i]), int(th[i]), i % shards, _pack(f, c)) for i, f, c in _grouped(doc[~mine], first[~mine], n[~mine])]
-            doc, first, n, a, r = (x[mine] for x in (doc, first, n, a, r))
-            order = np.argsort(a, kind="stable")
-            doc, first, n, a, r = (x[order] for x in (doc, first, n, a, r))
-            shard = (a >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)
-            cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
-            for s in range(shards):
-                lo, hi = cuts[s], cuts[s + 1]
-                if lo == hi:
+            for i, (id_, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
+                if id_ is None or text is None:
                     continue
-                used, index = np.unique(doc[lo:hi], return_inverse=True)
-                entries = _pack(np.diff(a[lo:hi], prepend=np.uint64(0)), r[lo:hi], index.astype(np.uint32), first[lo:hi], n[lo:hi])
-                owners = _pack(np.diff(ids[used].astype(np.uint64), prepend=np.uint64(0)), th[used].astype(np.int32).view(np.uint32))
-                rows.append(("E", None, None, s, len(owners).to_bytes(4, "little") + owners + entries))
-            for at in range(0, len(rows), 500):
-                some = rows[at : at + 500]
-                yield pa.record_batch([pa.array([x[3] for x in some], pa.int32()), pa.array([x[0] for x in some]), pa.array([x[1] for x in some], pa.int64()), pa.array([x[2] for x in some], pa.int32()), pa.array([x[4] for x in some], pa.binary())], names=["shard", "kind", "doc_id", "th", "data"])
+                first, last, at, a = runs(np.frombuffer(text.encode("utf-8", "replace"), dtype=np.uint8))
+                parts.append((a >> keep, np.full(len(first), i, dtype=np.uint32), first.astype(np.uint64), (last - first + 1).astype(np.uint8), (at - first).astype(np.uint8)))
+            if not parts:
+                continue
+            ids, th = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1))
+            found, shared = _shared(Anchors(ids, th, *(np.concatenate([p[i] for p in parts]) for i in range(5))))
+            del parts
+            rows = [(x[0] % buckets, *x) for x in found.calls(np.flatnonzero(shared))]
+            # Of an anchor that is called for here, shards learn only that it is.
+            stay = ~shared
+            stay[1:] |= found.a[1:] != found.a[:-1]
+            stay[:1] = True
+            for x, none in ((found.doc, Anchors.CALLED), (found.first, 0), (found.n, 0), (found.off, 0)):
+                x[shared] = none
+            rows += [(b, None, None, d) for b, d in found.part(np.flatnonzero(stay)).dealt(bits, shards, width)]
+            yield from _rows(rows)
 
     return run
 
 
-def _settle_shard(table_: pa.Table) -> pa.Table:
-    """Stage 2: what a shard's batches say of each other's runs."""
-    kinds = np.array(table_["kind"].to_pylist())
-    data = table_["data"].to_pylist()
-    out = [("D", i, t, d) for k, i, t, d in zip(kinds, table_["doc_id"].to_pylist(), table_["th"].to_pylist(), data) if k == "D"]
-    family, batches = Family(), []
-    for blob in (d for k, d in zip(kinds, data) if k == "E"):
-        size = int.from_bytes(blob[:4], "little")
-        ids, th = _unpack(blob[4 : 4 + size])
-        a, r, doc, first, n = _unpack(blob[4 + size :])
-        ids, a = np.cumsum(ids, dtype=np.uint64).view(np.int64), np.cumsum(a, dtype=np.uint64)
-        key = _run_key(a, r)
-        family.add(key, ids[doc])
-        batches.append((key, a, ids[doc], th[doc].view(np.int32), first, n))
-    if batches:
-        key, a, owner, th, first, n = (np.concatenate([b[i] for b in batches]) for i in range(6))
-        gone = family.smallest(key) < owner
-        # Anchors that several different runs share: their texts settle which windows.
-        order = np.lexsort((key, a))
-        same_anchor = np.diff(a[order]) == 0
-        other = np.zeros(len(a), dtype=bool)
-        pair = np.flatnonzero(same_anchor & (np.diff(key[order]) != 0))
-        shared = np.unique(a[order[pair]])
-        other = np.isin(a, shared)
-        for kind, which in (("D", gone), ("C", other & ~gone)):
-            at = np.flatnonzero(which)
-            for i in _by_text(owner[at], th[at]):
-                i = at[i]
-                out.append((kind, int(owner[i[0]]), int(th[i[0]]), _pack(first[i], n[i], *([a[i]] if kind == "C" else []))))
-    return pa.table({"kind": pa.array([x[0] for x in out], pa.string()), "doc_id": pa.array([x[1] for x in out], pa.int64()), "th": pa.array([x[2] for x in out], pa.int32()), "data": pa.array([x[3] for x in out], pa.binary())})
-
-
-def _called_texts(batches):
-    """Stage 3: (anchor, doc_id, th, first, text) of each run called for."""
-    names = ["a", "doc_id", "th", "first", "piece"]
-    for batch in batches:
-        cols = [c.to_pylist() for c in batch.columns]
-        out = []
-        for doc_id, th, text, calls in zip(*cols):
-            raw = text.encode("utf-8", "replace")
-            for blob in calls:
-                for f, n, a in zip(*(x.tolist() for x in _unpack(blob))):
-                    out.append((a - (1 << 63), doc_id, th, f, raw[f : f + n - 1 + LENGTH]))
-            if len(out) > 20_000:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=names)
-                out = []
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))], names=names)
-
-
-def _settle_windows(batches):
-    """Stage 3's shards: a family of the windows of one partition's runs."""
-    family, held = Family(), []
-    for batch in batches:
-        pieces = batch.column(4)
-        size = np.array([len(x) for x in pieces.to_pylist()], dtype=np.int64)
-        if not len(size):
+def _deal_again(shards: int, width: int, bits: int):
+    """Buckets of blobs, sorted by bucket, to buckets of ``width`` shards."""
+    buckets = -(-shards // width)
+
+    def run(batches):
+        held, size, at = [], 0, None
+
+        def out():
+            found, _ = _shared(Anchors.joined(held))
+            return _rows([(b, None, None, d) for b, d in found.dealt(bits, shards, width)])
+
+        for batch in batches:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
+            yield from _rows([(x[1] % buckets, *x[1:]) for x in rows if x[1] is not None])
+            for bucket, _, _, blob in (x for x in rows if x[1] is None):
+                if held and (bucket != at or size >= BATCH_BYTES):
+                    yield from out()
+                    held, size = [], 0
+                held.append(blob)
+                size, at = size + len(blob), bucket
+        if held:
+            yield from out()
+
+    return run
+
+
+def _call_shared(group: pa.Table) -> pa.Table:
+    """Step 2's shards: calls for the runs whose anchors several batches have, beside
+    those that are made already."""
+    made = group.filter(group["doc_id"].is_valid()).select(["doc_id", "th", "data"])
+    blobs = group["data"].filter(group["doc_id"].is_null()).to_pylist()
+    if not blobs:
+        return made
+    found, shared = _shared(Anchors.joined(blobs))
+    out = list(found.calls(np.flatnonzero(shared & (found.doc != Anchors.CALLED))))
+    own = pa.table([pa.array([x[i] for x in out], made.schema.field(i).type) for i in range(3)], names=["doc_id", "th", "data"])
+    return pa.concat_tables([made, own])
+
+
+# --- pieces ----------------------------------------------------------------------
+
+
+def piece_rows(raw: np.ndarray, base: np.ndarray, first: np.ndarray, n: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """The pieces of runs as rows of WIDTH bytes; ``base`` is where a run's text starts in raw."""
+    at = base + first + off
+    right = (first + n - 1 + LENGTH) - (first + off)
+    out = np.zeros((len(first), WIDTH), dtype=np.uint8)
+    where = at[:, None] + np.arange(LENGTH)
+    inside = np.arange(LENGTH) < right[:, None]
+    out[:, :LENGTH] = np.where(inside, raw[np.minimum(where, len(raw) - 1)], 0)
+    where = at[:, None] - 1 - np.arange(LEFT)
+    inside = np.arange(LEFT) < off[:, None]
+    out[:, LENGTH : LENGTH + LEFT] = np.where(inside, raw[np.maximum(where, 0)], 0)
+    out[:, -2], out[:, -1] = right, off
+    return out
+
+
+def _sorted(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, which of the ordered rows differ from the one before): a suffix array
+    whose rows are compared as unsigned bytes; the sort is stable."""
+    keys = rows.view(ROW).reshape(-1)
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = keys[order[1:]] != keys[order[:-1]]
+    return order, new
+
+
+class Level:
+    """A suffix array: distinct rows in order, each with its smallest owner."""
+
+    def __init__(self, rows: np.ndarray, owner: np.ndarray):
+        self.rows, self.owner = rows, owner
+        self.keys = rows.view(ROW).reshape(-1)
+        self.grams = np.ascontiguousarray(rows[:, :K]).view(GRAM).reshape(-1)
+
+    def merged(self, other: Level) -> Level:
+        """Both in one, in time linear in their sizes but for the search of places."""
+        to = np.searchsorted(self.keys, other.keys) + np.arange(len(other.keys))
+        rows, owner = np.empty((len(to) + len(self.keys), WIDTH), dtype=np.uint8), np.empty(len(to) + len(self.keys), dtype=np.int64)
+        rest = np.ones(len(rows), dtype=bool)
+        rest[to] = False
+        rows[to], rows[rest], owner[to], owner[rest] = other.rows, self.rows, other.owner, self.owner
+        return Level(rows, owner)
+
+
+def _windows(rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each row a bit mask of the window offsets at which a smaller owner has the
+    same window. Windows of one content have one offset from their anchor."""
+    out = np.zeros(len(rows), dtype=np.uint32)
+    right, left = rows[:, -2], rows[:, -1]
+    for back in range(OFFSETS):
+        at = np.flatnonzero((left >= back) & (right >= LENGTH - back))
+        if len(at) < 2:
             continue
-        raw = np.frombuffer(b"".join(pieces.to_pylist()), dtype=np.uint8)
-        count = size - LENGTH + 1
-        start = np.repeat(np.cumsum(size) - size, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        ids, th, first = (batch.column(i).to_numpy() for i in (1, 2, 3))
-        parts = []
-        pre = prefix(raw)
-        key = span_hash(pre, start, start + LENGTH)
-        owner = np.repeat(ids, count)
-        family.add(key, owner)
-        parts = np.repeat(np.arange(len(ids)), count)
-        held.append((key, owner, ids, th, first, count, parts))
-    for key, owner, ids, th, first, count, part in held:
-        gone = family.smallest(key) < owner
-        at = np.flatnonzero(gone)
-        rows = part[at]
-        offset = first[rows] + at - (np.cumsum(count) - count)[rows]
-        groups = list(_by_text(ids[rows], th[rows]))
-        head = rows[[g[0] for g in groups]] if groups else rows[:0]
-        yield pa.record_batch([pa.array(ids[head], pa.int64()), pa.array(th[head], pa.int32()), pa.array([_pack(offset[g].astype(np.uint64), np.ones(len(g), dtype=np.uint8)) for g in groups], pa.binary())], names=["doc_id", "th", "data"])
+        keys = np.empty((len(at), LENGTH), dtype=np.uint8)
+        keys[:, : LENGTH - back] = rows[at, : LENGTH - back]
+        keys[:, LENGTH - back :] = rows[at, LENGTH : LENGTH + back]
+        keys = keys.view(f"S{LENGTH}").reshape(-1)
+        order = np.argsort(keys, kind="stable")
+        start = np.flatnonzero(np.concatenate(([True], keys[order[1:]] != keys[order[:-1]])))
+        least = np.repeat(np.minimum.reduceat(owner[at[order]], start), np.diff(np.append(start, len(at))))
+        gone = at[order][owner[at[order]] > least]
+        out[gone] |= np.uint32(1 << back)
+    return out
+
+
+#: Every window of a run.
+WHOLE = np.uint32(2**32 - 1)
+
+
+class Family:
+    """A logarithmic family of suffix arrays. Batches must come by rising owner."""
+
+    def __init__(self):
+        self.levels: dict[int, Level] = {}
+
+    def scan(self, rows: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Masks of the windows that smaller owners have, of rows that are then added."""
+        if not len(rows):
+            return np.empty(0, dtype=np.uint32)
+        order, new = _sorted(rows)
+        head = np.cumsum(new) - 1  # the distinct row of each ordered one
+        own = order[new]  # the first of equal ones, of the smallest owner
+        mine = Level(rows[own], owner[own])
+        gram = np.cumsum(np.concatenate(([True], mine.grams[1:] != mine.grams[:-1]))) - 1
+        variants = np.bincount(gram)
+        seen, met = np.zeros(len(own), dtype=bool), []
+        least = mine.owner.copy()
+        for level in self.levels.values():
+            lo, hi = (np.searchsorted(level.grams, mine.grams, side=s) for s in ("left", "right"))
+            at = np.minimum(np.searchsorted(level.keys, mine.keys), len(level.keys) - 1)
+            same = level.keys[at] == mine.keys
+            seen |= same
+            least[same] = np.minimum(least[same], level.owner[at[same]])
+            first = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
+            # Rows here that this batch repeats are variants that are counted already.
+            variants += (hi - lo)[first] - np.bincount(gram, weights=same, minlength=len(first)).astype(np.int64)
+            met.append((level, lo, hi))
+        mask = np.zeros(len(own), dtype=np.uint32)
+        mask[least < mine.owner] = WHOLE
+        mixed = variants[gram] > 1
+        ours = np.flatnonzero(mixed & (mask != WHOLE))
+        if len(ours):
+            all_rows, all_owner = [mine.rows[ours]], [mine.owner[ours]]
+            for level, lo, hi in met:
+                wanted = np.zeros(len(level.keys) + 1, dtype=np.int64)
+                np.add.at(wanted, lo[ours], 1)
+                np.add.at(wanted, hi[ours], -1)
+                wanted = np.cumsum(wanted[:-1]) > 0
+                all_rows.append(level.rows[wanted])
+                all_owner.append(level.owner[wanted])
+            mask[ours] = _windows(np.concatenate(all_rows), np.concatenate(all_owner))[: len(ours)]
+        out = np.empty(len(rows), dtype=np.uint32)
+        out[order] = np.where(owner[order] > mine.owner[head], WHOLE, mask[head])
+        fresh = Level(mine.rows[~seen], mine.owner[~seen])
+        if len(fresh.keys):
+            while (size := len(fresh.keys).bit_length()) in self.levels:
+                fresh = self.levels.pop(size).merged(fresh)
+            self.levels[size] = fresh
+        return out
+
+
+def _settled_rows(ids, th, first, n, off, mask):
+    """(doc_id, th, packed starts and numbers of windows) of each document with gone windows."""
+    hit = np.flatnonzero(mask)
+    whole = hit[mask[hit] == WHOLE]
+    some = hit[mask[hit] != WHOLE]
+    bit, back = np.nonzero(mask[some][:, None] >> np.arange(OFFSETS, dtype=np.uint32) & 1)
+    part = some[bit]
+    which = np.concatenate((whole, part))
+    start = np.concatenate((first[whole], first[part] + off[part] - back)).astype(np.uint64)
+    count = np.concatenate((n[whole], np.ones(len(part), dtype=np.int64))).astype(np.uint8)
+    for g in _by_text(ids[which], th[which]):
+        yield int(ids[which[g[0]]]), int(th[which[g[0]]]), _pack(start[g], count[g])
+
+
+_PIECE_ROW = "a long, doc_id long, th int, first long, n int, off int, piece binary, data binary"
+
+
+def _called_pieces(batches):
+    """Step 3: settled rows (piece null) and the pieces that go on to shards (data null)."""
+    fields = [("a", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("piece", pa.binary()), ("data", pa.binary())]
+    schema = pa.schema(fields)
+    for batch in chain.from_iterable(_slices(b) for b in batches):
+        texts, parts, base = [], [], 0
+        for i, (text, calls) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            texts.append(text.encode("utf-8", "replace"))
+            first, n, off = (np.concatenate(x) for x in zip(*map(_unpack, calls)))
+            parts.append((np.full(len(first), i), np.full(len(first), base), first.astype(np.int64), n.astype(np.int64), off.astype(np.int64)))
+            base += len(texts[-1])
+        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        doc, base, first, n, off = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        ids, th = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        ids, th = ids[doc], th[doc]
+        by_id = np.argsort(ids, kind="stable")  # so that the first of equal rows has the smallest owner
+        base, ids, th, first, n, off = (x[by_id] for x in (base, ids, th, first, n, off))
+        for lo in range(0, len(ids), BATCH_PIECES):
+            s = slice(lo, lo + BATCH_PIECES)
+            rows = piece_rows(raw, base[s], first[s], n[s], off[s])
+            order, new = _sorted(rows)
+            head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+            gone = np.zeros(len(order), dtype=bool)
+            gone[order] = ids[s][order] > ids[s][order[head]]
+            done = list(_settled_rows(ids[s], th[s], first[s], n[s], off[s], np.where(gone, WHOLE, np.uint32(0))))
+            none, owner = [None] * len(done), [x[0] for x in done]
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip((owner, owner, [x[1] for x in done], none, none, none, none, [x[2] for x in done]), fields)], schema=schema)
+            go = np.flatnonzero(~gone)
+            grams = np.ascontiguousarray(rows[go, :K])
+            a = mix(grams.reshape(len(go), K)[:, :16].copy().view("<u8") @ np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64))
+            sent = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(go), [None, pa.py_buffer(np.ascontiguousarray(rows[go]))]).cast(pa.binary())
+            columns = [pa.array(x, t) for x, (_, t) in zip((a.view(np.int64), ids[s][go], th[s][go], first[s][go], n[s][go], off[s][go]), fields)]
+            yield pa.record_batch([*columns, sent, pa.nulls(len(go), pa.binary())], schema=schema)
+
+
+def _settle_pieces(batches):
+    """Step 4: a family of one partition's pieces, which come by rising doc_id. What is
+    settled already goes through."""
+    family, held, size = Family(), [], 0
+
+    def out():
+        t = pa.Table.from_batches(held).combine_chunks()
+        ids, th, first, n, off = (t.column(i).to_numpy() for i in range(5))
+        rows = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
+        mask = family.scan(rows, ids)
+        done = list(_settled_rows(ids, th, first, n.astype(np.int64), off.astype(np.int64), mask))
+        return pa.record_batch([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int32()), pa.array([x[2] for x in done], pa.binary())], names=["doc_id", "th", "data"])
+
+    for batch in batches:
+        done = batch.filter(batch.column(6).is_valid())
+        yield pa.record_batch([done.column(0), done.column(1), done.column(6)], names=["doc_id", "th", "data"])
+        batch = batch.filter(batch.column(6).is_null())
+        held.append(batch)
+        size += batch.num_rows
+        if size >= BATCH_PIECES:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+# --- documents -------------------------------------------------------------------
 
 
 def _cut(text: str | None, blobs) -> tuple[bytes, bytes, int, int]:
-    """(whole, kept, removed bytes, maximal removed runs)."""
+    """(whole, kept, removed bytes, maximal removed runs); an empty blob takes all."""
     raw = (text or "").encode("utf-8", "replace")
-    if not blobs:
+    if not blobs or len(raw) < LENGTH:
         return raw, raw, 0, 0
+    if not all(blobs):
+        return raw, b"", len(raw), 1
     edge = np.zeros(len(raw) + 1, dtype=np.int64)
     for blob in blobs:
         first, n = _unpack(blob)
@@ -295,32 +497,51 @@ def _cut(text: str | None, blobs) -> tuple[bytes, bytes, int, int]:
     return raw, kept, len(raw) - len(kept), spans
 
 
+NO_ID = -(2**63)
+
+
 def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts by (doc_id, th), what goes of them as (doc_id, th, blobs))."""
+    """(texts by (key, th), what goes of them as (key, th, blobs))."""
     spark = docs.sparkSession
-    # Keys that can't be null, so that both joins see the same exchange of the texts.
-    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("th", F.hash("text"))
+    # Keys that can't be null, so that all joins see the same exchange of the texts.
+    keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.hash("text"))
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-n_bytes // SHARD_BYTES))
-    bits = max(40, n_bytes.bit_length() + 10)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), shards)
-    source = keyed.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "th", "text")
-    scanned = source.mapInArrow(_scan_batches(shards, bits), _ROW)
-    replies = scanned.groupBy("shard").applyInArrow(_settle_shard, "kind string, doc_id long, th int, data binary")
+    shards, bits = max(1, -(-n_bytes // SHARD_BYTES)), max(40, n_bytes.bit_length() + 10)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PIECE_BYTES))
     texts = keyed.repartition(parts, "key", "th")
-    calls = replies.where("kind = 'C'").groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "th").agg(F.collect_list("data").alias("calls"))
-    called = texts.join(calls.hint("merge"), ["key", "th"]).select("doc_id", "th", "text", "calls").mapInArrow(_called_texts, "a long, doc_id long, th int, first long, piece binary")
-    windows = called.repartition(parts, "a").mapInArrow(_settle_windows, "doc_id long, th int, data binary")
-    gone = replies.where("kind = 'D'").select("doc_id", "th", "data").unionAll(windows)
-    return texts, gone.groupBy(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "th").agg(F.collect_list("data").alias("blobs"))
+    usable = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
+    same = ["sha", "size"]
+    scratch = Scratch(spark)
+    hashed = scratch.keep(keyed.where(usable).select("doc_id", "th", F.unhex(F.sha2("text", 256)).alias("sha"), F.octet_length("text").alias("size")))
+    several = hashed.groupBy(*same).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*same, "low")
+    copies = scratch.keep(hashed.join(several, same).where("doc_id > low").select(F.col("doc_id").alias("key"), "th").distinct())
+    scratch.drop(hashed)
+    # A filter of the texts, or an anti join, would be pushed below their exchange, which
+    # then isn't shared.
+    source = texts.join(copies.withColumn("copy", F.lit(True)).hint("merge"), ["key", "th"], "left").where("copy IS NULL").select("doc_id", "th", "text")
+    width = 1
+    while -(-shards // width) > FAN:
+        width *= FAN
+    noted = source.mapInArrow(_scan_batches(shards, width, bits), _ROW)
+    while width > 1:
+        width //= FAN
+        noted = noted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_deal_again(shards, width, bits), _ROW)
+    calls = noted.groupBy("bucket").applyInArrow(_call_shared, "doc_id long, th int, data binary")
+    calls = calls.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list("data").alias("calls"))
+    pieces = texts.join(calls.hint("merge"), ["key", "th"]).select("doc_id", "th", "text", "calls").mapInArrow(_called_pieces, _PIECE_ROW)
+    pieces = pieces.repartition(parts, "a").sortWithinPartitions("doc_id").drop("a")
+    gone = pieces.mapInArrow(_settle_pieces, "doc_id long, th int, data binary").select(F.col("doc_id").alias("key"), "th", "data")
+    gone = gone.unionAll(copies.select("key", "th", F.lit(b"").alias("data")))
+    return texts, gone.groupBy("key", "th").agg(F.collect_list("data").alias("blobs"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without the repeated bytes; all its columns are kept.
 
     text is what is left (cut sequences of bytes become U+FFFD), n_chars, if there,
-    is counted anew. A null text stays null. A row without doc_id keeps its text and
-    is no source of matches; rows of one doc_id don't match each other.
+    is counted anew. A null text stays null, an empty one empty. A row without doc_id
+    keeps its text and is no source of matches; rows of one doc_id don't match each
+    other, so that repeated rows lose the same bytes. An empty table stays empty.
     """
     names = docs.columns
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
@@ -339,6 +560,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of what ``remove_repeats`` leaves; null texts count as empty."""
     texts, gone = _settled(table(spark, sf_dir, "documents").select("doc_id", "text"))
     met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("doc_id", "text", "blobs")
 
@@ -354,4 +576,5 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``remove_repeats`` of ``docs``: no row goes, and what is left of a text stays."""
     return remove_repeats(docs)

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mnemora.llm import fingerprint, learning, minhash, mixing, projections, quality, suffix, toxicity, url_filter
 from mnemora.llm.common import Scratch, components
@@ -110,14 +111,120 @@ def test_suffix_arrays(spark, tmp_path):
     assert suffix.remove_repeats(frame(spark, [])).count() == 0
 
 
-def test_family_merges_geometrically():
-    f, rng = suffix.Family(), np.random.default_rng(0)
-    keys, owners = rng.integers(0, 500, 3000).astype(np.uint64), rng.integers(0, 10**6, 3000)
-    for i in range(0, 3000, 100):
-        f.add(keys[i : i + 100], owners[i : i + 100])
-    want = {k: owners[keys == k].min() for k in np.unique(keys)}
-    assert (f.smallest(keys) == [want[k] for k in keys]).all() and len(f.levels) <= 10
-    assert f.smallest(np.array([10**6], dtype=np.uint64))[0] == np.iinfo(np.int64).max
+def _pieces(text, doc):
+    raw = np.frombuffer(text, dtype=np.uint8)
+    first, last, at, _ = suffix.runs(raw)
+    return suffix.piece_rows(raw, np.zeros(len(first), dtype=np.int64), first, last - first + 1, at - first), np.full(len(first), doc), at
+
+
+@pytest.mark.parametrize("batch", [7, 64, 10_000])
+def test_family_of_suffix_arrays(batch):
+    """Batches by rising owner settle exactly the windows that smaller owners have."""
+    rng = random.Random(3)
+    lines = [bytes(rng.choices(b"ab\0 ", k=rng.randrange(20, 90))) for _ in range(12)]
+    texts = [b"".join(rng.choice(lines) + bytes(rng.choices(b"xy", k=rng.randrange(3))) for _ in range(6)) for _ in range(25)]
+    parts = [_pieces(t, i) for i, t in enumerate(texts)]
+    rows, owner, at = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    family, masks = suffix.Family(), []
+    for i in range(0, len(rows), batch):
+        masks.append(family.scan(rows[i : i + batch], owner[i : i + batch]))
+    mask, seen, want = np.concatenate(masks), {}, set()
+    for i, t in enumerate(texts):
+        want |= {(i, s) for s in range(len(t) - 49) if seen.setdefault(t[s : s + 50], i) < i}
+    n, off = rows[:, -2].astype(int), rows[:, -1].astype(int)
+    got = {(o, a - back) for o, a, m, r, left in zip(owner, at, mask, n, off) for back in range(50 - r, left + 1) if m >> back & 1}
+    assert got == want and len(family.levels) <= np.log2(len(rows)) + 1
+    for level in family.levels.values():
+        assert (level.keys[1:] > level.keys[:-1]).all() and len(np.unique(level.keys)) == len(level.keys)
+
+
+def test_anchors_dealt_twice(spark, tmp_path, monkeypatch):
+    """Buckets dealt again, and a very common line, change nothing."""
+    rows = corpus()
+    common = "one very common line that is in every text of the table, over and over\n"
+    rows = [(i, t and t + common + str(i % 7) * 3 + common, s) for i, t, s in rows]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(suffix, "FAN", 3)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 4000)
+    monkeypatch.setattr(suffix, "BATCH_PIECES", 50)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.op8_suffix_arrays(spark, str(tmp_path)).collect()}
+    assert got == {i: v[:4] for i, v in brute_repeats(rows).items()}
+
+
+def test_suffix_long_text_and_clashing_columns(spark):
+    """A text in several pieces of hashing; columns named as the operator's own; null and repeated ids."""
+    rng = np.random.default_rng(5)
+    long = "".join(map(chr, rng.integers(97, 123, (1 << 22) + 500).tolist()))
+    rows = [(1, long, "a", 1), (2, long[(1 << 22) - 40 : (1 << 22) + 40], "b", 2), (2, long[100:200], "c", 3), (None, long[:60], "d", 4), (3, None, "e", 5), (4, "", "f", 6), (4, long[150:220], "g", 7), (4, long[150:220], "g", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, blobs string, th int").withColumn("key", F.col("blobs"))
+    out = suffix.remove_repeats(df)
+    assert out.columns == df.columns
+    got = sorted((r.blobs, r.text, r.th, r.key) for r in out.collect())
+    assert got == [("a", long, 1, "a"), ("b", "", 2, "b"), ("c", "", 3, "c"), ("d", long[:60], 4, "d"), ("e", None, 5, "e"), ("f", "", 6, "f"), ("g", "", 7, "g"), ("g", "", 7, "g")]
+
+
+def test_binomials(spark):
+    """Means and spreads of drawn binomials, exact and approximate, and their bounds."""
+    for n, p in ((1, 0.5), (20, 0.3), (64, 0.5), (65, 0.5), (1000, 0.25), (10**6, 0.5)):
+        got = [r[0] for r in spark.range(4000).select(mixing.binomial(F.lit(n), F.lit(p), [F.col("id")])).collect()]
+        mean, sd = n * p, (n * p * (1 - p)) ** 0.5
+        assert 0 <= min(got) and max(got) <= n
+        assert abs(np.mean(got) - mean) < 5 * sd / 4000**0.5 + 0.01 and abs(np.std(got) / sd - 1) < 0.1
+
+
+def test_shards_are_drawn(spark):
+    """Each source's slots fall into shards in order, all of them, at random but repeatably."""
+    sources = spark.createDataFrame([(0, 900, 2000), (1, 50, 37), (2, 8, 0), (3, 100_000, 300_000)], "sid int, blocks long, slots long")
+    for shards in (1, 7, 300):
+        got = sorted(tuple(r) for r in mixing.drawn_shards(sources, shards, 5).collect())
+        assert got == sorted(tuple(r) for r in mixing.drawn_shards(sources, shards, 2).collect())
+        for sid, _, slots in (tuple(r) for r in sources.collect()):
+            mine = [g for g in got if g[0] == sid]
+            assert sum(g[4] for g in mine) == slots and all(0 <= g[2] < shards and g[4] > 0 for g in mine)
+            at = 0
+            for _, _, _, start, n in sorted(mine, key=lambda g: g[2]):
+                assert start == at
+                at += n
+        if shards == 300:
+            counts = [g[4] for g in got if g[0] == 3]
+            assert len(counts) == 300 and 20 < np.std(counts) < 45  # multinomial: about 31.6
+
+
+def test_mixed_blocks(spark):
+    """Every slot of the mix has its block's words, in a shard that the draw gave it to."""
+    rows = corpus()
+    docs = frame(spark, rows)
+    mix = mixing.mix_sources(docs, Scratch(spark), shard_blocks=5)
+    shards = {(r.sid, r.shard): (r.start, r.n) for r in mix.shards.collect()}
+    slots = {(r.sid, r.slot): (r.shard, r.block) for r in mix.slots.collect()}
+    assert len({s for _, s in shards}) > 3
+    assert all(shards[sid, s][0] <= k < sum(shards[sid, s]) for (sid, k), (s, _) in slots.items())
+    text, order = {i: t for i, t, _ in rows}, {}
+    for r in mix.placed.orderBy("sid", "start").collect():
+        order.setdefault(r.sid, []).extend(re.findall(r"[^\x20\x09-\x0D]+", text[r.doc_id]))
+    names = {r.source: r.sid for r in mix.sources.collect()}
+    got = mixing.mixed_blocks(docs, shard_blocks=5).collect()
+    assert len(got) == len(slots)
+    for r in got:
+        assert slots[names[r.source], r.slot] == (r.shard, r.block)
+        assert r.text.split(" ") == order[names[r.source]][r.block * 32 : r.block * 32 + 32]
+
+
+def test_mixing_query(spark, tmp_path):
+    """The query with nulls, empty texts, repeated rows, and an empty table."""
+    rows = [*corpus(), (5, "a b c", "a"), (5, "a b c", "a"), (None, "x y", "b"), (90, "w " * 90_000, "d")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/a/documents.parquet")
+    got = sorted((tuple(r) for r in mixing.op2_mixing(spark, f"{tmp_path}/a").collect()), key=repr)
+    assert got == sorted((tuple(r) for r in mixing.op2_mixing(spark, f"{tmp_path}/a").collect()), key=repr)
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted((str(i), size(t)) for i, t, _ in rows)
+    assert all(0 <= taken <= 3 * n for _, n, _, _, taken in got)
+    per = Counter()
+    for *_, source_size, target, taken in got:
+        per[source_size, target] += taken
+    assert all(abs(v - k[1]) <= 3 * mixing.BLOCK_WORDS for k, v in per.items())
+    frame(spark, []).write.parquet(f"{tmp_path}/b/documents.parquet")
+    assert mixing.op2_mixing(spark, f"{tmp_path}/b").count() == 0 == mixing.mixing_stage(spark, frame(spark, []), "").count()
 
 
 def test_winnowing(spark, tmp_path):
