@@ -411,13 +411,12 @@ def _settled_rows(ids, th, first, n, off, mask):
         yield int(ids[which[g[0]]]), int(th[which[g[0]]]), _pack(start[g], count[g])
 
 
-_PIECE_ROW = "a long, doc_id long, th int, first long, n int, off int, piece binary, data binary"
+_PIECE_ROW = "doc_id long, th int, first long, data binary"
 
 
 def _called_pieces(batches):
-    """Step 3: settled rows (piece null) and the pieces that go on to shards (data null)."""
-    fields = [("a", pa.int64()), ("doc_id", pa.int64()), ("th", pa.int32()), ("first", pa.int64()), ("n", pa.int32()), ("off", pa.int32()), ("piece", pa.binary()), ("data", pa.binary())]
-    schema = pa.schema(fields)
+    """Step 3: the pieces that go on to shards, and settled rows (first null)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("first", pa.int64()), ("data", pa.binary())])
     for batch in chain.from_iterable(_slices(b) for b in batches):
         texts, parts, base = [], [], 0
         for i, (text, calls) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
@@ -439,14 +438,10 @@ def _called_pieces(batches):
             gone = np.zeros(len(order), dtype=bool)
             gone[order] = ids[s][order] > ids[s][order[head]]
             done = list(_settled_rows(ids[s], th[s], first[s], n[s], off[s], np.where(gone, WHOLE, np.uint32(0))))
-            none, owner = [None] * len(done), [x[0] for x in done]
-            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip((owner, owner, [x[1] for x in done], none, none, none, none, [x[2] for x in done]), fields)], schema=schema)
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(([x[0] for x in done], [x[1] for x in done], [None] * len(done), [x[2] for x in done]), schema.types)], schema=schema)
             go = np.flatnonzero(~gone)
-            grams = np.ascontiguousarray(rows[go, :K])
-            a = mix(grams.reshape(len(go), K)[:, :16].copy().view("<u8") @ np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB], dtype=np.uint64))
             sent = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(go), [None, pa.py_buffer(np.ascontiguousarray(rows[go]))]).cast(pa.binary())
-            columns = [pa.array(x, t) for x, (_, t) in zip((a.view(np.int64), ids[s][go], th[s][go], first[s][go], n[s][go], off[s][go]), fields)]
-            yield pa.record_batch([*columns, sent, pa.nulls(len(go), pa.binary())], schema=schema)
+            yield pa.record_batch([pa.array(ids[s][go]), pa.array(th[s][go]), pa.array(first[s][go]), sent], schema=schema)
 
 
 def _settle_pieces(batches):
@@ -456,16 +451,16 @@ def _settle_pieces(batches):
 
     def out():
         t = pa.Table.from_batches(held).combine_chunks()
-        ids, th, first, n, off = (t.column(i).to_numpy() for i in range(5))
-        rows = np.frombuffer(b"".join(t.column(5).to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
-        mask = family.scan(rows, ids)
-        done = list(_settled_rows(ids, th, first, n.astype(np.int64), off.astype(np.int64), mask))
-        return pa.record_batch([pa.array([x[0] for x in done], pa.int64()), pa.array([x[1] for x in done], pa.int32()), pa.array([x[2] for x in done], pa.binary())], names=["doc_id", "th", "data"])
+        ids, th, first = (t.column(i).to_numpy() for i in range(3))
+        rows = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
+        off = rows[:, -1].astype(np.int64)
+        done = list(_settled_rows(ids, th, first, rows[:, -2] + off - LENGTH + 1, off, family.scan(rows, ids)))
+        return pa.record_batch([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "th", "data"])
 
     for batch in batches:
-        done = batch.filter(batch.column(6).is_valid())
-        yield pa.record_batch([done.column(0), done.column(1), done.column(6)], names=["doc_id", "th", "data"])
-        batch = batch.filter(batch.column(6).is_null())
+        done = batch.filter(batch.column(2).is_null())
+        yield pa.record_batch([done.column(i) for i in (0, 1, 3)], names=["doc_id", "th", "data"])
+        batch = batch.filter(batch.column(2).is_valid())
         held.append(batch)
         size += batch.num_rows
         if size >= BATCH_PIECES:
@@ -508,7 +503,8 @@ def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards, bits = max(1, -(-n_bytes // SHARD_BYTES)), max(40, n_bytes.bit_length() + 10)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // PIECE_BYTES))
-    texts = keyed.repartition(parts, "key", "th")
+    # As many partitions as the joins' other sides have, or these would be dealt anew.
+    texts = keyed.repartition("key", "th")
     usable = F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)
     same = ["sha", "size"]
     scratch = Scratch(spark)
@@ -529,7 +525,8 @@ def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     calls = noted.groupBy("bucket").applyInArrow(_call_shared, "doc_id long, th int, data binary")
     calls = calls.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list("data").alias("calls"))
     pieces = texts.join(calls.hint("merge"), ["key", "th"]).select("doc_id", "th", "text", "calls").mapInArrow(_called_pieces, _PIECE_ROW)
-    pieces = pieces.repartition(parts, "a").sortWithinPartitions("doc_id").drop("a")
+    anchored = F.when(F.col("first").isNotNull(), F.xxhash64(F.substring("data", 1, K))).otherwise(F.col("doc_id"))
+    pieces = pieces.repartition(parts, anchored).sortWithinPartitions("doc_id")
     gone = pieces.mapInArrow(_settle_pieces, "doc_id long, th int, data binary").select(F.col("doc_id").alias("key"), "th", "data")
     gone = gone.unionAll(copies.select("key", "th", F.lit(b"").alias("data")))
     return texts, gone.groupBy("key", "th").agg(F.collect_list("data").alias("blobs"))
