@@ -1,15 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words map to classes (insult, threat, target, negation, reported speech, other).
-Five letter-to-letter transducers over classes are composed into one deterministic
-machine and flattened to arrays: negation turns an insult that follows it closely
-into a denied one, reported speech turns the insults after it in the clause into
-quoted ones, target turns an insult near a person into an aimed one, threat turns
-a target soon after a threatening word into a threat, and the scorer lets only those
-outcomes through. The machine runs over each clause that holds an insult or threat
-word, so it is matched clauses that are scored. What the outcomes weigh is learned on
-labelled rows, by logistic regression and small boosted trees whose probabilities are
-averaged; so are insult stems beyond the seed list, each with its odds.
+Words map to classes: insult, threat, target, negation, reported speech, other. Five
+transducers over classes, letter to letter, are composed into one deterministic
+machine: negation turns an insult that follows it closely into a denied one, reported
+speech turns the insults after it in the clause into quoted ones, threat turns a target
+soon after a threatening word into a menace, target turns an insult near a person into
+an aimed one, and the insult phrase turns an insult that closely follows another into a
+piled one. The machine runs over the letters of each clause, and what it puts out has
+a weight on its arc; so has the lexicon's arc from a word to its letter. A clause's
+score is the sum along its path, and a document is judged by its matched clauses' scores
+alone: the best, the sum, how many there are and how dense they are.
+
+Which words are insults is learned: beginnings of words that are far more frequent in
+toxic documents, each weighing its log odds. The outcomes' weights are learned by
+logistic regression over documents, as arcs add up, and a document's probability from
+its clauses' scores by logistic regression and small boosted trees, averaged.
 """
 
 from __future__ import annotations
@@ -28,19 +33,21 @@ from .learning import labelled_sample, sample_matrix, score_documents
 from .quality import fit
 
 THRESHOLD = 0.3
-#: Words that start the lexicons; all are matched whole and without regard to case.
-INSULTS = ["idiot", "idiots", "moron", "morons", "stupid", "dumb", "loser", "losers", "scum", "trash", "pathetic", "worthless", "disgusting", "clown", "clowns", "imbecile", "filth", "vermin"]
-THREATS = ["kill", "hurt", "destroy", "punch", "shoot", "strangle", "stab", "burn"]
-TARGETS = ["you", "your", "he", "she", "him", "her", "they", "them", "these", "those", "people"]
-NEGATIONS = ["not", "never", "no", "isn't", "aren't", "wasn't", "don't", "nobody"]
-REPORTS = ["said", "says", "wrote", "called", "quoted", "claimed", "reported", "quote"]
-#: A learned stem has so many letters and toxic documents, share of them, and z score.
-STEM, LEARN_DOCS, LEARN_SHARE, LEARN_Z = (3, 10), 8, 0.4, 6.0
+#: Closed classes of words, matched whole and without regard to case; insults are learned.
+THREATS = ["kill", "hurt", "destroy", "punch", "shoot", "strangle", "stab", "burn", "töten", "umbringen", "schlagen", "tuer", "frapper", "détruire", "matar", "golpear", "destruir"]
+TARGETS = ["you", "your", "he", "she", "him", "her", "they", "them", "these", "those", "people", "du", "dich", "ihr", "euch", "sie", "er", "tu", "toi", "vous", "il", "elle", "ils", "elles", "tú", "usted", "ustedes", "él", "ella", "ellos"]
+NEGATIONS = ["not", "never", "no", "isn't", "aren't", "wasn't", "don't", "nobody", "nicht", "nie", "kein", "keine", "ne", "pas", "jamais", "nunca", "jamás"]
+REPORTS = ["said", "says", "wrote", "called", "quoted", "claimed", "reported", "quote", "sagte", "sagt", "schrieb", "dit", "écrit", "dijo", "dice", "escribió"]
+#: A learned stem has so many letters (or is a whole word of any length) and toxic
+#: documents, share of them, and z score. Words that share more letters share these.
+STEM, LEARN_DOCS, LEARN_SHARE, LEARN_Z = (3, 16), 8, 0.4, 6.0
 #: A task passes its counts on when it holds so many stems.
 COUNTED = 200_000
 
-OTHER, INSULT, THREAT, TARGET, NEG, REPORT, DENIED, QUOTED, AIMED, MENACE = range(10)
-OUTCOMES = (INSULT, DENIED, QUOTED, AIMED, MENACE)
+OTHER, INSULT, THREAT, TARGET, NEG, REPORT, DENIED, QUOTED, AIMED, MENACE, PILED = range(11)
+LETTERS = 11
+#: What the composed machine puts out that counts as a match.
+OUTCOMES = (INSULT, DENIED, QUOTED, AIMED, MENACE, PILED)
 
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
@@ -49,101 +56,145 @@ _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)?")
 class Transducer:
     """Deterministic, one output letter per input letter, start state 0.
 
-    ``arcs[state][letter] = (next state, output)``; letters without an arc take the
-    state's default next state and stay as they are.
+    ``arcs[state][letter] = (next state, output, weight)``; letters without an arc take
+    the state's default next state, stay as they are and weigh nothing. Weights add up.
     """
 
-    def __init__(self, arcs: list[dict[int, tuple[int, int]]], default: list[int]):
+    def __init__(self, arcs: list[dict[int, tuple[int, int, float]]], default: list[int]):
         self.arcs, self.default = arcs, default
 
-    def step(self, state: int, letter: int) -> tuple[int, int]:
-        return self.arcs[state].get(letter, (self.default[state], letter))
+    def step(self, state: int, letter: int) -> tuple[int, int, float]:
+        return self.arcs[state].get(letter, (self.default[state], letter, 0.0))
 
-    def compose(self, other: Transducer, letters: int = 10) -> Transducer:
+    def run(self, letters) -> tuple[list[int], float]:
+        """What comes out, and the weight of the path."""
+        state, out, total = 0, [], 0.0
+        for x in letters:
+            state, y, w = self.step(state, x)
+            out.append(y)
+            total += w
+        return out, total
+
+    def compose(self, other: Transducer) -> Transducer:
         """First this one, then ``other`` on its output; only reachable states."""
         number, arcs, todo = {(0, 0): 0}, [], [(0, 0)]
         while todo:
             a, b = todo.pop(0)
             row = {}
-            for x in range(letters):
-                a2, mid = self.step(a, x)
-                b2, out = other.step(b, mid)
+            for x in range(LETTERS):
+                a2, mid, w = self.step(a, x)
+                b2, out, v = other.step(b, mid)
                 if (a2, b2) not in number:
                     number[a2, b2] = len(number)
                     todo.append((a2, b2))
-                row[x] = (number[a2, b2], out)
+                row[x] = (number[a2, b2], out, w + v)
             arcs.append(row)
         return Transducer(arcs, [0] * len(arcs))
 
 
-def within(opens: int, closes: dict[int, int], reach: int | None) -> Transducer:
-    """After ``opens``, for ``reach`` letters (None: the rest), letters are rewritten."""
+def within(opens: tuple[int, ...], closes: dict[int, int], reach: int | None, weights: dict[int, float]) -> Transducer:
+    """After a letter of ``opens``, for ``reach`` letters (None: the rest), letters are
+    rewritten as ``closes`` says, by arcs that weigh what ``weights`` has for the outcome.
+    A letter that both opens and closes opens anew."""
+    arc = lambda to, y: (to, y, weights.get(y, 0.0))
     if reach is None:
-        return Transducer([{opens: (1, opens)}, {x: (1, y) for x, y in closes.items()}], [0, 1])
-    arcs: list[dict] = [{opens: (reach, opens)}]
+        return Transducer([{x: (1, x, 0.0) for x in opens}, {x: arc(1, y) for x, y in closes.items()}], [0, 1])
+    arcs: list[dict] = [{x: (reach, x, 0.0) for x in opens}]
     for left in range(1, reach + 1):
-        arcs.append({opens: (reach, opens)} | {x: (left - 1, y) for x, y in closes.items()})
+        arcs.append({x: (reach, x, 0.0) for x in opens} | {x: arc(reach if x in opens else left - 1, y) for x, y in closes.items()})
     return Transducer(arcs, [0, *range(reach)])
 
 
-def grammar() -> tuple[np.ndarray, np.ndarray]:
-    """Next state and output letter by (state, letter)."""
-    scorer = Transducer([{x: (0, OTHER) for x in (THREAT, TARGET, NEG, REPORT)}], [0])
-    machine = within(NEG, {INSULT: DENIED}, 3)
-    for t in (within(REPORT, {INSULT: QUOTED}, None), within(THREAT, {TARGET: MENACE}, 3), within(TARGET, {INSULT: AIMED}, 4), scorer):
+def transducers(weights: dict[int, float]) -> list[Transducer]:
+    """Negation, reported speech, threat phrase, target, insult phrase, in their order.
+    Insults that none of them rewrites weigh what a plain one does, on the last one's arcs."""
+    last = within((INSULT, AIMED), {INSULT: PILED}, 3, weights)
+    for row in last.arcs:
+        to, y, w = row[INSULT]
+        row[INSULT] = (to, y, weights.get(y, 0.0))
+    return [
+        within((NEG,), {INSULT: DENIED}, 3, weights),
+        within((REPORT,), {INSULT: QUOTED}, None, weights),
+        within((THREAT,), {TARGET: MENACE}, 3, weights),
+        within((TARGET, MENACE), {INSULT: AIMED}, 4, weights),
+        last,
+    ]
+
+
+def grammar(weights: dict[int, float]) -> Transducer:
+    machine, *rest = transducers(weights)
+    for t in rest:
         machine = machine.compose(t)
-    both = np.array([[row[x] for x in range(10)] for row in machine.arcs])
-    return both[:, :, 0], both[:, :, 1]
+    return machine
 
 
 class Matcher:
     """Matches a text's clauses. ``stems`` maps beginnings of longer words, or whole
-    words followed by a space, to log odds."""
+    words followed by a space, to log odds; ``weights`` outcomes to theirs."""
 
-    n_features = 2 * len(OUTCOMES) + 6
+    n_features = 6
 
-    def __init__(self, stems: dict[str, float]):
-        self.classes = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEG), (REPORTS, REPORT), (THREATS, THREAT), (INSULTS, INSULT)) for w in words}
+    def __init__(self, stems: dict[str, float], weights: dict[int, float]):
+        self.classes = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEG), (REPORTS, REPORT), (THREATS, THREAT)) for w in words}
         self.stems = stems
-        whole = sorted((w for w, c in self.classes.items() if c in (INSULT, THREAT)), key=len, reverse=True)
         begin = sorted(stems, key=len, reverse=True)
-        self.pattern = r"\b(?:(?:" + "|".join(map(re.escape, whole)) + r")\b" + "".join("|" + (re.escape(x[:-1]) + r"\b" if x[-1] == " " else re.escape(x) + r"\w") for x in begin) + ")"
+        parts = [rf"{re.escape(w)}\b" for w in THREATS] + [re.escape(x[:-1]) + r"\b" if x[-1] == " " else re.escape(x) + r"\w" for x in begin]
+        self.pattern = rf"\b(?:{'|'.join(parts)})"
         self.begin = "|".join(re.escape(x) + r"(?! )" * (x[-1] != " ") for x in begin) or r"(?!)"
-        self.next, self.out = (x.tolist() for x in grammar())
+        machine = grammar(weights)
+        self.next, self.out, self.weight = ([[row[x][i] for x in range(LETTERS)] for row in machine.arcs] for i in range(3))
         self.found = None
 
     def __getstate__(self):
         return self.__dict__ | {"found": None, "stem_of": None}
 
-    def features(self, text: str) -> list[float]:
+    def clauses(self, text: str):
+        """(score, lexical part of it, outcomes) of each matched clause of a lower-case text."""
         if self.found is None:
             self.found, self.stem_of = re.compile(self.pattern).search, re.compile(self.begin).match
+        if not self.found(text):
+            return
+        get, nxt, out, weight = self.classes.get, self.next, self.out, self.weight
+        for clause in _CLAUSE.split(text):
+            if not self.found(clause):
+                continue
+            state, score, lexical, outcomes = 0, 0.0, 0.0, []
+            for w in _WORD.findall(clause):
+                c = get(w, OTHER)
+                if c == OTHER and (m := self.stem_of(f"{w} ")):
+                    c = INSULT
+                    lexical += self.stems[m.group()]
+                score += weight[state][c]
+                o = out[state][c]
+                state = nxt[state][c]
+                if o in OUTCOMES:
+                    outcomes.append(o)
+            if outcomes:
+                yield score + lexical, lexical, outcomes
+
+    def counts(self, text: str) -> list[float]:
+        """The lexical weight of all matched clauses, and how often each outcome came."""
+        total, seen = 0.0, [0.0] * len(OUTCOMES)
+        for _, lexical, outcomes in self.clauses(text.lower()):
+            total += lexical
+            for o in outcomes:
+                seen[OUTCOMES.index(o)] += 1
+        return [total, *seen]
+
+    def features(self, text: str) -> list[float]:
         low = text.lower()
-        counts, kinds, odds, clauses, sure = [0] * 10, set(), 0.0, 0, 0
+        scores = [s for s, *_ in self.clauses(low)]
+        if not scores:
+            return [0.0] * self.n_features
         words = low.count(" ") + low.count("\n") + 1
-        if self.found(low):
-            get, nxt, out = self.classes.get, self.next, self.out
-            for clause in _CLAUSE.split(low):
-                if not self.found(clause):
-                    continue
-                state, hits = 0, 0
-                for w in _WORD.findall(clause):
-                    c = get(w, OTHER)
-                    strength = 3.0 if c == INSULT else 0.0
-                    if c == OTHER and (m := self.stem_of(f"{w} ")):
-                        c, strength = INSULT, self.stems[m.group()]
-                    o = out[state][c]
-                    state = nxt[state][c]
-                    if o:
-                        counts[o] += 1
-                        hits += 1
-                        odds += strength * (0.5 if o in (DENIED, QUOTED) else 1.0)
-                        sure += strength >= 2.5
-                        if c == INSULT:
-                            kinds.add(w)
-                clauses += hits > 0
-        dense = 100 * sum(counts[o] for o in OUTCOMES) / (words + 20)
-        return [*(float(counts[o] > 0) for o in OUTCOMES), *(math.log1p(counts[o]) for o in OUTCOMES), float(len(kinds) > 1), math.log1p(len(kinds)), math.log1p(clauses), odds, dense, float(sure > 0)]
+        signed = math.copysign(math.log1p(abs(sum(scores))), sum(scores))
+        return [1.0, max(scores), signed, math.log1p(len(scores)), sum(scores) / len(scores), 100 * sum(scores) / (words + 20)]
+
+
+def arc_weights(x: np.ndarray, y: np.ndarray) -> dict[int, float]:
+    """Of each outcome, from documents' ``counts``, within 4 either way."""
+    w = logistic(np.hstack([x[:, :1] / 10, np.minimum(x[:, 1:], 5)]), y)
+    return {o: float(np.clip(v, -4, 4)) for o, v in zip(OUTCOMES, w[1:])}
 
 
 def _beginnings(text: str) -> set[str]:
@@ -214,14 +265,12 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:
     return w
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted of each row of ``docs(doc_id, text)``.
-
-    Null and empty texts match nothing and get the score of a text without
-    matches. Repeated rows score alike; other columns are ignored.
-    """
+def train_toxicity(docs: DataFrame, labels: DataFrame):
+    """(matcher, a function from features to probabilities), fitted on the labelled sample."""
     sample = Scratch(docs.sparkSession).keep(labelled_sample(docs, labels, "toxic"))
-    matcher = Matcher(learned_stems(sample))
+    stems = learned_stems(sample)
+    x, y = sample_matrix(sample, Matcher(stems, {}).counts, 1 + len(OUTCOMES))
+    matcher = Matcher(stems, arc_weights(x, y))
     x, y = sample_matrix(sample, matcher.features, Matcher.n_features)
     w, trees = logistic(x, y), fit(x, y, trees=40, depth=3)
 
@@ -229,8 +278,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False) -> Da
         line = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30))) if len(x) else np.empty(0)
         return (line + trees.predict(x)) / 2
 
+    return matcher, predict
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id, held_out, score, predicted of each row of ``docs(doc_id, text)``.
+
+    Null and empty texts match nothing and get the score of a text without
+    matches. Repeated rows score alike; other columns are ignored. Without labels, or
+    with one label only, all rows score alike; an empty table has no rows.
+    """
+    matcher, predict = train_toxicity(docs, labels)
     return score_documents(docs, matcher.features, predict, THRESHOLD, keep)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_toxicity`` of documents, learned from labels."""
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

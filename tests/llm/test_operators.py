@@ -357,13 +357,66 @@ def test_trees_and_flat_traversal():
     assert quality.fit(np.zeros((0, 5)), np.zeros(0)).predict(x[:2]) == pytest.approx([0.5, 0.5])
 
 
-def test_grammar():
-    m = toxicity.Matcher({"zork ": 3.0, "blar": 1.0})
-    at = lambda text: dict(zip(("insult", "denied", "quoted", "aimed", "menace"), m.features(text)))
-    assert at("what an idiot, really")["insult"] == 1 and at("nothing here") == dict.fromkeys(at("x"), 0.0)
-    assert at("this is not an idiot")["denied"] == 1 and at("you are a moron")["aimed"] == 1
-    assert at("she said it was trash")["quoted"] == 1 and at("i will kill you")["menace"] == 1
-    assert at("zorky")["insult"] == 0 and at("zork")["insult"] == 1 and at("blar")["insult"] == 0 and at("blarx")["insult"] == 1
+def test_grammar_is_its_five_transducers_in_turn():
+    """The composed machine puts out and weighs what the five do, one after another."""
+    rng = random.Random(8)
+    weights = {o: rng.uniform(-3, 3) for o in toxicity.OUTCOMES}
+    five, machine = toxicity.transducers(weights), toxicity.grammar(weights)
+    outcomes = set()
+    for _ in range(3000):
+        letters = rng.choices(range(6), weights=[2, 3, 1, 2, 1, 1], k=rng.randrange(12))
+        now, total = letters, 0.0
+        for t in five:
+            now, w = t.run(now)
+            total += w
+        got, weight = machine.run(letters)
+        assert got == now and weight == pytest.approx(total)
+        assert weight == pytest.approx(sum(weights[o] for o in got if o in toxicity.OUTCOMES))
+        outcomes.update(got)
+    assert outcomes >= set(toxicity.OUTCOMES)
+
+
+def test_clauses():
+    """What a clause's words around an insult make of it; words alone decide nothing else."""
+    weights = {toxicity.INSULT: 1.0, toxicity.DENIED: -2.5, toxicity.QUOTED: -2.0, toxicity.AIMED: 2.0, toxicity.MENACE: 1.5, toxicity.PILED: 1.25}
+    m = toxicity.Matcher({"zork ": 3.0, "blar": 1.0}, weights)
+    at = lambda text: [(round(s, 6), [toxicity.OUTCOMES.index(o) for o in out]) for s, _, out in m.clauses(text.lower())]
+    assert at("what a zork, really") == [(4.0, [0])] and at("nothing here. not there") == []
+    assert at("this is not a zork") == [(0.5, [1])] and at("You are a zork") == [(5.0, [3])]
+    assert at("anna said it was zork; zork it is") == [(1.0, [2]), (4.0, [0])]
+    assert at("i will kill you") == [(1.5, [4])] and at("kill the process") == []
+    assert at("zork blarx! bright day") == [(6.25, [0, 5])]
+    assert at("zorky") == [] and at("blar") == [] and at("blarx") == [(2.0, [0])]
+    assert m.features("said it was zork") != m.features("well it was zork") and m.features("a day") == m.features("") == [0.0] * m.n_features
+
+
+def test_outcome_weights_are_learned(spark):
+    """Where denied and quoted insults are harmless, their arcs come to weigh less."""
+    rng = random.Random(11)
+    bad, fine = ["you are a zork", "what a zork"], ["this is not a zork", "he said that zork"]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = int(i % 3 == 0)
+        lead = rng.choice(bad) if toxic else rng.choice(fine) if i % 12 == 1 else words(rng, 4)
+        rows.append((i, f"{words(rng, 20)}. {lead}. {words(rng, 20)}", "a"))
+        labels.append((i, 1, toxic))
+    docs, labels = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    matcher, predict = toxicity.train_toxicity(docs, labels)
+    assert any(x.startswith("zork") for x in matcher.stems)
+    score = lambda t: float(predict(np.array([matcher.features(t)]))[0])
+    assert min(map(score, bad)) > toxicity.THRESHOLD > max(map(score, fine))
+
+
+def test_classifiers_corner_cases(spark):
+    """An empty table, no labels, one label only, a very long text."""
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(i, 1, 1) for i in range(8)], none.schema)
+    docs = frame(spark, [*((i, f"text {i}", "a") for i in range(8)), (9, "word zork. " * 300_000, "b")])
+    for f in (quality.score_quality, toxicity.score_toxicity):
+        assert f(frame(spark, []), none).count() == 0
+        for labels in (none, one):
+            got = f(docs, labels).collect()
+            assert len(got) == 9 and all(0 <= r.score <= 1 for r in got)
 
 
 def test_classifiers_score_every_row(spark):
