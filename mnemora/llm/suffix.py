@@ -94,16 +94,6 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
-def _by_text(ids: np.ndarray, th: np.ndarray):
-    """The indices of each distinct (id, text hash)."""
-    order = np.lexsort((th, ids))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (np.diff(ids[order]) != 0) | (np.diff(th[order]) != 0)
-    cuts = np.flatnonzero(new)
-    for at, end in zip(cuts, [*cuts[1:], len(order)]):
-        yield order[at:end]
-
-
 # --- anchors -------------------------------------------------------------------
 
 
@@ -155,14 +145,11 @@ class Anchors:
             if lo < hi:
                 yield int(shard[lo]), self.part(slice(lo, hi)).packed()
 
-    def calls(self, which: np.ndarray):
-        """(doc_id, th, packed first, n, off) for each document of the anchors ``which``."""
-        order = which[np.argsort(self.doc[which], kind="stable")]
-        doc = self.doc[order]
-        cuts = np.flatnonzero(np.diff(doc)) + 1
-        for at in np.split(order, cuts) if len(order) else []:
-            i = self.doc[at[0]]
-            yield int(self.ids[i]), int(self.th[i]), _pack(self.first[at], self.n[at], self.off[at])
+    def calls(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(doc_id, th, run) of the anchors ``which``, a run as first << 16 | n << 8 | off."""
+        doc = self.doc[which]
+        run = self.first[which].astype(np.int64) << 16 | self.n[which].astype(np.int64) << 8 | self.off[which].astype(np.int64)
+        return self.ids[doc], self.th[doc], run
 
 
 def _shared(found: Anchors) -> tuple[Anchors, np.ndarray]:
@@ -178,15 +165,21 @@ def _shared(found: Anchors) -> tuple[Anchors, np.ndarray]:
     return found, np.repeat((found.doc[start] != last) | (last == Anchors.CALLED), size)
 
 
-#: Calls name a document; anchors don't.
-_ROW = "bucket long, doc_id long, th int, data binary"
-_NAMES = ["bucket", "doc_id", "th", "data"]
+#: Calls name a document and its run; anchors are blobs.
+_ROW = "bucket long, doc_id long, th int, run long, data binary"
+_TYPES = {"bucket": pa.int64(), "doc_id": pa.int64(), "th": pa.int32(), "run": pa.int64(), "data": pa.binary()}
+
+
+def _rows(n: int, **columns):
+    """Batches of n rows; columns that aren't given are null."""
+    for at in range(0, n, 50_000 if "run" in columns else 500):
+        end = min(n, at + (50_000 if "run" in columns else 500))
+        yield pa.record_batch([pa.array(columns[c][at:end], t) if c in columns else pa.nulls(end - at, t) for c, t in _TYPES.items()], names=list(_TYPES))
 
 
-def _rows(rows: list[tuple]):
-    for at in range(0, len(rows), 500):
-        some = rows[at : at + 500]
-        yield pa.record_batch([pa.array([x[i] for x in some], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names=_NAMES)
+def _blobs(dealt):
+    rows = list(dealt)
+    return _rows(len(rows), bucket=[x[0] for x in rows], data=[x[1] for x in rows])
 
 
 def _slices(batch: pa.RecordBatch, column: int = 2):
@@ -222,15 +215,15 @@ def _scan_batches(shards: int, width: int, bits: int):
             ids, th = (batch.column(i).fill_null(0).to_numpy(zero_copy_only=False) for i in (0, 1))
             found, shared = _shared(Anchors(ids, th, *(np.concatenate([p[i] for p in parts]) for i in range(5))))
             del parts
-            rows = [(x[0] % buckets, *x) for x in found.calls(np.flatnonzero(shared))]
+            ids, th, run = found.calls(np.flatnonzero(shared))
+            yield from _rows(len(ids), bucket=ids % buckets, doc_id=ids, th=th, run=run)
             # Of an anchor that is called for here, shards learn only that it is.
             stay = ~shared
             stay[1:] |= found.a[1:] != found.a[:-1]
             stay[:1] = True
             for x, none in ((found.doc, Anchors.CALLED), (found.first, 0), (found.n, 0), (found.off, 0)):
                 x[shared] = none
-            rows += [(b, None, None, d) for b, d in found.part(np.flatnonzero(stay)).dealt(bits, shards, width)]
-            yield from _rows(rows)
+            yield from _blobs(found.part(np.flatnonzero(stay)).dealt(bits, shards, width))
 
     return run
 
@@ -244,12 +237,14 @@ def _deal_again(shards: int, width: int, bits: int):
 
         def out():
             found, _ = _shared(Anchors.joined(held))
-            return _rows([(b, None, None, d) for b, d in found.dealt(bits, shards, width)])
+            return _blobs(found.dealt(bits, shards, width))
 
         for batch in batches:
-            rows = list(zip(*(c.to_pylist() for c in batch.columns)))
-            yield from _rows([(x[1] % buckets, *x[1:]) for x in rows if x[1] is not None])
-            for bucket, _, _, blob in (x for x in rows if x[1] is None):
+            made = batch.filter(batch.column(1).is_valid())
+            ids = made.column(1).to_numpy()
+            yield from _rows(len(ids), bucket=ids % buckets, doc_id=ids, th=made.column(2).to_numpy(), run=made.column(3).to_numpy())
+            blobs = batch.filter(batch.column(1).is_null())
+            for bucket, blob in zip(blobs.column(0).to_pylist(), blobs.column(4).to_pylist()):
                 if held and (bucket != at or size >= BATCH_BYTES):
                     yield from out()
                     held, size = [], 0
@@ -264,14 +259,13 @@ def _deal_again(shards: int, width: int, bits: int):
 def _call_shared(group: pa.Table) -> pa.Table:
     """Step 2's shards: calls for the runs whose anchors several batches have, beside
     those that are made already."""
-    made = group.filter(group["doc_id"].is_valid()).select(["doc_id", "th", "data"])
+    made = group.filter(group["doc_id"].is_valid()).select(["doc_id", "th", "run"])
     blobs = group["data"].filter(group["doc_id"].is_null()).to_pylist()
     if not blobs:
         return made
     found, shared = _shared(Anchors.joined(blobs))
-    out = list(found.calls(np.flatnonzero(shared & (found.doc != Anchors.CALLED))))
-    own = pa.table([pa.array([x[i] for x in out], made.schema.field(i).type) for i in range(3)], names=["doc_id", "th", "data"])
-    return pa.concat_tables([made, own])
+    own = found.calls(np.flatnonzero(shared & (found.doc != Anchors.CALLED)))
+    return pa.concat_tables([made, pa.table([pa.array(x, f.type) for x, f in zip(own, made.schema)], schema=made.schema)])
 
 
 # --- pieces ----------------------------------------------------------------------
@@ -397,32 +391,38 @@ class Family:
         return out
 
 
-def _settled_rows(ids, th, first, n, off, mask):
-    """(doc_id, th, packed starts and numbers of windows) of each document with gone windows."""
-    hit = np.flatnonzero(mask)
-    whole = hit[mask[hit] == WHOLE]
-    some = hit[mask[hit] != WHOLE]
-    bit, back = np.nonzero(mask[some][:, None] >> np.arange(OFFSETS, dtype=np.uint32) & 1)
-    part = some[bit]
-    which = np.concatenate((whole, part))
-    start = np.concatenate((first[whole], first[part] + off[part] - back)).astype(np.uint64)
-    count = np.concatenate((n[whole], np.ones(len(part), dtype=np.int64))).astype(np.uint8)
-    for g in _by_text(ids[which], th[which]):
-        yield int(ids[which[g[0]]]), int(th[which[g[0]]]), _pack(start[g], count[g])
+def _settled_spans(ids, th, first, n, off, mask):
+    """(doc_id, th, span) of windows that go, a span as start << 8 | number of windows."""
+    whole = mask == WHOLE
+    some = np.flatnonzero((mask != 0) & ~whole)
+    bits = np.zeros((len(some), OFFSETS + 2), dtype=np.int8)
+    bits[:, 1:-1] = mask[some][:, None] >> np.arange(OFFSETS, dtype=np.uint32) & 1
+    edge = np.diff(bits, axis=1)
+    row, low = np.nonzero(edge == 1)  # offsets from low to high - 1, and so starts that follow each other
+    _, high = np.nonzero(edge == -1)
+    part = some[row]
+    which = np.concatenate((np.flatnonzero(whole), part))
+    start = np.concatenate((first[whole], first[part] + off[part] - high + 1))
+    return ids[which], th[which], start << 8 | np.concatenate((n[whole], high - low))
 
 
-_PIECE_ROW = "doc_id long, th int, first long, data binary"
+def _spans(found) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(x, t) for x, t in zip(found, (pa.int64(), pa.int32(), pa.int64()))], names=["doc_id", "th", "span"])
+
+
+_PIECE_ROW = "doc_id long, th int, at long, piece binary"
 
 
 def _called_pieces(batches):
-    """Step 3: the pieces that go on to shards, and settled rows (first null)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int32()), ("first", pa.int64()), ("data", pa.binary())])
+    """Step 3: the pieces that go on to shards, with the run's first window, and settled
+    spans (piece null)."""
+    names = ["doc_id", "th", "at", "piece"]
     for batch in chain.from_iterable(_slices(b) for b in batches):
         texts, parts, base = [], [], 0
         for i, (text, calls) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
             texts.append(text.encode("utf-8", "replace"))
-            first, n, off = (np.concatenate(x) for x in zip(*map(_unpack, calls)))
-            parts.append((np.full(len(first), i), np.full(len(first), base), first.astype(np.int64), n.astype(np.int64), off.astype(np.int64)))
+            run = np.array(calls, dtype=np.int64)
+            parts.append((np.full(len(run), i), np.full(len(run), base), run >> 16, run >> 8 & 255, run & 255))
             base += len(texts[-1])
         raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
         doc, base, first, n, off = (np.concatenate([p[i] for p in parts]) for i in range(5))
@@ -437,11 +437,11 @@ def _called_pieces(batches):
             head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             gone = np.zeros(len(order), dtype=bool)
             gone[order] = ids[s][order] > ids[s][order[head]]
-            done = list(_settled_rows(ids[s], th[s], first[s], n[s], off[s], np.where(gone, WHOLE, np.uint32(0))))
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(([x[0] for x in done], [x[1] for x in done], [None] * len(done), [x[2] for x in done]), schema.types)], schema=schema)
+            done = _spans(_settled_spans(ids[s], th[s], first[s], n[s], off[s], np.where(gone, WHOLE, np.uint32(0))))
+            yield pa.record_batch([*done.columns, pa.nulls(done.num_rows, pa.binary())], names=names)
             go = np.flatnonzero(~gone)
             sent = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WIDTH), len(go), [None, pa.py_buffer(np.ascontiguousarray(rows[go]))]).cast(pa.binary())
-            yield pa.record_batch([pa.array(ids[s][go]), pa.array(th[s][go]), pa.array(first[s][go]), sent], schema=schema)
+            yield pa.record_batch([pa.array(ids[s][go]), pa.array(th[s][go]), pa.array(first[s][go]), sent], names=names)
 
 
 def _settle_pieces(batches):
@@ -454,13 +454,12 @@ def _settle_pieces(batches):
         ids, th, first = (t.column(i).to_numpy() for i in range(3))
         rows = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype=np.uint8).reshape(-1, WIDTH)
         off = rows[:, -1].astype(np.int64)
-        done = list(_settled_rows(ids, th, first, rows[:, -2] + off - LENGTH + 1, off, family.scan(rows, ids)))
-        return pa.record_batch([pa.array([x[i] for x in done], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["doc_id", "th", "data"])
+        return _spans(_settled_spans(ids, th, first, rows[:, -2] + off - LENGTH + 1, off, family.scan(rows, ids)))
 
     for batch in batches:
-        done = batch.filter(batch.column(2).is_null())
-        yield pa.record_batch([done.column(i) for i in (0, 1, 3)], names=["doc_id", "th", "data"])
-        batch = batch.filter(batch.column(2).is_valid())
+        done = batch.filter(batch.column(3).is_null())
+        yield pa.record_batch(done.columns[:3], names=["doc_id", "th", "span"])
+        batch = batch.filter(batch.column(3).is_valid())
         held.append(batch)
         size += batch.num_rows
         if size >= BATCH_PIECES:
@@ -473,30 +472,32 @@ def _settle_pieces(batches):
 # --- documents -------------------------------------------------------------------
 
 
-def _cut(text: str | None, blobs) -> tuple[bytes, bytes, int, int]:
-    """(whole, kept, removed bytes, maximal removed runs); an empty blob takes all."""
+#: The span of a text that goes whole.
+ALL = -1
+
+
+def _cut(text: str | None, spans) -> tuple[bytes, bytes, int, int]:
+    """(whole, kept, removed bytes, maximal removed runs)."""
     raw = (text or "").encode("utf-8", "replace")
-    if not blobs or len(raw) < LENGTH:
+    if not spans or len(raw) < LENGTH:
         return raw, raw, 0, 0
-    if not all(blobs):
+    spans = np.array(spans, dtype=np.int64)
+    if spans.min() == ALL:
         return raw, b"", len(raw), 1
     edge = np.zeros(len(raw) + 1, dtype=np.int64)
-    for blob in blobs:
-        first, n = _unpack(blob)
-        first = first.astype(np.int64)
-        np.add.at(edge, first, 1)
-        np.add.at(edge, np.minimum(first + n - 1 + LENGTH, len(raw)), -1)
+    np.add.at(edge, spans >> 8, 1)
+    np.add.at(edge, (spans >> 8) + (spans & 255) - 1 + LENGTH, -1)
     gone = np.cumsum(edge[:-1]) > 0
-    spans = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1))
+    n = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=0) == 1))
     kept = np.frombuffer(raw, dtype=np.uint8)[~gone].tobytes()
-    return raw, kept, len(raw) - len(kept), spans
+    return raw, kept, len(raw) - len(kept), n
 
 
 NO_ID = -(2**63)
 
 
 def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts by (key, th), what goes of them as (key, th, blobs))."""
+    """(texts by (key, th), what goes of them as (key, th, spans))."""
     spark = docs.sparkSession
     # Keys that can't be null, so that all joins see the same exchange of the texts.
     keyed = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("key", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("th", F.hash("text"))
@@ -522,14 +523,14 @@ def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     while width > 1:
         width //= FAN
         noted = noted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_deal_again(shards, width, bits), _ROW)
-    calls = noted.groupBy("bucket").applyInArrow(_call_shared, "doc_id long, th int, data binary")
-    calls = calls.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list("data").alias("calls"))
+    calls = noted.groupBy("bucket").applyInArrow(_call_shared, "doc_id long, th int, run long")
+    calls = calls.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list("run").alias("calls"))
     pieces = texts.join(calls.hint("merge"), ["key", "th"]).select("doc_id", "th", "text", "calls").mapInArrow(_called_pieces, _PIECE_ROW)
-    anchored = F.when(F.col("first").isNotNull(), F.xxhash64(F.substring("data", 1, K))).otherwise(F.col("doc_id"))
+    anchored = F.when(F.col("piece").isNotNull(), F.xxhash64(F.substring("piece", 1, K))).otherwise(F.col("doc_id"))
     pieces = pieces.repartition(parts, anchored).sortWithinPartitions("doc_id")
-    gone = pieces.mapInArrow(_settle_pieces, "doc_id long, th int, data binary").select(F.col("doc_id").alias("key"), "th", "data")
-    gone = gone.unionAll(copies.select("key", "th", F.lit(b"").alias("data")))
-    return texts, gone.groupBy("key", "th").agg(F.collect_list("data").alias("blobs"))
+    gone = pieces.mapInArrow(_settle_pieces, "doc_id long, th int, span long").select(F.col("doc_id").alias("key"), "th", "span")
+    gone = gone.unionAll(copies.select("key", "th", F.lit(ALL).cast("long").alias("span")))
+    return texts, gone.groupBy("key", "th").agg(F.collect_list("span").alias("spans"))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -543,12 +544,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     names = docs.columns
     rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
     texts, gone = _settled(docs.select(rest.alias("row"), "doc_id", "text"))
-    met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("row", "text", "blobs")
+    met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("row", "text", "spans")
 
     def run(batches):
         for batch in batches:
-            rows, old, blobs = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            new = [t if not b else _cut(t, b)[1].decode("utf-8", "replace") for t, b in zip(old, blobs)]
+            rows, old, spans = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            new = [t if not x else _cut(t, x)[1].decode("utf-8", "replace") for t, x in zip(old, spans)]
             size = pa.array([None if t is None else len(t) for t in new], pa.int64())
             own = {"text": pa.array(new, batch.column(1).type), "n_chars": size.cast(rows.type.field("n_chars").type) if "n_chars" in names else size}
             yield pa.record_batch([own[c] if c in own else rows.field(c) for c in names], names=names)
@@ -559,11 +560,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of what ``remove_repeats`` leaves; null texts count as empty."""
     texts, gone = _settled(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("doc_id", "text", "blobs")
+    met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("doc_id", "text", "spans")
 
     def run(batches):
         for batch in batches:
-            done = [_cut(t, b) for t, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            done = [_cut(t, x) for t, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.record_batch(
                 [batch.column(0), *(pa.array([f(x) for x in done], t) for f, t in ((lambda x: len(x[0]), pa.int64()), (lambda x: x[2], pa.int64()), (lambda x: x[3], pa.int64()), (lambda x: hashlib.sha256(x[1]).hexdigest(), pa.string())))],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
