@@ -8,8 +8,9 @@ n log n in a pre-token's bytes, so one of any length is encoded whole.
 
 ``PrefixCounts`` stores how many tokens every prefix of a pre-token encodes to.
 The last token of a prefix's encoding is the one token that ends there and is
-compatible with the last token of what precedes it, so one pass suffices, and
-truncation and budget questions need no further encoding.
+compatible with the last token of what precedes it, so one pass suffices. ``profile``
+stores a text's counts at every prefix, which answers truncation and budget questions
+without encoding anything again.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import base64
 import hashlib
 import heapq
 import json
-from itertools import chain, islice
+from itertools import accumulate, chain, islice
 
 import ahocorasick
 import numpy as np
@@ -33,7 +34,7 @@ from .common import table
 
 #: Unicode's White_Space, which is what ``\s`` means to the tokenizer libraries.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_SPACE = regex.compile(f"[{SPACE}]")
+_SPACE, _BLANK = regex.compile(f"[{SPACE}]"), regex.compile(f"[{SPACE}]+")
 #: Distinct words whose encoding a worker remembers before it starts afresh.
 CACHE = 300_000
 #: The same where only counts are remembered.
@@ -440,27 +441,62 @@ class PrefixCounts:
     def count(self, text: str) -> int:
         return self.count_all([text])[0]
 
-    def profile(self, text: str) -> list[tuple[int, int]]:
-        """(bytes, tokens) at every byte prefix that ends within or at a pre-token.
+    def _cuts(self, string: str) -> list[int]:
+        """Tokens of a piece's every prefix of whole characters, the empty one first."""
+        counts = self.prefixes(string.encode())
+        if len(counts) == len(string) + 1:
+            return counts
+        at = accumulate((len(c.encode()) for c in string), initial=0)
+        return [counts[i] for i in at]
 
-        Token counts are those of the text cut there, the last pre-token cut short.
+    def profile(self, text: str) -> list[int]:
+        """Tokens of text[:i], as the library would count that text, for each i from 0.
+
+        A text cut within a pre-token ends in a shorter one. Two cases differ: white
+        space at the cut is one pre-token, as no word follows, and a contraction cut
+        short is a sign and a letter. A special string cut short is ordinary text.
         """
-        out, size, tokens = [(0, 0)], 0, 0
+        out, base, begin = [0], 0, 0
         for special, s in self.segments(text):
-            for m in [s] if special else self.units.find(s):
-                piece = m.encode()
-                if special:
-                    size, tokens = size + len(piece), tokens + 1
-                    out.append((size, tokens))
-                    continue
-                counts = self.prefixes(piece)
-                out.extend((size + i, tokens + c) for i, c in enumerate(counts) if i)
-                size, tokens = size + len(piece), tokens + counts[-1]
+            if special:
+                # Up to here ``s`` continues the plain text before it.
+                lead = text[begin : len(out) - 1]
+                tail = lead[max(last, 0) :]
+                for i in range(1, len(s)):
+                    out.append(before + sum(self.prefixes(x.encode())[-1] for x in self.units.find(tail + s[:i])))
+                base, begin = base + 1, len(out)
+                out.append(base)
+                continue
+            # last: where the last pre-token, or the white space at the end, starts;
+            # before: the tokens up to there.
+            at, last, before, space = 0, -1, base, 0
+            for m in self.units.find(s):
+                cuts = self._cuts(m)
+                word = len(m) > 1 and m[0] == " " and not _SPACE.match(m[1])
+                blank = _SPACE.match(m[-1]) is not None
+                if blank or word:
+                    # The run of white space that the cuts so far and these end in.
+                    start = at - space
+                    if not space:
+                        last, before = start, base
+                        run = self._cuts(_BLANK.match(s, start).group())
+                    n = len(m) if blank else 1
+                    out.extend(before + c for c in run[space + 1 : space + n + 1])
+                    if word:
+                        last, before = at, base
+                        out.extend(base + c for c in cuts[2:])
+                else:
+                    last, before = at, base
+                    if m[0] == "'" and len(m) > 1 and m[1].isalpha():
+                        cuts = [0, *(sum(self.prefixes(x.encode())[-1] for x in self.units.find(m[:i])) for i in range(1, len(m))), cuts[-1]]
+                    out.extend(base + c for c in cuts[1:])
+                space = space + len(m) if blank else 0
+                at, base = at + len(m), base + cuts[-1]
         return out
 
-    def bytes_within(self, text: str, budget: int) -> int:
-        """The most leading bytes whose prefix count is within ``budget`` tokens."""
-        return max(size for size, tokens in self.profile(text) if tokens <= budget)
+    def within(self, text: str, budget: int) -> int:
+        """The most leading characters that have ``budget`` tokens at most."""
+        return max((i for i, n in enumerate(self.profile(text)) if n <= budget), default=0)
 
 
 def _worker_model(kind, content, *rest, made={}):  # noqa: B006 - one model a worker
@@ -535,5 +571,21 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str = public
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 
 
+def prefix_counts(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """doc_id, counts array<int>: tokens of each prefix of whole characters of the text
+    of each row of ``docs(doc_id, text)``, the empty one first; null is empty."""
+    content = _broadcast_file(docs.sparkSession, path or public_tokenizers.path("byte_bpe_50k.json"))
+
+    def run(batches):
+        model = _worker_model(PrefixCounts, content, pattern)
+        for b in batches:
+            for at in range(0, b.num_rows, 100):
+                some = b.slice(at, 100)
+                yield pa.record_batch([some.column(0), pa.array([model.profile(t or "") for t in some.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "counts"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, counts array<int>")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``count_tokens`` of documents, and which are over the limit."""
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .common import Scratch, components, table
 
@@ -130,12 +131,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Only vectors of equal label and length are compared. Null labels, and vectors
     that are null, empty, zero or hold null or non-finite components, link with
     nothing; nor do rows without vec_id, whose component is null. Repeated rows are
-    vectors of their own. Equal vectors are judged once, with their number.
+    vectors of their own. Equal vectors are judged once, with their number. An empty
+    table has no rows; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<double>").alias("x"))
+    # Tiles get floats as they are stored, and take products in double precision.
+    single = vectors.schema["embedding"].dataType == ArrayType(FloatType())
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("x"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     usable = rows.where(fine).where((norm > 0) & (norm < float("inf"))).select("vec_id", "label", "x", F.size("x").alias("dim"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2"))
     key = ["label", "dim", "h1", "h2"]
     classes = scratch.keep(usable.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))
@@ -185,6 +189,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op5_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_vectors`` of embeddings, at cosine 0.93."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 

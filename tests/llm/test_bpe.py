@@ -59,13 +59,6 @@ def test_prefix_counts_match_encoding_each_prefix(counts):
         assert counts.prefixes(piece) == [len(counts.bpe(piece[:i])) if i else 0 for i in range(len(piece) + 1)]
 
 
-def test_budget(counts, library):
-    text = "The and attion to thanedble the, anea."
-    for budget in range(14):
-        n = counts.bytes_within(text, budget)
-        assert len(library.encode(text[:n], add_special_tokens=False).ids) <= budget
-
-
 def test_queue_order():
     q = bpe.RankQueue()
     for rank, at in ((70000, 1), (3, 9), (3, 2), (255, 0), (256, 4)):
@@ -80,3 +73,54 @@ def test_frames_null_empty_repeats(spark):
     got = sorted(tuple(r) for r in bpe.count_tokens(docs).collect())
     assert got == [(1, 0, 0), (2, 0, 0), (3, 3, 2), (3, 3, 2)]
     assert bpe.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_profile_at_every_prefix(counts, library):
+    """The stored counts are the library's for the text cut at each character."""
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for t in [*(x[:80] for x in TEXTS), "\n\n're x", "ing\n\n", "'ve\n\n", "x!<|endoftext|><|endoftext|> y", "a  \n\n b", "''re 'x"]:
+        got = counts.profile(t)
+        assert got == [count(t[:i]) for i in range(len(t) + 1)], t
+        for budget in (0, 1, 3):
+            assert counts.within(t, budget) == max(i for i, n in enumerate(got) if n <= budget)
+
+
+@settings(max_examples=100, deadline=None)
+@given(ANY)
+def test_random_profiles(counts, library, t):
+    assert counts.profile(t) == [len(library.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+
+
+@pytest.mark.parametrize("size", [bpe.SHARED - 1, bpe.SHARED, bpe.SHARED + 1, 20_000])
+def test_long_pre_tokens(ours, theirs, size):
+    """Both ways of merging, by one queue for many pre-tokens and one queue each, agree."""
+    for unit in ("ab", "the", "réêou", "xyzzy"):
+        t = (unit * size)[:size]
+        assert ours.encode(t) == theirs.encode_ordinary(t)
+
+
+def test_queries(spark, tmp_path, theirs, library):
+    """Both queries' rows against the libraries: nulls, repeats, special strings, a long text."""
+    import hashlib
+
+    texts = [*TEXTS, None, "a b", "a b", "word " * 30_000, "x" * 3000, "<|endoftext|>" * 3]
+    rows = [(None if i == 3 else i // 2, t, "en") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, ids string").write.parquet(f"{tmp_path}/documents.parquet")
+    want6, want7 = [], []
+    for i, t, _ in rows:
+        t = t or ""
+        ids, n = theirs.encode_ordinary(t), len(library.encode(t, add_special_tokens=False).ids)
+        want6.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()))
+        want7.append((i, len(t.encode()), n, n > 1024))
+    assert sorted(map(tuple, bpe.op6_byte_bpe(spark, str(tmp_path)).collect()), key=repr) == sorted(want6, key=repr)
+    assert sorted(map(tuple, bpe.op7_token_counts(spark, str(tmp_path)).collect()), key=repr) == sorted(want7, key=repr)
+    encoded = bpe.encode_documents(spark.read.parquet(f"{tmp_path}/documents.parquet"))
+    assert sorted(bytes(r.decoded).decode() for r in encoded.collect()) == sorted(t or "" for t in texts)
+    stored = {r.doc_id: r.counts for r in bpe.prefix_counts(spark.createDataFrame([(1, "it's  \n x"), (2, None)], "doc_id long, text string")).collect()}
+    assert stored[2] == [0] and stored[1] == [len(library.encode("it's  \n x"[:i], add_special_tokens=False).ids) for i in range(10)]
+    assert bpe.op6_byte_bpe(spark, _empty(spark, tmp_path)).count() == 0 == bpe.op7_token_counts(spark, _empty(spark, tmp_path)).count()
+
+
+def _empty(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
+    return f"{tmp_path}/none"
