@@ -19,6 +19,7 @@ import base64
 import hashlib
 import heapq
 import json
+import re
 from itertools import accumulate, chain, islice
 
 import ahocorasick
@@ -35,6 +36,9 @@ from .common import table
 #: Unicode's White_Space, which is what ``\s`` means to the tokenizer libraries.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACE, _BLANK = regex.compile(f"[{SPACE}]"), regex.compile(f"[{SPACE}]+")
+SPACES = frozenset(c for c in map(chr, range(0x3001)) if _SPACE.match(c))
+#: White space beside a space, or at an end: where a text has it, words aren't units.
+_LOOSE = re.compile(f" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$").search
 #: Distinct words whose encoding a worker remembers before it starts afresh.
 CACHE = 300_000
 #: The same where only counts are remembered.
@@ -248,7 +252,7 @@ class Units:
     """Splits texts into units that the pattern treats alike in any context.
 
     A match never starts before a space it holds, so a text may be cut before a
-    single space that a non-space follows. Such units repeat and are remembered.
+    single space between two non-spaces. Such units repeat and are remembered.
     ``of_pieces`` maps a list of pre-tokens (bytes) to a list of tuples; ``finish``
     makes of a unit's joined tuple what is remembered and given out for it.
     """
@@ -258,45 +262,65 @@ class Units:
         self.find = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]")).findall
         self.of_pieces, self.words, self.pieces = of_pieces, {}, {}
 
-    def _segments(self, parts: list[str], dirty) -> list[tuple[int, int, str]]:
-        """(from, to, string) of what isn't a clean word after a space."""
-        out, at = [], None
-        for i in [0, *(i for i, w in enumerate(parts) if i and w in dirty)]:
-            if at is not None and i == at[1] and parts[at[1] - 1] in dirty:
-                at[1] = i + 1
-                continue
-            if at is not None:
-                out.append(at)
-            at = [i, i + 1]
+    def _segments(self, parts: list[str]) -> list[tuple[int, int, str]]:
+        """(from, to, string) of what isn't a word after a space: the first part, and
+        stretches of parts that are empty or begin or end with white space."""
+        out, at = [], [0, 1]
+        for i, w in enumerate(parts):
+            if i and (not w or w[0] in SPACES or w[-1] in SPACES):
+                if i == at[1] and (at[0] or self._loose(parts[0])):
+                    at[1] = i + 1
+                else:
+                    out.append(at)
+                    at = [i, i + 1]
         out.append(at)
         return [(a, b, " " * (a > 0) + " ".join(parts[a:b])) for a, b in out]
 
+    @staticmethod
+    def _loose(w: str) -> bool:
+        return not w or w[0] in SPACES or w[-1] in SPACES
+
+    def _split(self, words: list[str]) -> list[list[str]]:
+        """The pre-tokens of each word with a space before it, all found in one pass."""
+        if not words:
+            return []
+        found = self.find(" " + " ".join(words))
+        ends = np.cumsum(np.fromiter(map(len, found), dtype=np.int64, count=len(found)))
+        wanted = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+        at = np.searchsorted(ends, wanted)
+        if at[-1] >= len(ends) or (ends[at] != wanted).any():  # a pattern that leaves characters out
+            return [self.find(" " + w) for w in words]
+        cuts = (at + 1).tolist()
+        return [found[a:b] for a, b in zip([0, *cuts], cuts)]
+
     def batch(self, texts: list[str]):
         """Yields for each text what is remembered of its units."""
         if len(self.words) > self.cache:
             self.words.clear()
         if len(self.pieces) > self.cache:
             self.pieces.clear()
-        seen: set[str] = set()
-        for t in texts:
-            seen.update(t.split(" "))
-        dirty = {w for w in seen if not w or _SPACE.search(w)}
-        fresh = [w for w in seen if w not in self.words and w not in dirty]
-        strings = {s for t in texts for *_, s in self._segments(t.split(" "), dirty)}
-        found = {s: self.find(s) for s in chain(strings, map(" ".__add__, fresh))}
-        missing = [p for p in set(chain.from_iterable(found.values())) if p not in self.pieces]
+        split = [t.split(" ") for t in texts]
+        segments = [self._segments(p) if _LOOSE(t) else None for t, p in zip(texts, split)]
+        seen: set[str] = set().union(*split)
+        fresh = [w for w in seen - self.words.keys() if w and w[0] not in SPACES and w[-1] not in SPACES]
+        strings = list({s for x in segments if x for *_, s in x} | {p[0] for x, p in zip(segments, split) if not x})
+        found = self._split(fresh) + [self.find(s) for s in strings]
         known = self.pieces
+        missing = list(set(chain.from_iterable(found)) - known.keys())
         known.update(zip(missing, self.of_pieces([p.encode() for p in missing])))
-        whole = {s: known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p))) for s, p in found.items()}
+        whole = [known[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(known.__getitem__, p))) for p in found]
         if self.finish:
-            whole = {s: self.finish(t) for s, t in whole.items()}
-        for w in fresh:
-            self.words[w] = whole[" " + w]
-        for t in texts:
-            parts = t.split(" ")
-            out = list(map(self.words.get, parts))
-            for a, b, s in reversed(self._segments(parts, dirty)):
-                out[a:b] = [whole[s]]
+            whole = list(map(self.finish, whole))
+        self.words.update(zip(fresh, whole))
+        whole = dict(zip(strings, whole[len(fresh) :]))
+        get = self.words.get
+        for parts, cuts in zip(split, segments):
+            out = list(map(get, parts))
+            if cuts:
+                for a, b, s in reversed(cuts):
+                    out[a:b] = [whole[s]]
+            else:
+                out[0] = whole[parts[0]]
             yield out
 
     def __call__(self, text: str) -> list[tuple]:
