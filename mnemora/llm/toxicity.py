@@ -21,8 +21,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+import zlib
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -41,8 +42,6 @@ REPORTS = ["said", "says", "wrote", "called", "quoted", "claimed", "reported", "
 #: A learned stem has so many letters (or is a whole word of any length) and toxic
 #: documents, share of them, and z score. Words that share more letters share these.
 STEM, LEARN_DOCS, LEARN_SHARE, LEARN_Z = (3, 16), 8, 0.4, 6.0
-#: A task passes its counts on when it holds so many stems.
-COUNTED = 200_000
 
 OTHER, INSULT, THREAT, TARGET, NEG, REPORT, DENIED, QUOTED, AIMED, MENACE, PILED = range(11)
 LETTERS = 11
@@ -137,21 +136,32 @@ class Matcher:
     def __init__(self, stems: dict[str, float], weights: dict[int, float]):
         self.classes = {w: c for words, c in ((TARGETS, TARGET), (NEGATIONS, NEG), (REPORTS, REPORT), (THREATS, THREAT)) for w in words}
         self.stems = stems
-        begin = sorted(stems, key=len, reverse=True)
-        parts = [rf"{re.escape(w)}\b" for w in THREATS] + [re.escape(x[:-1]) + r"\b" if x[-1] == " " else re.escape(x) + r"\w" for x in begin]
-        self.pattern = rf"\b(?:{'|'.join(parts)})"
-        self.begin = "|".join(re.escape(x) + r"(?! )" * (x[-1] != " ") for x in begin) or r"(?!)"
+        self.lengths = sorted({len(x) for x in stems if x[-1] != " "}, reverse=True)
         machine = grammar(weights)
         self.next, self.out, self.weight = ([[row[x][i] for x in range(LETTERS)] for row in machine.arcs] for i in range(3))
         self.found = None
 
     def __getstate__(self):
-        return self.__dict__ | {"found": None, "stem_of": None}
+        return self.__dict__ | {"found": None}
+
+    def stem_of(self, word: str) -> str | None:
+        """The stem that makes a word an insult: the word itself, or its longest beginning."""
+        if f"{word} " in self.stems:
+            return f"{word} "
+        return next((word[:k] for k in self.lengths if len(word) > k and word[:k] in self.stems), None)
+
+    def _finder(self):
+        """Finds texts that may match: those that hold a stem or a threat anywhere."""
+        auto = ahocorasick.Automaton()
+        for x in [*THREATS, *(x.rstrip(" ") for x in self.stems)]:
+            auto.add_word(x, True)
+        auto.make_automaton()
+        return lambda text: next(auto.iter(text), None) is not None
 
     def clauses(self, text: str):
         """(score, lexical part of it, outcomes) of each matched clause of a lower-case text."""
         if self.found is None:
-            self.found, self.stem_of = re.compile(self.pattern).search, re.compile(self.begin).match
+            self.found = self._finder()
         if not self.found(text):
             return
         get, nxt, out, weight = self.classes.get, self.next, self.out, self.weight
@@ -161,9 +171,9 @@ class Matcher:
             state, score, lexical, outcomes = 0, 0.0, 0.0, []
             for w in _WORD.findall(clause):
                 c = get(w, OTHER)
-                if c == OTHER and (m := self.stem_of(f"{w} ")):
+                if c == OTHER and (stem := self.stem_of(w)):
                     c = INSULT
-                    lexical += self.stems[m.group()]
+                    lexical += self.stems[stem]
                 score += weight[state][c]
                 o = out[state][c]
                 state = nxt[state][c]
@@ -197,52 +207,57 @@ def arc_weights(x: np.ndarray, y: np.ndarray) -> dict[int, float]:
     return {o: float(np.clip(v, -4, 4)) for o, v in zip(OUTCOMES, w[1:])}
 
 
-def _beginnings(text: str) -> set[str]:
-    """Proper beginnings, of STEM letters, of the text's distinct words, and the words
-    themselves followed by a space."""
-    words = set(_WORD.findall(text.lower()))
+def _beginnings(words: set[str]) -> set[str]:
+    """Proper beginnings, of STEM letters, of the words, and the words themselves
+    followed by a space."""
     return {w[:k] for w in words for k in range(STEM[0], min(len(w) - 1, STEM[1]) + 1)} | {f"{w} " for w in words if len(w) >= STEM[0]}
 
 
+def _kind(words: set[str]) -> int:
+    """The least hash of a text's words: near copies mostly have the same."""
+    return min((zlib.crc32(w.encode()) for w in words), default=0)
+
+
 def learned_stems(sample: DataFrame) -> dict[str, float]:
     """Beginnings of words far more frequent in toxic documents than in others, with
-    the logarithm of their odds; of nested ones the clearest, then the longest.
+    the logarithm of their odds; nothing below one that is clearer.
 
-    All are counted and tested on the executors; those that pass reach the driver.
+    Documents of one kind and label count once, so that a group of copies doesn't make
+    each of its words a stem. All stems are counted and tested on the executors; those
+    that pass reach the driver.
     """
 
     def run(batches):
-        bad, n = Counter(), Counter()
-
-        def counts():
-            keys = list(n)
-            return pa.record_batch([pa.array(keys, pa.string()), pa.array([bad[k] for k in keys], pa.int64()), pa.array([n[k] for k in keys], pa.int64())], names=["stem", "bad", "n"])
-
         for b in batches:
             for label, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found = _beginnings(text or "")
-                n.update(found)
-                if label:
-                    bad.update(found)
-                if len(n) >= COUNTED:
-                    yield counts()
-                    bad, n = Counter(), Counter()
-        yield counts()
-
-    rate = sample.agg(F.avg("label")).first()[0] or 0.0
-    counted = sample.mapInArrow(run, "stem string, bad long, n long").groupBy("stem").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+                words = set(_WORD.findall((text or "").lower()))
+                found = ["", *_beginnings(words)]  # the empty one counts all
+                n = len(found)
+                yield pa.record_batch([pa.array(found, pa.string()), pa.array([int(label)] * n, pa.int32()), pa.array([_kind(words)] * n, pa.int64())], names=["stem", "label", "kind"])
+
+    scratch = Scratch(sample.sparkSession)
+    kinds = sample.mapInArrow(run, "stem string, label int, kind long").distinct()
+    counted = scratch.keep(kinds.groupBy("stem").agg(F.sum("label").alias("bad"), F.count("*").alias("n")))
+    every = counted.where("stem = ''").first()
+    rate = every.bad / every.n if every else 0.0
     z = (F.col("bad") - rate * F.col("n")) / F.sqrt(F.greatest(rate * (1 - rate) * F.col("n"), F.lit(1e-9)))
     clear = []
-    for r in counted.where((F.col("bad") >= LEARN_DOCS) & (F.col("bad") >= LEARN_SHARE * F.col("n")) & (z >= LEARN_Z)).collect():
+    for r in counted.where((F.col("stem") != "") & (F.col("bad") >= LEARN_DOCS) & (F.col("bad") >= LEARN_SHARE * F.col("n")) & (z >= LEARN_Z)).collect():
         # Log-likelihood gain over the base rate: favours stems that explain much.
         share = r.bad / r.n
         gain = r.bad * math.log(share / rate) + ((r.n - r.bad) * math.log((1 - share) / (1 - rate)) if share < 1 else 0.0)
-        clear.append((-gain, -len(r.stem), r.stem, math.log((r.bad + 0.5) / (r.n - r.bad + 0.5))))
-    out: dict[str, float] = {}
-    for *_, stem, odds in sorted(clear):
-        if not any(stem.startswith(x) or x.startswith(stem) for x in out):
-            out[stem] = odds
-    return out
+        clear.append((-gain, -len(r.stem), r.stem, r.bad, r.n))
+    scratch.drop(counted)
+    taken: dict[str, tuple[int, int]] = {}
+    for *_, stem, bad, n in sorted(clear):
+        if any(stem.startswith(x) for x in taken):
+            continue
+        # A wider stem must still say something beyond the commonest of the clearer ones below it.
+        below = max((taken[x] for x in taken if x.startswith(stem)), default=(0, 0))
+        rest = bad - below[0]
+        if rest >= LEARN_DOCS and rest >= LEARN_SHARE / 2 * max(n - below[1], rest):
+            taken[stem] = bad, n
+    return {x: math.log((bad + 0.5) / (n - bad + 0.5)) for x, (bad, n) in taken.items()}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0) -> np.ndarray:

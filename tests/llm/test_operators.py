@@ -434,10 +434,13 @@ def test_classifiers_score_every_row(spark):
 
 
 def test_rare_stems_are_learned_among_many(spark):
-    """A clear stem of 8 toxic documents counts, however many stems are commoner."""
+    """A clear stem of 8 toxic documents counts, however many stems are commoner; the
+    words of one toxic document don't, however many copies of it there are."""
     rng = random.Random(13)
     common = ["".join(rng.choices(string.ascii_lowercase, k=10)) for _ in range(5000)]
-    rows = [(1, " ".join(common) + " zzqxblar" * (i < 8)) for i in range(20)] + [(0, " ".join(common)) for _ in range(40)] + [(0, "plain words") for _ in range(240)]
-    assert len(set().union(*map(toxicity._beginnings, common))) > 20_000
+    some = lambda: " ".join(rng.sample(common, 300))
+    rows = [(1, some() + " zzqxblar" * (i < 8)) for i in range(20)] + [(0, some()) for _ in range(40)] + [(0, words(rng, 12)) for _ in range(240)]
+    rows += [(1, "quxx copied words zzqxblar")] * 60
+    assert len(toxicity._beginnings(set(common))) > 20_000
     got = toxicity.learned_stems(spark.createDataFrame(rows, "label int, text string"))
-    assert set(got) == {"zzqxblar "} and got["zzqxblar "] == pytest.approx(np.log(8.5 / 0.5))
+    assert "zzqxblar " in got and got["zzqxblar "] > 2 and all("zzqxblar".startswith(x.strip()) for x in got)
