@@ -443,4 +443,4 @@ def test_rare_stems_are_learned_among_many(spark):
     rows += [(1, "quxx copied words zzqxblar")] * 60
     assert len(toxicity._beginnings(set(common))) > 20_000
     got = toxicity.learned_stems(spark.createDataFrame(rows, "label int, text string"))
-    assert "zzqxblar " in got and got["zzqxblar "] > 2 and all("zzqxblar".startswith(x.strip()) for x in got)
+    assert "zzqxblar " in got and got["zzqxblar "] > 2 and not {"quxx ", "copied ", "words "} & set(got)
