@@ -32,6 +32,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,8 @@ from .rolling import PIECE, gram_hashes, mix, prefix, window_minima
 
 LENGTH, K = 50, 20
 #: Bytes of text whose anchors one shard is meant to hold, and whose pieces another.
-SHARD_BYTES, PIECE_BYTES = 32 << 20, 8 << 20
-#: Characters of text whose anchors or pieces a task holds at a time.
+SHARD_BYTES, PIECE_BYTES = 16 << 20, 8 << 20
+#: Bytes of text whose anchors or pieces a task holds at a time.
 BATCH_BYTES = 8 << 20
 #: Pieces that a shard sorts at a time.
 BATCH_PIECES = 1 << 16
@@ -183,10 +184,10 @@ def _blobs(dealt):
 
 
 def _slices(batch: pa.RecordBatch, column: int = 2):
-    """Stretches of a batch of about BATCH_BYTES of text, one document at least."""
+    """Stretches of a batch of at most BATCH_BYTES of text, one document at least."""
     if not batch.num_rows:
         return
-    ends = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()])
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < len(ends):
         end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BATCH_BYTES, side="right")))
