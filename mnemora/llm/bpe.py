@@ -40,7 +40,7 @@ SPACES = frozenset(c for c in map(chr, range(0x3001)) if _SPACE.match(c))
 #: White space beside a space, or at an end: where a text has it, words aren't units.
 _LOOSE = re.compile(f" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$").search
 #: Distinct words whose encoding a worker remembers before it starts afresh.
-CACHE = 150_000
+CACHE = 300_000
 #: The same where only counts are remembered.
 COUNT_CACHE = 400_000
 LOW_BITS = 8
@@ -233,7 +233,7 @@ def merge_all(pieces: list[bytes], pairs: PairTable, byte_ids: np.ndarray) -> li
 
 
 #: Characters of text whose words are looked up together.
-STRETCH = 4 << 20
+STRETCH = 6 << 20
 
 
 def stretches(texts: list[str]):
