@@ -41,6 +41,8 @@ SPACES = frozenset(c for c in map(chr, range(0x3001)) if _SPACE.match(c))
 _LOOSE = re.compile(f" [{SPACE}]|[{SPACE}] |^[{SPACE}]|[{SPACE}]$").search
 #: Distinct words whose encoding a worker remembers before it starts afresh.
 CACHE = 300_000
+#: The same in a stage among others, whose workers the others share.
+STAGE_CACHE = 100_000
 #: The same where only counts are remembered.
 COUNT_CACHE = 400_000
 LOW_BITS = 8
@@ -326,6 +328,10 @@ class Units:
     def __call__(self, text: str) -> list[tuple]:
         return next(self.batch([text]))
 
+    def forget(self) -> None:
+        """Drops what is remembered, for a worker that other work shares."""
+        self.words, self.pieces = {}, {}
+
 
 class RankFile:
     """Encodes as the tiktoken library does with a file of ranks, no special tokens.
@@ -334,11 +340,11 @@ class RankFile:
     bytes that they decode to, so that a text's digests take no step per token.
     """
 
-    def __init__(self, content: bytes, pattern: str, digests: bool = False):
+    def __init__(self, content: bytes, pattern: str, digests: bool = False, cache: int = CACHE):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.longest = max(map(len, self.ranks))
-        self.units = Units(pattern, self.of_pieces, finish=self.rendered if digests else None)
+        self.units = Units(pattern, self.of_pieces, cache, self.rendered if digests else None)
         self.pairs = PairTable(self.ranks)
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int32)
 
@@ -548,13 +554,17 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
     schema = schema if keep else schema.add("decoded", BinaryType())
 
     def run(batches):
-        model = _worker_model(RankFile, content, pattern)
-        for b in batches:
-            encoded, at = model.encode_all([t or "" for t in b.column(1).to_pylist()]), 0
-            while ids := list(islice(encoded, 500)):
-                part, at = b.slice(at, len(ids)), at + len(ids)
-                back = [] if keep else [pa.array([model.decode(x) for x in ids], pa.binary())]
-                yield pa.record_batch([*(part.column(i) for i in range(part.num_columns) if i != 1), pa.array(ids, pa.list_(pa.int32())), *back], names=schema.names)
+        model = _worker_model(RankFile, content, pattern, False, STAGE_CACHE)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                b = whole.slice(start, 1000)
+                encoded, at = model.encode_all([t or "" for t in b.column(1).to_pylist()]), 0
+                while ids := list(islice(encoded, 500)):
+                    part, at = b.slice(at, len(ids)), at + len(ids)
+                    back = [] if keep else [pa.array([model.decode(x) for x in ids], pa.binary())]
+                    columns = [part.column(i) for i in range(part.num_columns) if i != 1]
+                    yield pa.record_batch([*columns, pa.array(ids, pa.list_(pa.int32())), *back], names=schema.names)
+        model.units.forget()
 
     return rows.mapInArrow(run, schema)
 

@@ -16,6 +16,16 @@ from .common import held_out
 SAMPLE_ROWS = 10_000
 
 
+#: Texts of a batch that are Python strings at a time.
+AT_ONCE = 500
+
+
+def _few(batches):
+    for b in batches:
+        for at in range(0, b.num_rows, AT_ONCE):
+            yield b.slice(at, AT_ONCE)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE_ROWS) -> DataFrame:
     """(label, text) of up to ``limit`` labelled documents, none of them held out.
 
@@ -34,7 +44,7 @@ def sample_matrix(sample: DataFrame, features: Callable[[str], list[float]], n:
     """Features and labels of the sample, computed on the executors; texts stay there."""
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             rows = [features(t or "") for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -53,7 +63,7 @@ def score_documents(docs: DataFrame, features: Callable[[str], list[float]], pre
     at = rows.columns.index("_text")
 
     def run(batches):
-        for b in batches:
+        for b in _few(batches):
             texts = b.column(at).to_pylist()
             score = predict(np.array([features(t or "") for t in texts], dtype=np.float64)) if texts else np.empty(0)
             columns = [b.column(i) for i in range(b.num_columns) if i != at]
