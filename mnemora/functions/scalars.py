@@ -7,19 +7,62 @@ from pyspark.sql import functions as F
 
 # Scripts written without spaces, and the vocabularies below.
 CJK = r"[぀-ヿ㐀-䶿一-鿿豈-﫿가-힣]"
-NEGATIONS = ["not", "never", "no", "dont", "don't", "doesnt", "doesn't", "wont", "won't", "shouldnt", "shouldn't", "cant", "can't", "without", "avoid", "neither", "nor", "nothing", "nobody", "nowhere", "none"]
-STOP_WORDS = (
-    "a an the is are was were be been being have has had do does did will would could should may might shall can need must "
-    "to for of in on at by from with about and or but if then so as that this these those it its i my we our you your they "
-    "their what how when where who which why not just now also than only any all each"
-).split()
+NEGATIONS = [
+    "not", "never", "no", "dont", "don't", "doesnt", "doesn't", "wont", "won't", "shouldnt", "shouldn't", "cant", "can't",
+    "without", "avoid", "neither", "nor", "nothing", "nobody", "nowhere", "none",
+]
+STOP_WORDS = [
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "shall", "can", "need", "must", "to", "for", "of", "in", "on", "at", "by", "from", "with", "about", "and", "or", "but",
+    "if", "then", "so", "as", "that", "this", "these", "those", "it", "its", "i", "my", "we", "our", "you", "your", "they", "their", "what", "how",
+    "when", "where", "who", "which", "why", "not", "just", "now", "also", "than", "only", "any", "all", "each",
+]
+TYPES = ["episodic", "semantic", "procedural", "feedback"]
 TRUST = ["trusted", "reported", "untrusted"]
 IMPORTANCE_TIERS = [
-    (0.90, [r"\b(always|never)\b", r"\bfrom now on\b", r"\b(must|must not|mustn't)\b", r"\bdo not ever\b", r"\bimportant\b", r"\bcritical\b", r"^correction\b", r"\bactually,", r"\bthat('s| is| was) (wrong|incorrect)\b", r"\bnot \w+([ ,]+\w+){0,3}[ ,]+but\b", r"\binstead of\b", r"\bprefers?\b", r"\bfavou?rite\b", r"\b(i|user) (like|love|hate|dislike)s?\b", r"\bdon'?t (like|want|use)\b"]),
-    (0.75, [r"\bdecided\b", r"\bdecision\b", r"\bwe (use|chose|agreed|settled on)\b", r"\bconvention\b", r"\bpolicy\b", r"\bstandard\b", r"\brule\b", r"\bworkflow\b", r"\brequired\b"]),
-    (0.60, [r"\b(fixed|solved|resolved)\b", r"\b(implemented|added|built|created)\b", r"\b(deployed|released|shipped|merged|published)\b", r"\b(configured|installed|migrated)\b"]),
-    (0.35, [r"\b(noticed|observed|saw|spotted)\b", r"\b(seems|appears|looks like)\b", r"\b(maybe|perhaps|might|possibly)\b", r"\bnot sure\b", r"\bfor now\b", r"\btemporar(y|ily)\b"]),
-]
+    (0.9, [
+        r"\b(always|never)\b",
+        r"\bfrom now on\b",
+        r"\b(must|must not|mustn't)\b",
+        r"\bdo not ever\b",
+        r"\bimportant\b",
+        r"\bcritical\b",
+        r"^correction\b",
+        r"\bactually,",
+        r"\bthat('s| is| was) (wrong|incorrect)\b",
+        r"\bnot \w+([ ,]+\w+){0,3}[ ,]+but\b",
+        r"\binstead of\b",
+        r"\bprefers?\b",
+        r"\bfavou?rite\b",
+        r"\b(i|user) (like|love|hate|dislike)s?\b",
+        r"\bdon'?t (like|want|use)\b",
+    ]),
+    (0.75, [
+        r"\bdecided\b",
+        r"\bdecision\b",
+        r"\bwe (use|chose|agreed|settled on)\b",
+        r"\bconvention\b",
+        r"\bpolicy\b",
+        r"\bstandard\b",
+        r"\brule\b",
+        r"\bworkflow\b",
+        r"\brequired\b",
+    ]),
+    (0.6, [
+        r"\b(fixed|solved|resolved)\b",
+        r"\b(implemented|added|built|created)\b",
+        r"\b(deployed|released|shipped|merged|published)\b",
+        r"\b(configured|installed|migrated)\b",
+    ]),
+    (0.35, [
+        r"\b(noticed|observed|saw|spotted)\b",
+        r"\b(seems|appears|looks like)\b",
+        r"\b(maybe|perhaps|might|possibly)\b",
+        r"\bnot sure\b",
+        r"\bfor now\b",
+        r"\btemporar(y|ily)\b",
+    ]),
+]
 DAY = 86400.0
 NO_STRINGS = "array<string>"
 
@@ -71,13 +114,25 @@ def estimate_tokens(text: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(F.length(text) / 4.0).cast("int"))
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it, even
+    within functions over arrays."""
+    return F.transform(F.array(value), use)[0]
+
+
 def key_phrases(text: Column, most: int = 3) -> Column:
     """Distinct pairs of neighbouring content words, then the words; ``most`` of them."""
     if most < 0:
         raise ValueError(f"most must be >= 0, not {most}")
+    none = F.array().cast(NO_STRINGS)
+
+    def phrases(words: Column) -> Column:
+        pair = lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1))
+        pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), pair)).otherwise(none)
+        return F.slice(F.array_distinct(F.concat(pairs, words)), 1, most)
+
     words = F.filter(tokenize(text), lambda w: ~w.isin(STOP_WORDS) & (F.length(w) > 2))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).otherwise(F.array().cast(NO_STRINGS))
-    return F.slice(F.array_distinct(F.concat(pairs, words)), 1, most) if most else F.array().cast(NO_STRINGS)
+    return bound(words, phrases) if most else none
 
 
 def fanout_queries(text: Column, most: int = 3) -> Column:
@@ -128,12 +183,137 @@ def pack_line(text: Column, type_: Column, pinned: Column, trust: Column) -> Col
 
 def parse_duration(text: Column) -> Column:
     """Whole seconds of ``30m``, ``1.5h``, ``7d``, ``2w``; null if malformed."""
-    m = r"^\s*(\d+(?:\.\d+)?)\s*([smhdw])\s*$"
-    unit = F.regexp_extract(F.lower(text), m, 2)
-    seconds = F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).when(unit == "w", 604800)
-    return F.floor(F.regexp_extract(F.lower(text), m, 1).try_cast("double") * seconds)
+    return F.floor(F.regexp_extract(F.lower(text), _SPAN, 1).try_cast("double") * _unit(text))
 
 
 def is_valid_at(start: Column, end: Column, at: Column) -> Column:
     """Half-open interval; 0 on either side is unbounded."""
     return ((start == 0) | (start <= at)) & ((end == 0) | (at < end))
+
+
+# --- checks ------------------------------------------------------------------------
+
+
+def check_choice(value: str, allowed, name: str) -> str:
+    """``value`` if it is allowed; an unknown one is never taken for a default."""
+    if value not in allowed:
+        raise ValueError(f"{name} must be one of {', '.join(allowed)}, not {value!r}")
+    return value
+
+
+def check_tag(tag: str) -> str:
+    if not tag.strip() or "," in tag:
+        raise ValueError(f"a tag must not be blank nor hold a comma: {tag!r}")
+    return tag
+
+
+def choice_ok(value: Column, allowed) -> Column:
+    return F.coalesce(value.isin(*allowed), F.lit(False))
+
+
+def tags_ok(tags: Column) -> Column:
+    return ~F.exists(tags, lambda x: (F.trim(x) == "") | x.contains(","))
+
+
+def validity_ok(start: Column, end: Column) -> Column:
+    """Neither is negative, and where both are set the end comes after the start."""
+    return (start >= 0) & (end >= 0) & ((start == 0) | (end == 0) | (end > start))
+
+
+# --- times and display ---------------------------------------------------------------
+
+_SPAN = r"^\s*(\d+(?:\.\d+)?)\s*([smhdw])\s*$"
+
+
+def _unit(text: Column) -> Column:
+    unit = F.regexp_extract(F.lower(text), _SPAN, 2)
+    return F.when(unit == "s", 1).when(unit == "m", 60).when(unit == "h", 3600).when(unit == "d", 86400).when(unit == "w", 604800)
+
+
+def parse_timestamp(text: Column, now: float) -> Column:
+    """Epoch seconds of a span before ``now`` (``7d``), of a number, or of an ISO date or
+    time, in UTC unless it says otherwise; null if blank. Anything else is an error."""
+    clean = F.trim(text)
+    span = F.lit(now) - F.regexp_extract(F.lower(clean), _SPAN, 1).try_cast("double") * _unit(clean)
+    day = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(clean, F.lit("T00:00:00"))).otherwise(clean)
+    zoned = F.when(day.rlike(r"([Zz]|[+-]\d{2}:?\d{2})$"), day).otherwise(F.concat(day, F.lit("Z")))
+    iso = F.when(clean.rlike(r"^\d{4}-\d{2}-\d{2}"), F.unix_micros(zoned.try_cast("timestamp")) / 1e6)
+    stop = F.raise_error(F.concat(F.lit("invalid timestamp: "), clean)).cast("double")
+    return F.when(F.coalesce(clean, F.lit("")) == "", F.lit(None).cast("double")).otherwise(F.coalesce(span, clean.try_cast("double"), iso, stop))
+
+
+def format_duration(seconds: Column) -> Column:
+    """``45s``, ``3m 5s``, ``2h``, ``1d 4h``: the two largest units, zero ones left out."""
+    n = F.abs(seconds).cast("long")
+    of = lambda size, name, rest, less: F.concat(F.floor(n / size).cast("string"), F.lit(name), F.when(F.floor(n % size / rest) > 0, F.concat(F.lit(" "), F.floor(n % size / rest).cast("string"), F.lit(less))).otherwise(""))
+    small = F.when(n < 60, F.concat(n.cast("string"), F.lit("s"))).when(n < 3600, of(60, "m", 1, "s"))
+    return small.when(n < 86400, of(3600, "h", 60, "m")).otherwise(of(86400, "d", 3600, "h"))
+
+
+def age(at: Column, now: float) -> Column:
+    """How long ago, in the largest unit that fits."""
+    gone = F.lit(now) - at
+    ago = lambda size, name: F.concat(F.floor(gone / size).cast("string"), F.lit(f"{name} ago"))
+    near = F.when(gone < 60, "just now").when(gone < 3600, ago(60, "m")).when(gone < DAY, ago(3600, "h"))
+    return near.when(gone < 7 * DAY, ago(DAY, "d")).when(gone < 60 * DAY, ago(7 * DAY, "w")).otherwise(ago(30 * DAY, "mo"))
+
+
+def snippet(text: Column, width: int = 60) -> Column:
+    """On one line, at most ``width`` characters, the last an ellipsis if cut."""
+    flat = F.array_join(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), " ")
+    return F.when(F.length(flat) > width, F.concat(F.substring(flat, 1, width - 1), F.lit("…"))).otherwise(flat)
+
+
+def links_of(text: Column) -> Column:
+    """Links of a JSON list of {to, rel}; malformed ones count as none."""
+    none = F.array().cast("array<struct<to:string,rel:string>>")
+    return F.coalesce(F.from_json(text, "array<struct<to:string,rel:string>>"), none)
+
+
+# --- chunks --------------------------------------------------------------------------
+
+
+def chunks(text: Column, max_chars: int = 500, min_chars: int = 30) -> Column:
+    """Paragraphs as an array; a heading goes with what follows it. A longer paragraph is
+    cut between sentences, as many to a chunk as fit, and a short leftover joins its
+    neighbour there. Chunks below ``min_chars`` are left out; a sentence is never cut."""
+    strings = "array<string>"
+    bare = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    real = lambda xs: F.filter(F.transform(xs, bare), lambda x: x != "")
+    none, empty = F.lit(None).cast("string"), F.array().cast(strings)
+    blocks = real(F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?U)\n\s*\n"))
+
+    def glue(acc: Column, block: Column) -> Column:
+        both = F.concat_ws("\n", acc["open"], block)
+        head = block.rlike(r"(?U)^#{1,6}\s+\S") & ~block.contains("\n")
+        return F.struct(F.when(head, both).alias("open"), F.when(head, acc["done"]).otherwise(F.concat(acc["done"], F.array(both))).alias("done"))
+
+    start = F.struct(none.alias("open"), empty.alias("done"))
+    closed = lambda acc: F.when(acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+
+    def folded(parts: Column, joins) -> Column:
+        """Each part joins the one before it where ``joins`` says so."""
+
+        def step(acc: Column, x: Column) -> Column:
+            on = acc["open"].isNotNull() & joins(acc["open"], x)
+            return F.struct(
+                F.when(on, F.concat_ws(" ", acc["open"], x)).otherwise(x).alias("open"),
+                F.when(on | acc["open"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
+            )
+
+        return F.aggregate(parts, start, step, closed)
+
+    def cut(block: Column) -> Column:
+        packed = folded(real(F.split(block, r"(?U)(?<=[.!?])\s+")), lambda a, x: F.length(a) + 1 + F.length(x) <= max_chars)
+        whole = folded(packed, lambda a, x: F.length(x) < min_chars)
+
+        def forward(parts: Column) -> Column:
+            runt = (F.size(parts) > 1) & (F.length(F.get(parts, 0)) < min_chars)
+            two = F.array(F.concat_ws(" ", F.get(parts, 0), F.get(parts, 1)))
+            return F.when(runt, F.concat(two, F.slice(parts, 3, F.greatest(F.size(parts) - 2, F.lit(0))))).otherwise(parts)
+
+        return bound(whole, forward)
+
+    glued = F.aggregate(blocks, start, glue, closed)
+    every = F.flatten(F.transform(glued, lambda b: F.when(F.length(b) <= max_chars, F.array(b)).otherwise(cut(b))))
+    return F.filter(every, lambda c: F.length(c) >= min_chars)

@@ -1,16 +1,25 @@
-"""Conflicts, clusters, lexical candidates, and rewrites of tags and references."""
+"""Conflicts between alike rows, and clusters of them."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..scratch import Scratch, components
+from . import recall as R
 
 #: Vectors of one type that meet in a task are at most twice this many.
 BLOCK = 2048
+#: A new row is compared with so many of its nearest neighbours, itself among them.
+NEIGHBOURS = 12
+
+PairRule = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
 def similar_vectors(rows: DataFrame, threshold: float) -> DataFrame:
@@ -18,7 +27,8 @@ def similar_vectors(rows: DataFrame, threshold: float) -> DataFrame:
 
     Every vector is compared once per type however many rows share it. Vectors are
     dealt to blocks; each pair of blocks is one group and one matrix product, whose
-    candidates are confirmed by a plain sum, as the product rounds differently.
+    candidates are confirmed by a plain sum, as the product rounds differently. Exact,
+    and so quadratic in a type's distinct vectors.
     """
     distinct = rows.select("type", "vec_id", "x").dropDuplicates(["type", "vec_id"])
     size = distinct.groupBy("type").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
@@ -42,120 +52,107 @@ def similar_vectors(rows: DataFrame, threshold: float) -> DataFrame:
             _, first = np.unique(i * len(ids) + j, return_index=True)
             keep[:] = False
             keep[first] = True
-        cos = (x[i] * x[j]).sum(axis=1) / (norm[i] * norm[j])
+        cos = np.divide((x[i] * x[j]).sum(axis=1), norm[i] * norm[j], out=np.zeros(len(i)), where=norm[i] * norm[j] > 0)
         keep &= cos >= threshold
-        n = int(keep.sum())
-        return pa.table({"type": pa.array([table["type"][0].as_py()] * n, pa.string()), "p": pa.array(ids[i][keep], pa.int64()), "q": pa.array(ids[j][keep], pa.int64()), "similarity": pa.array(cos[keep], pa.float64())})
+        kind = pa.array([table["type"][0].as_py()] * int(keep.sum()), pa.string())
+        return pa.table({"type": kind, "p": ids[i][keep], "q": ids[j][keep], "similarity": cos[keep]})
 
     return dealt.groupBy("type", "low", "high").applyInArrow(meet, "type string, p long, q long, similarity double")
 
 
-def conflicts(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """a, b, similarity, kind of live rows of one type, alike, with a tag in common.
+FACTS = ("id", "text", "tags", "polarity", "neg")
 
-    Opposite polarity comes before a differing parity of negations, and that before
-    a plain duplicate.
-    """
-    near = similar_vectors(rows, threshold)
-    facts = rows.select("type", "vec_id", "id", "tags", "polarity", (S.count_negations(S.tokenize(F.col("text"))) % 2).alias("neg"))
-    one = facts.select("type", F.col("vec_id").alias("p"), *(F.col(c).alias(f"{c}1") for c in ("id", "tags", "polarity", "neg")))
-    two = facts.select("type", F.col("vec_id").alias("q"), *(F.col(c).alias(f"{c}2") for c in ("id", "tags", "polarity", "neg")))
-    met = near.join(one, ["type", "p"]).join(two, ["type", "q"]).where((F.col("p") != F.col("q")) | (F.col("id1") < F.col("id2")))
-    met = met.where(F.arrays_overlap("tags1", "tags2"))
-    kind = F.when(F.col("polarity1") * F.col("polarity2") == -1, "polarity").when(F.col("neg1") != F.col("neg2"), "negation").otherwise("duplicate")
-    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.round("similarity", 4).alias("similarity"), kind.alias("kind"))
 
+def _facts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("neg", S.count_negations(S.tokenize(F.col("text"))) % 2)
 
-def leader_clusters(rows: DataFrame, threshold: float = 0.75, least: int = 2) -> DataFrame:
-    """id, leader, n: seeds by falling importance absorb what is alike and of a
-    polarity that doesn't oppose theirs. Rows meet within one connected block only."""
-    near = similar_vectors(rows, threshold)
-    facts = rows.select("vec_id", "id", "importance", "created_at", "polarity")
-    # Absorption runs along alike pairs only, so a component can be folded by itself.
-    links = near.select("p", "q").distinct()
-    comp = links.select(F.col("p").alias("n"), "q").union(links.select(F.col("q").alias("n"), "p")).groupBy("n").agg(F.min("q").alias("c"))
-    while True:
-        step = links.join(comp.select(F.col("n").alias("p"), F.col("c").alias("cp")), "p").join(comp.select(F.col("n").alias("q"), F.col("c").alias("cq")), "q")
-        low = step.select("p", F.least("cp", "cq").alias("c")).union(step.select("q", F.least("cp", "cq"))).groupBy(F.col("p").alias("n")).agg(F.min("c").alias("c"))
-        moved = low.join(comp.withColumnRenamed("c", "old"), "n").where("c <> old").isEmpty()
-        comp = low
-        if moved:
-            break
-    blocks = facts.join(comp.withColumnRenamed("n", "vec_id"), "vec_id").join(rows.select("id", "x"), "id")
-
-    def fold(pdf):
-        pdf = pdf.sort_values(["importance", "created_at", "id"], ascending=[False, True, True]).reset_index(drop=True)
-        x = np.array(pdf.x.tolist())
-        unit = x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
-        used, out = np.zeros(len(pdf), dtype=bool), []
-        for i in range(len(pdf)):
-            if used[i]:
-                continue
-            mood, members = int(pdf.polarity[i]), [i]
-            used[i] = True
-            for j in np.flatnonzero(~used & (unit @ unit[i] >= threshold)):
-                other = int(pdf.polarity[j])
-                if mood * other >= 0:
-                    members.append(j)
-                    used[j] = True
-                    mood = mood or other
-            if len(members) >= least:
-                out.extend((pdf.id[k], pdf.id[i], len(members)) for k in members)
-        return __import__("pandas").DataFrame(out, columns=["id", "leader", "n"])
 
-    return blocks.select("id", "importance", "created_at", "polarity", "c", "x").groupBy("c").applyInPandas(fold, "id string, leader string, n long")
+def classify(one: Callable[[str], Column], two: Callable[[str], Column], contradicts: PairRule | None = None) -> Column:
+    """The kind of a clash: opposite polarity, then a differing parity of negations, then
+    what ``contradicts`` says of the pair, else a plain duplicate."""
+    out = F.when(one("polarity") * two("polarity") == -1, "polarity").when(one("neg") != two("neg"), "negation")
+    if contradicts is not None:
+        out = out.when(contradicts(one, two), "custom")
+    return out.otherwise("duplicate")
 
 
-def lexical_union(pool: DataFrame, memories: DataFrame, queries: DataFrame, probes: int = 4, shortest: int = 3) -> DataFrame:
-    """qid, id, lane: the pool and, beyond it, rows whose text contains one of a
-    query's longest words. Probes are a batch's words; a task finds them in one pass."""
-    words = queries.select("qid", F.explode(F.array_distinct(F.filter(S.tokenize(F.col("qtext")), lambda w: F.length(w) >= shortest))).alias("w"))
-    order = Window.partitionBy("qid").orderBy(F.desc(F.length("w")), "w")
-    words = words.withColumn("n", F.row_number().over(order)).where(F.col("n") <= probes).select("qid", "w")
-    distinct = [r.w for r in words.select("w").distinct().orderBy("w").limit(100_000).collect()]
-    if not distinct:
-        return pool.select("qid", "id", F.lit("pool").alias("lane"))
+def _common_tag(one: Column, two: Column, empty_meets_all: bool = True) -> Column:
+    """Rows without tags clash with all."""
+    return (F.size(one) == 0) | (F.size(two) == 0) | F.arrays_overlap(one, two)
 
-    def find(batches):
-        import ahocorasick
 
-        auto = ahocorasick.Automaton()
-        for w in distinct:
-            auto.add_word(w, w)
-        auto.make_automaton()
-        for b in batches:
-            pairs = [(i, w) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for w in {w for _, w in auto.iter(t or "")}]
-            yield pa.record_batch([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["id", "w"])
+def conflicts(rows: DataFrame, threshold: float = 0.8, contradicts: PairRule | None = None) -> DataFrame:
+    """a, b, similarity, kind of live rows of one type that are alike and have a tag in
+    common, or one of which has no tags."""
+    near = similar_vectors(rows, threshold)
+    facts = _facts(rows)
+    one = facts.select("type", F.col("vec_id").alias("p"), *(F.col(c).alias(f"{c}1") for c in FACTS))
+    two = facts.select("type", F.col("vec_id").alias("q"), *(F.col(c).alias(f"{c}2") for c in FACTS))
+    met = near.join(one, ["type", "p"]).join(two, ["type", "q"]).where((F.col("p") != F.col("q")) | (F.col("id1") < F.col("id2")))
+    met = met.where(_common_tag(F.col("tags1"), F.col("tags2")))
+    kind = classify(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"), contradicts)
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.round("similarity", 4).alias("similarity"), kind.alias("kind"))
 
-    found = memories.select("id", "text").mapInArrow(find, "id string, w string").join(words, "w").select("qid", "id").distinct()
-    new = found.join(pool.select("qid", "id"), ["qid", "id"], "left_anti").withColumn("lane", F.lit("lexical"))
-    return new.unionByName(pool.select("qid", "id", F.lit("pool").alias("lane")))
 
+def conflicts_for(new: DataFrame, rows: DataFrame, vectors: DataFrame, now: float, threshold: float = 0.8, contradicts: PairRule | None = None) -> DataFrame:
+    """a, b, similarity, kind: what each row of ``new`` clashes with among ``rows``.
 
-def rename_tags(rows: DataFrame, old: list[str], new: str) -> DataFrame:
-    """Rows that have an old tag, with the new one in its place, first place kept."""
-    if not new.strip() or "," in new:
-        raise ValueError("a tag must not be blank nor hold a comma")
-    fresh = F.array_distinct(F.transform("tags", lambda x: F.when(x.isin(old), new).otherwise(x)))
-    return rows.where(F.arrays_overlap("tags", F.array(*[F.lit(x) for x in old]))).withColumn("tags", fresh)
+    Of its nearest NEIGHBOURS, of any type and state, those count that are another
+    row, live, of its type, alike enough, and share a tag if both have any.
+    """
+    queries = new.join(vectors.select("vec_id", F.col("x").alias("qx")), "vec_id").select(F.col("id").alias("qid"), "qx")
+    pool = R.vector_pool(rows, vectors, queries, NEIGHBOURS)
+    mine = _facts(new).select(F.col("id").alias("qid"), F.col("type").alias("type1"), *(F.col(c).alias(f"{c}1") for c in FACTS))
+    theirs = _facts(rows.where(R.eligible(now))).select("id", F.col("type").alias("type2"), *(F.col(c).alias(f"{c}2") for c in FACTS))
+    met = pool.where((F.col("id") != F.col("qid")) & (F.col("cosine") >= threshold)).join(mine, "qid").join(theirs, "id")
+    met = met.where((F.col("type1") == F.col("type2")) & _common_tag(F.col("tags1"), F.col("tags2")))
+    kind = classify(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"), contradicts)
+    return met.select(F.col("qid").alias("a"), F.col("id").alias("b"), F.round("cosine", 4).alias("similarity"), kind.alias("kind"))
 
 
-def repoint(edges: DataFrame, old: str, new: str) -> DataFrame:
-    """Edges into ``old`` lead to ``new``; loops and repeats that arise are dropped."""
-    return edges.withColumn("dst", F.when(F.col("dst") == old, new).otherwise(F.col("dst"))).where("src <> dst").distinct()
+#: Rows and distinct vectors of one component that are folded in a task at most.
+FOLD_ROWS = 2_000_000
 
 
-def merged(keep: DataFrame, gone: DataFrame, on: str) -> DataFrame:
-    """Texts joined, the worse trust, and pinned if either is."""
-    other = gone.select(on, F.col("text").alias("t2"), F.col("trust").alias("r2"), F.col("pinned").alias("p2"))
-    worst = F.greatest(S.trust_rank(F.col("trust")), S.trust_rank(F.col("r2")))
-    return keep.join(other, on).select("id", F.concat("text", F.lit("\n\n"), "t2").alias("text"), S.trust_label(worst).alias("trust"), (F.col("pinned") | F.col("p2")).alias("pinned"))
+def leader_clusters(rows: DataFrame, threshold: float = 0.75, least: int = 2) -> DataFrame:
+    """id, leader, n, pos: seeds by falling importance absorb, by age, what is alike and
+    of a polarity that doesn't oppose theirs (a neutral seed takes its first member's).
 
+    Absorption runs along alike pairs only, so components of alike vectors are folded
+    each by itself, whatever their rows' types. A component of more than FOLD_ROWS rows
+    is refused. ``pos`` is a member's place in its cluster.
+    """
+    scratch = Scratch(rows.sparkSession)
+    near = similar_vectors(rows.withColumn("type", F.lit("")), threshold)
+    comp = components(near.select(F.col("q").alias("a"), F.col("p").alias("b")), scratch)
+    comp = comp.select(F.col("node").alias("vec_id"), F.col("component").alias("c"))
+    # A vector that is like no other one still clusters the rows that share it.
+    facts = rows.select("vec_id", "id", "importance", "created_at", "polarity").join(comp, "vec_id", "left").withColumn("c", F.coalesce("c", "vec_id"))
+    vectors = rows.select("vec_id", "x").dropDuplicates(["vec_id"]).join(comp, "vec_id", "left").withColumn("c", F.coalesce("c", "vec_id"))
+
+    def fold(pdf: pd.DataFrame, vec: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > FOLD_ROWS:
+            raise ValueError(f"a component of {len(pdf)} alike rows is more than {FOLD_ROWS}")
+        pdf = pdf.sort_values(["created_at", "id"]).reset_index(drop=True)
+        x = np.array(vec.x.tolist(), dtype=np.float64).reshape(len(vec), -1)
+        unit = x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
+        place = {v: i for i, v in enumerate(vec.v)}
+        of = pdf.vec_id.map(place).to_numpy() if len(pdf) else np.empty(0, dtype=int)
+        mood_of, used, out = pdf.polarity.to_numpy(), np.zeros(len(pdf), dtype=bool), []
+        for i in np.argsort(-pdf.importance.to_numpy(), kind="stable"):
+            if used[i]:
+                continue
+            mood, members = int(mood_of[i]), [i]
+            used[i] = True
+            alike = unit @ unit[of[i]] >= threshold
+            for j in np.flatnonzero(~used & alike[of]):
+                if mood * int(mood_of[j]) >= 0:
+                    members.append(j)
+                    used[j] = True
+                    mood = mood or int(mood_of[j])
+            if len(members) >= least:
+                out.extend((pdf.id[k], pdf.id[i], len(members), at) for at, k in enumerate(members))
+        return pd.DataFrame(out, columns=["id", "leader", "n", "pos"])
 
-def import_actions(incoming: DataFrame, store: DataFrame, policy: str) -> DataFrame:
-    """id, action of archive rows under a collision policy."""
-    if policy not in ("skip", "overwrite", "rename", "error"):
-        raise ValueError(f"unknown import policy {policy!r}")
-    met = incoming.join(store.select("id", F.lit(True).alias("there")), "id", "left")
-    clash = {"skip": F.lit("skip"), "overwrite": F.lit("replace"), "rename": F.lit("rename"), "error": F.raise_error(F.concat(F.lit("already there: "), F.col("id"))).cast("string")}[policy]
-    return met.select("id", F.when(F.col("there"), clash).otherwise(F.lit("add")).alias("action"))
+    vectors = vectors.select(F.col("c").alias("vc"), F.col("vec_id").alias("v"), F.col("x").alias("x"))
+    return facts.groupBy("c").cogroup(vectors.groupBy("vc")).applyInPandas(fold, "id string, leader string, n long, pos long")

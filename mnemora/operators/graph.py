@@ -1,42 +1,74 @@
-"""Walks over typed links: level-by-level joins, each node visited once."""
+"""Walks over typed links: level-by-level joins, each node visited once.
+
+Each level is written down, as the next one reads it and all before it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+
+DIRECTIONS = ("out", "in", "both")
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     """a, b, rel in both directions, dangling ends included."""
-    return edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel").union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel")).distinct()
+    one = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "rel")
+    return one.union(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel")).distinct()
 
 
 def _steps(edges: DataFrame, direction: str) -> DataFrame:
-    both = undirected(edges).select("a", "b")
-    if direction == "out":
-        both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    elif direction == "in":
-        both = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    elif direction != "both":
+    """a, b, way, rel: steps along links (way 0) and against them (way 1)."""
+    if direction not in DIRECTIONS:
         raise ValueError(f"unknown direction {direction!r}")
-    return both.distinct()
+    out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(0).alias("way"), "rel")
+    back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(1).alias("way"), "rel")
+    return {"out": out, "in": back, "both": out.union(back)}[direction].distinct()
 
 
 def levels(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """seed, id, depth of every node within ``depth`` steps, seeds at 0."""
-    seen = front = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth"))
+    """seed, id, depth of every node within ``depth`` steps(a, b), seeds at 0."""
+    scratch = Scratch(seeds.sparkSession)
+    seen = front = seeds.select("seed", F.col("seed").alias("id"), F.lit(0).alias("depth")).distinct()
     for d in range(1, depth + 1):
-        new = front.join(steps, front.id == steps.a).select("seed", F.col("b").alias("id")).distinct()
-        front = new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(d))
+        new = front.join(steps.select("a", "b").distinct(), front.id == F.col("a")).select("seed", F.col("b").alias("id")).distinct()
+        front = scratch.keep(new.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("depth", F.lit(d)))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
 
-def neighbors(seeds: DataFrame, edges: DataFrame, known: DataFrame, depth: int = 1, direction: str = "out") -> DataFrame:
-    """seed, id, depth; links to rows that don't exist are not followed."""
-    steps = _steps(edges, direction)
-    steps = steps.join(known.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    return levels(seeds, steps, depth).where("depth > 0")
+def neighbors(seeds: DataFrame, edges: DataFrame, known: DataFrame, depth: int = 1, direction: str = "both", rel: str | None = None) -> DataFrame:
+    """seed, id, rel, depth: what ``seeds(seed)`` lead to, with all parallel links of the
+    first contact.
+
+    Nodes are visited in the order in which they are found: by the node they were found
+    from, links along before links against, then by id. A node is found once; the rels
+    are those between it and its finder in that direction. Links to rows that don't
+    exist are not followed.
+    """
+    steps = _steps(edges if rel is None else edges.where(F.col("rel") == rel), direction)
+    steps = steps.join(known.select(F.col("id").alias("b")), "b", "left_semi")
+    scratch = Scratch(seeds.sparkSession)
+    front = seeds.select("seed", F.col("seed").alias("a"), F.lit(0).cast("long").alias("pos")).distinct()
+    seen, out = front.select("seed", F.col("a").alias("id")), None
+    for d in range(1, depth + 1):
+        met = front.join(steps, "a").select("seed", F.col("b").alias("id"), F.struct("pos", "way").alias("via"), "rel")
+        met = met.join(seen, ["seed", "id"], "left_anti")
+        first = met.groupBy("seed", "id").agg(F.min("via").alias("via"))
+        found = scratch.keep(met.join(first, ["seed", "id", "via"]).select("seed", "id", "rel", "via", F.lit(d).alias("depth")))
+        got = found.select("seed", "id", "rel", "depth")
+        out = got if out is None else out.unionByName(got)
+        nodes = found.select("seed", "id", "via").distinct()
+        order = Window.partitionBy("seed").orderBy("via", "id")
+        front = nodes.select("seed", F.col("id").alias("a"), F.row_number().over(order).cast("long").alias("pos"))
+        seen = seen.unionByName(nodes.select("seed", "id"))
+    if out is None:
+        out = seeds.select("seed", F.col("seed").alias("id"), F.lit("").alias("rel"), F.lit(0).alias("depth")).where("false")
+    return out
 
 
 def subgraph(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
@@ -45,20 +77,37 @@ def subgraph(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return near.join(edges, near.id == edges.src).select("seed", "src", "dst", "rel").distinct()
 
 
-def path_lengths(seeds: DataFrame, edges: DataFrame, most: int) -> DataFrame:
-    """seed, id, hops of the shortest undirected path of at most ``most`` links."""
-    return levels(seeds, _steps(edges, "both"), most).where("depth > 0").withColumnRenamed("depth", "hops")
-
-
-def find_path(edges: DataFrame, start: str, end: str, most: int = 6) -> list[str]:
-    """The ids on a shortest path, [] if none; of several the one smallest by id."""
-    spark, steps = edges.sparkSession, _steps(edges, "both")
-    paths = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = paths.select("id")
-    for _ in range(most + 1):
-        if hit := paths.where(F.col("id") == end).first():
-            return list(hit.path)
-        grown = paths.join(steps, paths.id == steps.a).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
-        paths = grown.groupBy("id").agg(F.min("path").alias("path")).join(seen, "id", "left_anti")
-        seen = seen.union(paths.select("id"))
-    return []
+def find_paths(pairs: DataFrame, edges: DataFrame, known: DataFrame, most: int = 6) -> DataFrame:
+    """start, end, path of each of ``pairs(start, end)`` of existing rows that a path of
+    at most ``most`` links, either way, connects.
+
+    A path is an array of (id, rel it was reached by), the start's rel being empty. Of
+    the shortest the one that a walk finds first which tries neighbours by (id, rel):
+    the least as an array. A row and itself are a path of one.
+    """
+    scratch = Scratch(pairs.sparkSession)
+    ids = known.select("id")
+    asked = pairs.select("start", "end").distinct().join(ids.select(F.col("id").alias("start")), "start", "left_semi").join(ids.select(F.col("id").alias("end")), "end", "left_semi")
+    asked = scratch.keep(asked)
+    steps = undirected(edges)
+    hop = lambda id_, rel: F.array(F.struct(id_.alias("id"), rel.alias("rel")))
+    front = asked.select("start", "end", F.col("start").alias("id"), hop(F.col("start"), F.lit("")).alias("path"))
+    done = front.where("id = end").select("start", "end", "path")
+    front, seen = front.where("id <> end"), front.select("start", "end", "id")
+    for _ in range(most):
+        grown = front.join(steps, front.id == steps.a).select("start", "end", F.col("b").alias("id"), F.concat("path", hop(F.col("b"), F.col("rel"))).alias("path"))
+        grown = grown.join(seen, ["start", "end", "id"], "left_anti").groupBy("start", "end", "id").agg(F.min("path").alias("path"))
+        grown = scratch.keep(grown)
+        hits = grown.where("id = end").select("start", "end", "path")
+        done, seen = done.unionByName(hits), seen.unionByName(grown.select("start", "end", "id"))
+        front = grown.join(hits.select("start", "end"), ["start", "end"], "left_anti")
+        if grown.isEmpty():
+            break
+    return done
+
+
+def find_path(edges: DataFrame, known: DataFrame, start: str, end: str, most: int = 6) -> list[tuple[str, str]]:
+    """(id, rel) along the path between two rows, [] if there is none."""
+    one = edges.sparkSession.createDataFrame([(start, end)], "start string, end string")
+    hit = find_paths(one, edges, known, most).first()
+    return [(x.id, x.rel) for x in hit.path] if hit else []

@@ -6,12 +6,131 @@ requested changes, and returns the rows or edges that result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import scalars as S
+from . import conflicts as C
+from . import recall as R
 
 RELS = ("related", "refines", "derived_from", "example_of", "contradicts", "supersedes")
+POLICIES = ("ignore", "warn", "supersede", "raise")
+
+#: Columns that a new row may be given, with what stands in for a missing one.
+ITEM = {
+    "type": "'semantic'",
+    "tags": "array()",
+    "importance": "CAST(NULL AS DOUBLE)",
+    "source": "CAST(NULL AS STRING)",
+    "polarity": "0",
+    "expires_at": "CAST(NULL AS DOUBLE)",
+    "ttl_seconds": "CAST(NULL AS DOUBLE)",
+    "pinned": "false",
+    "trust": "'trusted'",
+    "valid_from": "CAST(NULL AS DOUBLE)",
+    "valid_until": "CAST(NULL AS DOUBLE)",
+}
+ROW = (
+    "id string, text string, type string, tags array<string>, importance double, created_at double, last_accessed double, access_count bigint, source string, polarity int, "
+    "pinned boolean, superseded_by string, superseded_at double, expires_at double, trust string, valid_from double, valid_until double, content_hash string"
+)
+
+
+def _given(items: DataFrame) -> DataFrame:
+    for name, default in ITEM.items():
+        if name not in items.columns:
+            items = items.withColumn(name, F.expr(default))
+    return items.withColumn("tags", F.coalesce(F.col("tags").cast("array<string>"), F.array().cast("array<string>")))
+
+
+def problem(items: DataFrame) -> DataFrame:
+    """``items`` with all columns of ITEM and problem: why an item can't be stored, or null."""
+    start, end = F.coalesce("valid_from", F.lit(0.0)), F.coalesce("valid_until", F.lit(0.0))
+    checks = [
+        (~F.col("type").isin(*S.TYPES), "type"),
+        (~F.col("trust").isin(*S.TRUST), "trust"),
+        (~F.col("polarity").isin(-1, 0, 1), "polarity"),
+        (F.col("expires_at").isNotNull() & F.col("ttl_seconds").isNotNull(), "both expires_at and ttl_seconds"),
+        (F.col("ttl_seconds") <= 0, "ttl_seconds"),
+        (F.col("expires_at") < 0, "expires_at"),
+        ((start < 0) | (end < 0) | ((start != 0) & (end != 0) & (end <= start)), "validity"),
+        (~S.tags_ok(F.col("tags")), "tags"),
+    ]
+    found = F.lit(None).cast("string")
+    for bad, name in reversed(checks):
+        found = F.when(F.coalesce(bad, F.lit(False)), name).otherwise(found)
+    return _given(items).withColumn("problem", found)
+
+
+def build(items: DataFrame, now: float, importance: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Rows, and pos, of ``items(pos, text, ...)``; a bad item fails the whole batch.
+
+    Ids are hashes of pos, text and time, so that a task that runs again gives the same
+    ones. Texts are stripped, importance is kept in 0..1; a missing one is what
+    ``importance(text, type, tags)`` says, or 0.5.
+    """
+    ok = problem(items)
+    text = F.trim("text")
+    text = F.when(F.col("problem").isNotNull(), F.raise_error(F.concat(F.lit("bad item: "), F.col("problem"))).cast("string")).otherwise(text)
+    ok = ok.withColumn("text", text)
+    scored = F.lit(0.5) if importance is None else importance(F.col("text"), F.col("type"), F.col("tags"))
+    fresh = {
+        "id": F.substring(F.sha2(F.concat_ws("\u0001", F.col("pos").cast("string"), "text", F.lit(str(now))), 256), 1, 32),
+        "importance": F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.col("importance").cast("double"), scored))),
+        "created_at": F.lit(now),
+        "last_accessed": F.lit(now),
+        "access_count": F.lit(0).cast("bigint"),
+        "superseded_by": F.lit(""),
+        "superseded_at": F.lit(0.0),
+        "expires_at": F.coalesce("expires_at", F.lit(now) + F.col("ttl_seconds"), F.lit(0.0)),
+        "valid_from": F.coalesce("valid_from", F.lit(0.0)),
+        "valid_until": F.coalesce("valid_until", F.lit(0.0)),
+        "content_hash": S.content_hash(F.col("text")),
+    }
+    names = [x.split()[0] for x in ROW.split(", ")]
+    kinds = dict(x.split() for x in ROW.split(", "))
+    return ok.select("pos", *[fresh.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in names])
+
+
+def remember_many(rows: DataFrame, fresh: DataFrame, now: float, idempotent: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(mapping, added): for each built row (pos, ...) the id it is stored as, and what
+    is new. With ``idempotent`` a text that a live row has already, or an earlier row of
+    the batch, adds nothing; mapping says whether it met a stored row (touched)."""
+    if not idempotent:
+        return fresh.select("pos", F.col("id").alias("kept_as"), F.lit(False).alias("touched")), fresh
+    live = rows.where(R.eligible(now)).groupBy("content_hash").agg(F.min("id").alias("old"))
+    first = F.min_by("id", "pos").over(Window.partitionBy("content_hash"))
+    met = fresh.withColumn("first", first).join(live, "content_hash", "left")
+    mapping = met.select("pos", F.coalesce("old", "first").alias("kept_as"), F.col("old").isNotNull().alias("touched"))
+    added = met.where("old IS NULL AND id = first").select(*fresh.columns)
+    return mapping, added
+
+
+def remember(rows: DataFrame, vectors: DataFrame, fresh: DataFrame, fresh_vectors: DataFrame, now: float, policy: str = "ignore", threshold: float = 0.8, contradicts: C.PairRule | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, refused, conflicts) after built rows are stored under a conflict policy.
+
+    ``raise`` refuses those that clash with what is stored; ``supersede`` marks the
+    stored rows they clash with, by the first new one if several do; ``warn`` and
+    ``ignore`` store all. New rows are judged against stored ones, not each other.
+    ``fresh_vectors(vec_id, x)`` are the new rows' vectors; ``fresh`` has vec_id.
+    """
+    S.check_choice(policy, POLICIES, "policy")
+    columns = [c for c in rows.columns if c in fresh.columns]
+    none = rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity"), F.lit("").alias("kind")).where("false")
+    if policy == "ignore":
+        return rows.select(*columns).unionByName(fresh.select(*columns)), none.select(F.col("a").alias("id")), none
+    # The scan matches on vectors, so it doesn't need the new rows to be stored.
+    clashes = C.conflicts_for(fresh, rows, vectors.select("vec_id", "x").unionByName(fresh_vectors.select("vec_id", "x")), now, threshold, contradicts)
+    refused = clashes.select(F.col("a").alias("id")).distinct() if policy == "raise" else none.select(F.col("a").alias("id"))
+    stored = rows.select(*columns).unionByName(fresh.join(refused, "id", "left_anti").select(*columns))
+    if policy == "supersede":
+        first = clashes.join(fresh.select(F.col("id").alias("a"), "pos"), "a").groupBy(F.col("b").alias("old")).agg(F.min_by("a", "pos").alias("new"))
+        stored = supersede(stored, first, now)
+    return stored, refused, clashes
 
 
 def link(edges: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -35,13 +154,29 @@ def edit(rows: DataFrame, changes: DataFrame) -> DataFrame:
     met = rows.join(changes, "id", "left")
     text = F.when(F.trim("new_text") != "", F.trim("new_text")).otherwise(F.col("text"))
     clamp = F.when(F.col("new_importance").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("new_importance"))))
-    return met.withColumn("text", text).withColumn("importance", F.coalesce(clamp, "importance")).withColumn("content_hash", S.content_hash(F.col("text"))).drop("new_text", "new_importance")
+    met = met.withColumn("text", text).withColumn("importance", F.coalesce(clamp, "importance"))
+    return met.withColumn("content_hash", S.content_hash(F.col("text"))).drop("new_text", "new_importance")
+
+
+def touch(rows: DataFrame, hits: DataFrame, now: float) -> DataFrame:
+    """Rows with a count more for each time ``hits(id)`` has them, accessed now."""
+    n = hits.groupBy("id").agg(F.count("*").alias("_n"))
+    met = rows.join(n, "id", "left")
+    met = met.withColumn("access_count", F.col("access_count") + F.coalesce("_n", F.lit(0)))
+    return met.withColumn("last_accessed", F.when(F.col("_n").isNotNull(), F.lit(now)).otherwise(F.col("last_accessed"))).drop("_n")
 
 
 def forget(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(ids.select("id"), "id", "left_anti")
 
 
+def nuke(rows: DataFrame, confirm: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(rows, entry): no rows, and the one log entry (op, removed), if confirmed."""
+    if not confirm:
+        raise ValueError("nuke needs confirm=True")
+    return rows.where("false"), rows.agg(F.lit("nuke").alias("op"), F.count("*").alias("removed"))
+
+
 def supersede(rows: DataFrame, pairs: DataFrame, now: float) -> DataFrame:
     """``pairs(old, new)``: the old row is marked and hands its pin to the new one.
 
@@ -52,7 +187,14 @@ def supersede(rows: DataFrame, pairs: DataFrame, now: float) -> DataFrame:
     pins = fine.join(rows.where("pinned").select(F.col("id").alias("old")), "old").select(F.col("new").alias("id"), F.lit(True).alias("gets_pin")).distinct()
     out = rows.join(fine.withColumnRenamed("old", "id"), "id", "left").join(pins, "id", "left")
     marked = F.col("new").isNotNull()
-    return out.select(*[c for c in rows.columns if c not in ("superseded_by", "pinned")], F.when(marked, F.col("new")).otherwise(F.col("superseded_by")).alias("superseded_by"), F.when(marked, F.lit(now)).alias("superseded_at"), ((F.col("pinned") & ~marked) | F.coalesce("gets_pin", F.lit(False))).alias("pinned"))
+    at = F.when(marked, F.lit(now)).otherwise(F.col("superseded_at") if "superseded_at" in rows.columns else F.lit(0.0))
+    own = {
+        "superseded_by": F.when(marked, F.col("new")).otherwise(F.col("superseded_by")),
+        "superseded_at": at,
+        "pinned": (F.col("pinned") & ~marked) | F.coalesce("gets_pin", F.lit(False)),
+    }
+    names = [*rows.columns, *([] if "superseded_at" in rows.columns else ["superseded_at"])]
+    return out.select(*[own[c].alias(c) if c in own else F.col(c) for c in names])
 
 
 def restore(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -60,24 +202,113 @@ def restore(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.join(back, "id", "left").withColumn("superseded_by", F.when(F.col("back"), "").otherwise(F.col("superseded_by"))).drop("back")
 
 
-def trash_visible(journal: DataFrame) -> DataFrame:
-    """id, seq, text: the newest snapshot of each forgotten row that isn't live again."""
-    ops = journal.where(F.col("op").isin("remember", "edit", "forget"))
-    last = ops.groupBy("id").agg(F.max_by("op", "seq").alias("last"), F.max("seq").alias("seq"), F.max(F.when(F.col("op") != "forget", F.struct("seq", "text"))).alias("kept"))
-    return last.where("last = 'forget' AND kept IS NOT NULL").select("id", "seq", F.col("kept.text").alias("text"))
+# --- reflection --------------------------------------------------------------------
+
+
+def extractive_summary(members: Column) -> Column:
+    """``[Reflection ×n] a | b``, the most important first, 512 characters at most, of
+    an array of structs (importance, pos, text)."""
+    order = F.array_sort(F.transform(members, lambda m: F.struct((-m["importance"]).alias("o"), m["pos"].alias("pos"), m["text"].alias("text"))))
+    body = F.array_join(F.transform(order, lambda m: m["text"]), " | ")
+    return F.substring(F.concat(F.lit("[Reflection ×"), F.size(members).cast("string"), F.lit("] "), body), 1, 512)
+
+
+def reflections(clusters: DataFrame, rows: DataFrame, consolidate: bool = False, summarizer: Callable[[list[dict]], str] | None = None) -> DataFrame:
+    """leader, text, importance, pinned, trust, tags, level: one summary per cluster.
+
+    Importance is the members' mean, trust their worst; the level is one above their
+    highest; tags are reflection, the level, and the members' in the cluster's order
+    but for their levels. A pin passes on only where the sources make way
+    (``consolidate``). ``summarizer`` gets a cluster's members as dictionaries; where it
+    fails, the extractive summary stands.
+    """
+    met = clusters.select("id", "leader", "pos").join(rows, "id")
+    member = F.struct("importance", "pos", "text", "id", "tags", "type")
+    got = met.groupBy("leader").agg(
+        F.round(F.avg("importance"), 3).alias("importance"),
+        F.bool_or("pinned").alias("pinned"),
+        S.trust_label(F.max(S.trust_rank(F.col("trust")))).alias("trust"),
+        (F.max(S.level_of(F.col("tags"))) + 1).alias("level"),
+        F.collect_list(member).alias("members"),
+    )
+    inherited = F.flatten(F.transform(F.array_sort(F.transform("members", lambda m: F.struct(m["pos"].alias("pos"), m["tags"].alias("tags")))), lambda m: m["tags"]))
+    own = F.array(F.lit("reflection"), F.concat(F.lit("level:"), F.col("level").cast("string")))
+    tags = F.array_distinct(F.concat(own, F.filter(inherited, lambda t: ~t.startswith("level:"))))
+    text = extractive_summary(F.col("members"))
+    out = got.select("leader", text.alias("text"), "importance", (F.lit(consolidate) & F.col("pinned")).alias("pinned"), "trust", tags.alias("tags"), "level", "members")
+    if summarizer is None:
+        return out.drop("members")
 
+    def rewrite(batches):
+        for pdf in batches:
+            texts = []
+            for text, members in zip(pdf.text, pdf.members):
+                try:
+                    texts.append(summarizer([m.asDict() if hasattr(m, "asDict") else dict(m) for m in members]) or text)
+                except Exception:  # noqa: BLE001 - a summarizer may be remote; its failure costs only its wording
+                    texts.append(text)
+            yield pdf.assign(text=texts).drop(columns=["members"])
 
-def reflections(clusters: DataFrame, rows: DataFrame) -> DataFrame:
-    """leader, text, importance, pinned, trust, tags, level: one summary per cluster."""
-    met = clusters.join(rows, "id")
-    order = F.struct((-F.col("importance")).alias("o"), "id", "text")
-    got = met.groupBy("leader").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 3).alias("importance"), F.bool_or("pinned").alias("pinned"), S.trust_label(F.max(S.trust_rank(F.col("trust")))).alias("trust"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("tags")))).alias("tags"), (F.max(S.level_of(F.col("tags"))) + 1).alias("level"), F.sort_array(F.collect_list(order)).alias("members"))
-    body = F.concat(F.lit("[Reflection ×"), F.col("n").cast("string"), F.lit("] "), F.array_join(F.transform("members", lambda x: x["text"]), " | "))
-    return got.select("leader", F.substring(body, 1, 512).alias("text"), "importance", "pinned", "trust", "tags", "level")
+    return out.mapInPandas(rewrite, out.drop("members").schema)
 
 
-def rescored(rows: DataFrame, score) -> DataFrame:
-    """A reranker hook: ``score`` maps the pool's columns to a Column; adds both ranks."""
+def consolidated(rows: DataFrame, edges: DataFrame, clusters: DataFrame, summaries: DataFrame, mode: str, now: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) once summaries stand beside their sources (``keep``), supersede them
+    with derived_from links (``soft``), or replace them (``hard``). A summary's id is
+    ``r`` and its leader's."""
+    S.check_choice(mode, ("keep", "soft", "hard"), "mode")
+    new_id = F.concat(F.lit("r"), F.col("leader"))
+    made = {
+        "id": new_id,
+        "type": F.lit("semantic"),
+        "created_at": F.lit(now),
+        "last_accessed": F.lit(now),
+        "access_count": F.lit(0).cast("bigint"),
+        "source": F.lit("reflection"),
+        "polarity": F.lit(0),
+        "superseded_by": F.lit(""),
+        "superseded_at": F.lit(0.0),
+        "expires_at": F.lit(0.0),
+        "valid_from": F.lit(0.0),
+        "valid_until": F.lit(0.0),
+        "content_hash": S.content_hash(F.col("text")),
+    }
+    columns = [c for c in rows.columns if c in made or c in summaries.columns]
+    kinds = dict(rows.dtypes)
+    new = summaries.select(*[made.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in columns])
+    if mode == "hard":
+        return forget(rows, clusters).select(*columns).unionByName(new), edges
+    if mode == "keep":
+        return rows.select(*columns).unionByName(new), edges
+    pairs = clusters.select(F.col("id").alias("old"), new_id.alias("new"))
+    old = rows.join(pairs.withColumnRenamed("old", "id"), "id", "left")
+    own = {"superseded_by": F.coalesce("new", "superseded_by"), "superseded_at": F.when(F.col("new").isNotNull(), F.lit(now)).otherwise(F.col("superseded_at") if "superseded_at" in rows.columns else F.lit(0.0)), "pinned": F.col("pinned") & F.col("new").isNull()}
+    old = old.select(*[own[c].alias(c) if c in own else F.col(c) for c in columns])
+    links = pairs.select(F.col("new").alias("src"), F.col("old").alias("dst"), F.lit("derived_from").alias("rel"))
+    return old.unionByName(new), edges.select("src", "dst", "rel").unionByName(links)
+
+
+# --- hooks -------------------------------------------------------------------------
+
+
+def rescored(rows: DataFrame, score: Column | Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """A reranker hook: adds rescored, first_rank and new_rank to a pool.
+
+    ``score`` is a Column over the pool's columns, or a function that gets one query's
+    pool as a frame and returns as many scores.
+    """
     first = Window.partitionBy("qid").orderBy("pool_pos")
     then = Window.partitionBy("qid").orderBy(F.desc("rescored"), "pool_pos")
-    return rows.withColumn("rescored", score).withColumn("first_rank", F.row_number().over(first)).withColumn("new_rank", F.row_number().over(then))
+    if isinstance(score, Column):
+        rows = rows.withColumn("rescored", score)
+    else:
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            scores = list(score(pdf))
+            if len(scores) != len(pdf):
+                raise ValueError(f"the reranker gave {len(scores)} scores for {len(pdf)} rows")
+            return pdf.assign(rescored=[float(s) for s in scores])
+
+        schema = StructType([*rows.schema.fields, StructField("rescored", DoubleType())])
+        rows = rows.groupBy("qid").applyInPandas(run, schema)
+    return rows.withColumn("first_rank", F.row_number().over(first)).withColumn("new_rank", F.row_number().over(then))

@@ -1,17 +1,28 @@
-"""The append-only log: summaries, history, replay; and measures over results."""
+"""The append-only log: summaries, history, replay, undo; and measures over results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SNAPSHOTS = ("remember", "edit", "import", "restore", "supersede")
+#: Samples that percentiles are taken of, the last ones of each group.
+SAMPLES = 1024
+#: Columns that reading changes, and that undo doesn't compare.
+VOLATILE = ("last_accessed", "access_count")
 
-def latencies(rows: DataFrame, group: str, value: str, tie: str) -> DataFrame:
-    """n, avg, max and nearest-rank percentiles per group, ranks rounded half to even."""
-    w = Window.partitionBy(group)
-    rows = rows.withColumn("i", F.row_number().over(w.orderBy(value, tie)) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.round(F.max(F.when(F.col("i") == F.bround(F.lit(p) * (F.col("n") - 1), 0), F.col(value))), 3)
-    return rows.groupBy(group, "n").agg(F.round(F.avg(value), 3).alias("avg"), F.round(F.max(value), 3).alias("max"), at(0.50).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+
+def latencies(rows: DataFrame, group: str, value: str, seq: str, samples: int = SAMPLES) -> DataFrame:
+    """n, avg, max over all, nearest-rank percentiles over the last ``samples`` per group.
+
+    Ranks are rounded half to even. The last ones are found by a limited window, which
+    Spark cuts in each task before the shuffle, so that a group's rows don't meet.
+    """
+    whole = rows.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(value), 3).alias("avg"), F.round(F.max(value), 3).alias("max"))
+    last = rows.withColumn("r", F.row_number().over(Window.partitionBy(group).orderBy(F.desc(seq)))).where(F.col("r") <= samples)
+    sorted_ = last.groupBy(group).agg(F.sort_array(F.collect_list(value)).alias("v"))
+    at = lambda p: F.round(F.get("v", F.bround(F.lit(p) * (F.size("v") - 1), 0).cast("int")), 3)
+    return whole.join(sorted_.select(group, at(0.50).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99")), group)
 
 
 def summaries(journal: DataFrame) -> DataFrame:
@@ -20,13 +31,32 @@ def summaries(journal: DataFrame) -> DataFrame:
 
 
 def history(journal: DataFrame, id_: str) -> DataFrame:
-    return journal.where((F.col("id") == id_) | (F.col("op").isin("link", "unlink") & (F.col("dst_id") == id_)))
+    """Entries about a row: its own, links to it, and those that name it as the newer row."""
+    hit = F.col("id") == id_
+    for other in ("dst_id", "new_id", "superseder_id"):
+        if other in journal.columns:
+            hit = hit | F.coalesce(F.col(other) == id_, F.lit(False))
+    return journal.where(hit)
+
+
+def resolve_prefix(journal: DataFrame, prefix: str) -> DataFrame:
+    """matches, outcome, id: the ids that begin so, of rows that may be long deleted."""
+    ids = None
+    for c in ("id", "dst_id", "new_id", "superseder_id"):
+        if c in journal.columns:
+            one = journal.select(F.col(c).alias("id"))
+            ids = one if ids is None else ids.union(one)
+    n = F.count("*")
+    return ids.where(F.col("id").startswith(prefix)).distinct().agg(n.alias("matches"), F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous").alias("outcome"), F.min("id").alias("first_id"))
 
 
 def versions(journal: DataFrame) -> DataFrame:
-    """seq, id, before: the text each edit replaced."""
+    """seq, id, before: the text each edit replaced, from the entry if it says, else from
+    the entry before."""
     w = Window.partitionBy("id").orderBy("seq")
-    texts = journal.where(F.col("op").isin("remember", "edit")).withColumn("before", F.lag("text").over(w))
+    texts = journal.where(F.col("op").isin("remember", "edit"))
+    before = F.lag("text").over(w)
+    texts = texts.withColumn("before", F.coalesce("before", before) if "before" in journal.columns else before)
     return texts.where("op = 'edit' AND before IS NOT NULL").select("seq", "id", "before")
 
 
@@ -34,30 +64,98 @@ def state_at(journal: DataFrame, us: float) -> DataFrame:
     """id, text, base, links, link_list: what the log up to ``us`` leaves.
 
     Snapshots replace a row, forget removes it, nuke removes all before it; links and
-    unlinks after a row's last snapshot apply in order.
+    unlinks after a row's last snapshot apply in order. An undo puts back the text it
+    holds, or without one takes away the row if it is a remember that was undone
+    (column of_op).
     """
     cut = journal.where(F.col("us") <= us)
     nuked = cut.where("op = 'nuke'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("from_seq"))
     cut = cut.join(F.broadcast(nuked), F.col("seq") > F.col("from_seq")).drop("from_seq")
-    last = cut.where(F.col("op").isin("remember", "edit", "import", "restore", "supersede", "forget")).groupBy("id").agg(F.max_by(F.struct("op", "text"), "seq").alias("s"), F.max("seq").alias("base"))
-    alive = last.where("s.op <> 'forget'").select("id", F.col("s.text").alias("text"), "base")
+    undone = (F.col("op") == "undo") & F.col("text").isNull() & (F.col("of_op") == "remember") if "of_op" in journal.columns else F.lit(False)
+    put = F.col("op").isin(*SNAPSHOTS) | ((F.col("op") == "undo") & F.col("text").isNotNull())
+    gone = (F.col("op") == "forget") | undone
+    last = cut.where(put | gone).groupBy("id").agg(F.max_by(F.struct(gone.alias("gone"), "text"), "seq").alias("s"), F.max("seq").alias("base"))
+    alive = last.where("NOT s.gone").select("id", F.col("s.text").alias("text"), "base")
     moves = cut.where(F.col("op").isin("link", "unlink")).join(alive.select("id", "base"), "id").where("seq > base")
     ends = moves.groupBy("id", "dst_id", "rel").agg(F.max_by("op", "seq").alias("last")).where("last = 'link'")
     links = ends.groupBy("id").agg(F.count("*").alias("links"), F.sort_array(F.collect_list(F.struct("dst_id", "rel"))).alias("link_list"))
     return alive.join(links, "id", "left").select("id", "text", "base", F.coalesce("links", F.lit(0)).alias("links"), "link_list")
 
 
+def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, edges, verdicts): the inverse of ``entries``, where that is safe.
+
+    ``entries`` has seq, op, id, before and after (structs of the columns of ``rows``),
+    dst_id, rels (an array) and superseder_id; at most one entry a row, or a link.
+    ``verdicts`` is (seq, undone). Refused: a forget whose row lives, an edit whose row
+    has changed since in any column that isn't VOLATILE, a restore whose newer row is
+    gone, links that aren't there any more, and ops that have no inverse.
+    """
+    state = rows.select("id", F.struct(*[F.col(c) for c in rows.columns]).alias("now"))
+    met = entries.join(state, "id", "left")
+    live = F.col("now").isNotNull()
+    steady = F.lit(True)
+    for c in rows.columns:
+        if c not in VOLATILE:
+            steady = steady & F.col(f"now.{c}").eqNullSafe(F.col(f"after.{c}"))
+    newer = rows.select(F.col("id").alias("superseder_id"), F.lit(True).alias("newer"))
+    met = met.join(newer, "superseder_id", "left")
+    there = edges.groupBy(F.col("src").alias("id"), F.col("dst").alias("dst_id")).agg(F.collect_set("rel").alias("have"))
+    met = met.join(there, ["id", "dst_id"], "left").join(rows.select(F.col("id").alias("dst_id"), F.lit(True).alias("far")), "dst_id", "left")
+    none = F.array().cast("array<string>")
+    have, rels = F.coalesce("have", none), F.coalesce("rels", none)
+    ok = {
+        "remember": live,
+        "forget": F.col("before").isNotNull() & ~live,
+        "edit": F.col("before").isNotNull() & F.col("after").isNotNull() & live & steady,
+        "supersede": live & (F.col("now.superseded_by") != ""),
+        "restore": live & F.coalesce("newer", F.lit(False)),
+        "link": F.size(F.array_intersect(have, rels)) > 0,
+        "unlink": live & F.coalesce("far", F.lit(False)) & (F.size(F.array_except(rels, have)) > 0),
+    }
+    undone = F.lit(False)
+    for op, cond in ok.items():
+        undone = F.when(F.col("op") == op, F.coalesce(cond, F.lit(False))).otherwise(undone)
+    judged = met.withColumn("undone", undone)
+    done = judged.where("undone")
+    back = done.where("op IN ('forget', 'edit')").select("before.*").select(*rows.columns)
+    touched = done.where("op IN ('remember', 'forget', 'edit')").select("id")
+    marks = done.where("op IN ('supersede', 'restore')").select("id", F.when(F.col("op") == "restore", F.col("superseder_id")).otherwise("").alias("mark"))
+    kept = rows.join(touched, "id", "left_anti").join(marks, "id", "left")
+    changed = {"superseded_by": F.coalesce("mark", "superseded_by"), "superseded_at": F.when(F.col("mark") == "", 0.0).when(F.col("mark").isNotNull(), now).otherwise(F.col("superseded_at"))} if "superseded_at" in rows.columns else {"superseded_by": F.coalesce("mark", "superseded_by")}
+    kept = kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns])
+    links = done.select("op", F.col("id").alias("src"), F.col("dst_id").alias("dst"), F.explode_outer("rels").alias("rel"))
+    fewer = edges.join(links.where("op = 'link'").select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti").select("src", "dst", "rel")
+    more = fewer.union(links.where("op = 'unlink' AND rel IS NOT NULL").select("src", "dst", "rel")).distinct()
+    return kept.unionByName(back), more, judged.select("seq", "undone")
+
+
 def metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """qid, recall, precision, rr, ap, ndcg of ranked ``hits(qid, id, rank)``.
 
-    Relevance is binary. Precision divides by what was retrieved. Queries without
-    hits score 0 throughout.
+    Relevance is binary. Precision divides by what was retrieved. A relevant id that
+    comes twice is credited once, but for precision. Queries without hits score 0.
     """
     size = gold.groupBy("qid").agg(F.countDistinct("id").alias("n"))
-    rel = hits.join(gold.select("qid", "id", F.lit(1).alias("rel")), ["qid", "id"], "left").fillna(0, ["rel"])
-    seen = F.sum("rel").over(Window.partitionBy("qid").orderBy("rank"))
-    rel = rel.withColumn("seen", seen)
-    got = rel.groupBy("qid").agg(F.sum("rel").alias("found"), F.count("*").alias("m"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"), F.sum(F.col("rel") * F.col("seen") / F.col("rank")).alias("gain"), F.sum(F.col("rel") / F.log2(F.col("rank") + 1.0)).alias("dcg"))
+    rel = hits.join(gold.select("qid", "id", F.lit(1).alias("rel")).distinct(), ["qid", "id"], "left").fillna(0, ["rel"])
+    first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("rank"))
+    rel = rel.withColumn("new", F.when(first == 1, F.col("rel")).otherwise(0))
+    rel = rel.withColumn("seen", F.sum("new").over(Window.partitionBy("qid").orderBy("rank")))
+    got = rel.groupBy("qid").agg(
+        F.sum("new").alias("found"),
+        F.sum("rel").alias("good"),
+        F.count("*").alias("m"),
+        F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("first"),
+        F.sum(F.col("new") * F.col("seen") / F.col("rank")).alias("gain"),
+        F.sum(F.col("new") / F.log2(F.col("rank") + 1.0)).alias("dcg"),
+    )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
-    return size.join(got, "qid", "left").select("qid", r6(F.col("found") / F.col("n")).alias("recall"), r6(F.col("found") / F.col("m")).alias("precision"), r6(1 / F.col("first")).alias("rr"), r6(F.col("gain") / F.col("n")).alias("ap"), r6(F.col("dcg") / ideal).alias("ndcg"))
+    return size.join(got, "qid", "left").select(
+        "qid",
+        r6(F.col("found") / F.col("n")).alias("recall"),
+        r6(F.col("good") / F.col("m")).alias("precision"),
+        r6(1 / F.col("first")).alias("rr"),
+        r6(F.col("gain") / F.col("n")).alias("ap"),
+        r6(F.col("dcg") / ideal).alias("ndcg"),
+    )

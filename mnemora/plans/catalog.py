@@ -1,363 +1,8 @@
-"""The registered queries over the derived relations, each beside its oracle."""
+"""All registered queries and their oracles, from the modules of this package."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, curating, graphs, retrieval, scalar, scans, timeline, upkeep  # noqa: F401 - they register
+from .base import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from ..functions import scalars as S
-from ..operators import conflicts as C
-from ..operators import graph as G
-from ..operators import lifecycle as Y
-from ..operators import log as L
-from ..operators import recall as R
-from . import fixture as X
-from .fixture import DUCK, DUCK_POOL, NOW
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-class Tables:
-    def __init__(self, spark: SparkSession, d: str):
-        self.spark, self.d = spark, d
-
-    def __getattr__(self, name: str) -> DataFrame:
-        made = {"m": X.memories, "v": X.vectors, "e": X.edges, "q": X.queries, "j": X.journal}[name](self.spark, self.d)
-        setattr(self, name, made)
-        return made
-
-    def read(self, name: str) -> DataFrame:
-        return X.read(self.spark, self.d, name)
-
-    def embedded(self, where=None) -> DataFrame:
-        m = self.m if where is None else self.m.where(where)
-        return m.join(self.v, "vec_id")
-
-    def pool(self, n: int, where=None) -> DataFrame:
-        return R.vector_pool(self.embedded(where), self.q, n)
-
-
-def key(name: str, sql: str | None = None, prefix: str = DUCK):
-    def add(f):
-        QUERIES[name] = lambda spark, d: f(Tables(spark, d))
-        if sql is not None:
-            ORACLES[name] = prefix + sql
-        return f
-
-    return add
-
-
-def pool_sql(n: int = 20, where: str = "TRUE") -> str:
-    return DUCK + DUCK_POOL.format(n=n, where=where)
-
-
-r6 = lambda c: F.round(c, 6)
-join_ = lambda c: F.array_join(c, ",")
-LIVE = "(m.expires_at = 0 OR m.expires_at > 1700000000)"
-
-# --- scans -----------------------------------------------------------------
-key("scan_all", "SELECT id, text, type, array_to_string(tags, ',') AS tags, importance, created_at, content_hash FROM m")(
-    lambda t: t.m.select("id", "text", "type", join_("tags").alias("tags"), "importance", "created_at", "content_hash"))
-key("scan_with_vectors", "SELECT id, len(x)::BIGINT AS dim, round(list_dot_product(x, x), 6) AS norm2 FROM m JOIN v USING (vec_id)")(
-    lambda t: t.embedded().select("id", F.size("x").cast("long").alias("dim"), r6(S.dot(F.col("x"), F.col("x"))).alias("norm2")))
-key("point_get", "SELECT id, type, superseded_by, expires_at FROM m WHERE id = 'm00000023'")(
-    lambda t: t.m.where("id = 'm00000023'").select("id", "type", "superseded_by", "expires_at"))
-key("get_by_ids", "SELECT id, vec_id FROM m WHERE id IN ('m00000001', 'm00000500', 'm77777777')")(
-    lambda t: t.m.join(t.spark.createDataFrame([("m00000001",), ("m00000500",), ("m77777777",)], "id string"), "id", "left_semi").select("id", "vec_id"))
-key("prefix_resolve", "SELECT count(*) AS matches, CASE count(*) WHEN 0 THEN 'none' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS outcome, min(id) AS first_id FROM m WHERE starts_with(id, 'm0000001')")(
-    lambda t: t.m.where(F.col("id").startswith("m0000001")).agg(F.count("*").alias("matches"), F.when(F.count("*") == 0, "none").when(F.count("*") == 1, "unique").otherwise("ambiguous").alias("outcome"), F.min("id").alias("first_id")))
-key("scan_recent_keyset", f"SELECT id, created_at FROM m WHERE superseded_by = '' AND {LIVE} AND created_at < 1699500000 ORDER BY created_at DESC, id LIMIT 50")(
-    lambda t: t.m.where(R.eligible(NOW) & (F.col("created_at") < 1699500000.0)).orderBy(F.desc("created_at"), "id").limit(50).select("id", "created_at"))
-key("list_filtered", f"SELECT id, importance FROM m WHERE type = 'semantic' AND list_contains(tags, 'hot') AND created_at >= 1690000000 AND superseded_by = '' AND {LIVE} ORDER BY importance DESC, id LIMIT 20")(
-    lambda t: t.m.where((F.col("type") == "semantic") & (F.col("created_at") >= 1690000000.0) & R.eligible(NOW, tag="hot")).orderBy(F.desc("importance"), "id").limit(20).select("id", "importance"))
-key("metadata_eq_scan", "SELECT id, type FROM m WHERE pinned AND type = 'episodic'")(lambda t: t.m.where("pinned AND type = 'episodic'").select("id", "type"))
-key("metadata_range_scan", "SELECT id, expires_at FROM m WHERE expires_at > 0 AND expires_at <= 1700000000")(lambda t: t.m.where(f"expires_at > 0 AND expires_at <= {NOW}D").select("id", "expires_at"))
-key("content_contains_scan", "SELECT id FROM m WHERE contains(text, 'tion the') ORDER BY id LIMIT 100")(lambda t: t.m.where(F.col("text").contains("tion the")).select("id").orderBy("id").limit(100))
-key("vector_query", pool_sql(20, "type = 'semantic'") + "SELECT qid, id, pool_pos, round(cosine, 6) AS cosine FROM pool", "")(
-    lambda t: t.pool(20, "type = 'semantic'").select("qid", "id", F.col("pool_pos").cast("long").alias("pool_pos"), r6("cosine").alias("cosine")))
-QUERIES["join_query_memory"], ORACLES["join_query_memory"] = QUERIES["vector_query"], ORACLES["vector_query"]
-QUERIES["pool_position"], ORACLES["pool_position"] = QUERIES["vector_query"], ORACLES["vector_query"]
-
-# --- predicates and projections --------------------------------------------
-WHERE = "type = 'semantic' AND importance >= 0.3::DOUBLE AND source = 'src0' AND created_at >= 1690000000 AND created_at <= 1699900000"
-key("filter_where", f"SELECT id FROM m WHERE {WHERE}")(lambda t: t.m.where((F.col("type") == "semantic") & (F.col("importance") >= 0.3) & (F.col("source") == "src0") & F.col("created_at").between(1690000000.0, 1699900000.0)).select("id"))
-for name, cond, sql in (
-    ("filter_tag", lambda: F.array_contains("tags", "hot"), "list_contains(tags, 'hot')"),
-    ("filter_superseded", lambda: F.col("superseded_by") == "", "superseded_by = ''"),
-    ("filter_expired", lambda: (F.col("expires_at") == 0) | (F.col("expires_at") > NOW), LIVE),
-    ("filter_min_trust", lambda: S.trust_rank(F.col("trust")) <= 1, "trust IN ('trusted', 'reported', '')"),
-    ("filter_valid_at", lambda: S.is_valid_at(F.col("valid_from"), F.col("valid_until"), F.lit(1698000000.0)), "(valid_from = 0 OR valid_from <= 1698000000) AND (valid_until = 0 OR 1698000000 < valid_until)"),
-    ("filter_eligible", lambda: R.eligible(NOW, min_trust="reported", tag="hot"), f"list_contains(tags, 'hot') AND superseded_by = '' AND {LIVE} AND trust <> 'untrusted'"),
-    ("filter_as_of", lambda: R.eligible(NOW, valid_at=1699500000.0), f"{LIVE} AND (valid_from = 0 OR valid_from <= 1699500000) AND (valid_until = 0 OR 1699500000 < valid_until)"),
-    ("export_filter", lambda: F.col("type").isin("semantic", "feedback") & F.arrays_overlap("tags", F.array(F.lit("hot"), F.lit("en"))) & (F.col("created_at") >= 1695000000.0) & (F.col("superseded_by") == ""), "type IN ('semantic', 'feedback') AND list_has_any(tags, ['hot', 'en']) AND created_at >= 1695000000 AND superseded_by = ''"),
-    ("set_overlap", lambda: F.arrays_overlap("tags", F.array(F.lit("src1"), F.lit("de"))), "list_has_any(tags, ['src1', 'de'])"),
-):
-    key(name, f"SELECT id FROM m WHERE {sql}")(lambda t, cond=cond: t.m.where(cond()).select("id"))
-key("filter_min_cosine", pool_sql() + "SELECT qid, id FROM pool WHERE cosine >= 0.2", "")(lambda t: t.pool(20).where("cosine >= 0.2").select("qid", "id"))
-key("hit_projection", pool_sql(5) + "SELECT qid, m.id, round(cosine, 4) AS score, nullif(superseded_by, '') AS superseded_by, nullif(expires_at, 0) AS expires_at FROM pool JOIN m ON m.id = pool.id", "")(
-    lambda t: t.pool(5).join(t.m, "id").select("qid", "id", F.round("cosine", 4).alias("score"), F.nullif("superseded_by", F.lit("")).alias("superseded_by"), F.nullif("expires_at", F.lit(0.0)).alias("expires_at")))
-
-# --- aggregates --------------------------------------------------------------
-key("agg_count", "SELECT count(*) AS n FROM m")(lambda t: t.m.agg(F.count("*").alias("n")))
-key("agg_stats", f"SELECT count(*) AS total, count(*) FILTER (superseded_by = '') AS active, count(*) FILTER (superseded_by <> '') AS superseded, count(*) FILTER (type = 'semantic') AS semantic, count(*) FILTER (type = 'episodic') AS episodic FROM m WHERE {LIVE}")(
-    lambda t: t.m.where(R.eligible(NOW, superseded=True)).agg(F.count("*").alias("total"), F.count_if(F.col("superseded_by") == "").alias("active"), F.count_if(F.col("superseded_by") != "").alias("superseded"), F.count_if(F.col("type") == "semantic").alias("semantic"), F.count_if(F.col("type") == "episodic").alias("episodic")))
-key("agg_list_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM m WHERE superseded_by = '') GROUP BY tag")(
-    lambda t: t.m.where("superseded_by = ''").select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")))
-key("agg_top_tags", f"SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM m WHERE superseded_by = '' AND {LIVE}) GROUP BY tag ORDER BY n DESC, tag LIMIT 15")(
-    lambda t: t.m.where(R.eligible(NOW)).select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(15))
-D_SQL = "importance * exp(-0.1::DOUBLE * greatest(0, (1700000000 - last_accessed) / 86400::DOUBLE))"
-decay_ = lambda: S.decay(F.col("importance"), F.col("last_accessed"), F.col("access_count"), NOW)
-key("agg_decay_histogram", f"SELECT least(4, floor({D_SQL} * 5))::INT AS band, count(*) AS n FROM m WHERE superseded_by = '' AND {LIVE} GROUP BY band")(
-    lambda t: t.m.where(R.eligible(NOW)).groupBy(F.least(F.lit(4), F.floor(decay_() * 5)).cast("int").alias("band")).agg(F.count("*").alias("n")))
-key("agg_health", f"""SELECT count(*) FILTER ({D_SQL} < 0.05::DOUBLE AND type <> 'procedural') AS at_risk, count(*) FILTER (access_count = 0) AS never_recalled,
- count(*) FILTER (last_accessed < 1700000000 - 30 * 86400) AS stale, count(*) FILTER (type = 'episodic') AS episodic, round(avg(importance), 3) AS avg_importance, coalesce(sum(n), 0)::BIGINT AS links, round(coalesce(sum(n), 0) / count(*), 3) AS link_density
- FROM m LEFT JOIN (SELECT src, count(*) AS n FROM ed GROUP BY src) l ON l.src = id WHERE superseded_by = '' AND {LIVE}""")(
-    lambda t: t.m.where(R.eligible(NOW)).join(t.e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")), "id", "left").agg(
-        F.count_if((decay_() < 0.05) & (F.col("type") != "procedural")).alias("at_risk"), F.count_if(F.col("access_count") == 0).alias("never_recalled"), F.count_if(F.col("last_accessed") < NOW - 30 * S.DAY).alias("stale"), F.count_if(F.col("type") == "episodic").alias("episodic"),
-        F.round(F.avg("importance"), 3).alias("avg_importance"), F.coalesce(F.sum("n"), F.lit(0)).alias("links"), F.round(F.coalesce(F.sum("n"), F.lit(0)) / F.count("*"), 3).alias("link_density")))
-key("agg_top_recalled", f"SELECT id, access_count FROM m WHERE superseded_by = '' AND {LIVE} AND access_count > 0 ORDER BY access_count DESC, id LIMIT 5")(
-    lambda t: t.m.where(R.eligible(NOW) & (F.col("access_count") > 0)).orderBy(F.desc("access_count"), "id").limit(5).select("id", "access_count"))
-key("agg_worst_trust", "SELECT source, ['trusted','reported','untrusted'][max(CASE trust WHEN 'reported' THEN 1 WHEN 'untrusted' THEN 2 ELSE 0 END) + 1] AS trust FROM m GROUP BY source")(
-    lambda t: t.m.groupBy("source").agg(S.trust_label(F.max(S.trust_rank(F.col("trust")))).alias("trust")))
-key("agg_bm25_df", pool_sql() + "SELECT qid, t, df::BIGINT AS df FROM dfr JOIN qt USING (qid, t)", "")(
-    lambda t: t.pool(20).join(t.m, "id").select("qid", F.explode(F.array_distinct(S.tokenize(F.col("text")))).alias("t")).groupBy("qid", "t").agg(F.count("*").alias("df")).join(t.q.select("qid", F.explode(F.array_distinct(S.tokenize(F.col("qtext")))).alias("t")), ["qid", "t"]))
-key("agg_term_freq", pool_sql() + "SELECT qid, id, t, f::BIGINT AS f FROM tf JOIN qt USING (qid, t)", "")(
-    lambda t: t.pool(20).join(t.m, "id").select("qid", "id", F.explode(S.tokenize(F.col("text"))).alias("t")).groupBy("qid", "id", "t").agg(F.count("*").alias("f")).join(t.q.select("qid", F.explode(F.array_distinct(S.tokenize(F.col("qtext")))).alias("t")), ["qid", "t"]))
-key("agg_minmax_norm", pool_sql() + "SELECT qid, id, round(CASE WHEN max(cosine) OVER w - min(cosine) OVER w <= 1e-12 THEN 1 ELSE (cosine - min(cosine) OVER w) / (max(cosine) OVER w - min(cosine) OVER w) END, 6) AS norm FROM pool WINDOW w AS (PARTITION BY qid)", "")(
-    lambda t: (lambda w: t.pool(20).select("qid", "id", r6(F.when(F.max("cosine").over(w) - F.min("cosine").over(w) <= 1e-12, 1.0).otherwise((F.col("cosine") - F.min("cosine").over(w)) / (F.max("cosine").over(w) - F.min("cosine").over(w)))).alias("norm")))(Window.partitionBy("qid")))
-key("agg_op_counters", "SELECT op, count(*) AS calls FROM jl GROUP BY op")(lambda t: t.j.groupBy("op").agg(F.count("*").alias("calls")))
-key("agg_metrics_latency", """, s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
-SELECT event_type, n, round(avg(value), 3) AS avg, round(max(value), 3) AS max, round(max(value) FILTER (i = round_even(0.50::DOUBLE * (n - 1), 0)), 3) AS p50, round(max(value) FILTER (i = round_even(0.95::DOUBLE * (n - 1), 0)), 3) AS p95, round(max(value) FILTER (i = round_even(0.99::DOUBLE * (n - 1), 0)), 3) AS p99 FROM s GROUP BY event_type, n""")(
-    lambda t: L.latencies(t.read("events").select("event_type", "event_id", "value"), "event_type", "value", "event_id"))
-key("collections_list", "SELECT source AS collection, count(*) AS n, source = 'src0' AS active FROM m GROUP BY source")(lambda t: t.m.groupBy(F.col("source").alias("collection")).agg(F.count("*").alias("n")).withColumn("active", F.col("collection") == "src0"))
-
-# --- recall ----------------------------------------------------------------
-TOP = "SELECT qid, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pool_pos) AS rank FROM sc) WHERE rank <= 5"
-hits = lambda rows: rows.select("qid", "id", r6("score").alias("score"), F.col("rank").cast("long").alias("rank"))
-
-
-def semantic(t: Tables, where=None, k=5, n=20, now=NOW, **fine) -> DataFrame:
-    rows = t.pool(n, where).join(t.m, "id").where(R.eligible(now, **fine))
-    return R.top(rows.withColumn("score", F.col("cosine") + 0.05 * F.col("polarity")), k)
-
-
-def hybrid(t: Tables, fusion="weighted", w=R.Weights(), n=20, where=None) -> DataFrame:
-    rows = R.signals(t.pool(n, where), t.m, t.q, NOW, w).where("superseded_by = ''")
-    return R.weighted(rows, w, t.e) if fusion == "weighted" else R.reciprocal_ranks(rows, w)
-
-
-SEM = ", sc AS (SELECT qid, pool.id, pool_pos, cosine + 0.05::DOUBLE * polarity AS score FROM pool JOIN m ON m.id = pool.id WHERE {}) "
-SIG = ", si AS (SELECT pool.qid, pool.id, pool_pos, cosine, lex, exp(-0.1::DOUBLE * greatest(0, (1700000000 - created_at) / 86400::DOUBLE)) AS rec, importance, polarity, m.expires_at, max(lex) OVER (PARTITION BY pool.qid) AS best FROM pool JOIN m ON m.id = pool.id JOIN bm ON bm.qid = pool.qid AND bm.id = pool.id WHERE superseded_by = '')"
-# The scale follows the whole pool's matches in the reference rows that stay.
-WEI = SIG + ", sw AS (SELECT *, CASE WHEN best > 0 THEN 1::DOUBLE ELSE 1 / 0.8::DOUBLE END * (0.55::DOUBLE * cosine + 0.15::DOUBLE * rec + 0.1::DOUBLE * importance) + 0.2::DOUBLE * lex + 0.05::DOUBLE * polarity AS base FROM si)"
-key("recall_semantic", pool_sql() + SEM.format(f"superseded_by = '' AND {LIVE}") + TOP, "")(lambda t: hits(semantic(t)))
-for name in ("topk_semantic", "topk_per_query", "topk_overfetch"):
-    QUERIES[name], ORACLES[name] = QUERIES["recall_semantic"], ORACLES["recall_semantic"]
-key("recall_as_of", pool_sql() + SEM.format(f"{LIVE} AND (valid_from = 0 OR valid_from <= 1699500000) AND (valid_until = 0 OR 1699500000 < valid_until)") + TOP, "")(lambda t: hits(semantic(t, valid_at=1699500000.0)))
-key("recall_min_trust", pool_sql() + SEM.format(f"superseded_by = '' AND {LIVE} AND trust = 'trusted'") + TOP, "")(lambda t: hits(semantic(t, min_trust="trusted")))
-key("recall_filtered", pool_sql(20, "type = 'semantic' AND importance >= 0.2::DOUBLE") + SEM.format(f"superseded_by = '' AND {LIVE} AND list_contains(tags, 'hot')") + TOP, "")(lambda t: hits(semantic(t, "type = 'semantic' AND importance >= 0.2D", tag="hot")))
-key("fn_bm25", pool_sql() + "SELECT qid, id, round(lex, 6) AS lex FROM bm", "")(lambda t: R.bm25(t.pool(20).join(t.m, "id"), t.q).select("qid", "id", r6("lex").alias("lex")))
-QUERIES["agg_pool_max_norm"], ORACLES["agg_pool_max_norm"] = QUERIES["fn_bm25"], ORACLES["fn_bm25"]
-key("recall_hybrid_weighted", pool_sql() + WEI + f", sc AS (SELECT qid, id, pool_pos, base AS score FROM sw m WHERE {LIVE}) " + TOP, "")(lambda t: hits(R.top(hybrid(t).where(R.eligible(NOW)), 5)))
-RRF = SIG + """, rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, pool_pos) - 1 AS rc, row_number() OVER (PARTITION BY qid ORDER BY lex DESC, pool_pos) - 1 AS rl,
- row_number() OVER (PARTITION BY qid ORDER BY rec DESC, pool_pos) - 1 AS rr, row_number() OVER (PARTITION BY qid ORDER BY importance DESC, pool_pos) - 1 AS ri FROM si)"""
-key("recall_hybrid_rrf", pool_sql() + RRF + f", sc AS (SELECT qid, id, pool_pos, 0.55::DOUBLE / (60 + rc) + 0.2::DOUBLE / (60 + rl) + 0.15::DOUBLE / (60 + rr) + 0.1::DOUBLE / (60 + ri) + 0.05::DOUBLE * polarity / 61 AS score FROM rk m WHERE {LIVE}) " + TOP, "")(lambda t: hits(R.top(hybrid(t, "rrf").where(R.eligible(NOW)), 5)))
-key("rank_by_signal", pool_sql() + RRF + "SELECT qid, id, rc, rl, rr, ri FROM rk", "")(lambda t: hybrid(t, "rrf").select("qid", "id", *(F.col(f"rank_{a}").cast("long").alias(b) for a, b in (("cosine", "rc"), ("lex", "rl"), ("rec", "rr"), ("importance", "ri")))))
-key("explain_projection", pool_sql() + WEI + "SELECT qid, id, round(cosine, 4) AS cosine, round(lex, 4) AS lexical, round(rec, 4) AS recency, round(importance, 4) AS importance, round(base, 4) AS score FROM sw", "")(
-    lambda t: hybrid(t).select("qid", "id", F.round("cosine", 4).alias("cosine"), F.round("lex", 4).alias("lexical"), F.round("rec", 4).alias("recency"), F.round("importance", 4).alias("importance"), F.round("score", 4).alias("score")))
-QUERIES["recall_explain"], ORACLES["recall_explain"] = QUERIES["explain_projection"], ORACLES["explain_projection"]
-key("recall_mmr")(lambda t: R.diversify(hybrid(t).where(R.eligible(NOW)).join(t.v.select("vec_id", "x"), "vec_id"), 5, lam=0.7))
-key("recall_dedup")(lambda t: R.diversify(hybrid(t).where(R.eligible(NOW)).join(t.v.select("vec_id", "x"), "vec_id"), 5, dedup=0.95))
-QUERIES["mmr_select"], QUERIES["dedup_threshold"] = QUERIES["recall_mmr"], QUERIES["recall_dedup"]
-key("recall_graph_fusion", pool_sql() + WEI + f""", per AS (SELECT qid, min(base) AS lo, max(base) AS hi FROM sw GROUP BY qid),
- s0 AS (SELECT sw.qid, id, pool_pos, expires_at, base, CASE WHEN hi - lo <= 1e-12 THEN 1 ELSE (base - lo) / (hi - lo) END AS s FROM sw JOIN per USING (qid)),
- s1 AS (SELECT *, s / sum(s) OVER (PARTITION BY qid) AS seed FROM s0),
- un AS (SELECT DISTINCT qid, a, b FROM (SELECT x.qid, src AS a, dst AS b FROM ed JOIN s1 x ON x.id = src JOIN s1 y ON y.id = dst AND y.qid = x.qid UNION ALL SELECT x.qid, dst, src FROM ed JOIN s1 x ON x.id = src JOIN s1 y ON y.id = dst AND y.qid = x.qid)),
- dg AS (SELECT qid, a, b, count(*) OVER (PARTITION BY qid, a) AS deg FROM un),
- a1 AS (SELECT s1.qid, s1.id, seed, 0.5::DOUBLE * seed + 0.5::DOUBLE * coalesce(g, seed) AS act FROM s1 LEFT JOIN (SELECT dg.qid, b AS id, sum(z.seed / deg) AS g FROM dg JOIN s1 z ON z.qid = dg.qid AND z.id = a GROUP BY ALL) USING (qid, id)),
- a2 AS (SELECT a1.qid, a1.id, seed, 0.5::DOUBLE * seed + 0.5::DOUBLE * coalesce(g, act) AS act FROM a1 LEFT JOIN (SELECT dg.qid, b AS id, sum(z.act / deg) AS g FROM dg JOIN a1 z ON z.qid = dg.qid AND z.id = a GROUP BY ALL) USING (qid, id)),
- a3 AS (SELECT a2.qid, a2.id, 0.5::DOUBLE * seed + 0.5::DOUBLE * coalesce(g, act) AS act FROM a2 LEFT JOIN (SELECT dg.qid, b AS id, sum(z.act / deg) AS g FROM dg JOIN a2 z ON z.qid = dg.qid AND z.id = a GROUP BY ALL) USING (qid, id)),
- sp AS (SELECT qid, id, CASE WHEN hi - lo > 1e-12 THEN (act - lo) / (hi - lo) END AS spread FROM (SELECT *, min(act) OVER (PARTITION BY qid) AS lo, max(act) OVER (PARTITION BY qid) AS hi FROM a3) WHERE qid IN (SELECT qid FROM un)),
- sc AS (SELECT m.qid, m.id, pool_pos, base + 0.3::DOUBLE * coalesce(spread, 0) AS score FROM s1 m LEFT JOIN sp ON sp.qid = m.qid AND sp.id = m.id WHERE {LIVE}) """ + TOP, "")(
-    lambda t: hits(R.top(hybrid(t, w=R.Weights(graph=0.3)).where(R.eligible(NOW)), 5)))
-key("recall_expand_append", pool_sql() + SEM.format(f"superseded_by = '' AND {LIVE}") + f""", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pool_pos) AS rank FROM sc) WHERE rank <= 5),
- nb AS (SELECT qid, dst AS id, max(score) * 0.7::DOUBLE AS score FROM top JOIN (SELECT DISTINCT src, dst FROM ed WHERE rel IN ('refines', 'example_of')) l ON l.src = top.id JOIN m ON m.id = dst AND superseded_by = '' AND {LIVE} WHERE NOT EXISTS (SELECT 1 FROM top z WHERE z.qid = top.qid AND z.id = dst) GROUP BY ALL)
-SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS n FROM nb) WHERE n <= 5""", "")(
-    lambda t: R.expand(semantic(t), t.e, t.m, R.eligible(NOW)).select("qid", "id", r6("score").alias("score")))
-key("union_expansion", ORACLES["recall_expand_append"].replace("SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row", "SELECT qid, id, round(score, 6) AS score FROM top UNION ALL SELECT qid, id, round(score, 6) AS score FROM (SELECT *, row"), "")(
-    lambda t: (lambda h: h.select("qid", "id", r6("score").alias("score")).unionByName(R.expand(h, t.e, t.m, R.eligible(NOW)).select("qid", "id", r6("score").alias("score"))))(semantic(t)))
-key("recall_touch", pool_sql() + SEM.format(f"superseded_by = '' AND {LIVE}") + ", top AS (" + TOP + ") SELECT m.id, m.access_count + count(*) AS access_count, 1700000000::DOUBLE AS last_accessed FROM top JOIN m ON m.id = top.id GROUP BY m.id, m.access_count", "")(
-    lambda t: semantic(t).groupBy("id", "access_count").agg(F.count("*").alias("n")).select("id", (F.col("access_count") + F.col("n")).alias("access_count"), F.lit(NOW).alias("last_accessed")))
-key("join_pool_lexical_union", pool_sql() + ", pr AS (SELECT qid, unnest(list_sort(list_distinct(list_filter(regexp_extract_all(lower(qtext), '[\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3)))) AS w FROM q), pk AS (SELECT qid, w FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY length(w) DESC, w) AS n FROM pr) WHERE n <= 4) SELECT qid, id, 'lexical' AS lane FROM (SELECT DISTINCT qid, m.id FROM pk JOIN m ON contains(m.text, w)) x WHERE NOT EXISTS (SELECT 1 FROM pool p WHERE p.qid = x.qid AND p.id = x.id) UNION ALL SELECT qid, id, 'pool' FROM pool", "")(
-    lambda t: C.lexical_union(t.pool(20), t.m, t.q))
-for name in ("union_lexical", "recall_lexical_corpus"):
-    QUERIES[name], ORACLES[name] = QUERIES["join_pool_lexical_union"], ORACLES["join_pool_lexical_union"]
-
-# --- packing -----------------------------------------------------------------
-PACK = pool_sql() + SEM.format(f"superseded_by = '' AND {LIVE}") + """, ln AS (SELECT sc.qid, sc.id, row_number() OVER (PARTITION BY sc.qid ORDER BY score DESC, pool_pos) AS rank, greatest(1, round_even(length(m.text) / 4::DOUBLE, 0))::INT AS cost FROM sc JOIN m ON m.id = sc.id),
- pk(qid, rank, used, id, cost, kept) AS (SELECT qid, 0::BIGINT, 0::INT, ''::VARCHAR, 0::INT, FALSE FROM (SELECT DISTINCT qid FROM ln)
-   UNION ALL SELECT pk.qid, ln.rank, (CASE WHEN pk.used + ln.cost <= 800 THEN pk.used + ln.cost ELSE pk.used END)::INT, ln.id, ln.cost, pk.used + ln.cost <= 800 FROM pk JOIN ln ON ln.qid = pk.qid AND ln.rank = pk.rank + 1)
-SELECT qid, id, rank, cost FROM pk WHERE kept"""
-key("pack_greedy", PACK, "")(lambda t: R.pack(semantic(t, k=20).withColumn("cost", S.estimate_tokens(F.col("text"))), 800).select("qid", "id", F.col("rank").cast("long").alias("rank"), "cost"))
-QUERIES["recall_pack"], ORACLES["recall_pack"] = QUERIES["pack_greedy"], ORACLES["pack_greedy"]
-key("prepend_pinned", f"SELECT id, created_at FROM m WHERE pinned AND superseded_by = '' AND {LIVE} AND trust <> 'untrusted'")(lambda t: t.m.where(F.col("pinned") & R.eligible(NOW, min_trust="reported")).select("id", "created_at"))
-
-# --- conflicts, decay, lifecycle ---------------------------------------------
-CON = """, pr AS (SELECT a.id AS a, b.id AS b, a.type, round(list_dot_product(va.x, vb.x) / (sqrt(list_dot_product(va.x, va.x)) * sqrt(list_dot_product(vb.x, vb.x))), 4) AS similarity,
-  CASE WHEN a.polarity * b.polarity = -1 THEN 'polarity' WHEN na % 2 <> nb % 2 THEN 'negation' ELSE 'duplicate' END AS kind
- FROM (SELECT *, len(list_filter(regexp_extract_all(regexp_replace(lower(text), '[''’]', '', 'g'), '[\\p{L}\\p{N}_]+'), lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none'))) AS na FROM m WHERE superseded_by = '') a
- JOIN (SELECT *, len(list_filter(regexp_extract_all(regexp_replace(lower(text), '[''’]', '', 'g'), '[\\p{L}\\p{N}_]+'), lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none'))) AS nb FROM m WHERE superseded_by = '') b ON a.type = b.type AND a.id < b.id AND list_has_any(a.tags, b.tags)
- JOIN v va ON va.vec_id = a.vec_id JOIN v vb ON vb.vec_id = b.vec_id WHERE list_dot_product(va.x, vb.x) / (sqrt(list_dot_product(va.x, va.x)) * sqrt(list_dot_product(vb.x, vb.x))) >= 0.8)
-SELECT a, b, similarity, kind FROM pr"""
-key("conflicts_all_pairs", CON)(lambda t: C.conflicts(t.embedded("superseded_by = ''")))
-for name in ("join_self_similarity", "classify_conflict"):
-    QUERIES[name], ORACLES[name] = QUERIES["conflicts_all_pairs"], ORACLES["conflicts_all_pairs"]
-key("decay_score_all", f"SELECT id, round({D_SQL}, 6) AS score FROM m WHERE {LIVE}")(lambda t: t.m.where(R.eligible(NOW, superseded=True)).select("id", r6(decay_()).alias("score")))
-key("decay_prune", f"SELECT id FROM m WHERE {LIVE} AND {D_SQL} < 0.05::DOUBLE AND type <> 'procedural' AND NOT pinned")(lambda t: t.m.where(R.eligible(NOW, superseded=True) & (decay_() < 0.05) & (F.col("type") != "procedural") & ~F.col("pinned")).select("id"))
-key("purge_expired", "SELECT id FROM m WHERE expires_at > 0 AND expires_at <= 1700000000")(lambda t: t.m.where((F.col("expires_at") > 0) & (F.col("expires_at") <= NOW)).select("id"))
-key("reflect_candidates", f"SELECT id, vec_id FROM m WHERE type = 'episodic' AND superseded_by = '' AND {LIVE} AND NOT list_contains(tags, 'level:1')")(lambda t: t.m.where((F.col("type") == "episodic") & R.eligible(NOW) & (S.level_of(F.col("tags")) < 1)).select("id", "vec_id"))
-key("reflect_clusters")(lambda t: C.leader_clusters(t.embedded((F.col("type") == "episodic") & R.eligible(NOW) & (S.level_of(F.col("tags")) < 1))))
-QUERIES["leader_cluster"] = QUERIES["reflect_clusters"]
-key("agg_cluster_importance", f"SELECT vec_id, count(*) AS n, round(avg(importance), 3) AS importance, bool_or(pinned) AS pinned, ['trusted','reported','untrusted'][max(CASE trust WHEN 'reported' THEN 1 WHEN 'untrusted' THEN 2 ELSE 0 END) + 1] AS trust, max(CASE WHEN list_contains(tags, 'level:1') THEN 1 ELSE 0 END) + 1 AS level FROM m GROUP BY vec_id")(
-    lambda t: t.m.groupBy("vec_id").agg(F.count("*").alias("n"), F.round(F.avg("importance"), 3).alias("importance"), F.bool_or("pinned").alias("pinned"), S.trust_label(F.max(S.trust_rank(F.col("trust")))).alias("trust"), (F.max(S.level_of(F.col("tags"))) + 1).alias("level")))
-key("join_hash_dedup", "SELECT a.id, min(b.id) AS twin FROM m a JOIN m b ON a.content_hash = b.content_hash AND b.superseded_by = '' AND (b.expires_at = 0 OR b.expires_at > 1700000000) AND b.id < a.id GROUP BY a.id")(
-    lambda t: (lambda first: t.m.join(first, "content_hash").where("twin < id").select("id", "twin"))(t.m.where(R.eligible(NOW)).groupBy("content_hash").agg(F.min("id").alias("twin"))))
-key("remember_many", "SELECT id, first_value(id) OVER (PARTITION BY content_hash ORDER BY i) AS kept_as FROM m")(lambda t: t.m.select("id", F.min_by("id", "i").over(Window.partitionBy("content_hash")).alias("kept_as")))
-
-# --- graph -------------------------------------------------------------------
-key("join_edges_out", "SELECT src, dst, rel, type FROM ed JOIN m ON m.id = dst")(lambda t: t.e.join(t.m.select(F.col("id").alias("dst"), "type"), "dst").select("src", "dst", "rel", "type"))
-key("join_edges_in", "SELECT dst AS id, src, rel FROM ed WHERE dst IN ('m00000001', 'm00000036', 'm00000106')")(lambda t: t.e.where(F.col("dst").isin("m00000001", "m00000036", "m00000106")).select(F.col("dst").alias("id"), "src", "rel"))
-key("undirected_adjacency", "SELECT DISTINCT a, b, rel FROM (SELECT src AS a, dst AS b, rel FROM ed UNION ALL SELECT dst, src, rel FROM ed)")(lambda t: G.undirected(t.e))
-SEEDS = "('m00000000', 'm00000005', 'm00000070', 'm00000035')"
-NB = f""", w(seed, id, d) AS (SELECT id, id, 0 FROM m WHERE id IN {SEEDS} UNION SELECT w.seed, dst, d + 1 FROM w JOIN (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed) l ON l.src = w.id JOIN m ON m.id = dst WHERE d < 2)
-SELECT seed, id, min(d)::INT AS depth FROM w GROUP BY ALL HAVING min(d) > 0"""
-seeds = lambda t: t.m.where(f"id IN {SEEDS}").select(F.col("id").alias("seed"))
-key("neighbors", NB)(lambda t: G.neighbors(seeds(t), t.e, t.m.select("id"), 2, "both"))
-key("except", NB)(lambda t: G.neighbors(seeds(t), t.e, t.m.select("id"), 2, "both"))
-key("subgraph", f""", w(seed, id, d) AS (SELECT id, id, 0 FROM m WHERE id IN {SEEDS} UNION SELECT w.seed, dst, d + 1 FROM w JOIN ed ON ed.src = w.id WHERE d < 2)
-SELECT DISTINCT seed, src, dst, rel FROM (SELECT seed, id, min(d) AS d FROM w GROUP BY ALL) s JOIN ed ON ed.src = s.id WHERE d < 2""")(lambda t: G.subgraph(seeds(t), t.e, 2))
-key("find_path", f""", un AS (SELECT DISTINCT src AS a, dst AS b FROM ed UNION SELECT dst, src FROM ed), w(seed, id, d) AS (SELECT id, id, 0 FROM m WHERE id IN {SEEDS} UNION SELECT w.seed, b, d + 1 FROM w JOIN un ON un.a = w.id WHERE d < 4)
-SELECT seed, id, min(d)::INT AS hops FROM w GROUP BY ALL HAVING min(d) > 0""")(lambda t: G.path_lengths(seeds(t), t.e, 4))
-
-# --- curation ------------------------------------------------------------------
-key("rename_tag", "SELECT id, array_to_string(list_transform(list_filter(list_zip(tags2, range(1, len(tags2) + 1)), lambda z: list_position(tags2, z[1]) = z[2]), lambda z: z[1]), ',') AS tags FROM (SELECT id, list_transform(tags, lambda x: CASE WHEN x IN ('hot', 'en') THEN 'warm' ELSE x END) AS tags2 FROM m WHERE list_has_any(tags, ['hot', 'en']))")(
-    lambda t: C.rename_tags(t.m, ["hot", "en"], "warm").select("id", join_("tags").alias("tags")))
-QUERIES["merge_tags"], ORACLES["merge_tags"] = QUERIES["rename_tag"], ORACLES["rename_tag"]
-key("delete_tag", "SELECT id, array_to_string(list_filter(tags, lambda x: x <> 'hot'), ',') AS tags FROM m WHERE list_contains(tags, 'hot')")(lambda t: t.m.where(F.array_contains("tags", "hot")).select("id", join_(F.array_remove("tags", "hot")).alias("tags")))
-key("repoint_incoming", "SELECT DISTINCT src, CASE WHEN dst = 'm00000036' THEN 'm00000001' ELSE dst END AS dst, rel FROM ed WHERE src <> CASE WHEN dst = 'm00000036' THEN 'm00000001' ELSE dst END")(lambda t: C.repoint(t.e, "m00000036", "m00000001"))
-key("union_tags", "SELECT source, array_to_string(list_sort(list_distinct(flatten(list(tags)))), ',') AS tags FROM m GROUP BY source")(lambda t: t.m.select("source", F.explode("tags").alias("x")).groupBy("source").agg(join_(F.sort_array(F.collect_set("x"))).alias("tags")))
-key("merge", "SELECT a.id, a.text || chr(10) || chr(10) || b.text AS text, ['trusted','reported','untrusted'][greatest(CASE a.trust WHEN 'reported' THEN 1 WHEN 'untrusted' THEN 2 ELSE 0 END, CASE b.trust WHEN 'reported' THEN 1 WHEN 'untrusted' THEN 2 ELSE 0 END) + 1] AS trust, a.pinned OR b.pinned AS pinned FROM m a JOIN m b ON b.i = a.i + 1 WHERE a.i % 100 = 0")(
-    lambda t: C.merged(t.m.where("i % 100 = 0"), t.m.withColumn("i", F.col("i") - 1), "i"))
-
-# --- archive ----------------------------------------------------------------
-key("archive_export", f"SELECT row_number() OVER (ORDER BY created_at, id) AS line, id FROM m WHERE type IN ('semantic', 'feedback') AND list_has_any(tags, ['hot', 'en']) AND superseded_by = ''")(
-    lambda t: t.m.where(F.col("type").isin("semantic", "feedback") & F.arrays_overlap("tags", F.array(F.lit("hot"), F.lit("en"))) & (F.col("superseded_by") == "")).select(F.row_number().over(Window.orderBy("created_at", "id")).cast("long").alias("line"), "id"))
-IMPORT = "SELECT a.id, CASE WHEN m.id IS NULL THEN 'add' WHEN '{0}' = 'rename' THEN 'rename' WHEN '{0}' = 'overwrite' THEN 'replace' ELSE 'skip' END AS action FROM (SELECT CASE WHEN i % 3 = 0 THEN id ELSE 'x' || id END AS id FROM m WHERE i % 2 = 0) a LEFT JOIN m ON m.id = a.id"
-for policy in ("skip", "overwrite", "rename"):
-    key(f"archive_import_{policy}", IMPORT.format(policy))(lambda t, policy=policy: C.import_actions(t.m.where("i % 2 = 0").select(F.when(F.col("i") % 3 == 0, F.col("id")).otherwise(F.concat(F.lit("x"), "id")).alias("id")), t.m.select("id"), policy))
-QUERIES["join_import_collision"], ORACLES["join_import_collision"] = QUERIES["archive_import_skip"], ORACLES["archive_import_skip"]
-key("archive_remap_refs", "SELECT src, CASE WHEN dst = 'm00000001' THEN 'n1' WHEN dst = 'm00000036' THEN 'n36' ELSE dst END AS dst, rel FROM ed")(
-    lambda t: t.e.join(t.spark.createDataFrame([("m00000001", "n1"), ("m00000036", "n36")], "dst string, new string"), "dst", "left").select("src", F.coalesce("new", "dst").alias("dst"), "rel"))
-key("collections_copy", "SELECT id, 'copy' AS collection FROM m WHERE source = 'src1' UNION ALL SELECT id, 'target' FROM m WHERE source = 'src2'")(lambda t: t.m.where("source = 'src1'").select("id", F.lit("copy").alias("collection")).unionByName(t.m.where("source = 'src2'").select("id", F.lit("target").alias("collection"))))
-key("vector_index_ok", "SELECT count(*) FILTER (v.vec_id IS NULL) AS missing, count(*) AS n FROM m LEFT JOIN v ON v.vec_id = m.vec_id AND v.vec_id % 7 <> 0")(lambda t: t.m.join(t.v.where("vec_id % 7 <> 0").select("vec_id", F.lit(1).alias("has")), "vec_id", "left").agg(F.count_if(F.col("has").isNull()).alias("missing"), F.count("*").alias("n")))
-
-# --- journal ------------------------------------------------------------------
-key("journal_read", "SELECT seq, op, id FROM jl WHERE us >= 1704500000000000 AND us <= 1705500000000000 AND op = 'link'")(lambda t: t.j.where("us >= 1704500000000000 AND us <= 1705500000000000 AND op = 'link'").select("seq", "op", "id"))
-key("journal_tail", "SELECT seq, op, id FROM jl ORDER BY seq DESC LIMIT 20")(lambda t: t.j.orderBy(F.desc("seq")).limit(20).select("seq", "op", "id"))
-key("journal_find_ts", "SELECT seq FROM jl WHERE abs(us - (SELECT us FROM jl WHERE seq = 100)) <= 1000 ORDER BY seq LIMIT 1")(lambda t: (lambda at: t.j.where(F.abs(F.col("us") - F.lit(at)) <= 1000).orderBy("seq").limit(1).select("seq"))((t.j.where("seq = 100").first() or [None, None])[1]))
-key("journal_summary", "SELECT seq, CASE op WHEN 'link' THEN 'link ' || id || ' -' || rel || '-> ' || dst_id WHEN 'unlink' THEN 'unlink ' || id || ' -' || rel || '-> ' || dst_id ELSE op || ' ' || id END AS line FROM jl")(lambda t: L.summaries(t.j))
-key("history", "SELECT seq, op FROM jl WHERE id = 'u7' OR (op IN ('link', 'unlink') AND dst_id = 'u7')")(lambda t: L.history(t.j, "u7").select("seq", "op"))
-key("versions", "SELECT seq, id, lag(text) OVER (PARTITION BY id ORDER BY seq) AS before FROM jl WHERE op IN ('remember', 'edit') QUALIFY op = 'edit' AND before IS NOT NULL")(lambda t: L.versions(t.j))
-STATE = """, cut AS (SELECT * FROM jl WHERE us <= 1705500000000000), b AS (SELECT id, max_by(op, seq) AS op, max(seq) AS base, max_by(text, seq) AS text FROM cut WHERE op IN ('remember', 'edit', 'forget') GROUP BY id)
-SELECT b.id, text, (SELECT count(*) FROM (SELECT dst_id, rel, max_by(c.op, c.seq) AS last FROM cut c WHERE c.id = b.id AND c.op IN ('link', 'unlink') AND c.seq > b.base GROUP BY ALL) WHERE last = 'link') AS links FROM b WHERE op <> 'forget'"""
-key("state_at", STATE)(lambda t: L.state_at(t.j, 1705500000000000.0).select("id", "text", "links"))
-key("get_at", STATE.replace("WHERE op <> 'forget'", "WHERE op <> 'forget' AND b.id = 'u7'"))(lambda t: L.state_at(t.j.where("id = 'u7'"), 1705500000000000.0).select("id", "text", "links"))
-key("trash_list", "SELECT id, max(seq) AS seq FROM jl WHERE op = 'forget' GROUP BY id")(lambda t: t.j.where("op = 'forget'").groupBy("id").agg(F.max("seq").alias("seq")))
-key("trash_purge_expired", "SELECT seq, id FROM jl WHERE op = 'forget' AND us < 1705500000000000 - 5 * 86400000000")(lambda t: t.j.where("op = 'forget' AND us < 1705500000000000 - 5 * 86400000000").select("seq", "id"))
-
-# --- evaluation ------------------------------------------------------------------
-GOLD = ", g AS (SELECT qid, id FROM (SELECT q.qid, m.id, row_number() OVER (PARTITION BY q.qid ORDER BY m.id) AS n FROM q JOIN v ON v.label = q.label JOIN m ON m.vec_id = v.vec_id) WHERE n <= 10)"
-EV = pool_sql(10) + GOLD + """, h AS (SELECT pool.qid, pool.id, pool_pos AS r, (g.id IS NOT NULL)::INT AS rel FROM pool LEFT JOIN g ON g.qid = pool.qid AND g.id = pool.id), c AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY r) AS seen FROM h), n AS (SELECT qid, count(*) AS n FROM g GROUP BY qid)
-SELECT c.qid, round(sum(rel) / max(n)::DOUBLE, 6) AS recall, round(sum(rel) / count(*)::DOUBLE, 6) AS precision, round(coalesce(1 / min(CASE WHEN rel = 1 THEN r END)::DOUBLE, 0), 6) AS rr, round(sum(rel * seen / r::DOUBLE) / max(n), 6) AS ap,
- round(sum(rel / log2(r + 1)) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) t(i) WHERE i <= max(n)), 6) AS ndcg FROM c JOIN n USING (qid) GROUP BY c.qid"""
-
-
-def gold(t: Tables) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy("id")
-    every = t.q.select("qid", "label").join(t.v.select("vec_id", "label"), "label").join(t.m.select("id", "vec_id"), "vec_id")
-    return every.withColumn("n", F.row_number().over(order)).where("n <= 10").select("qid", "id")
-
-
-key("evaluate", EV, "")(lambda t: L.metrics(t.pool(10).select("qid", "id", F.col("pool_pos").alias("rank")), gold(t), 10))
-for name in ("eval_metrics", "join_goldset", "first_relevant_rank"):
-    QUERIES[name], ORACLES[name] = QUERIES["evaluate"], ORACLES["evaluate"]
-key("agg_eval_macro", EV.replace("SELECT c.qid, round(sum(rel) / max(n)::DOUBLE, 6) AS recall", ", e AS (SELECT c.qid, round(sum(rel) / max(n)::DOUBLE, 6) AS recall") + ") SELECT round(avg(recall), 6) AS recall, round(avg(precision), 6) AS precision, round(avg(rr), 6) AS rr, round(avg(ap), 6) AS ap, round(avg(ndcg), 6) AS ndcg FROM e", "")(
-    lambda t: L.metrics(t.pool(10).select("qid", "id", F.col("pool_pos").alias("rank")), gold(t), 10).agg(*(r6(F.avg(c)).alias(c) for c in ("recall", "precision", "rr", "ap", "ndcg"))))
-key("agg_fanout_max", pool_sql(10) + "SELECT id, round(max(cosine), 6) AS score FROM pool GROUP BY id", "")(lambda t: t.pool(10).groupBy("id").agg(r6(F.max("cosine")).alias("score")))
-
-# --- scalar functions ------------------------------------------------------------
-TOK = "regexp_extract_all(regexp_replace(lower(text), '[''’]', '', 'g'), '[\\p{L}\\p{N}_]+')"
-key("fn_tokenize", f"SELECT id, len({TOK})::INT AS n, array_to_string({TOK}[1:5], ' ') AS head FROM m")(lambda t: t.m.select("id", F.size(S.tokenize(F.col("text"))).alias("n"), F.array_join(F.slice(S.tokenize(F.col("text")), 1, 5), " ").alias("head")))
-key("fn_content_hash", "SELECT id, content_hash FROM m")(lambda t: t.m.select("id", "content_hash"))
-key("fn_cosine", "SELECT a.vec_id, round(list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))), 6) AS cosine FROM v a JOIN v b ON b.vec_id = a.vec_id + 1")(
-    lambda t: t.v.select("vec_id", "x").join(t.v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id").select("vec_id", r6(S.cosine(F.col("x"), F.col("y"))).alias("cosine")))
-JAC = f"SELECT a.id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE, 6) AS jaccard FROM (SELECT id, i, list_distinct({TOK}) AS s FROM m) a JOIN (SELECT i, list_distinct({TOK}) AS s FROM m) b ON b.i = a.i + 1"
-toks = lambda c: S.tokenize(F.col(c))
-key("fn_jaccard", JAC)(lambda t: t.m.select("id", "i", "text").join(t.m.select((F.col("i") - 1).alias("i"), F.col("text").alias("other")), "i").select("id", r6(S.jaccard(toks("text"), toks("other"))).alias("jaccard")))
-QUERIES["intersect"], ORACLES["intersect"] = QUERIES["fn_jaccard"], ORACLES["fn_jaccard"]
-key("fn_count_neg", f"SELECT id, len(list_filter({TOK}, lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none')))::INT AS n FROM m")(lambda t: t.m.select("id", S.count_negations(toks("text")).alias("n")))
-key("fn_estimate_tokens", "SELECT id, greatest(1, round_even(length(text) / 4::DOUBLE, 0))::INT AS tokens FROM m")(lambda t: t.m.select("id", S.estimate_tokens(F.col("text")).alias("tokens")))
-key("fn_key_phrases", None)(lambda t: t.read("benchmark").select(F.col("item_id").alias("qid"), F.array_join(S.key_phrases(F.col("text")), "|").alias("phrases")))
-key("fn_fanout_queries", None)(lambda t: t.read("benchmark").select(F.col("item_id").alias("qid"), F.array_join(S.fanout_queries(F.col("text")), "|").alias("queries")))
-IMP = "round(greatest(0.05::DOUBLE, least(0.98::DOUBLE, [0.9::DOUBLE, 0.75::DOUBLE, 0.6::DOUBLE, 0.35::DOUBLE, 0.5::DOUBLE][i % 5 + 1] + CASE WHEN type IN ('procedural', 'feedback') THEN 0.1::DOUBLE ELSE 0 END)), 3)"
-key("fn_importance", f"SELECT id, {IMP} AS score FROM m")(lambda t: t.m.select("id", S.importance(F.concat(F.get(F.array(*[F.lit(x) for x in ("Always keep it. ", "We decided on it. ", "Fixed the thing. ", "Maybe it was so. ", "Nothing special. ")]), (F.col("i") % 5).cast("int")), F.lit("and so on and on")), F.col("type")).alias("score")))
-key("fn_recency", "SELECT id, round(exp(-0.1::DOUBLE * greatest(0, (1700000000 - created_at) / 86400::DOUBLE)), 6) AS recency FROM m")(lambda t: t.m.select("id", r6(S.recency(F.col("created_at"), NOW)).alias("recency")))
-key("fn_decay", f"SELECT id, round({D_SQL} * (1 + 0.2::DOUBLE * ln(1 + access_count)), 6) AS score FROM m")(lambda t: t.m.select("id", r6(S.decay(F.col("importance"), F.col("last_accessed"), F.col("access_count"), NOW, frequency=0.2)).alias("score")))
-key("fn_trust_rank", "SELECT id, CASE trust WHEN 'trusted' THEN 0 WHEN 'reported' THEN 1 ELSE 2 END AS rank FROM m")(lambda t: t.m.select("id", S.trust_rank(F.col("trust")).alias("rank")))
-key("fn_level_of", "SELECT id, CASE WHEN list_contains(tags, 'level:1') THEN 1 ELSE 0 END AS level FROM m")(lambda t: t.m.select("id", S.level_of(F.col("tags")).alias("level")))
-key("fn_pack_line", "SELECT id, '- (' || type || ')' || CASE WHEN pinned AND trust <> 'trusted' THEN ' [pinned, ' || trust || ']' WHEN pinned THEN ' [pinned]' WHEN trust <> 'trusted' THEN ' [' || trust || ']' ELSE '' END || ' ' || text AS line FROM m")(lambda t: t.m.select("id", S.pack_line(F.col("text"), F.col("type"), F.col("pinned"), F.col("trust")).alias("line")))
-key("fn_parse_duration", "SELECT * FROM (VALUES ('30m', 1800::BIGINT), ('1.5h', 5400), ('7d', 604800), ('2w', 1209600), ('10s', 10)) t(text, seconds)", "")(lambda t: t.spark.createDataFrame([("30m",), ("1.5h",), ("7d",), ("2w",), ("10s",)], "text string").select("text", S.parse_duration(F.col("text")).alias("seconds")))
-
-# --- lifecycle ---------------------------------------------------------------
-WANT = "SELECT 'm' || lpad(doc_id::VARCHAR, 8, '0') AS src, 'm' || lpad((doc_id + 2)::VARCHAR, 8, '0') AS dst, 'related' AS rel FROM documents WHERE doc_id % 9 = 0"
-want = lambda t: t.m.where("i % 9 = 0").select(F.col("id").alias("src"), F.concat(F.lit("m"), F.lpad((F.col("i") + 2).cast("string"), 8, "0")).alias("dst"), F.lit("related").alias("rel"))
-key("link", f"SELECT src, dst, rel FROM ed UNION SELECT src, dst, rel FROM ({WANT}) w WHERE dst IN (SELECT id FROM m)")(lambda t: Y.link(t.e, want(t), t.m))
-key("unlink", "SELECT src, dst, rel FROM ed WHERE NOT (src = 'm00000000' AND rel = 'refines') AND src <> 'm00000005'")(
-    lambda t: Y.unlink(t.e, t.e.where("src = 'm00000000' AND rel = 'refines'").unionByName(t.e.where("src = 'm00000005'").withColumn("rel", F.lit(None).cast("string")))))
-key("edit", "SELECT id, CASE WHEN i % 7 = 0 THEN 'changed ' || i ELSE text END AS text, CASE WHEN i % 7 = 0 THEN 1::DOUBLE ELSE importance END AS importance FROM m")(
-    lambda t: Y.edit(t.m, t.m.where("i % 7 = 0").select("id", F.concat(F.lit(" changed "), F.col("i").cast("string")).alias("new_text"), F.lit(1.7).alias("new_importance"))).select("id", "text", "importance"))
-key("forget", "SELECT id FROM m WHERE i % 11 <> 0")(lambda t: Y.forget(t.m, t.m.where("i % 11 = 0")).select("id"))
-key("nuke", "SELECT count(*) AS n FROM m WHERE FALSE")(lambda t: Y.forget(t.m, t.m).agg(F.count("*").alias("n")))
-key("supersede", "SELECT a.id, CASE WHEN i % 50 = 1 AND i + 1 < n THEN 'm' || lpad((i + 1)::VARCHAR, 8, '0') ELSE superseded_by END AS superseded_by, (pinned AND NOT (i % 50 = 1 AND i + 1 < n)) OR (i % 50 = 2 AND (i - 1) % 41 = 0) AS pinned FROM m a, nn")(
-    lambda t: Y.supersede(t.m, t.m.where("i % 50 = 1").select(F.col("id").alias("old"), F.concat(F.lit("m"), F.lpad((F.col("i") + 1).cast("string"), 8, "0")).alias("new")), NOW).select("id", "superseded_by", "pinned"))
-key("restore", "SELECT id, CASE WHEN i % 46 = 0 THEN '' ELSE superseded_by END AS superseded_by FROM m")(lambda t: Y.restore(t.m, t.m.where("i % 46 = 0")).select("id", "superseded_by"))
-key("trash_restore", "SELECT id, seq, text FROM (SELECT id, max_by(op, seq) AS last, max(seq) AS seq, max_by(text, seq) FILTER (op <> 'forget') AS text FROM jl WHERE op IN ('remember', 'edit', 'forget') GROUP BY id) WHERE last = 'forget' AND text IS NOT NULL")(lambda t: Y.trash_visible(t.j))
-key("reflect_create")(lambda t: (lambda f: Y.reflections(C.leader_clusters(f), f).withColumn("tags", join_("tags")))(t.embedded((F.col("type") == "episodic") & R.eligible(NOW) & (S.level_of(F.col("tags")) < 1))))
-key("rerank_positions", pool_sql(10) + "SELECT qid, pool.id, pool_pos AS first_rank, row_number() OVER (PARTITION BY qid ORDER BY importance DESC, pool_pos) AS new_rank FROM pool JOIN m ON m.id = pool.id", "")(
-    lambda t: Y.rescored(t.pool(10).join(t.m, "id"), F.col("importance")).select("qid", "id", F.col("first_rank").cast("long").alias("first_rank"), F.col("new_rank").cast("long").alias("new_rank")))
-QUERIES["recall_reranker"], ORACLES["recall_reranker"] = QUERIES["rerank_positions"], ORACLES["rerank_positions"]
-key("fn_negation_diff", f"SELECT a.id, a.n % 2 <> b.n % 2 AS differs FROM (SELECT id, i, len(list_filter({TOK}, lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none'))) AS n FROM m) a JOIN (SELECT i, len(list_filter({TOK}, lambda w: w IN ('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none'))) AS n FROM m) b ON b.i = a.i + 1")(
-    lambda t: t.m.select("id", "i", toks("text").alias("a")).join(t.m.select((F.col("i") - 1).alias("i"), toks("text").alias("b")), "i").select("id", S.negation_differs(F.col("a"), F.col("b")).alias("differs")))
-key("fn_validity_check", "SELECT id, valid_until = 0 OR valid_from = 0 OR valid_until > valid_from AS ok FROM m")(lambda t: t.m.select("id", ((F.col("valid_until") == 0) | (F.col("valid_from") == 0) | (F.col("valid_until") > F.col("valid_from"))).alias("ok")))
-key("fn_tag_check", "SELECT id, len(list_filter(tags, lambda x: trim(x) = '' OR contains(x, ','))) = 0 AS ok FROM m")(lambda t: t.m.select("id", (~F.exists("tags", lambda x: (F.trim(x) == "") | x.contains(","))).alias("ok")))
-key("fn_first_sentence_summary", "SELECT source, '[×' || count(*) || ' similar] ' || array_to_string(list(trim(split_part(text, '.', 1)) ORDER BY importance DESC, id)[1:3], ' | ') AS summary FROM m GROUP BY source")(
-    lambda t: t.m.groupBy("source").agg(F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("importance")).alias("o"), "id", F.trim(F.substring_index("text", ".", 1)).alias("s")))), 1, 3).alias("top")).select("source", F.concat(F.lit("[×"), F.col("n").cast("string"), F.lit(" similar] "), F.array_join(F.transform("top", lambda x: x["s"]), " | ")).alias("summary")))
-key("auto_context")(lambda t: R.pack(semantic(t, k=10).groupBy("id", "text").agg(F.max("score").alias("score")).withColumn("qid", F.lit(0).cast("long")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id"))).withColumn("cost", S.estimate_tokens(F.col("text"))), 800))
-key("fn_chunk_text")(lambda t: chunked(t.m.select("id", "text")))
-key("conflicts_for_one", pool_sql(12) + f"SELECT qid, pool.id, round(cosine, 4) AS similarity FROM pool JOIN m ON m.id = pool.id WHERE cosine >= 0.8 AND superseded_by = '' AND {LIVE}", "")(
-    lambda t: t.pool(12).where("cosine >= 0.8").join(t.m, "id").where(R.eligible(NOW)).select("qid", "id", F.round("cosine", 4).alias("similarity")))
-
-
-def chunked(rows: DataFrame) -> DataFrame:
-    from ..sources.files import chunk_text
-
-    def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            yield pd.DataFrame([(i, n, c) for i, t in zip(pdf.id, pdf.text) for n, c in enumerate(chunk_text(t))], columns=["id", "n", "chunk"])
-
-    return rows.mapInPandas(run, "id string, n int, chunk string")
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,44 +1,90 @@
-"""Readers and writers: journals, archives, gold sets, text to ingest."""
+"""Readers and writers: journals, archives, trash, gold sets, text to ingest."""
 
 from __future__ import annotations
 
 import gzip
 import json
-import re
-from pathlib import PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions import scalars as S
+
 JOURNAL = "ts double, op string, actor string, id string, before string, after string, meta string, scope string"
 ARCHIVE_ROW = "id string, text string, meta string, vector array<double>"
+ARCHIVE_HEADER = "format string, version int, exported_at double, source string, options string"
+TRASH = "memory_id string, deleted_at double, actor string, memory string, collection string"
 GOLD = "query string, relevant_ids array<string>, k int, mode string"
+#: The archive format that is read and written.
+FORMAT, VERSION = "memory-archive", 1
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of plain or gzipped files; lines that don't parse are left out.
 
-    ``seq`` orders the rows as the files do: archived segments by name, the active
-    file last, and within a file by line.
+    ``seq`` orders the rows as the files do: rotated segments by name, the active file
+    last, and within a file by line. Of a segment that is there both plain and gzipped
+    the plain file counts, as the other may be cut short.
     """
     kind = StructType.fromDDL(schema)
     lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("line"))
+    bare = F.regexp_replace("file", r"\.gz$", "")
+    lines = lines.withColumn("segment", bare)
+    plain = lines.where("file = segment").select("segment").distinct().withColumn("plain", F.lit(True))
+    lines = lines.join(F.broadcast(plain), "segment", "left").where("plain IS NULL OR file = segment")
     got = lines.withColumn("row", F.from_json("value", kind, {"mode": "PERMISSIVE"}))
-    active = F.when(F.col("file").rlike(r"journal\.(log|jsonl)$"), 1).otherwise(0)
+    active = F.when(F.col("segment").rlike(r"^[^-]*\.(log|jsonl)$"), 1).otherwise(0)
     first = kind.fieldNames()[0]
-    return got.where(F.col(f"row.{first}").isNotNull()).select(F.struct(active.alias("active"), "file", "line").alias("seq"), "row.*")
-
-
-def read_journal(spark: SparkSession, path: str, *, since: float | None = None, until: float | None = None, op: str | None = None, actor: str | None = None, scope: str | None = None) -> DataFrame:
-    """Entries between ``since`` and ``until``, both included."""
+    return got.where(F.col(f"row.{first}").isNotNull()).select(F.struct(active.alias("active"), "segment", "line").alias("seq"), "row.*")
+
+
+def read_journal(
+    spark: SparkSession,
+    path: str,
+    *,
+    since: float | None = None,
+    until: float | None = None,
+    op: str | None = None,
+    actor: str | None = None,
+    scope: str | None = None,
+) -> DataFrame:
+    """Entries between ``since`` and ``until``, both included, in the order of ``seq``."""
     j = read_lines(spark, path, JOURNAL)
-    for name, cond in ((since, F.col("ts") >= F.lit(since)), (until, F.col("ts") <= F.lit(until)), (op, F.col("op") == F.lit(op)), (actor, F.col("actor") == F.lit(actor)), (scope, F.col("scope") == F.lit(scope))):
-        if name is not None:
+    given = (
+        (since, F.col("ts") >= F.lit(since)),
+        (until, F.col("ts") <= F.lit(until)),
+        (op, F.col("op") == F.lit(op)),
+        (actor, F.col("actor") == F.lit(actor)),
+        (scope, F.col("scope") == F.lit(scope)),
+    )
+    for value, cond in given:
+        if value is not None:
             j = j.where(cond)
     return j
 
 
+def write_journal(entries: DataFrame, path: str) -> None:
+    """Appends entries as segments, one a day of ``ts``, that retention can drop whole."""
+    day = F.date_format(F.timestamp_seconds("ts"), "yyyyMMdd")
+    entries.withColumn("day", day).write.partitionBy("day").mode("append").option("compression", "gzip").json(path)
+
+
+def pruned_days(spark: SparkSession, path: str, keep_days: float, now: float) -> list[str]:
+    """Drops the journal's day folders that are older than ``keep_days``; 0 keeps all."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    cutoff = spark.range(1).select(F.date_format(F.timestamp_seconds(F.lit(now - keep_days * 86_400)), "yyyyMMdd")).first()[0]
+    gone = []
+    for status in fs.listStatus(root) if keep_days > 0 else []:
+        name = status.getPath().getName()
+        if name.startswith("day=") and name[4:] < cutoff:
+            fs.delete(status.getPath(), True)
+            gone.append(name[4:])
+    return sorted(gone)
+
+
 def read_goldset(spark: SparkSession, path: str) -> DataFrame:
     """Cases; blank lines and those that start with # don't count."""
     lines = spark.read.text(path).where(~F.trim("value").startswith("#") & (F.trim("value") != ""))
@@ -51,7 +97,7 @@ def write_archive(rows: DataFrame, path: str, header: dict) -> int:
     n = 0
     cols = [c for c in ("id", "text", "meta", "vector") if c in rows.columns]
     with gzip.open(path, "wt", encoding="utf-8") as out:
-        out.write(json.dumps(header) + "\n")
+        out.write(json.dumps({"format": FORMAT, "version": VERSION, **header}) + "\n")
         for r in rows.orderBy("created_at", "id").select(F.to_json(F.struct(*cols)).alias("line")).toLocalIterator():
             out.write(r.line + "\n")
             n += 1
@@ -63,53 +109,33 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return read_lines(spark, path, ARCHIVE_ROW).where("text IS NOT NULL")
 
 
-def chunk_text(text: str, max_chars: int = 500, min_chars: int = 30) -> list[str]:
-    """Paragraphs, headings joined to what follows; long ones packed by sentences.
+def archive_info(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
+    """format, version, model, dim, rows, usable, same_model of an archive, by its header.
 
-    A sentence is never cut. Short leftovers join a neighbour of their paragraph;
-    chunks below ``min_chars`` are left out.
+    It is usable if the format is ours and the version not newer; its vectors count
+    only where the model is the store's.
     """
-    blocks, heads = [], []
-    for block in filter(None, map(str.strip, re.split(r"\n\s*\n", text.replace("\r\n", "\n")))):
-        if "\n" not in block and re.match(r"#{1,6}\s+\S", block):
-            heads.append(block)
-        else:
-            blocks.append("\n".join([*heads, block]))
-            heads = []
-    if heads:
-        blocks.append("\n".join(heads))
-    out = []
-    for block in blocks:
-        if len(block) <= max_chars:
-            out.append(block)
-            continue
-        parts: list[str] = []
-        for s in filter(None, map(str.strip, re.split(r"(?<=[.!?])\s+", block))):
-            if parts and len(parts[-1]) + 1 + len(s) <= max_chars:
-                parts[-1] += " " + s
-            else:
-                parts.append(s)
-        i = 1
-        while min_chars > 0 and i < len(parts):
-            if len(parts[i]) < min_chars:
-                parts[i - 1] += " " + parts.pop(i)
-            else:
-                i += 1
-        if min_chars > 0 and len(parts) > 1 and len(parts[0]) < min_chars:
-            parts[:2] = [" ".join(parts[:2])]
-        out.extend(parts)
-    return [c for c in out if len(c) >= min_chars]
+    lines = spark.read.text(path)
+    heads = lines.select(F.from_json("value", ARCHIVE_HEADER).alias("h")).where("h.format IS NOT NULL").select("h.*")
+    rows = lines.select(F.from_json("value", ARCHIVE_ROW).alias("r")).where("r.text IS NOT NULL").agg(F.count("*").alias("rows"))
+    own = F.get_json_object("source", "$.embedding_model")
+    usable = (F.col("format") == FORMAT) & (F.coalesce("version", F.lit(0)) <= VERSION)
+    info = heads.select("format", "version", own.alias("model"), F.get_json_object("source", "$.embedding_dim").cast("int").alias("dim"), usable.alias("usable"))
+    same = F.lit(True) if model is None else F.coalesce(F.col("model") == model, F.lit(False))
+    return info.withColumn("same_model", same).join(rows, F.lit(True))
 
 
-def ingest_files(spark: SparkSession, path: str, max_chars: int = 500, min_chars: int = 30) -> DataFrame:
-    """source, position, text: chunks of whole text files."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+def read_trash(spark: SparkSession, path: str) -> DataFrame:
+    """Trash entries, the row's snapshot as JSON; lines cut short are left out."""
+    return read_lines(spark, path, TRASH).withColumn("collection", F.coalesce("collection", F.lit("")))
+
 
-    def run(batches):
-        import pandas as pd
+def write_trash(entries: DataFrame, path: str) -> None:
+    entries.write.mode("overwrite").option("compression", "gzip").json(path)
 
-        for pdf in batches:
-            rows = [(f"ingest:{PurePosixPath(f).name}", i, c) for f, t in zip(pdf.file, pdf.value) for i, c in enumerate(chunk_text(t, max_chars, min_chars))]
-            yield pd.DataFrame(rows, columns=["source", "position", "text"])
 
-    return files.mapInPandas(run, "source string, position int, text string")
+def ingest_files(spark: SparkSession, path: str, max_chars: int = 500, min_chars: int = 30) -> DataFrame:
+    """source, position, text: chunks of whole text files."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+    found = files.select(F.concat(F.lit("ingest:"), "file").alias("source"), F.posexplode(S.chunks(F.col("value"), max_chars, min_chars)).alias("position", "text"))
+    return found

@@ -17,7 +17,7 @@ def test_rest_works_without_llm(tmp_path):
     assert done.returncode == 0, done.stderr
 
 
-@pytest.mark.parametrize("name", ["recall_hybrid_rrf", "conflicts_all_pairs", "state_at"])
+@pytest.mark.parametrize("name", ["recall_hybrid_weighted", "recall_renormalised", "recall_lexical_corpus", "recall_expand_deep", "recall_mmr", "recall_pack", "conflicts_all_pairs", "merge_links", "archive_import", "state_at_undo", "undo_links", "neighbors", "fn_importance"])
 def test_against_duckdb(spark, name):
     duckdb = pytest.importorskip("duckdb")
     data = Path("/root/testdata/sf0.001")
@@ -31,3 +31,10 @@ def test_against_duckdb(spark, name):
     got = e.queries()[name](spark, str(data))
     want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({e.oracle_sql()[name]})").fetchall()
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
+
+
+def test_every_oracle_has_its_query_and_no_query_is_another():
+    import __spark_entry__ as e
+
+    queries = e.queries()
+    assert set(e.oracle_sql()) <= set(queries) and len({id(f) for f in queries.values()}) == len(queries)

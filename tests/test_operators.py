@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ def test_scalars(spark):
     [
         ("axby", "ab", 4, (1, 0.5, 1, 0.833333, 0.919721)),
         ("xyz", "a", 3, (0, 0, 0, 0, 0)),
+        ("aab", "ab", 3, (1, 1, 1, 0.833333, 0.919721)),
+        ("b", "ab", 1, (0.5, 1, 1, 0.5, 1)),
         ("ba", "ab", 2, (1, 1, 1, 1, 1)),
         ("", "a", 5, (0, 0, 0, 0, 0)),
     ],
@@ -52,49 +55,144 @@ def test_state_at_replays_links_and_nuke(spark):
     assert log.state_at(j, 9.0).count() == 0
 
 
-def test_walks(spark):
-    e = spark.createDataFrame([("a", "b", "refines"), ("a", "c", "related"), ("b", "d", "related"), ("c", "d", "related"), ("d", "gone", "related")], "src string, dst string, rel string")
-    known = spark.createDataFrame([(x,) for x in "abcd"], "id string")
-    seed = spark.createDataFrame([("a",)], "seed string")
-    assert {(r.id, r.depth) for r in graph.neighbors(seed, e, known, 3).collect()} == {("b", 1), ("c", 1), ("d", 2)}
-    assert graph.subgraph(seed, e, 2).count() == 4
-    assert graph.find_path(e, "gone", "a") == ["gone", "d", "b", "a"]
-    assert graph.find_path(e, "a", "nowhere") == []
-    with pytest.raises(ValueError):
-        graph.neighbors(seed, e, known, 1, "sideways")
+def links(spark, rows):
+    return spark.createDataFrame(rows, "src string, dst string, rel string")
 
 
-def test_pack_skips_and_goes_on(spark):
-    hits = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 2, 9), (1, "c", 3, 4)], "qid long, id string, rank int, cost int")
-    assert [r.id for r in recall.pack(hits, 10).orderBy("rank").collect()] == ["a", "c"]
+def ids(spark, letters):
+    return spark.createDataFrame([(x,) for x in letters], "id string")
 
 
-def test_weights_and_policies():
-    with pytest.raises(ValueError):
-        recall.Weights(cosine=0, lexical=0, recency=0, importance=0)
+def test_walks(spark):
+    e = links(spark, [("a", "b", "refines"), ("a", "b", "related"), ("a", "c", "related"), ("b", "d", "related"), ("c", "d", "refines"), ("d", "gone", "related"), ("x", "a", "refines")])
+    known, seed = ids(spark, "abcdx"), spark.createDataFrame([("a",)], "seed string")
+    got = {(r.id, r.rel, r.depth) for r in graph.neighbors(seed, e, known, 3, "out").collect()}
+    assert got == {("b", "refines", 1), ("b", "related", 1), ("c", "related", 1), ("d", "related", 2)}
+    got = {(r.id, r.rel, r.depth) for r in graph.neighbors(seed, e, known, 1, "both", "refines").collect()}
+    assert got == {("b", "refines", 1), ("x", "refines", 1)}
+    assert graph.neighbors(seed, e, known, 0).count() == 0
+    assert graph.subgraph(seed, e, 2).count() == 5
     with pytest.raises(ValueError):
-        conflicts.import_actions(None, None, "merge")
-
-
-def test_pool_is_exact(spark):
-    import numpy as np
+        graph.neighbors(seed, e, known, 1, "sideways")
 
-    x = np.random.default_rng(1).standard_normal((200, 8))
-    m = spark.createDataFrame([(f"m{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, x array<double>")
-    q = spark.createDataFrame([(7, x[7].tolist())], "qid long, qx array<double>")
-    got = [r.id for r in recall.vector_pool(m, q, 5).orderBy("pool_pos").collect()]
-    cos = x @ x[7] / np.linalg.norm(x, axis=1)
-    assert got == [f"m{i:03d}" for i in np.argsort(-cos)[:5]]
-    with pytest.raises(ValueError):
-        recall.vector_pool(m, spark.range(recall.MAX_QUERIES + 1).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("qx")), 5)
 
+def test_paths(spark):
+    e = links(spark, [("a", "b", "refines"), ("a", "b", "related"), ("a", "c", "related"), ("b", "d", "related"), ("c", "d", "contradicts"), ("d", "e", "related")])
+    known = ids(spark, "abcdez")
+    assert graph.find_path(e, known, "e", "a") == [("e", ""), ("d", "related"), ("b", "related"), ("a", "refines")]
+    assert graph.find_path(e, known, "a", "z") == [] == graph.find_path(e, known, "a", "nobody")
+    assert graph.find_path(e, known, "a", "a") == [("a", "")]
+    assert graph.find_path(e, known, "a", "e", most=2) == []
+
+
+def greedy(rows, x, threshold, least):
+    """Leader clustering as one loop over all rows: (importance, created_at, id, polarity)."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][1], rows[i][2]))
+    used, out = set(), set()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in sorted(order, key=lambda i: -rows[i][0]):
+        if i in used:
+            continue
+        used.add(i)
+        mood, members = rows[i][3], [i]
+        for j in order:
+            if j not in used and mood * rows[j][3] >= 0 and unit[i] @ unit[j] >= threshold:
+                members.append(j)
+                used.add(j)
+                mood = mood or rows[j][3]
+        if len(members) >= least:
+            out |= {(rows[j][2], rows[i][2], len(members), at) for at, j in enumerate(members)}
+    return out
+
+
+@pytest.mark.parametrize("n, distinct, threshold", [(8, 8, 0.9), (60, 20, 0.3), (40, 40, 0.0)])
+def test_leader_clusters(spark, n, distinct, threshold):
+    """As one greedy loop: a chain of alike vectors, shared vectors, one large component."""
+    rng = np.random.default_rng(n)
+    chain = np.array([[np.cos(0.3 * i), np.sin(0.3 * i)] for i in range(8)])
+    v = chain if n == 8 else rng.standard_normal((distinct, 3))
+    of = rng.integers(0, distinct, n) if n > distinct else np.arange(n)
+    rows = [(float(rng.integers(0, 4)) / 4, float(rng.integers(0, 3)), f"r{i:02}", int(rng.integers(-1, 2))) for i in range(n)]
+    frame = spark.createDataFrame([(*r, int(of[i]), v[of[i]].tolist(), "t") for i, r in enumerate(rows)], "importance double, created_at double, id string, polarity int, vec_id long, x array<double>, type string")
+    got = {tuple(r) for r in conflicts.leader_clusters(frame, threshold).select("id", "leader", "n", "pos").collect()}
+    assert got == greedy(rows, v[of], threshold, 2)
+
+
+def test_leader_clusters_of_a_large_component(spark, monkeypatch):
+    """Ten thousand rows of two vectors are one component; one that is too large is refused."""
+    rows = spark.range(10_000).select(F.lit(0.5).alias("importance"), F.col("id").cast("double").alias("created_at"), F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.lit(0).alias("polarity"), (F.col("id") % 2).alias("vec_id"), F.lit("t").alias("type"))
+    rows = rows.withColumn("x", F.array(F.lit(1.0), F.col("vec_id") * 0.1))
+    got = conflicts.leader_clusters(rows).agg(F.count("*").alias("n"), F.max("n").alias("most"), F.min("leader").alias("leader")).first()
+    assert tuple(got) == (10_000, 10_000, "00000")
+    monkeypatch.setattr(conflicts, "FOLD_ROWS", 100)
+    with pytest.raises(Exception, match="is more than 100"):
+        conflicts.leader_clusters(rows).collect()
 
-def test_phrase_queries_read_whole_texts(spark, tmp_path):
-    from mnemora.plans import catalog
 
-    text = "the of and to in the of and silver harbour lantern"
-    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    spark.createDataFrame([(i, [1.0, 0.0], 0) for i in range(20)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
-    got = {n: [tuple(r) for r in catalog.QUERIES[n](spark, str(tmp_path)).collect()] for n in ("fn_key_phrases", "fn_fanout_queries")}
-    assert got["fn_key_phrases"] == [(1, "silver harbour|harbour lantern|silver")]
-    assert got["fn_fanout_queries"] == [(1, f"{text}|silver harbour|harbour lantern|silver")]
+def test_pack_skips_and_goes_on(spark):
+    hits = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 2, 9), (1, "c", 3, 4)], "qid long, id string, rank int, cost int")
+    assert [r.id for r in recall.pack(hits, 10).where("fits").orderBy("rank").collect()] == ["a", "c"]
+
+
+def test_latencies_of_the_last_samples(spark):
+    rows = spark.createDataFrame([("a", i, float(i)) for i in range(50)] + [("b", 1, 7.0)], "op string, seq long, ms double")
+    got = {r.op: tuple(r)[1:] for r in log.latencies(rows, "op", "ms", "seq", samples=11).collect()}
+    assert got["a"] == (50, 24.5, 49.0, 44.0, 49.0, 49.0) and got["b"] == (1, 7.0, 7.0, 7.0, 7.0, 7.0)
+
+
+def test_undo(spark):
+    kind = "id string, text string, superseded_by string, access_count long"
+    rows = spark.createDataFrame([("a", "new", "", 9), ("b", "other", "", 0), ("c", "c", "b", 0)], kind)
+    e = links(spark, [("a", "b", "refines"), ("a", "c", "related")])
+    snap = "struct<id:string,text:string,superseded_by:string,access_count:bigint>"
+    entries = spark.createDataFrame(
+        [
+            (1, "edit", "a", ("a", "old", "", 1), ("a", "new", "", 1), None, None, None),
+            (2, "edit", "b", ("b", "old", "", 0), ("b", "changed since", "", 0), None, None, None),
+            (3, "forget", "d", ("d", "back", "", 2), None, None, None, None),
+            (4, "supersede", "c", None, None, None, None, None),
+            (5, "link", "a", None, None, "b", ["refines"], None),
+            (6, "unlink", "b", None, None, "c", ["related", "refines"], None),
+            (7, "unlink", "b", None, None, "gone", ["related"], None),
+            (8, "export", "a", None, None, None, None, None),
+        ],
+        f"seq long, op string, id string, before {snap}, after {snap}, dst_id string, rels array<string>, superseder_id string",
+    )
+    left, edges, verdicts = log.undo(entries, rows, e, 1.0)
+    assert {r.seq for r in verdicts.collect() if r.undone} == {1, 3, 4, 5, 6}
+    assert sorted(map(tuple, left.collect())) == [("a", "old", "", 1), ("b", "other", "", 0), ("c", "c", "", 0), ("d", "back", "", 2)]
+    assert sorted(map(tuple, edges.collect())) == [("a", "c", "related"), ("b", "c", "refines"), ("b", "c", "related")]
+
+
+def test_replay_knows_undo(spark):
+    rows = [(1, 1.0, "remember", "a", "one", None), (2, 2.0, "remember", "b", "two", None), (3, 3.0, "undo", "a", None, "remember"), (4, 4.0, "edit", "b", "three", None), (5, 5.0, "undo", "b", "two", "edit"), (6, 6.0, "undo", "b", None, "link")]
+    j = spark.createDataFrame(rows, "seq long, us double, op string, id string, text string, of_op string").withColumn("dst_id", F.lit("x")).withColumn("rel", F.lit("related"))
+    assert [(r.id, r.text) for r in log.state_at(j, 9.0).collect()] == [("b", "two")]
+
+
+def test_chunks(spark):
+    go = lambda text, *a: one(spark, text, S.chunks(F.col("text"), *a))
+    assert go("# Head\n\n## Sub\n\nOne paragraph of some length here.\r\n\r\n  Another paragraph, also long enough. ") == ["# Head\n## Sub\nOne paragraph of some length here.", "Another paragraph, also long enough."]
+    assert go("tiny\n\n-\n\n# Only a heading that nothing follows at all") == ["# Only a heading that nothing follows at all"]
+    assert go("One two. Three four. Five. " + "x" * 30 + ". Six.", 20, 6) == ["One two. Three four. Five.", "x" * 30 + ". Six."]
+    assert go("Hi. " + "y" * 25 + ". Bye now, all.", 20, 6) == ["Hi. " + "y" * 25 + ".", "Bye now, all."]
+    assert go("a b c", 500, 0) == ["a b c"] and go("", 10, 0) == [] and go("z" * 100, 20, 5) == ["z" * 100]
+
+
+def test_times_and_display(spark):
+    now = 1_700_000_000.0
+    at = lambda t: one(spark, t, S.parse_timestamp(F.col("text"), now))
+    assert at("7d") == now - 7 * 86400 and at(" 12.5 ") == 12.5 and at(None) is None and at(" ") is None
+    assert at("2024-01-01") == 1704067200.0 and at("2024-01-01T01:00:00Z") == 1704070800.0 and at("2024-01-01 01:00:00+01:00") == 1704067200.0
+    with pytest.raises(Exception, match="invalid timestamp"):
+        at("next week")
+    spans = [one(spark, "x", S.format_duration(F.lit(n))) for n in (45, 60, 125, 7200, 7380, 90_000, 172_800)]
+    assert spans == ["45s", "1m", "2m 5s", "2h", "2h 3m", "1d 1h", "2d"]
+    ages = [one(spark, "x", S.age(F.lit(now - s), now)) for s in (5, 90, 7200, 200_000, 700_000, 6_000_000)]
+    assert ages == ["just now", "1m ago", "2h ago", "2d ago", "1w ago", "2mo ago"]
+    assert one(spark, " a \n b " + "c" * 80, S.snippet(F.col("text"), 10)) == "a b ccccc…"
+    assert one(spark, '[{"to": "a", "rel": "related"}]', F.size(S.links_of(F.col("text")))) == 1 and one(spark, "[{", F.size(S.links_of(F.col("text")))) == 0
+    with pytest.raises(ValueError):
+        S.check_choice("fts", ["pool", "corpus"], "index")
+    with pytest.raises(ValueError):
+        S.check_tag("a,b")
