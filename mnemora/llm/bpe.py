@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
-from .common import table
+from .common import table, tidied
 
 #: Unicode's White_Space, which is what ``\s`` means to the tokenizer libraries.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -566,7 +566,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = pu
                     yield pa.record_batch([*columns, pa.array(ids, pa.list_(pa.int32())), *back], names=schema.names)
         model.units.forget()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -582,7 +582,7 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
             columns = [pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string()))]
             yield pa.record_batch([b.column(0), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 #: Tokens above which a document is over the limit.
@@ -602,7 +602,7 @@ def count_tokens(docs: DataFrame, path: str | None = None, pattern: str = public
             texts = [t or "" for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(model.count_all(texts), pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_bytes long, n_tokens long")
 
 
 def prefix_counts(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -617,7 +617,7 @@ def prefix_counts(docs: DataFrame, path: str | None = None, pattern: str = publi
                 some = b.slice(at, 100)
                 yield pa.record_batch([some.column(0), pa.array([model.profile(t or "") for t in some.column(1).to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "counts"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, counts array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, counts array<int>")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

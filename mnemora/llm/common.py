@@ -1,14 +1,16 @@
-"""Shared plumbing: scratch tables in the shared folder, components, folds."""
+"""Shared plumbing of the operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
+import gc
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch, components, shared_dir  # noqa: F401 - the operators take them from here
+
 #: Words as the contracts define them: runs of anything but ASCII white space.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -17,76 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees. Only a local session may go without one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise RuntimeError("spark.checkpoint.dir must name a folder all executors share")
-    own = os.path.join(tempfile.gettempdir(), "checkpoints")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
+def hand_back() -> None:
+    """Returns a worker's free memory to the system: workers outlive their tasks, and
+    several stages' workers share an executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
-class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one."""
 
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-        self.paths: dict[int, str] = {}
+def tidied(run):
+    """A function over batches that hands back memory when its task is done."""
 
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:6]}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        out._scratch = self  # the id stays taken while the frame lives
-        return out
+    def tidy(batches):
+        yield from run(batches)
+        hand_back()
 
-    def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
-            hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    return tidy
 
 
 def held_out(doc_id="doc_id"):
     """Rows whose labels are never learned from: crc32 of the id's text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
-
-
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of every node in ``links(a, b)``: the smallest node reachable.
-    The result is a table in ``scratch``.
-
-    Large-star / small-star rounds (Kiveris et al.): each round is two
-    aggregations with map-side combine and two joins that adaptive execution can
-    split, so that a hub's links are never gathered in one task.
-    """
-
-    def starred(edges: DataFrame, large: bool) -> DataFrame:
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        if large:
-            both = both.unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        met = both.join(low, "u")
-        if large:
-            out = met.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        else:
-            out = met.select(F.explode(F.array("u", "v")).alias("a"), F.col("m").alias("b"))
-        return out.where("a <> b").distinct()
-
-    edges = scratch.keep(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
-    while True:
-        new = scratch.keep(starred(starred(edges, True), False))
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(edges)
-        edges = new
-        if tuple(now) == mark:
-            break
-        mark = tuple(now)
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    out = scratch.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionAll(roots))
-    scratch.drop(edges)
-    return out

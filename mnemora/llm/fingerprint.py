@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidied
 from .rolling import PIECE, gram_hashes, prefix, span_hash, window_minima
 
 K, W = 20, 30
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
             rows = [winnow(code_points(t), k, w) for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array([len(t or "") for t in b.column(1).to_pylist()], pa.int64()), pa.array([h.view(np.int64).tolist() for h, _ in rows], pa.list_(pa.int64())), pa.array([p.tolist() for _, p in rows], pa.list_(pa.int64()))], names=["doc_id", "n_chars", "hashes", "positions"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_chars long, hashes array<long>, positions array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_chars long, hashes array<long>, positions array<long>")
 
 
 def in_order(docs: DataFrame) -> DataFrame:
@@ -151,4 +151,4 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else [[]] * 7, types)], names=names)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order(table(spark, sf_dir, "documents")).mapInArrow(run, schema)
+    return in_order(table(spark, sf_dir, "documents")).mapInArrow(tidied(run), schema)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from .common import held_out
+from .common import held_out, tidied
 
 #: Labelled rows a classifier is fitted on, at most, whatever the input's size.
 SAMPLE_ROWS = 10_000
@@ -48,7 +48,7 @@ def sample_matrix(sample: DataFrame, features: Callable[[str], list[float]], n:
             rows = [features(t or "") for t in b.column(1).to_pylist()]
             yield pa.record_batch([b.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["label", "x"])
 
-    got = sample.mapInArrow(run, "label int, x array<double>").toPandas()
+    got = sample.mapInArrow(tidied(run), "label int, x array<double>").toPandas()
     # Sorted, so that a fit doesn't depend on the order rows arrive in.
     x = np.array(got["x"].tolist(), dtype=np.float64).reshape(len(got), n)
     order = np.lexsort((*x.T[::-1], got["label"].to_numpy()))
@@ -69,4 +69,4 @@ def score_documents(docs: DataFrame, features: Callable[[str], list[float]], pre
             columns = [b.column(i) for i in range(b.num_columns) if i != at]
             yield pa.record_batch([*columns, pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import Scratch, components, table, tidied
 from .rolling import mix, prefix, span_hash
 
 BANDS, ROWS = 40, 6
@@ -100,7 +100,7 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
                     names=["doc_id", "n", "s1", "s2", "bands"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n long, s1 long, s2 long, bands array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: int) -> DataFrame:
@@ -134,7 +134,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole:
                         break
             yield pa.record_batch([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "role").mapInArrow(tidied(run), "a long, b long").distinct()
 
 
 def _live(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, part: int = 80, whole: int =
                 edges = np.cumsum([0, *map(len, found)], dtype=np.int32)
                 yield pa.record_batch([*(b.column(i) for i in range(3)), pa.ListArray.from_arrays(edges, np.concatenate(found))], names=["doc_id", "th", "c", "set"])
 
-    sets = scratch.keep(sets.mapInArrow(run, "doc_id long, th long, c long, set array<long>"))
+    sets = scratch.keep(sets.mapInArrow(tidied(run), "doc_id long, th long, c long, set array<long>"))
     possible = _possible(sets, part, whole, scratch)
     more = first.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(_confirmed(possible, texts, size, part, whole))
     comp = components(more, scratch)

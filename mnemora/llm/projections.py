@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from .common import Scratch, components, table
+from .common import Scratch, components, table, tidied
 
 THRESHOLD = 0.93
 #: Chance that a pair at the threshold shares no cell, and that it has too few collisions.
@@ -160,7 +160,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             yield pa.record_batch([rep, label, dim, n, h1, pa.array(out, pa.list_(pa.int64()))], names=["rep", "label", "dim", "n", "h1", "codes"])
 
     label_type = dict(classes.dtypes)["label"]
-    coded = heads.select("rep", "label", "dim", "n", "x", "h1").mapInArrow(code, f"rep long, label {label_type}, dim int, n long, h1 long, codes array<long>")
+    coded = heads.select("rep", "label", "dim", "n", "x", "h1").mapInArrow(tidied(code), f"rep long, label {label_type}, dim int, n long, h1 long, codes array<long>")
     cell = ["label", "dim", "t", "code"]
     coded = scratch.keep(coded.select("rep", "label", "dim", "n", "h1", F.posexplode("codes").alias("t", "code")))
     chunks = coded.groupBy(*cell).agg(F.ceil(F.count("*") / TILE).alias("chunks"), F.count("*").alias("size")).where("size > 1").drop("size")

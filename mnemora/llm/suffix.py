@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, hand_back, table, tidied
 from .rolling import PIECE, gram_hashes, mix, prefix, window_minima
 
 LENGTH, K = 50, 20
@@ -266,6 +266,8 @@ def _call_shared(group: pa.Table) -> pa.Table:
         return made
     found, shared = _shared(Anchors.joined(blobs))
     own = found.calls(np.flatnonzero(shared & (found.doc != Anchors.CALLED)))
+    del found, shared, blobs
+    hand_back()
     return pa.concat_tables([made, pa.table([pa.array(x, f.type) for x, f in zip(own, made.schema)], schema=made.schema)])
 
 
@@ -520,16 +522,16 @@ def _settled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     width = 1
     while -(-shards // width) > FAN:
         width *= FAN
-    noted = source.mapInArrow(_scan_batches(shards, width, bits), _ROW)
+    noted = source.mapInArrow(tidied(_scan_batches(shards, width, bits)), _ROW)
     while width > 1:
         width //= FAN
-        noted = noted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_deal_again(shards, width, bits), _ROW)
+        noted = noted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(tidied(_deal_again(shards, width, bits)), _ROW)
     calls = noted.groupBy("bucket").applyInArrow(_call_shared, "doc_id long, th int, run long")
     calls = calls.groupBy(F.col("doc_id").alias("key"), "th").agg(F.collect_list("run").alias("calls"))
-    pieces = texts.join(calls.hint("merge"), ["key", "th"]).select("doc_id", "th", "text", "calls").mapInArrow(_called_pieces, _PIECE_ROW)
+    pieces = texts.join(calls.hint("merge"), ["key", "th"]).select("doc_id", "th", "text", "calls").mapInArrow(tidied(_called_pieces), _PIECE_ROW)
     anchored = F.when(F.col("piece").isNotNull(), F.xxhash64(F.substring("piece", 1, K))).otherwise(F.col("doc_id"))
     pieces = pieces.repartition(parts, anchored).sortWithinPartitions("doc_id")
-    gone = pieces.mapInArrow(_settle_pieces, "doc_id long, th int, span long").select(F.col("doc_id").alias("key"), "th", "span")
+    gone = pieces.mapInArrow(tidied(_settle_pieces), "doc_id long, th int, span long").select(F.col("doc_id").alias("key"), "th", "span")
     gone = gone.unionAll(copies.select("key", "th", F.lit(ALL).cast("long").alias("span")))
     return texts, gone.groupBy("key", "th").agg(F.collect_list("span").alias("spans"))
 
@@ -555,7 +557,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             own = {"text": pa.array(new, batch.column(1).type), "n_chars": size.cast(rows.type.field("n_chars").type) if "n_chars" in names else size}
             yield pa.record_batch([own[c] if c in own else rows.field(c) for c in names], names=names)
 
-    return met.mapInArrow(run, docs.schema)
+    return met.mapInArrow(tidied(run), docs.schema)
 
 
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -571,7 +573,7 @@ def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
             )
 
-    return met.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return met.mapInArrow(tidied(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, tidied
 from .learning import labelled_sample, sample_matrix, score_documents
 from .quality import fit
 
@@ -236,7 +236,7 @@ def learned_stems(sample: DataFrame) -> dict[str, float]:
                 yield pa.record_batch([pa.array(found, pa.string()), pa.array([int(label)] * n, pa.int32()), pa.array([_kind(words)] * n, pa.int64())], names=["stem", "label", "kind"])
 
     scratch = Scratch(sample.sparkSession)
-    kinds = sample.mapInArrow(run, "stem string, label int, kind long").distinct()
+    kinds = sample.mapInArrow(tidied(run), "stem string, label int, kind long").distinct()
     counted = scratch.keep(kinds.groupBy("stem").agg(F.sum("label").alias("bad"), F.count("*").alias("n")))
     every = counted.where("stem = ''").first()
     rate = every.bad / every.n if every else 0.0
