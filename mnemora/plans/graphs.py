@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from .base import Tables, query
+from .fixture import name_of
 
 SEEDS = "('m00000000', 'm00000005', 'm00000070', 'm00000035')"
 
@@ -72,7 +73,7 @@ def subgraph(t: Tables):
 
 
 PATHS = """,
-pa AS (SELECT a.id AS start, 'm' || lpad((((a.i * 7 + 1) % n * 7 + 1) % n)::VARCHAR, 8, '0') AS "end" FROM m a, nn WHERE a.i % 5 = 0),
+pa AS (SELECT DISTINCT a.id AS start, 'm' || lpad((((a.i + k) * 7 + 1) % n)::VARCHAR, 8, '0') AS "end" FROM m a, nn, (VALUES (0), (70)) x(k) WHERE a.i % 5 = 0),
 un AS (SELECT DISTINCT a, b, rel FROM (SELECT src AS a, dst AS b, rel FROM ed UNION ALL SELECT dst, src, rel FROM ed)),
 w(start, "end", id, path, d) AS (
   SELECT start, "end", start, [start || ':'], 0 FROM pa WHERE "end" IN (SELECT id FROM m)
@@ -84,12 +85,11 @@ SELECT start, "end", array_to_string(path, '>') AS path FROM hit WHERE r = 1"""
 
 @query("find_path", PATHS)
 def find_path(t: Tables):
-    """From every fifth row to where two links of the pattern lead, where they do."""
-    from .fixture import name_of
-
+    """From every fifth row to where it points, and to where the seventieth after it does:
+    some of these are linked through an id that doesn't exist."""
     n, _ = t.sizes
-    to = ((F.col("i") * 7 + 1) % n * 7 + 1) % n
-    pairs = t.m.where("i % 5 = 0").select(F.col("id").alias("start"), name_of(to).alias("end"))
+    to = lambda k: name_of(((F.col("i") + k) * 7 + 1) % n)
+    pairs = t.m.where("i % 5 = 0").select(F.col("id").alias("start"), F.explode(F.array(to(0), to(70))).alias("end"))
     found = G.find_paths(pairs, t.e, t.m, 3)
     steps = F.transform("path", lambda p: F.concat(p["id"], F.lit(":"), p["rel"]))
     return found.select("start", "end", F.array_join(steps, ">").alias("path"))

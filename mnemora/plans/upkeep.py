@@ -140,17 +140,17 @@ def fn_extractive_summary(t: Tables):
 
 @query(
     "summarizers",
-    GIVEN + f" SELECT leader, CASE WHEN count(*) > 1 THEN upper(min_by(left(text, 40), pos)) ELSE left({SUMMARY}, 512) END AS text FROM cl GROUP BY leader",
+    GIVEN + f" SELECT leader, CASE WHEN count(*) > 1 THEN min_by(left(text, 40), pos) || ' and more' ELSE left({SUMMARY}, 512) END AS text FROM cl GROUP BY leader",
 )
 def summarizers(t: Tables):
     """A summarizer of the user's own; where it fails, the extractive summary stands."""
 
-    def shout(members: list[dict]) -> str:
+    def headline(members: list[dict]) -> str:
         if len(members) < 2:
             raise ValueError("nothing to sum up")
-        return min(members, key=lambda m: m["pos"])["text"][:40].upper()
+        return min(members, key=lambda m: m["pos"])["text"][:40] + " and more"
 
-    return Y.reflections(_given(t), t.m, summarizer=shout).select("leader", "text")
+    return Y.reflections(_given(t), t.m, summarizer=headline).select("leader", "text")
 
 
 CONSOLIDATED = GIVEN + """,
