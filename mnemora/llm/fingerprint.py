@@ -52,8 +52,9 @@ def code_points(text: str | None) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Jaccard similarity of two sets of chosen hashes; two empty ones are alike."""
-    a, b = np.unique(a), np.unique(b)
+    """Jaccard similarity of two sets of chosen hashes, of the bits that fingerprints
+    hold; two empty ones are alike."""
+    a, b = np.unique(a.astype(np.uint32)), np.unique(b.astype(np.uint32))
     if not len(a) and not len(b):
         return 1.0
     both = len(np.intersect1d(a, b, assume_unique=True))
@@ -84,7 +85,9 @@ def fingerprints(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     def run(batches):
         for b in batches:
             rows = [winnow(code_points(t), k, w) for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([len(t or "") for t in b.column(1).to_pylist()], pa.int64()), pa.array([h.view(np.int64).tolist() for h, _ in rows], pa.list_(pa.int64())), pa.array([p.tolist() for _, p in rows], pa.list_(pa.int64()))], names=["doc_id", "n_chars", "hashes", "positions"])
+            size = pa.array([len(t or "") for t in b.column(1).to_pylist()], pa.int64())
+            hashes, positions = (pa.array(x, pa.list_(pa.int64())) for x in zip(*((h.view(np.int64).tolist(), p.tolist()) for h, p in rows))) if rows else (pa.array([], pa.list_(pa.int64())),) * 2
+            yield pa.record_batch([b.column(0), size, hashes, positions], names=["doc_id", "n_chars", "hashes", "positions"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidied(run), "doc_id long, n_chars long, hashes array<long>, positions array<long>")
 
@@ -125,7 +128,11 @@ def edited_text(text: str, following: str) -> str:
 
 
 def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprints of every text and of its edited text; see the module."""
+    """Fingerprints of every text and of its edited text; see the module.
+
+    A null text counts as empty, an empty one has an empty fingerprint; rows of one id
+    go by text, null ids first; an empty table has no rows; other columns are ignored.
+    """
 
     def judged(doc_id, text, mine, following, its):
         text, following = text or "", following or ""

@@ -44,3 +44,36 @@ def test_rows_without_id_reach_the_end(spark, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{i}")
         without[name] = docs.where("doc_id IS NULL").count()
     assert without["repeats"] > 0 and without["encode"] == without["mixing"] > 0
+
+
+def test_corner_cases_of_the_stages(spark, tmp_path):
+    """Null texts and sources, empty texts, repeated rows, ties, columns that clash with the
+    stages' own; an empty table. Every stage but the last keeps the columns."""
+    from pyspark.sql import functions as F
+
+    from .test_operators import frame, words
+
+    rng = random.Random(12)
+    rows = [(i, words(rng, 70), f"s{i % 2}" if i % 5 else None) for i in range(60)]
+    rows += [rows[0], rows[0], (100, rows[1][1], "s1"), (101, rows[1][1] + " and", "s0"), (102, "", "s0"), (103, None, "s1"), (104, "one", None), (None, None, None), (None, words(rng, 70), None)]
+    docs = frame(spark, rows).withColumn("key", F.lit("k")).withColumn("score", F.lit("s")).withColumn("n", F.col("doc_id")).withColumn("spans", F.lit(1)).withColumn("shard", F.lit("x"))
+    spark.createDataFrame([(i, i % 2, 0) for i in range(0)] + [(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen, now = {}, docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/c{i}")
+        now = seen[name] = spark.read.parquet(f"{tmp_path}/c{i}")
+        if name != "encode":
+            assert now.columns == docs.columns
+    ids = lambda df: sorted((r.doc_id if r.doc_id is not None else -1) for r in df.select("doc_id").collect())
+    assert len(ids(seen["quality"])) == len(rows)  # one label only: all score alike, near it
+    deduped = ids(seen["near_dedup"])
+    assert 100 not in deduped and 101 not in deduped and deduped.count(0) == 3 and deduped.count(-1) == 2 and {102, 103, 104} <= set(deduped)
+    assert ids(seen["repeats"]) == deduped
+    mixed = set(ids(seen["mixing"]))
+    assert not mixed & {102, 103} and -1 in mixed
+    assert all(r.n_tokens == len(r.token_ids) > 0 for r in seen["encode"].collect())
+    now = docs.where("false")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/e{i}")
+        now = spark.read.parquet(f"{tmp_path}/e{i}")
+        assert now.count() == 0
