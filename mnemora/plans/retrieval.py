@@ -11,9 +11,10 @@ from ..operators import log as L
 from ..operators import recall as R
 from .aggregates import RANKS
 from .base import (
-    ACTIVE, HITS, LEXICAL, LIVE, SIGNALS, WEIGHTED, Tables, cos, hits, hybrid, pool_sql, query, r6, ranked_sql, semantic, semantic_sql, tok,
+    ACTIVE, HITS, LEXICAL, LIVE, ORACLES, SIGNALS, WEIGHTED, Tables, cos, hits, hybrid, pool_sql, query, r6, ranked_sql, semantic, semantic_sql, tok,
 )
-from .fixture import NOW
+from .fixture import DUCK, NOW
+from .scalar import phrases_sql
 
 HYBRID = pool_sql() + LEXICAL + SIGNALS + WEIGHTED
 SCORED = f", sc AS (SELECT qid, id, pool_pos, base AS score FROM sw m WHERE {LIVE})"
@@ -444,6 +445,21 @@ def _fanned(t: Tables) -> DataFrame:
     return rows.join(t.v.select("vec_id", F.col("x").alias("qx")), "vec_id").select("task", "qid", "qtext", "qx")
 
 
+#: The fan-out queries take the place of the queries' relation.
+FANNED = (
+    phrases_sql("q0", "qid", "qtext")
+    + """,
+fl AS (SELECT qid AS id, trim(regexp_replace(lower(qtext), '\\s+', ' ', 'g')) AS flat FROM q0),
+fan AS (SELECT qid AS task, 0 AS pos, qtext FROM q0
+  UNION ALL SELECT ph.id, row_number() OVER (PARTITION BY ph.id ORDER BY n), p FROM ph JOIN fl ON fl.id = ph.id WHERE p <> flat),
+q AS (SELECT task * 10 + pos AS qid, task, qtext, x AS qx, v.vec_id, label FROM fan, ee JOIN v ON v.vec_id = (task * 13 + pos * 7) % e)"""
+)
+CONTEXT = f""",
+per AS (SELECT task, id, max(score) AS score FROM best JOIN q ON q.qid = best.qid GROUP BY ALL),
+bt AS (SELECT task AS qid, id, score, row_number() OVER (PARTITION BY task ORDER BY score DESC, id) AS rank FROM per),
+ln AS (SELECT b.qid, b.id, b.rank, {cost_sql(LINE)} AS cost FROM bt b JOIN m ON m.id = b.id)"""
+
+
 @query("auto_context")
 def auto_context(t: Tables):
     """A context a task: hybrid recall of ten for the task and each key phrase, each
@@ -458,6 +474,21 @@ def auto_context(t: Tables):
     return _taken(R.pack(_priced(ranked.join(t.m, "id")), 800))
 
 
+ORACLES["auto_context"] = (
+    DUCK.replace("\nq AS (", "\nq0 AS (")
+    + FANNED
+    + pool_sql(40)
+    + LEXICAL
+    + SIGNALS
+    + WEIGHTED
+    + SCORED
+    + ranked_sql(10)
+    + CONTEXT
+    + pack_sql(800)
+    + TAKEN
+)
+
+
 @query(
     "recall_reranker",
     pool_sql(10)

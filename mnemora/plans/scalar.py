@@ -66,23 +66,25 @@ def fn_estimate_tokens(t: Tables):
 
 
 STOP = "(" + ", ".join(f"'{w}'" for w in S.STOP_WORDS) + ")"
-#: ph(id, n, p): a text's key phrases in order: pairs of neighbouring content words, then the words.
-PHRASES = f""",
-w0 AS (SELECT id, list_filter({tok()}, lambda w: w NOT IN {STOP} AND length(w) > 2) AS w FROM m),
+
+def phrases_sql(rows: str, id_: str = "id", text: str = "text") -> str:
+    """ph(id, n, p): texts' key phrases in order: pairs of neighbouring content words, then the words."""
+    return f""",
+w0 AS (SELECT {id_} AS id, list_filter({tok(text)}, lambda w: w NOT IN {STOP} AND length(w) > 2) AS w FROM {rows}),
 w1 AS (SELECT id, list_concat([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))], w) AS ps FROM w0),
 w2 AS (SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM w1),
 w3 AS (SELECT id, p, min(k) AS k FROM w2 GROUP BY ALL),
 ph AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS n FROM w3) WHERE n <= 3)"""
 
 
-@query("fn_key_phrases", PHRASES + " SELECT m.id, coalesce(string_agg(p, '|' ORDER BY n), '') AS phrases FROM m LEFT JOIN ph ON ph.id = m.id GROUP BY m.id")
+@query("fn_key_phrases", phrases_sql("m") + " SELECT m.id, coalesce(string_agg(p, '|' ORDER BY n), '') AS phrases FROM m LEFT JOIN ph ON ph.id = m.id GROUP BY m.id")
 def fn_key_phrases(t: Tables):
     return t.m.select("id", F.array_join(S.key_phrases(F.col("text")), "|").alias("phrases"))
 
 
 @query(
     "fn_fanout_queries",
-    PHRASES
+    phrases_sql("m")
     + """, sm AS (SELECT id, text, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS flat FROM m)
     SELECT sm.id, text || coalesce('|' || string_agg(p, '|' ORDER BY n) FILTER (p <> flat), '') AS queries FROM sm LEFT JOIN ph ON ph.id = sm.id GROUP BY sm.id, text""",
 )
