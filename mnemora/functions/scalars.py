@@ -149,7 +149,9 @@ def importance(text: Column, type_: Column) -> Column:
         for p in patterns:
             hit = hit | body.rlike(f"(?i){p}")
         tier = F.when(hit, F.lit(score)).otherwise(tier)
-    score = tier + F.when(type_.isin("procedural", "feedback"), 0.10).otherwise(0.0) - F.when(body.endswith("?"), 0.15).otherwise(0.0) - F.when(F.length(body) < 20, 0.10).otherwise(0.0)
+    standing = F.when(type_.isin("procedural", "feedback"), 0.10).otherwise(0.0)
+    asking, short = F.when(body.endswith("?"), 0.15).otherwise(0.0), F.when(F.length(body) < 20, 0.10).otherwise(0.0)
+    score = tier + standing - asking - short
     return F.round(F.greatest(F.lit(0.05), F.least(F.lit(0.98), score)), 3)
 
 
@@ -245,7 +247,12 @@ def parse_timestamp(text: Column, now: float) -> Column:
 def format_duration(seconds: Column) -> Column:
     """``45s``, ``3m 5s``, ``2h``, ``1d 4h``: the two largest units, zero ones left out."""
     n = F.abs(seconds).cast("long")
-    of = lambda size, name, rest, less: F.concat(F.floor(n / size).cast("string"), F.lit(name), F.when(F.floor(n % size / rest) > 0, F.concat(F.lit(" "), F.floor(n % size / rest).cast("string"), F.lit(less))).otherwise(""))
+
+    def of(size: int, name: str, rest: int, less: str) -> Column:
+        left = F.floor(n % size / rest)
+        second = F.when(left > 0, F.concat(F.lit(" "), left.cast("string"), F.lit(less))).otherwise("")
+        return F.concat(F.floor(n / size).cast("string"), F.lit(name), second)
+
     small = F.when(n < 60, F.concat(n.cast("string"), F.lit("s"))).when(n < 3600, of(60, "m", 1, "s"))
     return small.when(n < 86400, of(3600, "h", 60, "m")).otherwise(of(86400, "d", 3600, "h"))
 

@@ -87,7 +87,9 @@ def find_paths(pairs: DataFrame, edges: DataFrame, known: DataFrame, most: int =
     """
     scratch = Scratch(pairs.sparkSession)
     ids = known.select("id")
-    asked = pairs.select("start", "end").distinct().join(ids.select(F.col("id").alias("start")), "start", "left_semi").join(ids.select(F.col("id").alias("end")), "end", "left_semi")
+    asked = pairs.select("start", "end").distinct()
+    for one in ("start", "end"):
+        asked = asked.join(ids.select(F.col("id").alias(one)), one, "left_semi")
     asked = scratch.keep(asked)
     steps = undirected(edges)
     hop = lambda id_, rel: F.array(F.struct(id_.alias("id"), rel.alias("rel")))

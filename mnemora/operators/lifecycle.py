@@ -110,7 +110,16 @@ def remember_many(rows: DataFrame, fresh: DataFrame, now: float, idempotent: boo
     return mapping, added
 
 
-def remember(rows: DataFrame, vectors: DataFrame, fresh: DataFrame, fresh_vectors: DataFrame, now: float, policy: str = "ignore", threshold: float = 0.8, contradicts: C.PairRule | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def remember(
+    rows: DataFrame,
+    vectors: DataFrame,
+    fresh: DataFrame,
+    fresh_vectors: DataFrame,
+    now: float,
+    policy: str = "ignore",
+    threshold: float = 0.8,
+    contradicts: C.PairRule | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, refused, conflicts) after built rows are stored under a conflict policy.
 
     ``raise`` refuses those that clash with what is stored; ``supersede`` marks the
@@ -282,7 +291,9 @@ def consolidated(rows: DataFrame, edges: DataFrame, clusters: DataFrame, summari
         return rows.select(*columns).unionByName(new), edges
     pairs = clusters.select(F.col("id").alias("old"), new_id.alias("new"))
     old = rows.join(pairs.withColumnRenamed("old", "id"), "id", "left")
-    own = {"superseded_by": F.coalesce("new", "superseded_by"), "superseded_at": F.when(F.col("new").isNotNull(), F.lit(now)).otherwise(F.col("superseded_at") if "superseded_at" in rows.columns else F.lit(0.0)), "pinned": F.col("pinned") & F.col("new").isNull()}
+    gone = F.col("new").isNotNull()
+    at = F.col("superseded_at") if "superseded_at" in rows.columns else F.lit(0.0)
+    own = {"superseded_by": F.coalesce("new", "superseded_by"), "superseded_at": F.when(gone, F.lit(now)).otherwise(at), "pinned": F.col("pinned") & ~gone}
     old = old.select(*[own[c].alias(c) if c in own else F.col(c) for c in columns])
     links = pairs.select(F.col("new").alias("src"), F.col("old").alias("dst"), F.lit("derived_from").alias("rel"))
     return old.unionByName(new), edges.select("src", "dst", "rel").unionByName(links)

@@ -47,7 +47,8 @@ def resolve_prefix(journal: DataFrame, prefix: str) -> DataFrame:
             one = journal.select(F.col(c).alias("id"))
             ids = one if ids is None else ids.union(one)
     n = F.count("*")
-    return ids.where(F.col("id").startswith(prefix)).distinct().agg(n.alias("matches"), F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous").alias("outcome"), F.min("id").alias("first_id"))
+    outcome = F.when(n == 0, "none").when(n == 1, "unique").otherwise("ambiguous").alias("outcome")
+    return ids.where(F.col("id").startswith(prefix)).distinct().agg(n.alias("matches"), outcome, F.min("id").alias("first_id"))
 
 
 def versions(journal: DataFrame) -> DataFrame:
@@ -122,7 +123,9 @@ def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> t
     touched = done.where("op IN ('remember', 'forget', 'edit')").select("id")
     marks = done.where("op IN ('supersede', 'restore')").select("id", F.when(F.col("op") == "restore", F.col("superseder_id")).otherwise("").alias("mark"))
     kept = rows.join(touched, "id", "left_anti").join(marks, "id", "left")
-    changed = {"superseded_by": F.coalesce("mark", "superseded_by"), "superseded_at": F.when(F.col("mark") == "", 0.0).when(F.col("mark").isNotNull(), now).otherwise(F.col("superseded_at"))} if "superseded_at" in rows.columns else {"superseded_by": F.coalesce("mark", "superseded_by")}
+    changed = {"superseded_by": F.coalesce("mark", "superseded_by")}
+    if "superseded_at" in rows.columns:
+        changed["superseded_at"] = F.when(F.col("mark") == "", 0.0).when(F.col("mark").isNotNull(), now).otherwise(F.col("superseded_at"))
     kept = kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns])
     links = done.select("op", F.col("id").alias("src"), F.col("dst_id").alias("dst"), F.explode_outer("rels").alias("rel"))
     fewer = edges.join(links.where("op = 'link'").select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti").select("src", "dst", "rel")

@@ -96,7 +96,8 @@ CUES = ["Always ", "We decided ", "Fixed ", "Maybe ", ""]
 
 
 def importance_sql(text: str) -> str:
-    tiers = " ".join(f"WHEN {' OR '.join(f"regexp_matches({text}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns)} THEN {score}::DOUBLE" for score, patterns in S.IMPORTANCE_TIERS)
+    hit = lambda p: f"regexp_matches({text}, '(?i){p.replace(chr(39), chr(39) * 2)}')"
+    tiers = " ".join(f"WHEN {' OR '.join(map(hit, patterns))} THEN {score}::DOUBLE" for score, patterns in S.IMPORTANCE_TIERS)
     moved = f"""CASE {tiers} ELSE 0.5::DOUBLE END + CASE WHEN type IN ('procedural', 'feedback') THEN 0.1::DOUBLE ELSE 0 END
       - CASE WHEN ends_with({text}, '?') THEN 0.15::DOUBLE ELSE 0 END - CASE WHEN length({text}) < 20 THEN 0.1::DOUBLE ELSE 0 END"""
     return f"round(greatest(0.05::DOUBLE, least(0.98::DOUBLE, {moved})), 3)"

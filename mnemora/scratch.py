@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -22,12 +24,23 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def _delete_at_exit(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        _delete(spark, path)
+
+
 class Scratch:
-    """Tables written down to cut lineage; ``drop`` removes one."""
+    """Tables written down to cut lineage; ``drop`` removes one, the program's end all."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        atexit.register(_delete_at_exit, spark, self.root)
 
     def keep(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:6]}"
@@ -40,8 +53,7 @@ class Scratch:
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if path := self.paths.pop(id(df), None):
-                hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+                _delete(self.spark, path)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
