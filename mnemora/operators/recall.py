@@ -140,7 +140,9 @@ def vector_pool(rows: DataFrame, vectors: DataFrame, queries: DataFrame, n: int)
     best = near.withColumn("r", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("cosine")))).where(F.col("r") <= n).drop("r")
     order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
     pool = best.join(rows.select("id", "vec_id"), "vec_id").select("qid", "id", "cosine")
-    return pool.withColumn("pool_pos", F.row_number().over(order)).where(F.col("pool_pos") <= n)
+    pool = pool.withColumn("pool_pos", F.row_number().over(order)).where(F.col("pool_pos") <= n)
+    # Statistics, ranks and joins read the pool again and again: n rows a query, written once.
+    return Scratch(rows.sparkSession).keep(pool)
 
 
 def bm25(pool: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -310,7 +312,8 @@ def lexical_newcomers(pool: DataFrame, memories: DataFrame, queries: DataFrame,
     found = found.withColumn("seen", F.row_number().over(Window.partitionBy("qid").orderBy("n", "id")))
     if limit is not None:
         found = found.where(F.col("seen") <= limit)
-    return found.join(pool.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", "seen")
+    new = found.join(pool.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", "seen")
+    return Scratch(memories.sparkSession).keep(new)
 
 
 def corpus_pool(pool: DataFrame, rows: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
@@ -320,7 +323,8 @@ def corpus_pool(pool: DataFrame, rows: DataFrame, vectors: DataFrame, queries: D
     size = pool.groupBy("qid").agg(F.max("pool_pos").alias("size"))
     cosine = F.when(F.col("x").isNotNull(), S.cosine(F.col("x"), F.col("qx"))).otherwise(0.0)
     late = met.join(size, "qid", "left").select("qid", "id", cosine.alias("cosine"), (F.coalesce("size", F.lit(0)) + F.col("seen")).cast("int").alias("pool_pos"))
-    return pool.select("qid", "id", "cosine", F.col("pool_pos").cast("int").alias("pool_pos")).unionByName(late)
+    both = pool.select("qid", "id", "cosine", F.col("pool_pos").cast("int").alias("pool_pos")).unionByName(late)
+    return Scratch(rows.sparkSession).keep(both)
 
 
 # --- expansion along links ---------------------------------------------------------
