@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprint, minhash, mixing, projections, quality, suffix, toxicity, url_filter
+from . import bpe, exact, fingerprint, minhash, mixing, projections, quality, rewrite, search, suffix, toxicity, url_filter
 
 QUERIES = {
     "op1_winnowing": fingerprint.op1_winnowing,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_suffix_arrays": suffix.op8_suffix_arrays,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_exact_tries": exact.op11_exact_tries,
+    "op12_wand": search.op12_wand,
+    "op13_schema_rewrite": rewrite.op13_schema_rewrite,
 }
-ORACLES = {"op5_projections": projections.ORACLE, "op10_url_filter": url_filter.ORACLE}
+ORACLES = {"op5_projections": projections.ORACLE, "op10_url_filter": url_filter.ORACLE, "op11_exact_tries": exact.ORACLE, "op12_wand": search.ORACLE}
