@@ -142,6 +142,8 @@ class PairTable:
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, or -1."""
         key = a.astype(np.int64) << 24 | b
+        if not len(self.keys):  # a vocabulary of single bytes
+            return np.full(len(key), -1, dtype=np.int32)
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], np.int32(-1))
 
@@ -529,28 +531,32 @@ class PrefixCounts:
         return max((i for i, n in enumerate(self.profile(text)) if n <= budget), default=0)
 
 
-def _worker_model(kind, content, *rest, made={}):  # noqa: B006 - one model a worker
-    key = kind, rest
-    if key not in made:
-        made[key] = kind(content.value, *rest)
-    return made[key]
+def _worker_model(kind, content, *rest, made={}):  # noqa: B006 - one model of a kind a worker
+    """The model of a vocabulary, kept from task to task until another one is wanted."""
+    file, digest = content
+    key = digest, rest
+    if kind not in made or made[kind][0] != key:
+        made[kind] = key, kind(file.value, *rest)
+    return made[kind][1]
 
 
 def _broadcast_file(spark: SparkSession, path: str):
-    """A vocabulary file, about 1 MB whatever the input, sent from the driver."""
+    """A vocabulary file, about 1 MB whatever the input, sent from the driver; its digest."""
     with open(path, "rb") as f:
-        return spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    return spark.sparkContext.broadcast(data), hashlib.sha256(data).hexdigest()
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, keep: list[str] | None = None) -> DataFrame:
     """doc_id, ids array<int>, decoded binary of each row of ``docs(doc_id, text)``.
 
-    A null or empty text has no ids. Rows are independent: repeated ones repeat.
-    ``keep`` names further columns that come along, for which ``decoded`` is left out.
+    A null or empty text has no ids. Rows are independent: repeated ones repeat, and a null
+    doc_id stays null. An empty table has no rows. ``keep`` names further columns, which come
+    along as one struct ``kept``, whatever they are called; then ``decoded`` is left out.
     """
     content = _broadcast_file(docs.sparkSession, path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("_text"), *(F.col(f"`{c}`") for c in keep or []))
-    schema = StructType([f for f in rows.schema if f.name != "_text"]).add("ids", ArrayType(IntegerType()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in keep]).alias("kept")] if keep else []))
+    schema = StructType([f for f in rows.schema if f.name != "text"]).add("ids", ArrayType(IntegerType()))
     schema = schema if keep else schema.add("decoded", BinaryType())
 
     def run(batches):

@@ -124,3 +124,28 @@ def test_queries(spark, tmp_path, theirs, library):
 def _empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/none/documents.parquet")
     return f"{tmp_path}/none"
+
+
+def test_vocabularies_do_not_mix(spark, tmp_path):
+    """Another file in the same session, and the first one again, give each their own ids;
+    a file without merges gives a token for each byte."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    from mnemora.llm import bpe
+
+    whole = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    lines = [x for x in open(whole, "rb").read().splitlines() if x]
+    texts = ["hello the world in 2024", "", None, "naïve über straße", "the the the"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    for most in (len(lines), 300, 256, len(lines)):
+        path = tmp_path / f"{most}.tiktoken"
+        path.write_bytes(b"\n".join(lines[:most]) + b"\n")
+        ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines[:most])}
+        library = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        got = {r.doc_id: (r.ids, bytes(r.decoded)) for r in bpe.encode_documents(docs, str(path)).collect()}
+        assert got == {i: (library.encode(t or "", disallowed_special=()), (t or "").encode()) for i, t in enumerate(texts)}
+    kept = bpe.encode_documents(docs.withColumn("ids", docs.doc_id).withColumn("a.b", docs.doc_id), keep=["ids", "a.b"]).collect()
+    assert all(tuple(r.kept) == (r.doc_id, r.doc_id) for r in kept)
