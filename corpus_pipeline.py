@@ -17,7 +17,7 @@ from mnemora.llm.common import Scratch, table
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and the token ids of each row, and their number."""
     ids = bpe.encode_documents(docs.select("doc_id", "text", "lang", "source"), keep=["lang", "source"])
-    return ids.select("doc_id", "lang", "source", F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"))
+    return ids.select("doc_id", "kept.lang", "kept.source", F.col("ids").alias("token_ids"), F.size("ids").cast("long").alias("n_tokens"))
 
 
 STAGES = [

@@ -56,11 +56,12 @@ def sample_matrix(sample: DataFrame, features: Callable[[str], list[float]], n:
 
 
 def score_documents(docs: DataFrame, features: Callable[[str], list[float]], predict: Callable[[np.ndarray], np.ndarray], threshold: float, keep: bool = False) -> DataFrame:
-    """doc_id, held_out, score, predicted; with ``keep`` the columns of ``docs`` too."""
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")] if keep else ["doc_id"]
-    rows = docs.select(*([F.col(f"`{c}`") for c in own] if keep else [F.col("doc_id").cast("long").alias("doc_id")]), F.col("text").alias("_text"), held_out().alias("held_out"))
-    schema = rows.drop("_text").schema.add("score", "double").add("predicted", IntegerType())
-    at = rows.columns.index("_text")
+    """doc_id, held_out, score, predicted; with ``keep`` the whole row as a struct ``row``
+    in place of doc_id, so that its columns may be called anything."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if keep else F.col("doc_id").cast("long").alias("doc_id")
+    rows = docs.select(own, F.col("text").alias("text"), held_out().alias("held_out"))
+    schema = rows.drop("text").schema.add("score", "double").add("predicted", IntegerType())
+    at = rows.columns.index("text")
 
     def run(batches):
         for b in _few(batches):

@@ -231,7 +231,7 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Rows of one doc_id are one document, which stays or goes with all its rows. A row
     without doc_id, with a null text or without words is compared with nothing and
-    stays. All columns of ``docs`` are kept as they are.
+    stays. All columns of ``docs`` are kept as they are, whatever they are called.
     """
     gone = near_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")

@@ -53,7 +53,7 @@ def target_words(sizes: DataFrame, weights: DataFrame | None = None) -> DataFram
         w = weights.select(F.col("source").alias("w_source"), F.col("weight").cast("double").alias("weight"))
         s = s.join(w, F.col("source").eqNullSafe(F.col("w_source")), "left").drop("w_source").fillna(0.0, ["weight"])
     all_ = Window.partitionBy()
-    reach = Window.orderBy((F.col("limit") / F.col("weight")).asc_nulls_last(), "sid")
+    reach = Window.orderBy((F.try_divide("limit", "weight")).asc_nulls_last(), "sid")
     s = s.withColumn("limit", MOST * F.col("source_size").cast("double"))
     s = s.withColumn("total", F.sum(F.col("source_size").cast("double")).over(all_)).withColumn("heavy", F.sum("weight").over(all_))
     full = reach.rowsBetween(Window.unboundedPreceding, -1)

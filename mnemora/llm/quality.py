@@ -131,7 +131,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, keep: bool = False) -> Dat
     """doc_id, held_out, score, predicted of each row of ``docs(doc_id, text)``.
 
     Null and empty texts are scored as texts without words. Repeated rows score
-    alike. With ``keep`` the columns of ``docs`` come along unchanged.
+    alike. An empty table has no rows. With ``keep`` the whole row comes as a struct ``row``.
     """
     return score_documents(docs, statistics, train_quality(docs, labels).predict, THRESHOLD, keep)
 
@@ -141,5 +141,7 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows of ``docs`` that the classifier doesn't reject."""
-    return score_quality(docs, table(spark, sf_dir, "labels"), keep=True).where(F.col("predicted") == 1).select(*docs.columns)
+    """The rows of ``docs`` that the classifier doesn't reject, all columns as they are,
+    whatever they are called. Null and empty texts are judged as texts without words, equal
+    texts alike; an empty table has no rows."""
+    return score_quality(docs, table(spark, sf_dir, "labels"), keep=True).where(F.col("predicted") == 1).select("row.*")

@@ -545,7 +545,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     other, so that repeated rows lose the same bytes. An empty table stays empty.
     """
     names = docs.columns
-    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in names if c != "text"])
+    rest = F.struct(F.lit(0).alias("_" * (1 + max(map(len, names)))), *[F.col(f"`{c}`") for c in names if c != "text"])
     texts, gone = _settled(docs.select(rest.alias("row"), "doc_id", "text"))
     met = texts.join(gone.hint("merge"), ["key", "th"], "left").select("row", "text", "spans")
 

@@ -56,7 +56,10 @@ def test_corner_cases_of_the_stages(spark, tmp_path):
     rng = random.Random(12)
     rows = [(i, words(rng, 70), f"s{i % 2}" if i % 5 else None) for i in range(60)]
     rows += [rows[0], rows[0], (100, rows[1][1], "s1"), (101, rows[1][1] + " and", "s0"), (102, "", "s0"), (103, None, "s1"), (104, "one", None), (None, None, None), (None, words(rng, 70), None)]
-    docs = frame(spark, rows).withColumn("key", F.lit("k")).withColumn("score", F.lit("s")).withColumn("n", F.col("doc_id")).withColumn("spans", F.lit(1)).withColumn("shard", F.lit("x"))
+    docs = frame(spark, rows).withColumn("uid", F.monotonically_increasing_id()).cache()
+    clashing = ["key", "score", "predicted", "held_out", "n", "spans", "shard", "_text", "ids", "row", "kept", "sid", "a.b", "_", "th", "text2", "start", "size", "d", "g"]
+    for k, c in enumerate(clashing):
+        docs = docs.withColumn(c, F.col("uid") * 100 + k)
     spark.createDataFrame([(i, i % 2, 0) for i in range(0)] + [(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     seen, now = {}, docs
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
@@ -64,6 +67,10 @@ def test_corner_cases_of_the_stages(spark, tmp_path):
         now = seen[name] = spark.read.parquet(f"{tmp_path}/c{i}")
         if name != "encode":
             assert now.columns == docs.columns
+            odd = F.lit(False)
+            for k, c in enumerate(clashing):
+                odd = odd | ~F.col(f"`{c}`").eqNullSafe(F.col("uid") * 100 + k)
+            assert now.where(odd | F.col("uid").isNull()).count() == 0
     ids = lambda df: sorted((r.doc_id if r.doc_id is not None else -1) for r in df.select("doc_id").collect())
     assert len(ids(seen["quality"])) == len(rows)  # one label only: all score alike, near it
     deduped = ids(seen["near_dedup"])
