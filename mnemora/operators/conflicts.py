@@ -76,7 +76,7 @@ def classify(one: Callable[[str], Column], two: Callable[[str], Column], contrad
     return out.otherwise("duplicate")
 
 
-def _common_tag(one: Column, two: Column, empty_meets_all: bool = True) -> Column:
+def _common_tag(one: Column, two: Column) -> Column:
     """Rows without tags clash with all."""
     return (F.size(one) == 0) | (F.size(two) == 0) | F.arrays_overlap(one, two)
 
@@ -103,7 +103,7 @@ def conflicts_for(new: DataFrame, rows: DataFrame, vectors: DataFrame, now: floa
     queries = new.join(vectors.select("vec_id", F.col("x").alias("qx")), "vec_id").select(F.col("id").alias("qid"), "qx")
     pool = R.vector_pool(rows, vectors, queries, NEIGHBOURS)
     mine = _facts(new).select(F.col("id").alias("qid"), F.col("type").alias("type1"), *(F.col(c).alias(f"{c}1") for c in FACTS))
-    theirs = _facts(rows.where(R.eligible(now))).select("id", F.col("type").alias("type2"), *(F.col(c).alias(f"{c}2") for c in FACTS))
+    theirs = _facts(rows.where(R.live(now))).select("id", F.col("type").alias("type2"), *(F.col(c).alias(f"{c}2") for c in FACTS))
     met = pool.where((F.col("id") != F.col("qid")) & (F.col("cosine") >= threshold)).join(mine, "qid").join(theirs, "id")
     met = met.where((F.col("type1") == F.col("type2")) & _common_tag(F.col("tags1"), F.col("tags2")))
     kind = classify(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"), contradicts)

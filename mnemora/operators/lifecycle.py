@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import scalars as S
+from ..scratch import Scratch
 from . import conflicts as C
 from . import recall as R
 
@@ -102,7 +103,7 @@ def remember_many(rows: DataFrame, fresh: DataFrame, now: float, idempotent: boo
     the batch, adds nothing; mapping says whether it met a stored row (touched)."""
     if not idempotent:
         return fresh.select("pos", F.col("id").alias("kept_as"), F.lit(False).alias("touched")), fresh
-    live = rows.where(R.eligible(now)).groupBy("content_hash").agg(F.min("id").alias("old"))
+    live = rows.where(R.live(now)).groupBy("content_hash").agg(F.min("id").alias("old"))
     first = F.min_by("id", "pos").over(Window.partitionBy("content_hash"))
     met = fresh.withColumn("first", first).join(live, "content_hash", "left")
     mapping = met.select("pos", F.coalesce("old", "first").alias("kept_as"), F.col("old").isNotNull().alias("touched"))
@@ -119,27 +120,28 @@ def remember(
     policy: str = "ignore",
     threshold: float = 0.8,
     contradicts: C.PairRule | None = None,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, refused, conflicts) after built rows are stored under a conflict policy.
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows, refused, conflicts, links) after built rows are stored under a conflict policy.
 
     ``raise`` refuses those that clash with what is stored; ``supersede`` marks the
-    stored rows they clash with, by the first new one if several do; ``warn`` and
-    ``ignore`` store all. New rows are judged against stored ones, not each other.
+    stored rows they clash with, by the first new one if several do, and ``links`` has the
+    new links that say so; ``warn`` and ``ignore`` store all. New rows are judged against stored ones, not each other.
     ``fresh_vectors(vec_id, x)`` are the new rows' vectors; ``fresh`` has vec_id.
     """
     S.check_choice(policy, POLICIES, "policy")
     columns = [c for c in rows.columns if c in fresh.columns]
     none = rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("similarity"), F.lit("").alias("kind")).where("false")
+    links = none.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("kind").alias("rel"))
     if policy == "ignore":
-        return rows.select(*columns).unionByName(fresh.select(*columns)), none.select(F.col("a").alias("id")), none
+        return rows.select(*columns).unionByName(fresh.select(*columns)), none.select(F.col("a").alias("id")), none, links
     # The scan matches on vectors, so it doesn't need the new rows to be stored.
     clashes = C.conflicts_for(fresh, rows, vectors.select("vec_id", "x").unionByName(fresh_vectors.select("vec_id", "x")), now, threshold, contradicts)
     refused = clashes.select(F.col("a").alias("id")).distinct() if policy == "raise" else none.select(F.col("a").alias("id"))
     stored = rows.select(*columns).unionByName(fresh.join(refused, "id", "left_anti").select(*columns))
     if policy == "supersede":
         first = clashes.join(fresh.select(F.col("id").alias("a"), "pos"), "a").groupBy(F.col("b").alias("old")).agg(F.min_by("a", "pos").alias("new"))
-        stored = supersede(stored, first, now)
-    return stored, refused, clashes
+        stored, links = supersede(stored, links, first, now)
+    return stored, refused, clashes, links
 
 
 def link(edges: DataFrame, wanted: DataFrame, known: DataFrame) -> DataFrame:
@@ -157,14 +159,60 @@ def unlink(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return some.join(gone.where("rel IS NULL").select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "rel")
 
 
-def edit(rows: DataFrame, changes: DataFrame) -> DataFrame:
-    """Rows with new text and importance where ``changes(id, new_text, new_importance)``
-    has them; blank texts are refused, importance is kept in 0..1, texts are rehashed."""
-    met = rows.join(changes, "id", "left")
-    text = F.when(F.trim("new_text") != "", F.trim("new_text")).otherwise(F.col("text"))
-    clamp = F.when(F.col("new_importance").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("new_importance"))))
-    met = met.withColumn("text", text).withColumn("importance", F.coalesce(clamp, "importance"))
-    return met.withColumn("content_hash", S.content_hash(F.col("text"))).drop("new_text", "new_importance")
+#: What an edit may change, and the columns of a change that say so.
+EDITS = {
+    "text": "string", "type": "string", "tags": "array<string>", "importance": "double", "polarity": "int", "expires_at": "double", "source": "string",
+    "pinned": "boolean", "trust": "string", "valid_from": "double", "valid_until": "double",
+}
+
+
+def edit(rows: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, verdicts) after ``changes(id, new_text, new_type, ...)``, of any of EDITS.
+
+    A null or missing column leaves a field alone; ``clear_source`` (boolean) empties the
+    source. Texts are stripped and rehashed, importance is kept in 0..1, and the validity
+    that results is checked as a pair. ``verdicts(id, verdict)`` has a row for each row
+    named: ``changed``, ``same`` where nothing differs, ``unknown``, or ``bad`` and the
+    field, and then nothing of the row changes. Of several changes of a row, the one with
+    the greatest pos counts, or where there is none the least.
+    """
+    given = changes.select("id", *[F.col(f"new_{c}").cast(kind).alias(f"new_{c}") if f"new_{c}" in changes.columns else F.lit(None).cast(kind).alias(f"new_{c}") for c, kind in EDITS.items()],
+                           F.coalesce("clear_source", F.lit(False)).alias("clear_source") if "clear_source" in changes.columns else F.lit(False).alias("clear_source"),
+                           F.col("pos") if "pos" in changes.columns else F.lit(0).alias("pos"))
+    fields = F.struct(*[c for c in given.columns if c != "id"])
+    one = F.max_by(fields, "pos") if "pos" in changes.columns else F.min(fields)
+    met = rows.join(given.groupBy("id").agg(one.alias("_to")), "id", "left")
+    to = lambda c: F.col(f"_to.new_{c}")
+    own = {c: F.coalesce(to(c), F.col(c)) for c in EDITS if c in rows.columns}
+    own["text"] = F.coalesce(F.trim(to("text")), F.col("text"))
+    own["importance"] = F.when(to("importance").isNull(), F.col("importance")).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), to("importance"))))
+    if "source" in own:
+        own["source"] = F.when(F.coalesce(F.col("_to.clear_source"), F.lit(False)), F.lit(None).cast("string")).otherwise(own["source"])
+    checks = [
+        (F.trim(to("text")) == "", "text"),
+        (to("type").isNotNull() & ~S.choice_ok(to("type"), S.TYPES), "type"),
+        (to("polarity").isNotNull() & ~to("polarity").isin(-1, 0, 1), "polarity"),
+        (to("expires_at") < 0, "expires_at"),
+        (to("trust").isNotNull() & ~S.choice_ok(to("trust"), S.TRUST), "trust"),
+        (~S.tags_ok(to("tags")), "tags"),
+    ]
+    if "valid_from" in own:
+        touched = to("valid_from").isNotNull() | to("valid_until").isNotNull()
+        checks.append((touched & ~S.validity_ok(own["valid_from"], own["valid_until"]), "validity"))
+    bad = F.lit(None).cast("string")
+    for cond, name in reversed(checks):
+        bad = F.when(F.coalesce(cond, F.lit(False)), name).otherwise(bad)
+    fine = F.col("_to").isNotNull() & bad.isNull()
+    differs = F.lit(False)
+    for c, value in own.items():
+        differs = differs | ~value.eqNullSafe(F.col(c))
+    verdict = F.when(bad.isNotNull(), F.concat(F.lit("bad "), bad)).when(differs, "changed").otherwise("same")
+    known = met.where("_to IS NOT NULL").select("id", verdict.alias("verdict"))
+    lost = changes.select("id").distinct().join(rows.select("id"), "id", "left_anti").select("id", F.lit("unknown").alias("verdict"))
+    if "content_hash" in rows.columns:
+        own["content_hash"] = F.when(own["text"].eqNullSafe(F.col("text")), F.col("content_hash")).otherwise(S.content_hash(own["text"]))
+    out = met.select(*[F.when(fine, own[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in rows.columns])
+    return out, known.unionByName(lost)
 
 
 def touch(rows: DataFrame, hits: DataFrame, now: float) -> DataFrame:
@@ -186,29 +234,87 @@ def nuke(rows: DataFrame, confirm: bool = False) -> tuple[DataFrame, DataFrame]:
     return rows.where("false"), rows.agg(F.lit("nuke").alias("op"), F.count("*").alias("removed"))
 
 
-def supersede(rows: DataFrame, pairs: DataFrame, now: float) -> DataFrame:
-    """``pairs(old, new)``: the old row is marked and hands its pin to the new one.
+def on_loops(steps: DataFrame, scratch: Scratch) -> DataFrame:
+    """id of the rows of ``steps(id, next)``, one a row, from which steps come back to them.
 
-    Pairs with themselves, or whose new row is superseded by the old, are refused.
+    Pointers jump twice as far in each round, so rounds are as many as the longest chain's
+    length has bits; those that haven't come to an end by then point into loops.
+    """
+    far = steps.select("id", "next", F.lit(True).alias("moved"))
+    for _ in range(max(1, steps.count()).bit_length() + 1):
+        more = far.select(F.col("id").alias("next"), F.col("next").alias("after"))
+        far = scratch.keep(far.join(more, "next", "left").select("id", F.coalesce("after", "next").alias("next"), F.col("after").isNotNull().alias("moved")))
+        if far.where("moved").isEmpty():
+            break
+    return far.where("moved").select(F.col("next").alias("id")).distinct()
+
+
+def _ahead(pairs: DataFrame, marked: DataFrame, scratch: Scratch) -> DataFrame:
+    """id of all rows ahead of ``marked(id)`` along ``pairs(old, new)``, which have no loops;
+    the rounds are as many as the longest chain's length has bits."""
+    jumps, found = pairs.select("old", "new"), marked.select("id")
+    while True:
+        reached = jumps.join(found.select(F.col("id").alias("old")), "old").select(F.col("new").alias("id"))
+        found = scratch.keep(found.unionByName(reached).distinct())
+        further = jumps.select(F.col("old").alias("new"), F.col("new").alias("then"))
+        jumps = scratch.keep(jumps.join(further, "new").select("old", F.col("then").alias("new")))
+        if jumps.isEmpty():
+            return found.join(pairs.select(F.col("new").alias("id")).distinct(), "id", "left_semi")
+
+
+def supersede(rows: DataFrame, edges: DataFrame, pairs: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) after ``pairs(old, new)``: old rows are marked, and links ``supersedes``
+    lead to them. Pins follow: whatever comes after a pinned row in a chain of the batch is
+    pinned too, and the old rows keep theirs, so that ``restore`` can hand them back.
+
+    A row has one successor: of several pairs of an old row the one with the greatest pos
+    counts, or without a pos the one with the smallest new row. Pairs with themselves, of
+    rows that don't exist, that are marked so already, or that would close a loop, through
+    the batch or through older marks, change nothing.
     """
-    by = rows.select(F.col("id").alias("new"), F.col("superseded_by").alias("back"))
-    fine = pairs.where("old <> new").join(by, "new").where("back <> old").select("old", "new")
-    pins = fine.join(rows.where("pinned").select(F.col("id").alias("old")), "old").select(F.col("new").alias("id"), F.lit(True).alias("gets_pin")).distinct()
-    out = rows.join(fine.withColumnRenamed("old", "id"), "id", "left").join(pins, "id", "left")
-    marked = F.col("new").isNotNull()
-    at = F.when(marked, F.lit(now)).otherwise(F.col("superseded_at") if "superseded_at" in rows.columns else F.lit(0.0))
+    scratch = Scratch(rows.sparkSession)
+    one = F.max_by("new", "pos") if "pos" in pairs.columns else F.min("new")
+    known = rows.select(F.col("id").alias("old"), F.col("superseded_by").alias("by"))
+    wanted = pairs.where("old <> new").join(rows.select(F.col("id").alias("new")), "new", "left_semi")
+    wanted = wanted.groupBy("old").agg(one.alias("new")).join(known, "old").where("NOT new <=> by").select("old", "new")
+    wanted = scratch.keep(wanted)
+    marks = rows.where("superseded_by <> ''").select("id", F.col("superseded_by").alias("next"))
+    steps = marks.join(wanted.select(F.col("old").alias("id")), "id", "left_anti").unionByName(wanted.select(F.col("old").alias("id"), F.col("new").alias("next")))
+    # Only chains that go on from a pair's new row can come back to its old one.
+    if not wanted.join(steps.select(F.col("id").alias("new")), "new", "left_semi").isEmpty():
+        wanted = scratch.keep(wanted.join(on_loops(scratch.keep(steps), scratch).select(F.col("id").alias("old")), "old", "left_anti"))
+    out = rows.join(wanted.select(F.col("old").alias("id"), F.col("new").alias("_new")), "id", "left")
+    marked = F.col("_new").isNotNull()
     own = {
-        "superseded_by": F.when(marked, F.col("new")).otherwise(F.col("superseded_by")),
-        "superseded_at": at,
-        "pinned": (F.col("pinned") & ~marked) | F.coalesce("gets_pin", F.lit(False)),
+        "superseded_by": F.coalesce("_new", "superseded_by"),
+        "superseded_at": F.when(marked, F.lit(now)).otherwise(F.col("superseded_at") if "superseded_at" in rows.columns else F.lit(0.0)),
     }
+    if "pinned" in rows.columns:
+        pinned = rows.where("pinned").select("id").join(wanted.select(F.col("old").alias("id")), "id", "left_semi")
+        out = out.join(_ahead(wanted, pinned, scratch).select("id", F.lit(True).alias("_pin")), "id", "left")
+        own["pinned"] = F.col("pinned") | F.coalesce("_pin", F.lit(False))
     names = [*rows.columns, *([] if "superseded_at" in rows.columns else ["superseded_at"])]
-    return out.select(*[own[c].alias(c) if c in own else F.col(c) for c in names])
-
-
-def restore(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    back = ids.select("id", F.lit(True).alias("back"))
-    return rows.join(back, "id", "left").withColumn("superseded_by", F.when(F.col("back"), "").otherwise(F.col("superseded_by"))).drop("back")
+    new = wanted.select(F.col("new").alias("src"), F.col("old").alias("dst"), F.lit("supersedes").alias("rel"))
+    return out.select(*[own[c].alias(c) if c in own else F.col(c) for c in names]), edges.select("src", "dst", "rel").unionByName(new).distinct()
+
+
+def restore(rows: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, edges) where the rows of ``ids`` are no longer superseded: marks and their
+    times are cleared, the links ``supersedes`` to them go, and a pin that a row shares with
+    its successor is taken from the successor. Pins are judged as they were before; rows
+    that aren't superseded, unknown ids and repeats do nothing."""
+    pin = F.col("pinned") if "pinned" in rows.columns else F.lit(False)
+    back = rows.where("superseded_by <> ''").join(ids.select("id").distinct(), "id", "left_semi").select("id", F.col("superseded_by").alias("by"), pin.alias("pin"))
+    handed = back.where("pin").select(F.col("by").alias("id"), F.lit(True).alias("_unpin")).distinct()
+    met = rows.join(back.select("id", F.lit(True).alias("_back")), "id", "left").join(handed, "id", "left")
+    own = {"superseded_by": F.when(F.col("_back"), "").otherwise(F.col("superseded_by"))}
+    if "superseded_at" in rows.columns:
+        own["superseded_at"] = F.when(F.col("_back"), 0.0).otherwise(F.col("superseded_at"))
+    if "pinned" in rows.columns:
+        own["pinned"] = F.col("pinned") & F.col("_unpin").isNull()
+    gone = back.select(F.col("by").alias("src"), F.col("id").alias("dst"), F.lit("supersedes").alias("rel"))
+    left = edges.join(gone, ["src", "dst", "rel"], "left_anti").select("src", "dst", "rel")
+    return met.select(*[own[c].alias(c) if c in own else F.col(c) for c in rows.columns]), left
 
 
 # --- reflection --------------------------------------------------------------------
@@ -263,8 +369,8 @@ def reflections(clusters: DataFrame, rows: DataFrame, consolidate: bool = False,
 
 def consolidated(rows: DataFrame, edges: DataFrame, clusters: DataFrame, summaries: DataFrame, mode: str, now: float) -> tuple[DataFrame, DataFrame]:
     """(rows, edges) once summaries stand beside their sources (``keep``), supersede them
-    with derived_from links (``soft``), or replace them (``hard``). A summary's id is
-    ``r`` and its leader's."""
+    with links derived_from beside supersedes (``soft``), or replace them (``hard``). A
+    summary's id is ``r`` and its leader's."""
     S.check_choice(mode, ("keep", "soft", "hard"), "mode")
     new_id = F.concat(F.lit("r"), F.col("leader"))
     made = {
@@ -289,14 +395,8 @@ def consolidated(rows: DataFrame, edges: DataFrame, clusters: DataFrame, summari
         return forget(rows, clusters).select(*columns).unionByName(new), edges
     if mode == "keep":
         return rows.select(*columns).unionByName(new), edges
-    pairs = clusters.select(F.col("id").alias("old"), new_id.alias("new"))
-    old = rows.join(pairs.withColumnRenamed("old", "id"), "id", "left")
-    gone = F.col("new").isNotNull()
-    at = F.col("superseded_at") if "superseded_at" in rows.columns else F.lit(0.0)
-    own = {"superseded_by": F.coalesce("new", "superseded_by"), "superseded_at": F.when(gone, F.lit(now)).otherwise(at), "pinned": F.col("pinned") & ~gone}
-    old = old.select(*[own[c].alias(c) if c in own else F.col(c) for c in columns])
-    links = pairs.select(F.col("new").alias("src"), F.col("old").alias("dst"), F.lit("derived_from").alias("rel"))
-    return old.unionByName(new), edges.select("src", "dst", "rel").unionByName(links)
+    stored, links = supersede(rows.select(*columns).unionByName(new), edges, clusters.select(F.col("id").alias("old"), new_id.alias("new")), now)
+    return stored.select(*columns), links.unionByName(clusters.select(new_id.alias("src"), F.col("id").alias("dst"), F.lit("derived_from").alias("rel")))
 
 
 # --- hooks -------------------------------------------------------------------------

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
+from . import lifecycle
+
 SNAPSHOTS = ("remember", "edit", "import", "restore", "supersede")
 #: Samples that percentiles are taken of, the last ones of each group.
 SAMPLES = 1024
@@ -61,26 +64,153 @@ def versions(journal: DataFrame) -> DataFrame:
     return texts.where("op = 'edit' AND before IS NOT NULL").select("seq", "id", "before")
 
 
+LINKS = "array<struct<dst_id:string,rel:string>>"
+
+
+def _moves(journal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The log's rows and its links: (seq, us, id, put, text, links) of entries that replace a
+    row or take it away, and (seq, us, id, dst_id, rel, on) of entries that add or remove one.
+
+    A snapshot's links (column links) are added by it. An unlink without rel removes those of
+    its column rels, or if there is none all links to its row; it has a null rel.
+    """
+    undone = (F.col("op") == "undo") & F.col("text").isNull() & (F.col("of_op") == "remember") if "of_op" in journal.columns else F.lit(False)
+    put = F.col("op").isin(*SNAPSHOTS) | ((F.col("op") == "undo") & F.col("text").isNotNull())
+    held = F.col("links").cast(LINKS) if "links" in journal.columns else F.lit(None).cast(LINKS)
+    rows = journal.where(put | (F.col("op") == "forget") | undone).select("seq", "us", "id", put.alias("put"), "text", held.alias("links"))
+    moves = journal.where(F.col("op").isin("link", "unlink"))
+    if "rels" in journal.columns:
+        moves = moves.withColumn("rel", F.explode_outer(F.when(F.col("rel").isNull() & (F.size("rels") > 0), F.col("rels")).otherwise(F.array("rel"))))
+    moves = moves.select("seq", "us", "id", "dst_id", "rel", (F.col("op") == "link").alias("on"))
+    own = rows.where("put").select("seq", "us", "id", F.explode("links").alias("l")).select("seq", "us", "id", "l.dst_id", "l.rel", F.lit(True).alias("on"))
+    return rows, moves.unionByName(own)
+
+
+def _listed(links: DataFrame, *keys: str) -> DataFrame:
+    return links.groupBy(*keys).agg(F.count("*").alias("links"), F.sort_array(F.collect_list(F.struct("dst_id", "rel"))).alias("link_list"))
+
+
 def state_at(journal: DataFrame, us: float) -> DataFrame:
     """id, text, base, links, link_list: what the log up to ``us`` leaves.
 
-    Snapshots replace a row, forget removes it, nuke removes all before it; links and
-    unlinks after a row's last snapshot apply in order. An undo puts back the text it
-    holds, or without one takes away the row if it is a remember that was undone
-    (column of_op).
+    Snapshots replace a row with the links they hold, forget removes it, nuke removes all
+    before it; links and unlinks after a row's last snapshot apply in order, an unlink
+    without rel to all links to its row. An undo puts back the text it holds, or without
+    one takes away the row if it is a remember that was undone (column of_op).
     """
     cut = journal.where(F.col("us") <= us)
     nuked = cut.where("op = 'nuke'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("from_seq"))
     cut = cut.join(F.broadcast(nuked), F.col("seq") > F.col("from_seq")).drop("from_seq")
-    undone = (F.col("op") == "undo") & F.col("text").isNull() & (F.col("of_op") == "remember") if "of_op" in journal.columns else F.lit(False)
-    put = F.col("op").isin(*SNAPSHOTS) | ((F.col("op") == "undo") & F.col("text").isNotNull())
-    gone = (F.col("op") == "forget") | undone
-    last = cut.where(put | gone).groupBy("id").agg(F.max_by(F.struct(gone.alias("gone"), "text"), "seq").alias("s"), F.max("seq").alias("base"))
-    alive = last.where("NOT s.gone").select("id", F.col("s.text").alias("text"), "base")
-    moves = cut.where(F.col("op").isin("link", "unlink")).join(alive.select("id", "base"), "id").where("seq > base")
-    ends = moves.groupBy("id", "dst_id", "rel").agg(F.max_by("op", "seq").alias("last")).where("last = 'link'")
-    links = ends.groupBy("id").agg(F.count("*").alias("links"), F.sort_array(F.collect_list(F.struct("dst_id", "rel"))).alias("link_list"))
-    return alive.join(links, "id", "left").select("id", "text", "base", F.coalesce("links", F.lit(0)).alias("links"), "link_list")
+    rows, moves = _moves(cut)
+    last = rows.groupBy("id").agg(F.max_by(F.struct("put", "text"), "seq").alias("s"), F.max("seq").alias("base"))
+    alive = last.where("s.put").select("id", F.col("s.text").alias("text"), "base")
+    moves = moves.join(alive.select("id", "base"), "id").where("seq > base OR (seq = base AND on)")
+    ends = moves.where("rel IS NOT NULL").groupBy("id", "dst_id", "rel").agg(F.max_by("on", "seq").alias("on"), F.max("seq").alias("seq")).where("on")
+    all_off = moves.where("rel IS NULL AND NOT on").groupBy("id", "dst_id").agg(F.max("seq").alias("off"))
+    ends = ends.join(all_off, ["id", "dst_id"], "left").where("off IS NULL OR seq > off")
+    return alive.join(_listed(ends, "id"), "id", "left").select("id", "text", "base", F.coalesce("links", F.lit(0)).alias("links"), "link_list")
+
+
+#: Cells that a log is cut into by sequence, and by time (a power of two).
+SEQ_CELLS, TIME_BITS = 4096, 16
+
+
+def _until(rows: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """``rows(seq, closes, ...)`` with until: the least ``closes`` of rows of its keys with a
+    greater seq. Cells of sequence numbers, and then their minima, each make a window, so
+    that a key of very many entries isn't one task's."""
+    rows = rows.withColumn("_cell", F.floor(F.col("seq") / width))
+    later = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(1, Window.unboundedFollowing)
+    cells = rows.groupBy(*keys, "_cell").agg(F.min("closes").alias("_least")).withColumn("_later", F.min("_least").over(later)).drop("_least")
+    inside = Window.partitionBy(*keys, "_cell").orderBy("seq").rangeBetween(1, Window.unboundedFollowing)
+    met = rows.withColumn("_inside", F.min("closes").over(inside))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}")) for k in [*keys, "_cell"]]
+    met = met.alias("r").join(cells.alias("c"), same, "left")
+    return met.select(*[F.col(f"r.{c}") for c in rows.columns if c != "_cell"], F.least("r._inside", "c._later").alias("until"))
+
+
+def lives(journal: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, links) of a whole log as intervals: rows(id, text, base, since, until) and
+    links(id, dst_id, rel, since, until), until null where nothing has ended them.
+
+    At any time t, what is true of ``since <= t < until`` is what a replay of the entries
+    with ``us <= t`` leaves, also where times and sequence disagree: an interval ends
+    at the least time of all later entries that replace, remove or unlink what it is about.
+    A nuke empties the store, so nukes are taken to be few and are kept as one array.
+    """
+    rows, moves = _moves(journal)
+    span = journal.agg(F.coalesce(F.max("seq") - F.min("seq"), F.lit(0))).first()[0]
+    width = max(1, span // SEQ_CELLS)
+    nukes = journal.where("op = 'nuke'").agg(F.collect_list(F.struct("seq", "us")).alias("nukes"))
+
+    def ended(frame: DataFrame) -> DataFrame:
+        late = F.array_min(F.transform(F.filter("nukes", lambda n: n["seq"] > F.col("seq")), lambda n: n["us"]))
+        return frame.join(F.broadcast(nukes)).withColumn("until", F.least("until", late)).drop("nukes").where("until IS NULL OR since < until")
+
+    closing = rows.select("seq", "id", F.col("us").alias("closes"))
+    versions = _until(rows.withColumn("closes", F.col("us")), ["id"], width).where("put").select("seq", "id", "text", F.col("us").alias("since"), "until")
+    versions = ended(versions).select("id", "text", F.col("seq").alias("base"), "since", "until")
+    on = moves.where("on").select("seq", "id", "dst_id", "rel", F.col("us").alias("since"))
+    nothing = F.lit(None).cast("double")
+    off = moves.where("NOT on")
+    for keys, ends in (
+        (["id"], closing),
+        (["id", "dst_id", "rel"], off.where("rel IS NOT NULL").select("seq", "id", "dst_id", "rel", F.col("us").alias("closes"))),
+        (["id", "dst_id"], off.where("rel IS NULL").select("seq", "id", "dst_id", F.col("us").alias("closes"))),
+    ):
+        before = F.col("until") if "until" in on.columns else nothing
+        both = on.withColumn("so_far", before).withColumn("closes", nothing).drop("until").unionByName(ends, allowMissingColumns=True)
+        on = _until(both, keys, width).where("since IS NOT NULL").withColumn("until", F.least("until", "so_far")).drop("so_far", "closes")
+    return versions, ended(on).select("id", "dst_id", "rel", "since", "until")
+
+
+def _dyadic(low: Column, high: Column, bits: int) -> Column:
+    """array<struct<level, node>>: the fewest aligned ranges of cells that make low..high."""
+
+    def step(acc, level):
+        a, b, out = acc["a"], acc["b"], acc["out"]
+        open_ = a <= b
+        first, last = open_ & (a % 2 == 1), open_ & (b % 2 == 0)
+        node = lambda n: F.array(F.struct(level.alias("level"), n.alias("node")))
+        none = F.array().cast("array<struct<level:int,node:bigint>>")
+        out = F.concat(out, F.when(first, node(a)).otherwise(none), F.when(last & ((a != b) | ~first), node(b)).otherwise(none))
+        a2, b2 = F.when(first, a + 1).otherwise(a), F.when(last, b - 1).otherwise(b)
+        return F.struct(F.when(a2 <= b2, F.floor(a2 / 2)).otherwise(F.lit(1)).cast("long").alias("a"), F.when(a2 <= b2, F.floor(b2 / 2)).otherwise(F.lit(0)).cast("long").alias("b"), out.alias("out"))
+
+    start = F.struct(low.cast("long").alias("a"), high.cast("long").alias("b"), F.array().cast("array<struct<level:int,node:bigint>>").alias("out"))
+    return F.aggregate(F.array(*[F.lit(i) for i in range(bits + 1)]), start, step)["out"]
+
+
+def _during(asked: DataFrame, spans: DataFrame, low: float, width: float, bits: int) -> DataFrame:
+    """``asked(id, us)`` joined with what of ``spans(id, since, until, ...)`` holds then.
+
+    A span is cut into the few aligned ranges of time cells that make it up, and a moment
+    looks into the one range of each size that it is in; so the join is on equal keys, a
+    row of many versions is spread over its ranges, and nothing meets in vain but in the
+    first and last cell.
+    """
+    cell = lambda c: F.least(F.greatest(F.floor((c - low) / width), F.lit(0)), F.lit((1 << bits) - 1)).cast("long")
+    nodes = spans.withColumn("_n", F.explode(_dyadic(cell(F.col("since")), F.when(F.col("until").isNull(), F.lit((1 << bits) - 1).cast("long")).otherwise(cell(F.col("until"))), bits)))
+    nodes = nodes.select("*", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).drop("_n")
+    looks = F.transform(F.array(*[F.lit(i) for i in range(bits + 1)]), lambda i: F.struct(i.alias("_level"), F.floor(cell(F.col("us")) / F.pow(F.lit(2.0), i)).cast("long").alias("_node")))
+    looking = asked.withColumn("_n", F.explode(looks)).select("id", "us", "_n._level", "_n._node")
+    met = looking.join(nodes, ["id", "_level", "_node"]).where("since <= us AND (until IS NULL OR us < until)")
+    return met.drop("_level", "_node", "since", "until")
+
+
+def states_at(journal: DataFrame, asked: DataFrame, bits: int = TIME_BITS) -> DataFrame:
+    """id, us, text, base, links, link_list of each of ``asked(id, us)`` that lived then: as
+    ``state_at``, for any number of moments in one pass over the log. Repeated questions
+    count once."""
+    scratch = Scratch(journal.sparkSession)
+    low, high = journal.agg(F.min("us"), F.max("us")).first()
+    low, high = (0.0, 1.0) if low is None else (float(low), float(high))
+    width = max((high - low) / (1 << bits), 1e-9)
+    rows, links = lives(journal)
+    asked = scratch.keep(asked.select("id", F.col("us").cast("double").alias("us")).distinct())
+    alive = scratch.keep(_during(asked, rows, low, width, bits))
+    held = _during(alive.select("id", "us"), links, low, width, bits).select("id", "us", "dst_id", "rel").distinct()
+    return alive.join(_listed(held, "id", "us"), ["id", "us"], "left").select("id", "us", "text", "base", F.coalesce("links", F.lit(0)).alias("links"), "link_list")
 
 
 def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -88,9 +218,12 @@ def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> t
 
     ``entries`` has seq, op, id, before and after (structs of the columns of ``rows``),
     dst_id, rels (an array) and superseder_id; at most one entry a row, or a link.
-    ``verdicts`` is (seq, undone). Refused: a forget whose row lives, an edit whose row
-    has changed since in any column that isn't VOLATILE, a restore whose newer row is
-    gone, links that aren't there any more, and ops that have no inverse.
+    ``verdicts`` is (seq, op, id, undone). A supersede is undone by ``restore`` and a
+    restore by ``supersede``, with their links and pins. Refused: a forget whose row lives,
+    an edit whose row has changed since in any column that isn't VOLATILE, a restore whose
+    newer row is gone or is itself superseded by the row, links that aren't there any more,
+    and ops that have no inverse. A forget that is undone leaves its row's trash entries
+    without use: ``trash.unneeded`` takes them out.
     """
     state = rows.select("id", F.struct(*[F.col(c) for c in rows.columns]).alias("now"))
     met = entries.join(state, "id", "left")
@@ -99,7 +232,7 @@ def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> t
     for c in rows.columns:
         if c not in VOLATILE:
             steady = steady & F.col(f"now.{c}").eqNullSafe(F.col(f"after.{c}"))
-    newer = rows.select(F.col("id").alias("superseder_id"), F.lit(True).alias("newer"))
+    newer = rows.select(F.col("id").alias("superseder_id"), F.col("superseded_by").alias("newer"))
     met = met.join(newer, "superseder_id", "left")
     there = edges.groupBy(F.col("src").alias("id"), F.col("dst").alias("dst_id")).agg(F.collect_set("rel").alias("have"))
     met = met.join(there, ["id", "dst_id"], "left").join(rows.select(F.col("id").alias("dst_id"), F.lit(True).alias("far")), "dst_id", "left")
@@ -110,27 +243,24 @@ def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> t
         "forget": F.col("before").isNotNull() & ~live,
         "edit": F.col("before").isNotNull() & F.col("after").isNotNull() & live & steady,
         "supersede": live & (F.col("now.superseded_by") != ""),
-        "restore": live & F.coalesce("newer", F.lit(False)),
+        "restore": live & F.col("newer").isNotNull() & (F.col("newer") != F.col("id")) & (F.col("superseder_id") != F.col("id")),
         "link": F.size(F.array_intersect(have, rels)) > 0,
         "unlink": live & F.coalesce("far", F.lit(False)) & (F.size(F.array_except(rels, have)) > 0),
     }
     undone = F.lit(False)
     for op, cond in ok.items():
         undone = F.when(F.col("op") == op, F.coalesce(cond, F.lit(False))).otherwise(undone)
-    judged = met.withColumn("undone", undone)
+    judged = Scratch(rows.sparkSession).keep(met.withColumn("undone", undone).select("seq", "op", "id", "before", "dst_id", "rels", "superseder_id", "undone"))
     done = judged.where("undone")
     back = done.where("op IN ('forget', 'edit')").select("before.*").select(*rows.columns)
     touched = done.where("op IN ('remember', 'forget', 'edit')").select("id")
-    marks = done.where("op IN ('supersede', 'restore')").select("id", F.when(F.col("op") == "restore", F.col("superseder_id")).otherwise("").alias("mark"))
-    kept = rows.join(touched, "id", "left_anti").join(marks, "id", "left")
-    changed = {"superseded_by": F.coalesce("mark", "superseded_by")}
-    if "superseded_at" in rows.columns:
-        changed["superseded_at"] = F.when(F.col("mark") == "", 0.0).when(F.col("mark").isNotNull(), now).otherwise(F.col("superseded_at"))
-    kept = kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in rows.columns])
+    kept = rows.join(touched, "id", "left_anti").select(*rows.columns).unionByName(back)
     links = done.select("op", F.col("id").alias("src"), F.col("dst_id").alias("dst"), F.explode_outer("rels").alias("rel"))
     fewer = edges.join(links.where("op = 'link'").select("src", "dst", "rel"), ["src", "dst", "rel"], "left_anti").select("src", "dst", "rel")
     more = fewer.union(links.where("op = 'unlink' AND rel IS NOT NULL").select("src", "dst", "rel")).distinct()
-    return kept.unionByName(back), more, judged.select("seq", "undone")
+    kept, more = lifecycle.restore(kept, more, done.where("op = 'supersede'").select("id"))
+    kept, more = lifecycle.supersede(kept, more, done.where("op = 'restore'").select(F.col("id").alias("old"), F.col("superseder_id").alias("new")), now)
+    return kept.select(*rows.columns), more, judged.select("seq", "op", "id", "undone")
 
 
 def metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:

@@ -20,7 +20,7 @@ DECAY_EVERY, REFLECT_EVERY, PURGE_EVERY, TRASH_DAYS = 86_400, 7 * 86_400, 86_400
 def decay_scores(rows: DataFrame, now: float, rate: float = 0.1, frequency: float = 0.0) -> DataFrame:
     """Rows that haven't expired, with score."""
     score = S.decay(F.col("importance"), F.col("last_accessed"), F.col("access_count"), now, rate, frequency)
-    return rows.where(R.eligible(now, superseded=True)).withColumn("score", score)
+    return rows.where(R.live(now, superseded=True)).withColumn("score", score)
 
 
 def prunable(rows: DataFrame, now: float, least: float = 0.05, protect: tuple[str, ...] = ("procedural",)) -> DataFrame:

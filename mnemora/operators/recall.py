@@ -162,29 +162,36 @@ def bm25(pool: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     return pool.select("qid", "id").join(raw, ["qid", "id"], "left").select("qid", "id", F.round(lex, 12).alias("lex"), F.coalesce(top > 0, F.lit(False)).alias("matched"))
 
 
-def eligible(
-    now: float,
-    superseded: bool = False,
-    expired: bool = False,
-    min_trust: str | None = None,
-    valid_at: float | None = None,
-    tag: str | None = None,
-) -> Column:
+def live(now: float, superseded: bool = False, expired: bool = False, min_trust: str | None = None, tag: str | None = None) -> Column:
+    """What lists, pins, conflicts and upkeep see: rows that are neither superseded nor
+    expired, whether or not they are true at present."""
     out = F.lit(True)
     if tag is not None:
         out = out & F.array_contains("tags", tag)
-    if not superseded and valid_at is None:
+    if not superseded:
         out = out & (F.col("superseded_by") == "")
     if not expired:
         out = out & ((F.col("expires_at") == 0) | (F.col("expires_at") > now))
     if min_trust is not None:
         S.check_choice(min_trust, S.TRUST, "min_trust")
         out = out & (S.trust_rank(F.col("trust")) <= S.TRUST.index(min_trust))
-    if valid_at is not None:
-        out = out & S.is_valid_at(F.col("valid_from"), F.col("valid_until"), F.lit(valid_at))
     return out
 
 
+def eligible(
+    now: float,
+    superseded: bool = False,
+    expired: bool = False,
+    min_trust: str | None = None,
+    valid_at: float | None = None,
+    tag: str | None = None,
+) -> Column:
+    """What a recall returns: live rows that are true at ``valid_at``, or else now. What
+    was true at a moment may have been superseded since, so there that is no bar."""
+    fine = live(now, superseded or valid_at is not None, expired, min_trust, tag)
+    return fine & S.is_valid_at(F.col("valid_from"), F.col("valid_until"), F.lit(now if valid_at is None else valid_at))
+
+
 def signals(pool: DataFrame, memories: DataFrame, queries: DataFrame, now: float, w: Weights) -> DataFrame:
     """The pool with its memories' columns and lex, matched, rec. Rows may be dropped
     afterwards: lex and matched are the whole pool's."""
@@ -416,7 +423,7 @@ def prepend_pinned(hits: DataFrame, memories: DataFrame, now: float, min_trust:
     Pinned rows score as the best hit (1 without hits, for queries in ``hits`` only) and
     move rather than repeat. Ranks count anew.
     """
-    pinned = memories.where(F.col("pinned") & eligible(now, min_trust=min_trust)).select("id", "created_at")
+    pinned = memories.where(F.col("pinned") & live(now, min_trust=min_trust)).select("id", "created_at")
     best = hits.groupBy("qid").agg(F.max("score").alias("score"))
     # Every query gets every pinned row: the result itself is this product.
     front = best.crossJoin(pinned)

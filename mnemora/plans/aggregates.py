@@ -28,7 +28,7 @@ def agg_count(t: Tables):
 def agg_stats(t: Tables):
     kinds = [F.count_if(F.col("type") == k).alias(k) for k in ("semantic", "episodic", "procedural", "feedback")]
     gone = F.col("superseded_by") != ""
-    return t.m.where(R.eligible(NOW, superseded=True)).agg(F.count("*").alias("total"), F.count_if(~gone).alias("active"), F.count_if(gone).alias("superseded"), *kinds)
+    return t.m.where(R.live(NOW, superseded=True)).agg(F.count("*").alias("total"), F.count_if(~gone).alias("active"), F.count_if(gone).alias("superseded"), *kinds)
 
 
 @query("agg_list_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM m WHERE superseded_by = '') GROUP BY tag")
@@ -38,14 +38,14 @@ def agg_list_tags(t: Tables):
 
 @query("agg_top_tags", f"SELECT tag, count(*) AS n FROM (SELECT unnest(tags) AS tag FROM m WHERE {ACTIVE}) GROUP BY tag ORDER BY n DESC, tag LIMIT 15")
 def agg_top_tags(t: Tables):
-    tags = t.m.where(R.eligible(NOW)).select(F.explode("tags").alias("tag"))
+    tags = t.m.where(R.live(NOW)).select(F.explode("tags").alias("tag"))
     return tags.groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag").limit(15)
 
 
 @query("agg_decay_histogram", f"SELECT least(4, floor({DECAY} * 5))::INT AS band, count(*) AS n FROM m WHERE {ACTIVE} GROUP BY band")
 def agg_decay_histogram(t: Tables):
     band = F.least(F.lit(4), F.floor(decay() * 5)).cast("int").alias("band")
-    return t.m.where(R.eligible(NOW)).groupBy(band).agg(F.count("*").alias("n"))
+    return t.m.where(R.live(NOW)).groupBy(band).agg(F.count("*").alias("n"))
 
 
 @query(
@@ -58,7 +58,7 @@ def agg_decay_histogram(t: Tables):
 def agg_health(t: Tables):
     links = t.e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n"))
     total = F.coalesce(F.sum("n"), F.lit(0))
-    return t.m.where(R.eligible(NOW)).join(links, "id", "left").agg(
+    return t.m.where(R.live(NOW)).join(links, "id", "left").agg(
         F.count_if((decay() < 0.05) & (F.col("type") != "procedural")).alias("at_risk"),
         F.count_if(F.col("access_count") == 0).alias("never_recalled"),
         F.count_if(F.col("last_accessed") < NOW - 30 * S.DAY).alias("stale"),
@@ -71,7 +71,7 @@ def agg_health(t: Tables):
 
 @query("agg_top_recalled", f"SELECT id, access_count FROM m WHERE {ACTIVE} AND access_count > 0 ORDER BY access_count DESC, id LIMIT 5")
 def agg_top_recalled(t: Tables):
-    return t.m.where(R.eligible(NOW) & (F.col("access_count") > 0)).orderBy(F.desc("access_count"), "id").limit(5).select("id", "access_count")
+    return t.m.where(R.live(NOW) & (F.col("access_count") > 0)).orderBy(F.desc("access_count"), "id").limit(5).select("id", "access_count")
 
 
 @query("agg_worst_trust", f"SELECT source, {TRUSTS}[max({RANK.format('trust')}) + 1] AS trust FROM m GROUP BY source")

@@ -89,6 +89,10 @@ def strings(spark: SparkSession, *rows) -> DataFrame:
 
 LIVE = "(m.expires_at = 0 OR m.expires_at > 1700000000)"
 ACTIVE = f"m.superseded_by = '' AND {LIVE}"
+VALID_NOW = "(m.valid_from = 0 OR m.valid_from <= 1700000000) AND (m.valid_until = 0 OR 1700000000 < m.valid_until)"
+#: Rows that a recall may return, of all and of those that aren't superseded.
+HELD = f"{LIVE} AND {VALID_NOW}"
+CURRENT = f"{ACTIVE} AND {VALID_NOW}"
 RANK = "CASE {0} WHEN 'reported' THEN 1 WHEN 'untrusted' THEN 2 ELSE 0 END"
 TRUSTS = "['trusted','reported','untrusted']"
 NEGATIVE = "('not','never','no','dont','doesnt','wont','shouldnt','cant','without','avoid','neither','nor','nothing','nobody','nowhere','none')"
@@ -135,6 +139,7 @@ bm AS (
 SIGNALS = """,
 si AS (
   SELECT pool.qid, pool.id, pool_pos, cosine, lex, matched, importance, polarity, expires_at, pinned, trust, type, text, vec_id,
+    valid_from, valid_until,
     exp(-0.1::DOUBLE * greatest(0, (1700000000 - created_at) / 86400::DOUBLE)) AS rec
   FROM pool JOIN m ON m.id = pool.id JOIN bm ON bm.qid = pool.qid AND bm.id = pool.id WHERE superseded_by = '')"""
 

@@ -49,7 +49,7 @@ def memories(spark: SparkSession, d: str, n: int, e: int) -> DataFrame:
         name_of(i).alias("id"),
         F.trim("text").alias("text"),
         _pick(TYPES, i % 4).alias("type"),
-        F.concat(F.array("lang", "source"), some(i % 3 == 0, "hot"), some(i % 50 == 0, "level:1")).alias("tags"),
+        F.when(i % 31 == 0, F.array().cast("array<string>")).otherwise(F.concat(F.array("lang", "source"), some(i % 3 == 0, "hot"), some(i % 50 == 0, "level:1"))).alias("tags"),
         (((i * 37) % 101).cast("double") / 100.0).alias("importance"),
         (F.lit(NOW) - (i % 120) * 86400).alias("created_at"),
         (F.lit(NOW) - (i % 90) * 43200).alias("last_accessed"),
@@ -60,8 +60,8 @@ def memories(spark: SparkSession, d: str, n: int, e: int) -> DataFrame:
         F.when(i % 23 == 0, name_of((i + 1) % n)).otherwise("").alias("superseded_by"),
         expires.alias("expires_at"),
         _pick(S.TRUST, i % 3).alias("trust"),
-        F.when(i % 5 == 0, 1690000000.0).otherwise(0.0).alias("valid_from"),
-        F.when(i % 10 == 0, 1699000000.0).otherwise(0.0).alias("valid_until"),
+        F.when(i % 37 == 0, 1710000000.0).when(i % 5 == 0, 1690000000.0).otherwise(0.0).alias("valid_from"),
+        F.when((i % 10 == 0) & (i % 37 != 0), 1699000000.0).otherwise(0.0).alias("valid_until"),
         (i % e).alias("vec_id"),
         i.alias("i"),
     )
@@ -118,16 +118,16 @@ v AS (SELECT vec_id, embedding::DOUBLE[] AS x, label FROM embeddings),
 m AS (
   SELECT 'm' || lpad(doc_id::VARCHAR, 8, '0') AS id, trim(text) AS text,
     ['semantic','episodic','procedural','feedback'][doc_id % 4 + 1] AS type,
-    list_concat(list_concat([lang, source], CASE WHEN doc_id % 3 = 0 THEN ['hot'] ELSE []::VARCHAR[] END),
-      CASE WHEN doc_id % 50 = 0 THEN ['level:1'] ELSE []::VARCHAR[] END) AS tags,
+    CASE WHEN doc_id % 31 = 0 THEN []::VARCHAR[] ELSE list_concat(list_concat([lang, source], CASE WHEN doc_id % 3 = 0 THEN ['hot'] ELSE []::VARCHAR[] END),
+      CASE WHEN doc_id % 50 = 0 THEN ['level:1'] ELSE []::VARCHAR[] END) END AS tags,
     ((doc_id * 37) % 101)::DOUBLE / 100::DOUBLE AS importance,
     1700000000::DOUBLE - (doc_id % 120) * 86400 AS created_at, 1700000000::DOUBLE - (doc_id % 90) * 43200 AS last_accessed,
     doc_id % 17 AS access_count, source, (doc_id % 3 - 1)::INT AS polarity, doc_id % 41 = 0 AS pinned,
     CASE WHEN doc_id % 23 = 0 THEN 'm' || lpad(((doc_id + 1) % n)::VARCHAR, 8, '0') ELSE '' END AS superseded_by,
     CASE WHEN doc_id % 19 = 0 THEN 1699990000::DOUBLE WHEN doc_id % 29 = 0 THEN 1800000000::DOUBLE ELSE 0::DOUBLE END AS expires_at,
     ['trusted','reported','untrusted'][doc_id % 3 + 1] AS trust,
-    CASE WHEN doc_id % 5 = 0 THEN 1690000000::DOUBLE ELSE 0::DOUBLE END AS valid_from,
-    CASE WHEN doc_id % 10 = 0 THEN 1699000000::DOUBLE ELSE 0::DOUBLE END AS valid_until,
+    CASE WHEN doc_id % 37 = 0 THEN 1710000000::DOUBLE WHEN doc_id % 5 = 0 THEN 1690000000::DOUBLE ELSE 0::DOUBLE END AS valid_from,
+    CASE WHEN doc_id % 10 = 0 AND doc_id % 37 <> 0 THEN 1699000000::DOUBLE ELSE 0::DOUBLE END AS valid_until,
     doc_id % e AS vec_id, doc_id AS i,
     substr(sha256(trim(regexp_replace(lower(trim(text)), '\\s+', ' ', 'g'))), 1, 32) AS content_hash
   FROM documents, nn, ee),

@@ -9,19 +9,20 @@ from ..functions import scalars as S
 from ..operators import lifecycle as Y
 from ..operators import log as L
 from ..operators import recall as R
+from ..operators import touches as D
 from .aggregates import RANKS
 from .base import (
-    ACTIVE, HITS, LEXICAL, LIVE, ORACLES, SIGNALS, WEIGHTED, Tables, cos, hits, hybrid, pool_sql, query, r6, ranked_sql, semantic, semantic_sql, tok,
+    ACTIVE, CURRENT, HELD, HITS, LEXICAL, LIVE, ORACLES, SIGNALS, WEIGHTED, Tables, cos, hits, hybrid, pool_sql, query, r6, ranked_sql, semantic, semantic_sql, tok,
 )
-from .fixture import DUCK, NOW
+from .fixture import DUCK, NOW, name_of
 from .scalar import phrases_sql
 
 HYBRID = pool_sql() + LEXICAL + SIGNALS + WEIGHTED
-SCORED = f", sc AS (SELECT qid, id, pool_pos, base AS score FROM sw m WHERE {LIVE})"
+SCORED = f", sc AS (SELECT qid, id, pool_pos, base AS score FROM sw m WHERE {HELD})"
 VALID_THEN = "(valid_from = 0 OR valid_from <= 1699500000) AND (valid_until = 0 OR 1699500000 < valid_until)"
 
 
-@query("recall_semantic", pool_sql() + semantic_sql(ACTIVE) + ranked_sql() + HITS)
+@query("recall_semantic", pool_sql() + semantic_sql(CURRENT) + ranked_sql() + HITS)
 def recall_semantic(t: Tables):
     return hits(semantic(t))
 
@@ -33,7 +34,7 @@ def topk_semantic(t: Tables):
     return hits(R.top(rows, 3))
 
 
-@query("topk_overfetch", pool_sql(12) + semantic_sql(f"{ACTIVE} AND trust = 'trusted'") + ranked_sql(3) + HITS)
+@query("topk_overfetch", pool_sql(12) + semantic_sql(f"{CURRENT} AND trust = 'trusted'") + ranked_sql(3) + HITS)
 def topk_overfetch(t: Tables):
     """k = 3 of a pool of four times as many, or of all rows if there are fewer."""
     return hits(semantic(t, k=3, n=max(3, min(3 * 4, t.sizes[0])), min_trust="trusted"))
@@ -44,12 +45,12 @@ def recall_as_of(t: Tables):
     return hits(semantic(t, valid_at=1699500000.0))
 
 
-@query("recall_min_trust", pool_sql() + semantic_sql(f"{ACTIVE} AND trust = 'trusted'") + ranked_sql() + HITS)
+@query("recall_min_trust", pool_sql() + semantic_sql(f"{CURRENT} AND trust = 'trusted'") + ranked_sql() + HITS)
 def recall_min_trust(t: Tables):
     return hits(semantic(t, min_trust="trusted"))
 
 
-@query("recall_filtered", pool_sql(20, "type = 'semantic' AND importance >= 0.2::DOUBLE") + semantic_sql(f"{ACTIVE} AND list_contains(tags, 'hot')") + ranked_sql() + HITS)
+@query("recall_filtered", pool_sql(20, "type = 'semantic' AND importance >= 0.2::DOUBLE") + semantic_sql(f"{CURRENT} AND list_contains(tags, 'hot')") + ranked_sql() + HITS)
 def recall_filtered(t: Tables):
     return hits(semantic(t, "type = 'semantic' AND importance >= 0.2D", tag="hot"))
 
@@ -83,7 +84,7 @@ RRF_SCORE = """0.55::DOUBLE / (60 + rc) + 0.2::DOUBLE / (60 + rl) + 0.15::DOUBLE
     + 0.1::DOUBLE / (60 + ri) + 0.05::DOUBLE * polarity / 61"""
 
 
-@query("recall_hybrid_rrf", RRF + f", sc AS (SELECT qid, id, pool_pos, {RRF_SCORE} AS score FROM rk m WHERE {LIVE})" + ranked_sql() + HITS)
+@query("recall_hybrid_rrf", RRF + f", sc AS (SELECT qid, id, pool_pos, {RRF_SCORE} AS score FROM rk m WHERE {HELD})" + ranked_sql() + HITS)
 def recall_hybrid_rrf(t: Tables):
     return hits(R.top(hybrid(t, "rrf").where(R.eligible(NOW)), 5))
 
@@ -104,7 +105,7 @@ def explain_projection(t: Tables):
 @query(
     "recall_explain",
     RRF
-    + f""", sc AS (SELECT *, {RRF_SCORE} AS score FROM rk m WHERE {LIVE})"""
+    + f""", sc AS (SELECT *, {RRF_SCORE} AS score FROM rk m WHERE {HELD})"""
     + ranked_sql(3)
     + f" SELECT qid, id, {BREAKDOWN}, rc, rl, rr, ri, round(score, 6) AS rrf, rank FROM best",
 )
@@ -152,7 +153,7 @@ sp AS (SELECT qid, id, CASE WHEN hi - lo > 1e-12 THEN round((act - lo) / (hi - l
     + spread_sql("sw", "base")
     + f""",
 sc AS (SELECT m.qid, m.id, pool_pos, base + 0.3::DOUBLE * coalesce(spread, 0) AS score
-  FROM sw m LEFT JOIN sp ON sp.qid = m.qid AND sp.id = m.id WHERE {LIVE})"""
+  FROM sw m LEFT JOIN sp ON sp.qid = m.qid AND sp.id = m.id WHERE {HELD})"""
     + ranked_sql()
     + HITS,
 )
@@ -168,7 +169,7 @@ def recall_graph_fusion(t: Tables):
 gr AS (SELECT m.*, coalesce(spread, 0) AS spread, max(coalesce(spread, 0)) OVER (PARTITION BY m.qid) > 0 AS counts,
   row_number() OVER (PARTITION BY m.qid ORDER BY coalesce(spread, 0) DESC, pool_pos) - 1 AS rg
   FROM rk m LEFT JOIN sp ON sp.qid = m.qid AND sp.id = m.id),
-sc AS (SELECT qid, id, pool_pos, {RRF_SCORE} + CASE WHEN counts THEN 0.3::DOUBLE / (60 + rg) ELSE 0 END AS score FROM gr m WHERE {LIVE})"""
+sc AS (SELECT qid, id, pool_pos, {RRF_SCORE} + CASE WHEN counts THEN 0.3::DOUBLE / (60 + rg) ELSE 0 END AS score FROM gr m WHERE {HELD})"""
     + ranked_sql()
     + HITS,
 )
@@ -184,11 +185,11 @@ x0 AS (SELECT f.qid, dst AS id, min(rank) AS pos FROM {front} f
   JOIN m ON m.id = dst AND superseded_by = '' WHERE NOT EXISTS (SELECT 1 FROM {seen} z WHERE z.qid = f.qid AND z.id = dst) GROUP BY ALL),
 x1 AS (SELECT * FROM (
     SELECT qid, x0.id, {score}::DOUBLE AS score, row_number() OVER (PARTITION BY qid ORDER BY pos, x0.id) AS n
-    FROM x0 JOIN m ON m.id = x0.id WHERE {LIVE})
+    FROM x0 JOIN m ON m.id = x0.id WHERE {HELD})
   WHERE n <= {cap})"""
 
 
-SEMANTIC = pool_sql() + semantic_sql(ACTIVE)
+SEMANTIC = pool_sql() + semantic_sql(CURRENT)
 
 
 @query("recall_expand_append", SEMANTIC + ranked_sql() + expansion_sql("best", "best", 0.7) + " SELECT qid, id, score, 1 AS hop, n FROM x1")
@@ -255,7 +256,35 @@ def recall_expand_rerank(t: Tables):
     FROM m LEFT JOIN (SELECT id, count(*) AS n FROM best GROUP BY id) h ON h.id = m.id""",
 )
 def recall_touch(t: Tables):
-    return Y.touch(t.m, semantic(t).select("id"), NOW).select("id", "access_count", "last_accessed")
+    """A recall's hits as a delta, merged with the rows on reading."""
+    return D.merged(t.m, D.delta(semantic(t), NOW, 1)).select("id", "access_count", "last_accessed")
+
+
+@query(
+    "touch_delta",
+    SEMANTIC + ranked_sql() + " SELECT id, count(*) AS n, 1700000000::DOUBLE AS at, 7::BIGINT AS seq FROM best GROUP BY id",
+)
+def touch_delta(t: Tables):
+    """What a recall writes: a row for each memory it hit."""
+    return D.delta(semantic(t), NOW, 7)
+
+
+@query(
+    "touch_batches",
+    """,
+    tb AS (SELECT 'm' || lpad(((event_id * 13) % n)::VARCHAR, 8, '0') AS id, event_id // 64 AS seq FROM events, nn),
+    ts AS (SELECT id, count(*) AS n, 1700000000 - max_by((seq * 7919) % 1000, seq) AS at FROM tb GROUP BY id)
+    SELECT m.id, access_count + coalesce(n, 0) AS access_count, coalesce(at, last_accessed)::DOUBLE AS last_accessed FROM m LEFT JOIN ts USING (id)""",
+)
+def touch_batches(t: Tables):
+    """A batch for every 64 events, whose times aren't in order: the first half is folded
+    into the rows, of the rest some are merged with each other, and reading meets them all."""
+    events = t.read("events").select(name_of((F.col("event_id") * 13) % t.sizes[0]).alias("id"), F.floor(F.col("event_id") / 64).alias("seq"))
+    deltas = events.groupBy("id", "seq").agg(F.count("*").alias("n")).select("id", "n", (NOW - (F.col("seq") * 7919) % 1000).cast("double").alias("at"), "seq")
+    last = events.agg(F.max("seq")).first()[0]
+    rows, left = D.folded(t.m, deltas, last // 2)
+    some = F.col("seq") % 2 == 0
+    return D.merged(rows, D.summed(left.where(some)).unionByName(left.where(~some))).select("id", "access_count", "last_accessed")
 
 
 # --- lexical reach -----------------------------------------------------------------
@@ -346,13 +375,13 @@ def _semantic_pool(t: Tables, n: int) -> DataFrame:
     return _with_vectors(rows.withColumn("score", F.col("cosine") + 0.05 * F.col("polarity")), t)
 
 
-@query("mmr_select", pool_sql(30) + semantic_sql(ACTIVE) + greedy_sql(3, 0.5, 0.6))
+@query("mmr_select", pool_sql(30) + semantic_sql(CURRENT) + greedy_sql(3, 0.5, 0.6))
 def mmr_select(t: Tables):
     """Both at once: near copies are out, and what is left is spread."""
     return _selected(R.diversify(_semantic_pool(t, 30), 3, lam=0.5, dedup=0.6))
 
 
-@query("dedup_threshold", pool_sql(30) + semantic_sql(ACTIVE) + greedy_sql(4, None, 0.2))
+@query("dedup_threshold", pool_sql(30) + semantic_sql(CURRENT) + greedy_sql(4, None, 0.2))
 def dedup_threshold(t: Tables):
     return _selected(R.diversify(_semantic_pool(t, 30), 4, dedup=0.2))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import archive as A
 from ..operators import recall as R
-from .base import ACTIVE, LIVE, Tables, cos, joined, pool_sql, query, r6, strings
+from .base import ACTIVE, CURRENT, LIVE, Tables, cos, joined, pool_sql, query, r6, strings
 from .fixture import NOW
 
 
@@ -43,7 +43,7 @@ def prefix_resolve(t: Tables):
 
 @query("scan_recent_keyset", f"SELECT id, created_at FROM m WHERE {ACTIVE} AND created_at < 1699500000 ORDER BY created_at DESC, id LIMIT 50")
 def scan_recent_keyset(t: Tables):
-    return t.m.where(R.eligible(NOW) & (F.col("created_at") < 1699500000.0)).orderBy(F.desc("created_at"), "id").limit(50).select("id", "created_at")
+    return t.m.where(R.live(NOW) & (F.col("created_at") < 1699500000.0)).orderBy(F.desc("created_at"), "id").limit(50).select("id", "created_at")
 
 
 @query(
@@ -53,7 +53,7 @@ def scan_recent_keyset(t: Tables):
     ORDER BY importance DESC, id LIMIT 20""",
 )
 def list_filtered(t: Tables):
-    rows = t.m.where((F.col("type") == "semantic") & (F.col("created_at") >= 1690000000.0) & R.eligible(NOW, tag="hot"))
+    rows = t.m.where((F.col("type") == "semantic") & (F.col("created_at") >= 1690000000.0) & R.live(NOW, tag="hot"))
     return rows.orderBy(F.desc("importance"), "id").limit(20).select("id", "importance")
 
 
@@ -113,7 +113,7 @@ for name, cond, sql in (
     (
         "filter_eligible",
         lambda: R.eligible(NOW, min_trust="reported", tag="hot"),
-        f"list_contains(tags, 'hot') AND {ACTIVE} AND trust <> 'untrusted'",
+        f"list_contains(tags, 'hot') AND {CURRENT} AND trust <> 'untrusted'",
     ),
     ("filter_as_of", lambda: R.eligible(NOW, valid_at=1699500000.0), f"{LIVE} AND {VALID.format(1699500000)}"),
     (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import log as L
+from ..operators import trash as B
 from ..scratch import Scratch
 from ..sources import files
 from .base import Tables, query, r6
@@ -103,41 +104,80 @@ def versions(t: Tables):
     return L.versions(t.j)
 
 
+def _log(t: Tables):
+    """The journal with links inside every fourth edit, and unlinks of all relations."""
+    held = F.array(F.struct(F.concat(F.lit("u"), ((F.col("seq") * 3) % 40).cast("string")).alias("dst_id"), F.lit("refines").alias("rel")))
+    every = (F.col("op") == "unlink") & (F.col("seq") % 5 == 0)
+    return t.j.withColumn("links", F.when((F.col("op") == "edit") & (F.col("seq") % 4 == 0), held)).withColumn("rel", F.when(~every, F.col("rel")))
+
+
+LOG = """,
+lg AS (
+  SELECT seq, us, op, id, dst_id, CASE WHEN op = 'unlink' AND seq % 5 = 0 THEN NULL ELSE rel END AS rel, text,
+    CASE WHEN op = 'edit' AND seq % 4 = 0 THEN 'u' || ((seq * 3) % 40) END AS held FROM jl)"""
+
+
+def replay_sql(cut: str, undo: str = "FALSE") -> str:
+    """Rows and links that ``cut(t, seq, op, ...)`` of lg leaves at each t; undone entries as ``undo`` says."""
+    return LOG + f""",
+cut AS ({cut}),
+b AS (SELECT id, t, max_by(op = 'forget' OR ({undo}), seq) AS gone, max(seq) AS base, max_by(text, seq) AS text
+  FROM cut WHERE op IN ('remember', 'edit', 'forget') OR ({undo}) GROUP BY id, t),
+ev AS (
+  SELECT c.id, c.t, c.dst_id, c.rel, c.op = 'link' AS on_, c.seq FROM (SELECT * FROM cut WHERE op IN ('link', 'unlink') AND NOT ({undo})) c JOIN b ON b.id = c.id AND b.t = c.t AND c.seq > base
+  UNION ALL SELECT b.id, b.t, held, 'refines', true, base FROM b JOIN cut c ON c.id = b.id AND c.t = b.t AND c.seq = base WHERE held IS NOT NULL),
+lo AS (SELECT id, t, dst_id, rel, max_by(on_, seq) AS on_, max(seq) AS seq FROM ev WHERE rel IS NOT NULL GROUP BY ALL),
+lf AS (SELECT id, t, dst_id, max(seq) AS off FROM ev WHERE rel IS NULL GROUP BY ALL),
+ll AS (SELECT lo.id, lo.t, count(*) AS links, string_agg(dst_id || ' ' || rel, ',' ORDER BY dst_id, rel) AS listed
+  FROM lo LEFT JOIN lf USING (id, t, dst_id) WHERE on_ AND (off IS NULL OR seq > off) GROUP BY ALL)
+SELECT b.id, b.t::DOUBLE AS us, text, coalesce(links, 0) AS links, coalesce(listed, '') AS listed FROM b LEFT JOIN ll ON ll.id = b.id AND ll.t = b.t WHERE NOT gone"""
+
+
 def state_sql(nuked: str = "", undo: str = "FALSE") -> str:
-    """Replay up to THEN of jl, after the last nuke; undone entries as ``undo`` says."""
-    return f""",
-cut AS (SELECT * FROM jl WHERE us <= {THEN} {nuked}),
-b AS (SELECT id, max_by(op = 'forget' OR ({undo}), seq) AS gone, max(seq) AS base, max_by(text, seq) AS text
-  FROM cut WHERE op IN ('remember', 'edit', 'forget') OR ({undo}) GROUP BY id)
-SELECT b.id, text, (SELECT count(*) FROM (
-    SELECT dst_id, rel, max_by(c.op, c.seq) AS last FROM cut c
-    WHERE c.id = b.id AND c.op IN ('link', 'unlink') AND NOT ({undo.replace("seq", "c.seq").replace("op ", "c.op ")}) AND c.seq > b.base GROUP BY ALL) WHERE last = 'link') AS links
-FROM b WHERE NOT gone"""
+    """Replay up to THEN, after the last nuke."""
+    return replay_sql(f"SELECT *, {THEN} AS t FROM lg WHERE us <= {THEN} {nuked}", undo).replace("b.t::DOUBLE AS us, ", "")
+
+
+def _listed(rows, *more: str):
+    return rows.select("id", *more, "text", "links", F.coalesce(F.array_join(F.transform("link_list", lambda x: F.concat_ws(" ", x["dst_id"], x["rel"])), ","), F.lit("")).alias("listed"))
 
 
 @query("state_at", state_sql())
 def state_at(t: Tables):
-    return L.state_at(t.j, float(THEN)).select("id", "text", "links")
+    return _listed(L.state_at(_log(t), float(THEN)))
 
 
 @query("state_at_nuke", state_sql("AND seq > (SELECT max(seq) FROM jl WHERE seq % 500 = 0 AND us <= 1705500000000000)"))
 def state_at_nuke(t: Tables):
     """With a nuke at every five hundredth entry."""
     op = F.when(F.col("seq") % 500 == 0, "nuke").otherwise(F.col("op"))
-    return L.state_at(t.j.withColumn("op", op), float(THEN)).select("id", "text", "links")
+    return _listed(L.state_at(_log(t).withColumn("op", op), float(THEN)))
 
 
 @query("state_at_undo", state_sql(undo="op = 'unlink' AND seq % 3 = 0"))
 def state_at_undo(t: Tables):
     """Every third unlink stands for the undo of a remember, which takes the row away."""
     hit = (F.col("op") == "unlink") & (F.col("seq") % 3 == 0)
-    journal = t.j.withColumn("of_op", F.when(hit, "remember")).withColumn("text", F.when(~hit, F.col("text")))
-    return L.state_at(journal.withColumn("op", F.when(hit, "undo").otherwise(F.col("op"))), float(THEN)).select("id", "text", "links")
+    journal = _log(t).withColumn("of_op", F.when(hit, "remember")).withColumn("text", F.when(~hit, F.col("text")))
+    return _listed(L.state_at(journal.withColumn("op", F.when(hit, "undo").otherwise(F.col("op"))), float(THEN)))
 
 
 @query("get_at", state_sql().replace("WHERE NOT gone", "WHERE NOT gone AND b.id = 'u7'"))
 def get_at(t: Tables):
-    return L.state_at(t.j.where("id = 'u7'"), float(THEN)).select("id", "text", "links")
+    return _listed(L.state_at(_log(t).where("id = 'u7'"), float(THEN)))
+
+
+@query(
+    "states_at",
+    replay_sql("""SELECT lg.*, t FROM (SELECT DISTINCT id, us + 3e9 AS t FROM jl WHERE seq % 3 = 0) ak JOIN lg ON lg.id = ak.id AND us <= t
+    WHERE op <> 'nuke' AND seq % 900 <> 0 AND seq > coalesce((SELECT max(seq) FROM jl n WHERE n.seq % 900 = 0 AND n.us <= t), -1)"""),
+)
+def states_at(t: Tables):
+    """What each third entry's row was like 50 minutes later, with a nuke at every nine
+    hundredth entry: thousands of moments in one pass."""
+    asked = t.j.where("seq % 3 = 0").select("id", (F.col("us") + 3e9).alias("us"))
+    op = F.when(F.col("seq") % 900 == 0, "nuke").otherwise(F.col("op"))
+    return _listed(L.states_at(_log(t).withColumn("op", op), asked), "us")
 
 
 @query(
@@ -182,13 +222,13 @@ def _entries(t: Tables):
     return m.select(
         F.col("i").alias("seq"), op.alias("op"), F.when((k == 1) & (F.col("i") % 16 == 1), F.concat(F.lit("gone"), "id")).otherwise(F.col("id")).alias("id"),
         before.alias("before"), F.when(k == 2, after).otherwise(row).alias("after"), F.when(k >= 5, to).otherwise(none).alias("dst_id"), rels.alias("rels"),
-        F.when(k == 4, F.when(F.col("i") % 16 == 4, F.col("id")).otherwise(F.lit("nobody"))).otherwise(none).alias("superseder_id"),
+        F.when(k == 4, F.when(F.col("i") % 16 == 4, name_of((F.col("i") + 1) % t.sizes[0])).otherwise(F.lit("nobody"))).otherwise(none).alias("superseder_id"),
     )
 
 
 VERDICTS = """,
 hv AS (SELECT src, dst, list(rel) AS have FROM ed GROUP BY ALL),
-vd AS (SELECT i AS seq, m.id, text, CASE i % 8 WHEN 0 THEN true WHEN 1 THEN i % 16 = 1 WHEN 2 THEN i % 16 < 8 WHEN 3 THEN superseded_by <> '' WHEN 4 THEN i % 16 = 4
+vd AS (SELECT i AS seq, m.id, text, superseded_by AS by_, pinned, 'm' || lpad(((i + 1) % n)::VARCHAR, 8, '0') AS next_, CASE i % 8 WHEN 0 THEN true WHEN 1 THEN i % 16 = 1 WHEN 2 THEN i % 16 < 8 WHEN 3 THEN superseded_by <> '' WHEN 4 THEN i % 16 = 4
     WHEN 5 THEN coalesce(list_has_any(have, ['refines', 'contradicts']), false)
     WHEN 6 THEN NOT coalesce(list_has_all(have, ['refines', 'contradicts']), false) ELSE false END AS undone
   FROM m CROSS JOIN nn LEFT JOIN hv ON src = m.id AND dst = 'm' || lpad(((i * 7 + 1) % n)::VARCHAR, 8, '0'))"""
@@ -196,28 +236,42 @@ vd AS (SELECT i AS seq, m.id, text, CASE i % 8 WHEN 0 THEN true WHEN 1 THEN i %
 
 @query("undo", VERDICTS + " SELECT seq, undone FROM vd")
 def undo(t: Tables):
-    return L.undo(_entries(t), t.m, t.e, NOW)[2]
+    return L.undo(_entries(t), t.m, t.e, NOW)[2].select("seq", "undone")
+
+
+@query("undo_trash", "SELECT memory_id, deleted_at, collection FROM tr WHERE NOT (collection IN ('', 'main') AND memory_id IN (SELECT id FROM jl WHERE op = 'forget' AND seq % 7 = 0) AND memory_id <> 'u3')")
+def undo_trash(t: Tables):
+    """Some forgets are undone, one can't be: the others' rows need their trash no more."""
+    before = F.struct("id", "text", F.lit("").alias("superseded_by"), F.lit(False).alias("pinned"))
+    none = F.lit(None).cast("string")
+    entries = t.j.where("op = 'forget' AND seq % 7 = 0").dropDuplicates(["id"]).select("seq", "op", "id", before.alias("before"), before.alias("after"), none.alias("dst_id"), F.array(none).alias("rels"), none.alias("superseder_id"))
+    rows = t.spark.createDataFrame([("u3", "here", "", False)], "id string, text string, superseded_by string, pinned boolean")
+    verdicts = L.undo(entries, rows, t.e, NOW)[2]
+    return B.unneeded(t.t, verdicts, "main").select("memory_id", "deleted_at", "collection")
 
 
 @query(
     "undo_rows",
     VERDICTS
     + """ SELECT m.id, CASE WHEN i % 8 = 2 AND undone THEN 'was ' || m.text ELSE m.text END AS text,
-      CASE WHEN i % 8 = 3 AND undone THEN '' WHEN i % 8 = 4 AND undone THEN m.id ELSE superseded_by END AS superseded_by
+      CASE WHEN i % 8 = 3 AND undone THEN '' WHEN i % 8 = 4 AND undone THEN next_ ELSE superseded_by END AS superseded_by,
+      m.pinned OR EXISTS (SELECT 1 FROM vd z WHERE z.undone AND z.seq % 8 = 4 AND z.pinned AND z.by_ <> z.next_ AND z.next_ = m.id) AS pinned
     FROM m JOIN vd ON seq = i WHERE i % 8 <> 0
-    UNION ALL SELECT m.id, 'was ' || m.text, superseded_by FROM m WHERE i % 16 = 1""",
+    UNION ALL SELECT m.id, 'was ' || m.text, superseded_by, pinned FROM m WHERE i % 16 = 1""",
 )
 def undo_rows(t: Tables):
     """The rows afterwards: forgotten ones are back beside those of the same text."""
-    return L.undo(_entries(t), t.m, t.e, NOW)[0].select("id", "text", "superseded_by")
+    return L.undo(_entries(t), t.m, t.e, NOW)[0].select("id", "text", "superseded_by", "pinned")
 
 
 @query(
     "undo_links",
     VERDICTS
-    + """ SELECT src, dst, rel FROM ed WHERE NOT EXISTS (SELECT 1 FROM vd WHERE undone AND seq % 8 = 5 AND vd.id = src AND rel IN ('refines', 'contradicts')
+    + """ SELECT src, dst, rel FROM ed WHERE NOT EXISTS (SELECT 1 FROM vd WHERE undone AND seq % 8 = 3 AND rel = 'supersedes' AND by_ = src AND id = dst)
+      AND NOT EXISTS (SELECT 1 FROM vd WHERE undone AND seq % 8 = 5 AND vd.id = src AND rel IN ('refines', 'contradicts')
         AND dst = 'm' || lpad(((seq * 7 + 1) % (SELECT n FROM nn))::VARCHAR, 8, '0'))
-    UNION SELECT id, 'm' || lpad(((seq * 7 + 1) % (SELECT n FROM nn))::VARCHAR, 8, '0'), r FROM vd, (VALUES ('refines'), ('contradicts')) x(r) WHERE undone AND seq % 8 = 6""",
+    UNION SELECT id, 'm' || lpad(((seq * 7 + 1) % (SELECT n FROM nn))::VARCHAR, 8, '0'), r FROM vd, (VALUES ('refines'), ('contradicts')) x(r) WHERE undone AND seq % 8 = 6
+    UNION SELECT next_, id, 'supersedes' FROM vd WHERE undone AND seq % 8 = 4 AND by_ <> next_""",
 )
 def undo_links(t: Tables):
     return L.undo(_entries(t), t.m, t.e, NOW)[1]

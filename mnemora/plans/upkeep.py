@@ -23,7 +23,7 @@ KIND = "CASE WHEN a.polarity * b.polarity = -1 THEN 'polarity' WHEN a.neg <> b.n
 def conflicts_sql(more: str = "") -> str:
     return FACTS + f""",
 cf AS (SELECT a.id AS a, b.id AS b, {cos("a.x", "b.x")} AS s, {KIND.format(more)}
-  FROM fa a JOIN fa b ON a.type = b.type AND a.id < b.id AND list_has_any(a.tags, b.tags)
+  FROM fa a JOIN fa b ON a.type = b.type AND a.id < b.id AND (len(a.tags) = 0 OR len(b.tags) = 0 OR list_has_any(a.tags, b.tags))
   WHERE a.superseded_by = '' AND b.superseded_by = '')
 SELECT a, b, round(s, 4) AS similarity, kind FROM cf WHERE s >= 0.8::DOUBLE"""
 
@@ -68,7 +68,7 @@ nb AS (SELECT * FROM (
 SELECT a.id AS a, b.id AS b, round(s, 4) AS similarity, {KIND.format("")}
 FROM nb JOIN fa a ON a.id = aid JOIN fa b ON b.id = bid
 WHERE aid <> bid AND s >= 0.8::DOUBLE AND b.superseded_by = '' AND (b.expires_at = 0 OR b.expires_at > 1700000000)
-  AND a.type = b.type AND list_has_any(a.tags, b.tags)""",
+  AND a.type = b.type AND (len(a.tags) = 0 OR len(b.tags) = 0 OR list_has_any(a.tags, b.tags))""",
 )
 def conflicts_for_one(t: Tables):
     """What every row clashes with among its nearest neighbours."""
@@ -91,7 +91,7 @@ def purge_expired(t: Tables):
 
 
 def _candidates(t: Tables, kind: str = "episodic") -> DataFrame:
-    return t.embedded((F.col("type") == kind) & R.eligible(NOW) & (S.level_of(F.col("tags")) < 1))
+    return t.embedded((F.col("type") == kind) & R.live(NOW) & (S.level_of(F.col("tags")) < 1))
 
 
 @query("reflect_candidates", f"SELECT id, vec_id FROM m WHERE type = 'episodic' AND {ACTIVE} AND NOT list_contains(tags, 'level:1')")
@@ -155,7 +155,7 @@ def summarizers(t: Tables):
 
 CONSOLIDATED = GIVEN + """,
 big AS (SELECT * FROM cl WHERE n > 1)
-SELECT m.id, CASE WHEN b.id IS NULL THEN m.superseded_by ELSE 'r' || leader END AS superseded_by, m.pinned AND b.id IS NULL AS pinned
+SELECT m.id, CASE WHEN b.id IS NULL THEN m.superseded_by ELSE 'r' || leader END AS superseded_by, m.pinned
 FROM m LEFT JOIN big b ON b.id = m.id
 UNION ALL SELECT 'r' || leader, '', bool_or(pinned) FROM big GROUP BY leader"""
 
@@ -168,7 +168,7 @@ def reflect_consolidate(t: Tables):
     return rows.select("id", "superseded_by", "pinned")
 
 
-@query("reflect_links", GIVEN + " SELECT src, dst, rel FROM ed UNION ALL SELECT 'r' || leader, id, 'derived_from' FROM cl WHERE n > 1")
+@query("reflect_links", GIVEN + " SELECT src, dst, rel FROM ed UNION ALL SELECT 'r' || leader, id, unnest(['derived_from', 'supersedes']) FROM cl WHERE n > 1")
 def reflect_links(t: Tables):
     clusters = _given(t).where("n > 1")
     return Y.consolidated(t.m.drop("i", "vec_id"), t.e, clusters, Y.reflections(clusters, t.m, consolidate=True), "soft", NOW)[1]
@@ -208,7 +208,7 @@ def remember_many(t: Tables):
     AND (b.expires_at = 0 OR b.expires_at > 1700000000) GROUP BY a.id HAVING min(b.id) < a.id""",
 )
 def join_hash_dedup(t: Tables):
-    first = t.m.where(R.eligible(NOW)).groupBy("content_hash").agg(F.min("id").alias("twin"))
+    first = t.m.where(R.live(NOW)).groupBy("content_hash").agg(F.min("id").alias("twin"))
     return t.m.join(first, "content_hash").where("twin < id").select("id", "twin")
 
 
@@ -228,7 +228,7 @@ def importance_fn(t: Tables):
     nb AS (SELECT * FROM (
       SELECT pos, fn.type AS type1, fn.tags AS tags1, fa.id, {cos("fn.x", "fa.x")} AS s,
         row_number() OVER (PARTITION BY pos ORDER BY {cos("fn.x", "fa.x")} DESC, fa.id) AS r FROM fn, fa) WHERE r <= 12),
-    cf AS (SELECT pos, m.id FROM nb JOIN m ON m.id = nb.id WHERE s >= 0.8::DOUBLE AND type1 = m.type AND list_has_any(tags1, m.tags) AND {ACTIVE}),
+    cf AS (SELECT pos, m.id FROM nb JOIN m ON m.id = nb.id WHERE s >= 0.8::DOUBLE AND type1 = m.type AND (len(tags1) = 0 OR len(m.tags) = 0 OR list_has_any(tags1, m.tags)) AND {ACTIVE}),
     rf AS (SELECT DISTINCT pos FROM cf)
     SELECT (SELECT count(*) FROM m) + (SELECT count(*) FROM it) - (SELECT count(*) FROM rf) AS stored, (SELECT count(*) FROM rf) AS refused, (SELECT count(*) FROM cf) AS clashes""",
 )
@@ -236,7 +236,7 @@ def remember(t: Tables):
     """Under the policy that refuses what clashes: counts of rows stored and refused."""
     items = _items(t)
     fresh = Y.build(items, NOW).join(items.select("pos", "vec_id"), "pos")
-    stored, refused, clashes = Y.remember(t.m, t.v, fresh, t.v.where("false"), NOW, "raise")
+    stored, refused, clashes, _ = Y.remember(t.m, t.v, fresh, t.v.where("false"), NOW, "raise")
     return stored.agg(F.count("*").alias("stored")).join(refused.agg(F.count("*").alias("refused")), F.lit(True)).join(clashes.agg(F.count("*").alias("clashes")), F.lit(True))
 
 
@@ -256,17 +256,48 @@ def unlink(t: Tables):
     return Y.unlink(t.e, t.e.where("rel = 'refines'").unionByName(every))
 
 
-EDITED = "CASE WHEN i % 7 = 0 THEN 'changed ' || i ELSE text END"
+def _changes(t: Tables) -> DataFrame:
+    """A change of seven rows in eight, some of them bad, and of a row that isn't there."""
+    k, i = F.col("i") % 8, F.col("i")
+    text = F.when(k == 0, F.concat(F.lit(" changed "), i.cast("string"))).when(k == 4, F.lit("  "))
+    tags = F.when(k == 1, F.array(F.lit("a"), F.lit("b"))).when(k == 2, F.array(F.lit("x,y")))
+    changes = t.m.where(k < 7).select(
+        "id", text.alias("new_text"), F.when(k == 0, 1.7).alias("new_importance"), F.when(k == 1, "feedback").alias("new_type"), tags.alias("new_tags"),
+        F.when(k == 3, 1699500000.0).alias("new_valid_from"), F.when(k == 3, True).alias("new_pinned"), (k == 5).alias("clear_source"),
+        F.when(k == 5, -1).alias("new_polarity"), F.when((k == 5) | (k == 6), "reported").alias("new_trust"), F.when(k == 5, 5.0).alias("new_expires_at"),
+    )
+    return changes.unionAll(changes.where("id = 'm00000000'").withColumn("id", F.lit("nobody")))
+
+
+EDITED = """,
+e1 AS (
+  SELECT m.*, CASE WHEN i % 8 = 2 THEN 'bad tags' WHEN i % 8 = 3 AND valid_until <> 0 THEN 'bad validity' WHEN i % 8 = 4 THEN 'bad text' END AS bad,
+    CASE WHEN i % 8 = 0 THEN 'changed ' || i ELSE text END AS text2 FROM m)"""
 
 
 @query(
     "edit",
-    f"""SELECT id, {EDITED} AS text, CASE WHEN i % 7 = 0 THEN 1::DOUBLE ELSE importance END AS importance,
-    substr(sha256(trim(regexp_replace(lower({EDITED}), '\\s+', ' ', 'g'))), 1, 32) AS content_hash FROM m""",
+    EDITED
+    + """ SELECT id, text2 AS text, CASE WHEN i % 8 = 0 THEN 1::DOUBLE ELSE importance END AS importance,
+    CASE WHEN i % 8 = 1 THEN 'feedback' ELSE type END AS type, CASE WHEN i % 8 = 1 THEN 'a,b' ELSE array_to_string(tags, ',') END AS tags,
+    CASE WHEN i % 8 = 3 AND bad IS NULL THEN 1699500000 ELSE valid_from END AS valid_from, pinned OR (i % 8 = 3 AND bad IS NULL) AS pinned,
+    CASE WHEN i % 8 <> 5 THEN source END AS source, CASE WHEN i % 8 = 5 THEN -1 ELSE polarity END AS polarity,
+    CASE WHEN i % 8 IN (5, 6) THEN 'reported' ELSE trust END AS trust, CASE WHEN i % 8 = 5 THEN 5 ELSE expires_at END AS expires_at,
+    substr(sha256(trim(regexp_replace(lower(text2), '\\s+', ' ', 'g'))), 1, 32) AS content_hash FROM e1""",
 )
 def edit(t: Tables):
-    changes = t.m.where("i % 7 = 0").select("id", F.concat(F.lit(" changed "), F.col("i").cast("string")).alias("new_text"), F.lit(1.7).alias("new_importance"))
-    return Y.edit(t.m, changes).select("id", "text", "importance", "content_hash")
+    columns = ["id", "text", "importance", "type", "tags", "valid_from", "pinned", "source", "polarity", "trust", "expires_at", "content_hash"]
+    return Y.edit(t.m, _changes(t))[0].withColumn("tags", joined("tags")).select(*columns)
+
+
+@query(
+    "edit_verdicts",
+    EDITED
+    + """ SELECT id, coalesce(bad, CASE WHEN i % 8 = 6 AND trust = 'reported' THEN 'same' ELSE 'changed' END) AS verdict FROM e1 WHERE i % 8 < 7
+    UNION ALL SELECT 'nobody', 'unknown'""",
+)
+def edit_verdicts(t: Tables):
+    return Y.edit(t.m, _changes(t))[1]
 
 
 @query("forget", "SELECT id FROM m WHERE i % 11 <> 0")
@@ -280,19 +311,73 @@ def nuke(t: Tables):
     return entry.join(rows.agg(F.count("*").alias("left")), F.lit(True))
 
 
+def _pairs(t: Tables) -> DataFrame:
+    """Chains of two, a second wish for their first rows, loops of three, loops with older
+    marks, and marks that stand already."""
+    to = lambda cond, by: t.m.where(cond).select(F.col("id").alias("old"), name_of(F.col("i") + by).alias("new"))
+    pairs = to("i % 50 = 1", 1).unionAll(to("i % 50 = 2", 3)).unionAll(to("i % 50 = 1", 7)).unionAll(to("i % 50 IN (20, 21)", 1)).unionAll(to("i % 50 = 22", -2))
+    return pairs.unionAll(to("i % 92 = 24", -1)).unionAll(to("i % 46 = 23", 1)).unionAll(to("i = 7", 0))
+
+
+PAIRS = """,
+pr AS (
+  SELECT i AS o, i + 1 AS w FROM m WHERE i % 50 = 1 UNION ALL SELECT i, i + 3 FROM m WHERE i % 50 = 2 UNION ALL SELECT i, i + 7 FROM m WHERE i % 50 = 1
+  UNION ALL SELECT i, i + 1 FROM m WHERE i % 50 IN (20, 21) UNION ALL SELECT i, i - 2 FROM m WHERE i % 50 = 22
+  UNION ALL SELECT i, i - 1 FROM m WHERE i % 92 = 24 UNION ALL SELECT i, i + 1 FROM m WHERE i % 46 = 23 UNION ALL SELECT i, i FROM m WHERE i = 7),
+w0 AS (SELECT o, min(w) AS w FROM pr, nn WHERE o <> w AND w < n GROUP BY o),
+w1 AS (SELECT o, w FROM w0 JOIN m ON i = o WHERE superseded_by <> 'm' || lpad(w::VARCHAR, 8, '0')),
+st AS (SELECT o AS i, w AS nxt FROM w1 UNION ALL SELECT i, substr(superseded_by, 2)::BIGINT FROM m WHERE superseded_by <> '' AND i NOT IN (SELECT o FROM w1)),
+wk AS (SELECT o AS s, w AS tip, 1 AS d FROM w1 UNION ALL SELECT s, nxt, d + 1 FROM wk JOIN st ON st.i = tip WHERE d < 60 AND tip <> s),
+ok AS (SELECT * FROM w1 WHERE o NOT IN (SELECT s FROM wk WHERE tip = s)),
+pn AS (SELECT w AS i FROM ok JOIN m ON i = o WHERE pinned UNION SELECT w FROM pn JOIN ok ON o = pn.i)"""
+
+
 @query(
     "supersede",
-    """SELECT a.id, CASE WHEN i % 50 = 1 AND i + 1 < n THEN 'm' || lpad((i + 1)::VARCHAR, 8, '0') ELSE superseded_by END AS superseded_by,
-    (pinned AND NOT (i % 50 = 1 AND i + 1 < n)) OR (i % 50 = 2 AND (i - 1) % 41 = 0) AS pinned FROM m a, nn""",
+    PAIRS
+    + """ SELECT m.id, CASE WHEN o IS NULL THEN superseded_by ELSE 'm' || lpad(w::VARCHAR, 8, '0') END AS superseded_by,
+    CASE WHEN o IS NULL THEN 0 ELSE 1700000000 END::DOUBLE AS superseded_at, pinned OR m.i IN (SELECT i FROM pn) AS pinned FROM m LEFT JOIN ok ON o = m.i""",
 )
 def supersede(t: Tables):
-    pairs = t.m.where("i % 50 = 1").select(F.col("id").alias("old"), name_of(F.col("i") + 1).alias("new"))
-    return Y.supersede(t.m, pairs, NOW).select("id", "superseded_by", "pinned")
+    return Y.supersede(t.m, t.e, _pairs(t), NOW)[0].select("id", "superseded_by", "superseded_at", "pinned")
+
 
+@query("supersede_links", PAIRS + " SELECT src, dst, rel FROM ed UNION SELECT 'm' || lpad(w::VARCHAR, 8, '0'), 'm' || lpad(o::VARCHAR, 8, '0'), 'supersedes' FROM ok")
+def supersede_links(t: Tables):
+    return Y.supersede(t.m, t.e, _pairs(t), NOW)[1]
 
-@query("restore", "SELECT id, CASE WHEN i % 46 = 0 THEN '' ELSE superseded_by END AS superseded_by FROM m")
+
+def _marked(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows, every fourth marked one pinned as its successor is; links from successors; and
+    whom to restore, twice, with rows that aren't marked."""
+    rows = t.m.withColumn("pinned", F.col("i") % 92 <= 1).withColumn("superseded_at", F.when(F.col("superseded_by") == "", 0.0).otherwise(NOW - 5))
+    links = t.m.where("superseded_by <> ''").select(F.col("superseded_by").alias("src"), F.col("id").alias("dst"), F.lit("supersedes").alias("rel"))
+    ids = t.m.where("i % 46 = 0 OR i % 46 = 9").select("id")
+    return rows, t.e.unionByName(links).distinct(), ids.unionAll(ids)
+
+
+RESTORED = ", rs AS (SELECT id, superseded_by AS by_, i % 92 <= 1 AS pin FROM m WHERE superseded_by <> '' AND (i % 46 = 0 OR i % 46 = 9))"
+
+
+@query(
+    "restore",
+    RESTORED
+    + """ SELECT id, CASE WHEN id IN (SELECT id FROM rs) THEN '' ELSE superseded_by END AS superseded_by,
+    CASE WHEN superseded_by = '' OR id IN (SELECT id FROM rs) THEN 0::DOUBLE ELSE 1699999995::DOUBLE END AS superseded_at,
+    i % 92 <= 1 AND id NOT IN (SELECT by_ FROM rs WHERE pin) AS pinned FROM m""",
+)
 def restore(t: Tables):
-    return Y.restore(t.m, t.m.where("i % 46 = 0")).select("id", "superseded_by")
+    return Y.restore(*_marked(t))[0].select("id", "superseded_by", "superseded_at", "pinned")
+
+
+@query(
+    "restore_links",
+    RESTORED
+    + """ SELECT * FROM (SELECT src, dst, rel FROM ed UNION SELECT superseded_by, id, 'supersedes' FROM m WHERE superseded_by <> '') e
+    WHERE NOT (rel = 'supersedes' AND EXISTS (SELECT 1 FROM rs WHERE rs.id = dst AND by_ = src))""",
+)
+def restore_links(t: Tables):
+    return Y.restore(*_marked(t))[1]
 
 
 # --- maintenance -----------------------------------------------------------------------------
@@ -398,4 +483,4 @@ def decay_frequency(t: Tables):
 
 @query("decay_bands", f"SELECT type, round(min({DECAY}), 6) AS low, round(max({DECAY}), 6) AS high FROM m WHERE {ACTIVE} GROUP BY type")
 def decay_bands(t: Tables):
-    return t.m.where(R.eligible(NOW)).groupBy("type").agg(r6(F.min(decay())).alias("low"), r6(F.max(decay())).alias("high"))
+    return t.m.where(R.live(NOW)).groupBy("type").agg(r6(F.min(decay())).alias("low"), r6(F.max(decay())).alias("high"))

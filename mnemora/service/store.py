@@ -2,7 +2,10 @@
 
 A change writes the tables that it changes to a new folder and then a manifest that
 names the current ones, so that readers see all of a change or nothing, and one that
-fails or is repeated leaves no trace. Every change is logged in the journal.
+fails or is repeated leaves no trace. A recall only appends what it touched: the manifest
+names such deltas beside the table, readers merge them in, and from time to time they are
+merged with each other or into the table. Folders that none of the last KEEP manifests
+names go. Changes are logged in the journal once they stand.
 """
 
 from __future__ import annotations
@@ -20,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import archive, conflicts, curation, graph, lifecycle, log, maintenance, trash
 from ..operators import recall as R
+from ..operators import touches
 from ..sources import files
 from ..sources.embedders import Embedder, HashEmbedder, embedded
 
@@ -31,7 +35,10 @@ SCHEMAS = {
     + ", ".join(f"{n}:{k}" for n, k in (x.split(" ") for x in (lifecycle.ROW + ", vec_id string").split(", ")))
     + ">",
 }
+SCHEMAS["touches"] = touches.SCHEMA
 MODES = ("semantic", "hybrid", "rrf")
+#: Manifests whose folders are kept, for readers that are still under way.
+KEEP = 20
 
 
 class Unknown(KeyError):
@@ -60,7 +67,7 @@ class Store:
         at = self._hadoop(f"{self.path}/{self.collection}/manifests")
         return sorted(int(s.getPath().getName()[:-5]) for s in self._fs.listStatus(at) if s.getPath().getName().endswith(".json")) if self._fs.exists(at) else []
 
-    def _manifest(self) -> tuple[int, dict[str, str]]:
+    def _manifest(self) -> tuple[int, dict]:
         found = self._manifests()
         if not found:
             return 0, {}
@@ -68,27 +75,71 @@ class Store:
         return found[-1], json.loads(text)
 
     def table(self, name: str) -> DataFrame:
-        path = self._manifest()[1].get(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], SCHEMAS[name])
+        now = self._manifest()[1]
+        path, deltas = now.get(name), now.get("touches", []) if name == "memories" else []
+        rows = self.spark.read.schema(SCHEMAS[name]).parquet(path) if path else self.spark.createDataFrame([], SCHEMAS[name])
+        return touches.merged(rows, self.spark.read.schema(touches.SCHEMA).parquet(*deltas)) if deltas else rows
+
+    def _write(self, version: int, name: str, df: DataFrame) -> str:
+        path = f"{self.path}/{self.collection}/data/{version}-{name}-{uuid.uuid4().hex[:8]}"
+        columns = [x.split(" ")[0] for x in SCHEMAS[name].split(", ")] if name != "trash" else ["memory_id", "deleted_at", "actor", "collection", "memory"]
+        df.select(*columns).write.parquet(path)
+        return path
 
     def commit(self, op: str, entries: list[dict], **tables: DataFrame) -> None:
-        """Writes the changed tables, then the manifest, then the journal."""
+        """Writes the changed tables, then the manifest, then the journal. The tables must
+        have been read under the lock; a new table of memories has all touches in it."""
         with self.lock:
             version, now = self._manifest()
             for name, df in tables.items():
-                path = f"{self.path}/{self.collection}/data/{version + 1}-{name}-{uuid.uuid4().hex[:8]}"
-                columns = [x.split(" ")[0] for x in SCHEMAS[name].split(", ")] if name != "trash" else ["memory_id", "deleted_at", "actor", "collection", "memory"]
-                df.select(*columns).write.parquet(path)
-                now[name] = path
-            target = f"{self.path}/{self.collection}/manifests/{version + 1}.json"
-            out = self._fs.create(self._hadoop(target), False)  # fails if another writer was first
-            out.write(bytearray(json.dumps(now).encode()))
-            out.close()
+                now[name] = self._write(version + 1, name, df)
+            if "memories" in tables:
+                now["touches"] = []
+            self._publish(version + 1, now)
             stamp = self.clock()
             rows = [(stamp, op, self.actor, e.get("id", ""), e.get("before"), e.get("after"), json.dumps(e.get("meta", {})), self.scope) for e in entries]
             if rows:
                 files.write_journal(self.spark.createDataFrame(rows, files.JOURNAL), f"{self.path}/journal")
 
+    def _publish(self, version: int, now: dict) -> None:
+        target = f"{self.path}/{self.collection}/manifests/{version}.json"
+        out = self._fs.create(self._hadoop(target), False)  # fails if another writer was first
+        out.write(bytearray(json.dumps(now).encode()))
+        out.close()
+        self._prune()
+
+    def _prune(self) -> None:
+        """Drops manifests beyond the last KEEP, and the folders that only they named."""
+        found = self._manifests()
+        if len(found) < 2 * KEEP:
+            return
+        named = set()
+        for v in found[-KEEP:]:
+            for path in json.loads(self.spark.read.text(f"{self.path}/{self.collection}/manifests/{v}.json", wholetext=True).first()[0]).values():
+                named |= {p.rsplit("/", 1)[-1] for p in (path if isinstance(path, list) else [path])}
+        for status in self._fs.listStatus(self._hadoop(f"{self.path}/{self.collection}/data")):
+            name = status.getPath().getName()
+            if name not in named and int(name.split("-")[0]) <= found[-KEEP]:  # newer ones may be being written
+                self._fs.delete(status.getPath(), True)
+        for v in found[:-KEEP]:
+            self._fs.delete(self._hadoop(f"{self.path}/{self.collection}/manifests/{v}.json"), False)
+
+    def touch(self, hits: DataFrame, now: float) -> None:
+        """Appends a delta of ``hits(id)``: rows in proportion to them. Deltas are merged
+        when there are many, and go into the table when they have grown to a share of it."""
+        with self.lock:
+            version, named = self._manifest()
+            deltas = [*named.get("touches", []), self._write(version + 1, "touches", touches.delta(hits, now, version + 1))]
+            if len(deltas) > touches.DELTAS:
+                every = self.spark.read.schema(touches.SCHEMA).parquet(*deltas)
+                one = self._write(version + 1, "touches", touches.summed(every))
+                deltas = [one]
+                if touches.due(self.spark.read.schema(touches.SCHEMA).parquet(one).count(), self.spark.read.schema(SCHEMAS["memories"]).parquet(named["memories"]).count()):
+                    rows = self.spark.read.schema(SCHEMAS["memories"]).parquet(named["memories"])
+                    named["memories"] = self._write(version + 1, "memories", touches.merged(rows, self.spark.read.schema(touches.SCHEMA).parquet(one)))
+                    deltas = []
+            self._publish(version + 1, named | {"touches": deltas})
+
     # --- reading -----------------------------------------------------------------
 
     def get(self, id_: str) -> dict:
@@ -107,7 +158,7 @@ class Store:
     def recent(self, limit: int = 50, before: float | None = None) -> list[dict]:
         if limit < 0:
             raise ValueError("limit must not be negative")
-        rows = self.table("memories").where(R.eligible(self.clock()))
+        rows = self.table("memories").where(R.live(self.clock()))
         rows = rows if before is None else rows.where(F.col("created_at") < before)
         return [r.asDict() for r in rows.orderBy(F.desc("created_at"), "id").limit(limit).collect()]
 
@@ -127,12 +178,11 @@ class Store:
             scored = R.weighted(seen, w) if mode == "hybrid" else R.reciprocal_ranks(seen, w)
         best = R.top(scored.where(R.eligible(now, **fine)), k).select("qid", "id", "text", "score", "rank").orderBy("qid", "rank").collect()
         if touch and best:
-            hit = self.spark.createDataFrame([(r.id,) for r in best], "id string")
-            self.commit("touch", [], memories=lifecycle.touch(rows, hit, now))
+            self.touch(self.spark.createDataFrame([(r.id,) for r in best], "id string"), now)
         return [{"query": queries[r.qid], "id": r.id, "text": r.text, "score": r.score, "rank": r["rank"]} for r in best]
 
     def stats(self) -> dict:
-        rows = self.table("memories").where(R.eligible(self.clock(), superseded=True))
+        rows = self.table("memories").where(R.live(self.clock(), superseded=True))
         r = rows.agg(F.count("*").alias("total"), F.count_if(F.col("superseded_by") == "").alias("active"), *(F.count_if(F.col("type") == t).alias(t) for t in S.TYPES)).first()
         return r.asDict()
 
@@ -182,13 +232,14 @@ class Store:
             kept = [(r.kept_as, r.touched) for r in mapping.orderBy("pos").collect()]
             added = added.withColumn("vec_id", F.col("id"))
             new = embedded(added, self.embed).withColumnRenamed("id", "vec_id")
-            stored, refused, _ = lifecycle.remember(rows, vectors, added, new, now, policy)
+            stored, refused, _, links = lifecycle.remember(rows, vectors, added, new, now, policy)
             gone = {r.id for r in refused.collect()}
             if gone:
                 raise ValueError(f"{len(gone)} items clash with what is stored")
             touched = self.spark.createDataFrame([(i,) for i, t in kept if t], "id string")
             fresh = [r.id for r in added.select("id").collect()]
-            self.commit("remember", [{"id": i} for i in fresh], memories=lifecycle.touch(stored, touched, now), vectors=vectors.unionByName(new))
+            edges = {"edges": self.table("edges").unionByName(links).distinct()} if policy == "supersede" else {}
+            self.commit("remember", [{"id": i} for i in fresh], memories=lifecycle.touch(stored, touched, now), vectors=vectors.unionByName(new), **edges)
         return [i for i, _ in kept]
 
     def _need(self, *ids: str) -> None:
@@ -196,16 +247,26 @@ class Store:
         if missing := set(ids) - found:
             raise Unknown(", ".join(sorted(missing)))
 
-    def edit(self, id_: str, text: str | None = None, importance: float | None = None) -> dict:
+    def edit(self, id_: str, **given) -> dict:
+        """Changes fields of lifecycle.EDITS; None leaves one alone, and clear_source empties
+        the source. What is bad is refused whole; what changes nothing isn't logged."""
+        kinds = {f"new_{c}": k for c, k in lifecycle.EDITS.items()} | {"clear_source": "boolean"}
+        named = {c if c == "clear_source" else f"new_{c}": float(v) if kinds.get(f"new_{c}") == "double" and v is not None else v for c, v in given.items()}
+        if unknown := set(named) - set(kinds):
+            raise ValueError(f"unknown fields: {', '.join(sorted(c.removeprefix('new_') for c in unknown))}")
         with self.lock:
             before = self.get(id_)
-            change = self.spark.createDataFrame([(id_, text, importance)], "id string, new_text string, new_importance double")
-            rows = lifecycle.edit(self.table("memories"), change)
-            changed = {}
-            if text is not None:
-                vectors = self.table("vectors").where(F.col("vec_id") != id_)
-                changed["vectors"] = vectors.unionByName(self.spark.createDataFrame([(id_, self.embed([text.strip()])[0])], SCHEMAS["vectors"]))
-            self.commit("edit", [{"id": id_, "before": before["text"], "after": text}], memories=rows, **changed)
+            change = self.spark.createDataFrame([(id_, *named.values())], ", ".join(["id string", *(f"{c} {kinds[c]}" for c in named)]))
+            rows, verdicts = lifecycle.edit(self.table("memories"), change)
+            verdict = verdicts.first().verdict
+            if verdict.startswith("bad"):
+                raise ValueError(verdict)
+            if verdict == "changed":
+                changed, text = {}, (given.get("text") or before["text"]).strip()
+                if text != before["text"]:
+                    vectors = self.table("vectors").where(F.col("vec_id") != before["vec_id"])
+                    changed["vectors"] = vectors.unionByName(self.spark.createDataFrame([(before["vec_id"], self.embed([text])[0])], SCHEMAS["vectors"]))
+                self.commit("edit", [{"id": id_, "before": before["text"], "after": text}], memories=rows, **changed)
             return self.get(id_)
 
     def forget(self, id_: str) -> None:
@@ -233,14 +294,14 @@ class Store:
         with self.lock:
             self._need(old, new)
             pairs = self.spark.createDataFrame([(old, new)], "old string, new string")
-            rows = lifecycle.supersede(self.table("memories"), pairs, self.clock())
-            self.commit("supersede", [{"id": old, "meta": {"new_id": new}}], memories=rows)
+            rows, edges = lifecycle.supersede(self.table("memories"), self.table("edges"), pairs, self.clock())
+            self.commit("supersede", [{"id": old, "meta": {"new_id": new}}], memories=rows, edges=edges)
 
     def restore(self, id_: str) -> None:
         with self.lock:
             self._need(id_)
-            rows = lifecycle.restore(self.table("memories"), self.spark.createDataFrame([(id_,)], "id string"))
-            self.commit("restore", [{"id": id_}], memories=rows)
+            rows, edges = lifecycle.restore(self.table("memories"), self.table("edges"), self.spark.createDataFrame([(id_,)], "id string"))
+            self.commit("restore", [{"id": id_}], memories=rows, edges=edges)
 
     def link(self, src: str, dst: str, rel: str = "related") -> None:
         S.check_choice(rel, lifecycle.RELS, "rel")
@@ -274,10 +335,17 @@ class Store:
             rows = rows.withColumn(name, F.get_json_object("meta", f"$.{name}"))
         return [r.asDict() for r in log.history(rows, id_).orderBy("ts", "seq").drop("seq").collect()]
 
+    def _last_runs(self) -> dict[str, float]:
+        """When each job of upkeep last ran, of the whole journal."""
+        if not self._fs.exists(self._hadoop(f"{self.path}/journal")):
+            return {}
+        rows = files.read_journal(self.spark, f"{self.path}/journal/*", scope=self.scope).where(F.col("op").startswith("tick "))
+        return {r.op[5:]: r.ts for r in rows.groupBy("op").agg(F.max("ts").alias("ts")).collect()}
+
     def tick(self) -> dict:
         """Upkeep that is due, as far as the journal tells when it last ran."""
         with self.lock:
-            last = {e["op"][5:]: e["ts"] for e in reversed(self.journal(1000)) if e["op"].startswith("tick ")}
+            last = self._last_runs()
             done = maintenance.tick(self.table("memories"), self.table("trash"), maintenance.State(last=last), self.clock(), None, self.collection)
             for job in set(done.ran) & {"decay", "purge"}:
                 self.commit(f"tick {job}", [{"meta": {"n": done.ran[job]}}], memories=done.rows, trash=done.entries)

@@ -24,7 +24,8 @@ COMMANDS: dict[str, dict[str, type]] = {
     "get": {"id_": str},
     "resolve": {"prefix": str},
     "recent": {"limit": int, "before": float},
-    "edit": {"id_": str, "text": str, "importance": float},
+    "edit": {"id_": str, "text": str, "type": str, "tags": list, "importance": float, "polarity": int, "expires_at": float, "source": str, "clear_source": bool,
+             "pinned": bool, "trust": str, "valid_from": float, "valid_until": float},
     "forget": {"id_": str},
     "trash": {"id_": str},
     "untrash": {"id_": str},

@@ -196,3 +196,40 @@ def test_times_and_display(spark):
         S.check_choice("fts", ["pool", "corpus"], "index")
     with pytest.raises(ValueError):
         S.check_tag("a,b")
+
+
+def test_many_moments_equal_single_replays(spark):
+    """Nukes, undos, links in snapshots, unlinks of all rels, ties of time and times that
+    run backwards: every (id, moment) as a replay of its own."""
+    import random
+
+    rng = random.Random(4)
+    rows, us = [], 100.0
+    for seq in range(600):
+        us += rng.choice((0, 0, 1, 5, -4))
+        op = rng.choices(["remember", "edit", "link", "unlink", "forget", "undo", "nuke"], [4, 4, 9, 5, 1, 1, 0.1])[0]
+        text = f"t{seq}" if op in ("remember", "edit") or (op == "undo" and rng.random() < 0.5) else None
+        held = [(rng.choice("xyz"), rng.choice(("related", "refines"))) for _ in range(rng.randrange(3))] if text and rng.random() < 0.4 else None
+        rel = rng.choice(("related", "refines", None)) if op == "unlink" else rng.choice(("related", "refines"))
+        rels = ["refines"] if op == "unlink" and rel is None and rng.random() < 0.3 else None
+        rows.append((seq, us, op, rng.choice("abcd") if op != "nuke" else None, rng.choice("xyz"), rel, text, held, rels, rng.choice(("remember", "edit"))))
+    j = spark.createDataFrame(rows, "seq long, us double, op string, id string, dst_id string, rel string, text string, links array<struct<dst_id:string,rel:string>>, rels array<string>, of_op string").cache()
+    moments = sorted({r[1] for r in rows} | {0.0, 1e6, 150.5})[::12]
+    asked = spark.createDataFrame([(i, m) for i in "abcdq" for m in moments] * 2, "id string, us double")
+    plain = lambda r: (r.text, r.base, r.links, [tuple(x) for x in r.link_list or []])
+    for bits in (3, 16):
+        got = {(r.id, r.us): plain(r) for r in log.states_at(j, asked, bits).collect()}
+        want = {(r.id, m): plain(r) for m in moments for r in log.state_at(j, m).collect()} if bits == 3 else want
+        assert got == want and len(want) > 30
+    none = j.where("false")
+    assert log.states_at(none, asked).count() == 0 and log.states_at(j, asked.where("false")).count() == 0
+
+
+def test_replay_of_links_in_snapshots(spark):
+    held = "array<struct<dst_id:string,rel:string>>"
+    rows = [(1, 1.0, "remember", "a", None, None, "one", None), (2, 2.0, "link", "a", "b", "refines", None, None), (3, 3.0, "edit", "a", None, None, "two", [("b", "refines"), ("c", "related")]),
+            (4, 4.0, "link", "a", "b", "related", None, None), (5, 5.0, "unlink", "a", "b", None, None, None), (6, 6.0, "edit", "a", None, None, "three", None)]
+    j = spark.createDataFrame(rows, f"seq long, us double, op string, id string, dst_id string, rel string, text string, links {held}")
+    at = lambda t: [tuple(x) for x in log.state_at(j, t).first().link_list or []]
+    assert at(2.0) == [("b", "refines")] and at(3.0) == [("b", "refines"), ("c", "related")]
+    assert at(4.0) == [("b", "refines"), ("b", "related"), ("c", "related")] and at(5.0) == [("c", "related")] and at(6.0) == []

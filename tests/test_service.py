@@ -55,6 +55,42 @@ def test_a_life(store, tmp_path):
     assert store.tick()["ran"].keys() == {"decay", "purge", "trash"} and store.tick()["ran"] == {}
 
 
+def test_nothing_is_lost_while_recalls_run(store, monkeypatch):
+    """A row that is stored while a recall is under way stays, and so do both's touches;
+    deltas are merged in time and old folders go."""
+    from mnemora.operators import recall as R
+    from mnemora.operators import touches
+
+    (a,) = store.remember([{"text": "first"}])
+    top, stored = R.top, []
+
+    def late(rows, k):
+        if not stored:
+            stored.extend(store.remember([{"text": "second"}]))
+            store.recall(["first"], k=1)
+        return top(rows, k)
+
+    monkeypatch.setattr(R, "top", late)
+    assert [h["id"] for h in store.recall(["first"], k=1)] == [a]
+    assert store.stats()["total"] == 2 and store.get(a)["access_count"] == 2
+    monkeypatch.setattr(touches, "DELTAS", 2)
+    for i in range(4):
+        store.recall(["first"], k=1)
+        assert store.get(a)["access_count"] == 3 + i
+    from mnemora.service import store as S
+
+    monkeypatch.setattr(S, "KEEP", 2)
+    before = store._manifests()
+    store.edit(a, pinned=True, tags=["x"], valid_until=5.0)
+    assert len(store._manifests()) == 2 < len(before) and store.get(a)["pinned"] and store.get(a)["tags"] == ["x"] and store.get(a)["access_count"] == 6
+    assert store.recall(["first"], k=2)[0]["id"] == stored[0]  # what has lapsed isn't returned
+    assert a in [h["id"] for h in store.recall(["first"], k=2, valid_at=3.0)]
+    with pytest.raises(ValueError, match="bad trust"):
+        store.edit(a, trust="odd")
+    with pytest.raises(ValueError, match="unknown fields"):
+        store.edit(a, colour="red")
+
+
 def test_what_is_refused(store):
     (a,) = store.remember([{"text": "x"}])
     for bad in ([{"text": " "}], [{"text": "y", "colour": 1}], [{"text": "y", "type": "odd"}], [{"text": "y", "tags": ["a,b"]}]):
