@@ -51,9 +51,19 @@ def import_actions(incoming: DataFrame, store: DataFrame, policy: str) -> DataFr
     return met.select("id", F.when(F.col("there"), clash).otherwise(F.lit("add")).alias("action"))
 
 
-def new_id(id_: str, archive: str):
+def new_id(id_: str, archive: str, *more):
     """The id of a renamed row: the same whenever the same archive is read."""
-    return F.concat(F.lit("n"), F.substring(F.sha2(F.concat_ws("/", F.lit(archive), F.col(id_)), 256), 1, 31))
+    return F.concat(F.lit("n"), F.substring(F.sha2(F.concat_ws("/", F.lit(archive), F.col(id_), *more), 256), 1, 31))
+
+
+def refuse_collisions(incoming: DataFrame, store: DataFrame, shown: int = 10) -> None:
+    """The pre-scan of the policy ``error``: fails with the first ids that are there already
+    or come twice, before anything is built."""
+    twice = incoming.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit("comes twice").alias("why"))
+    there = incoming.select("id").distinct().join(store.select("id"), "id", "left_semi").select("id", F.lit("already there").alias("why"))
+    bad = there.unionByName(twice)
+    if first := bad.orderBy("id", "why").limit(shown).collect():
+        raise ValueError(f"{bad.select('id').distinct().count()} collisions, among them " + ", ".join(f"{r.id}: {r.why}" for r in first))
 
 
 def imported(incoming: DataFrame, links: DataFrame, store: DataFrame, edges: DataFrame, policy: str, archive: str = "", dry_run: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -61,19 +71,36 @@ def imported(incoming: DataFrame, links: DataFrame, store: DataFrame, edges: Dat
 
     ``links(src, dst, rel)`` are the archive's. Renamed rows get new ids, and what the
     archive's rows point at, links and superseded_by, follows them. ``summary`` counts
-    rows by action.
+    rows by action. Of rows of one id in the archive, in the order of seq if it is there,
+    the first counts under ``skip`` and the last under ``overwrite``; under ``rename`` the
+    others get ids of their own, and references follow the first. ``error`` fails at once.
     """
-    actions = import_actions(incoming.select("id"), store, policy).distinct()
-    summary = actions.groupBy("action").agg(F.count("*").alias("n"))
+    if S.check_choice(policy, IMPORT_POLICIES, "policy") == "error":
+        refuse_collisions(incoming, store)
+    order = F.col("seq") if "seq" in incoming.columns else F.xxhash64(*[F.col(c) for c in store.columns if c in incoming.columns])
+    per = Window.partitionBy("id")
+    # Written down, as equal rows may be numbered otherwise when asked again.
+    come = incoming.withColumn("_nth", F.row_number().over(per.orderBy(order))).withColumn("_of", F.count("*").over(per))
+    come = come.join(store.select("id", F.lit(True).alias("_there")), "id", "left").withColumn("_there", F.coalesce("_there", F.lit(False)))
+    later = F.col("_nth") > 1
+    action = {
+        "skip": F.when(F.col("_there") | later, "skip"),
+        "overwrite": F.when(F.col("_there") | later, "replace"),
+        "rename": F.when(F.col("_there") | later, "rename"),
+        "error": F.when(F.lit(False), ""),
+    }[policy]
+    come = Scratch(store.sparkSession).keep(come.withColumn("_action", F.coalesce(action, F.lit("add"))))
+    summary = come.groupBy(F.col("_action").alias("action")).agg(F.count("*").alias("n"))
     if dry_run:
         return store, edges, summary
-    names = actions.where("action = 'rename'").select("id", new_id("id", archive).alias("to"))
-    go = incoming.join(actions.where("action <> 'skip'"), "id").dropDuplicates(["id"])
-    met = go.join(names, "id", "left").join(names.select(F.col("id").alias("superseded_by"), F.col("to").alias("by")), "superseded_by", "left")
-    own = {"id": F.coalesce("to", "id"), "superseded_by": F.coalesce("by", "superseded_by")}
+    go = come.where("_action <> 'skip'") if policy != "overwrite" else come.where("_nth = _of")
+    to = F.when(F.col("_action") == "rename", F.when(later, new_id("id", f"{archive}#", F.col("_nth").cast("string"))).otherwise(new_id("id", archive)))
+    names = go.where("_nth = 1 AND _action = 'rename'").select("id", new_id("id", archive).alias("to"))
+    met = go.withColumn("_to", to).join(names.select(F.col("id").alias("superseded_by"), F.col("to").alias("_by")), "superseded_by", "left")
+    own = {"id": F.coalesce("_to", "id"), "superseded_by": F.coalesce("_by", "superseded_by")}
     new = met.select(*[own[c].alias(c) if c in own else F.col(c) for c in store.columns])
     rows = store.join(new.select("id"), "id", "left_anti").unionByName(new)
-    theirs = remapped(links.join(go.select(F.col("id").alias("src")), "src", "left_semi"), names)
+    theirs = remapped(links.join(go.select(F.col("id").alias("src")).distinct(), "src", "left_semi"), names)
     kept = edges.join(new.select(F.col("id").alias("src")), "src", "left_anti").select("src", "dst", "rel")
     return rows, kept.unionByName(theirs).distinct(), summary
 

@@ -3,61 +3,28 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..scratch import Scratch, components
+from ..scratch import Scratch
+from . import metric
 from . import recall as R
+from .archive import numbered
 
-#: Vectors of one type that meet in a task are at most twice this many.
-BLOCK = 2048
 #: A new row is compared with so many of its nearest neighbours, itself among them.
 NEIGHBOURS = 12
 
 PairRule = Callable[[Callable[[str], Column], Callable[[str], Column]], Column]
 
 
-def similar_vectors(rows: DataFrame, threshold: float) -> DataFrame:
-    """type, p, q, similarity of distinct vectors (vec_id p <= q) of one type.
-
-    Every vector is compared once per type however many rows share it. Vectors are
-    dealt to blocks; each pair of blocks is one group and one matrix product, whose
-    candidates are confirmed by a plain sum, as the product rounds differently. Exact,
-    and so quadratic in a type's distinct vectors.
-    """
-    distinct = rows.select("type", "vec_id", "x").dropDuplicates(["type", "vec_id"])
-    size = distinct.groupBy("type").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    dealt = distinct.join(size, "type").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("type", "vec_id", "x", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        ids, own = table["vec_id"].to_numpy(), table["own"].to_numpy()
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
-        x = np.array(table["x"].to_pylist(), dtype=np.float64)
-        norm = np.sqrt((x * x).sum(axis=1))
-        unit = x / np.where(norm > 0, norm, 1)[:, None]
-        a, b = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        i, j = np.nonzero(unit[a] @ unit[b].T >= threshold - 1e-9)
-        i, j = a[i], b[j]
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        keep = np.ones(len(i), dtype=bool)
-        if low == high:
-            _, first = np.unique(i * len(ids) + j, return_index=True)
-            keep[:] = False
-            keep[first] = True
-        cos = np.divide((x[i] * x[j]).sum(axis=1), norm[i] * norm[j], out=np.zeros(len(i)), where=norm[i] * norm[j] > 0)
-        keep &= cos >= threshold
-        kind = pa.array([table["type"][0].as_py()] * int(keep.sum()), pa.string())
-        return pa.table({"type": kind, "p": ids[i][keep], "q": ids[j][keep], "similarity": cos[keep]})
-
-    return dealt.groupBy("type", "low", "high").applyInArrow(meet, "type string, p long, q long, similarity double")
+def similar_vectors(rows: DataFrame, threshold: float, **fine) -> DataFrame:
+    """type, p, q, similarity of distinct vectors (vec_id p <= q) of one type. Every vector
+    is compared once per type however many rows share it, and only with those that cells
+    around pivots don't rule out; see ``metric.similar``."""
+    return metric.similar(rows.select("type", "vec_id", "x").dropDuplicates(["type", "vec_id"]), threshold, **fine)
 
 
 FACTS = ("id", "text", "tags", "polarity", "neg")
@@ -81,27 +48,60 @@ def _common_tag(one: Column, two: Column) -> Column:
     return (F.size(one) == 0) | (F.size(two) == 0) | F.arrays_overlap(one, two)
 
 
-def conflicts(rows: DataFrame, threshold: float = 0.8, contradicts: PairRule | None = None) -> DataFrame:
-    """a, b, similarity, kind of live rows of one type that are alike and have a tag in
-    common, or one of which has no tags."""
+def conflict_classes(rows: DataFrame, threshold: float = 0.8, contradicts: PairRule | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs, members): clashes between classes of rows that clash alike.
+
+    Rows are of one class if they share type, vector, tags, polarity and parity of
+    negations, and with ``contradicts`` the text too. ``pairs`` is (ca, cb, similarity,
+    kind, n), ca <= cb, n the number of pairs of rows that it stands for; a class's smallest
+    id is its name. ``members`` is (id, class). So a vector that very many rows share
+    costs a row for each of its classes, not for each pair of its rows.
+    """
+    scratch = Scratch(rows.sparkSession)
+    facts = _facts(rows).withColumn("tagged", F.sort_array(F.array_distinct("tags"))).withColumn("polarity", F.coalesce("polarity", F.lit(0))).withColumn("text", F.coalesce("text", F.lit("")))
+    same = ["type", "vec_id", "tagged", "polarity", "neg", *(["text"] if contradicts is not None else [])]
+    classes = scratch.keep(facts.groupBy(*same).agg(F.min("id").alias("class"), F.count("*").alias("n"), *([] if contradicts is not None else [F.first("text").alias("text")])))
+    members = facts.select("id", *same).join(classes.select("class", *same), same).select("id", "class")
     near = similar_vectors(rows, threshold)
-    facts = _facts(rows)
-    one = facts.select("type", F.col("vec_id").alias("p"), *(F.col(c).alias(f"{c}1") for c in FACTS))
-    two = facts.select("type", F.col("vec_id").alias("q"), *(F.col(c).alias(f"{c}2") for c in FACTS))
-    met = near.join(one, ["type", "p"]).join(two, ["type", "q"]).where((F.col("p") != F.col("q")) | (F.col("id1") < F.col("id2")))
+    shown = {"id": "class", "text": "text", "tags": "tagged", "polarity": "polarity", "neg": "neg", "n": "n"}
+    one = classes.select("type", F.col("vec_id").alias("p"), *(F.col(c).alias(f"{k}1") for k, c in shown.items()))
+    two = classes.select("type", F.col("vec_id").alias("q"), *(F.col(c).alias(f"{k}2") for k, c in shown.items()))
+    met = near.join(one, ["type", "p"]).join(two, ["type", "q"]).where((F.col("p") != F.col("q")) | (F.col("id1") < F.col("id2")) | ((F.col("id1") == F.col("id2")) & (F.col("n1") > 1)))
     met = met.where(_common_tag(F.col("tags1"), F.col("tags2")))
     kind = classify(lambda c: F.col(f"{c}1"), lambda c: F.col(f"{c}2"), contradicts)
-    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), F.round("similarity", 4).alias("similarity"), kind.alias("kind"))
+    n = F.when(F.col("id1") == F.col("id2"), F.expr("n1 * (n1 - 1) div 2")).otherwise(F.col("n1") * F.col("n2"))
+    return met.select(F.least("id1", "id2").alias("ca"), F.greatest("id1", "id2").alias("cb"), F.round("similarity", 4).alias("similarity"), kind.alias("kind"), n.alias("n")), members
+
+
+def conflicts(rows: DataFrame, threshold: float = 0.8, contradicts: PairRule | None = None) -> DataFrame:
+    """a, b, similarity, kind of live rows of one type that are alike and have a tag in
+    common, or one of which has no tags: ``conflict_classes`` written out."""
+    pairs, members = conflict_classes(rows, threshold, contradicts)
+    one, two = members.select(F.col("class").alias("ca"), F.col("id").alias("id1")), members.select(F.col("class").alias("cb"), F.col("id").alias("id2"))
+    met = pairs.join(one, "ca").join(two, "cb").where((F.col("ca") != F.col("cb")) | (F.col("id1") < F.col("id2")))
+    return met.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"), "similarity", "kind")
+
+
+def _first_rows(rows: DataFrame, n: int) -> DataFrame:
+    """id, vec_id of each vector's n first rows by id: no pool of n can hold others."""
+    first = F.row_number().over(Window.partitionBy("vec_id").orderBy("id"))
+    return rows.select("id", "vec_id").withColumn("k", first).where(F.col("k") <= n).drop("k")
 
 
 def conflicts_for(new: DataFrame, rows: DataFrame, vectors: DataFrame, now: float, threshold: float = 0.8, contradicts: PairRule | None = None) -> DataFrame:
     """a, b, similarity, kind: what each row of ``new`` clashes with among ``rows``.
 
     Of its nearest NEIGHBOURS, of any type and state, those count that are another
-    row, live, of its type, alike enough, and share a tag if both have any.
+    row, live, of its type, alike enough, and share a tag if both have any. Neighbours are
+    found once for each distinct vector, on the executors, however many rows are new.
     """
-    queries = new.join(vectors.select("vec_id", F.col("x").alias("qx")), "vec_id").select(F.col("id").alias("qid"), "qx")
-    pool = R.vector_pool(rows, vectors, queries, NEIGHBOURS)
+    scratch = Scratch(rows.sparkSession)
+    mine = new.select("vec_id").distinct().join(vectors.select("vec_id", F.col("x").alias("qx")), "vec_id").select(F.col("vec_id").alias("qid"), "qx")
+    stored = vectors.select("vec_id", "x").join(rows.select("vec_id").distinct(), "vec_id", "left_semi")
+    near = metric.nearest_join(stored, mine, NEIGHBOURS)
+    order = Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")
+    pool = near.join(_first_rows(rows, NEIGHBOURS), "vec_id").withColumn("n", F.row_number().over(order)).where(F.col("n") <= NEIGHBOURS)
+    pool = scratch.keep(pool.select(F.col("qid").alias("vec_id"), "id", "cosine")).join(new.select(F.col("id").alias("qid"), "vec_id"), "vec_id").drop("vec_id")
     mine = _facts(new).select(F.col("id").alias("qid"), F.col("type").alias("type1"), *(F.col(c).alias(f"{c}1") for c in FACTS))
     theirs = _facts(rows.where(R.live(now))).select("id", F.col("type").alias("type2"), *(F.col(c).alias(f"{c}2") for c in FACTS))
     met = pool.where((F.col("id") != F.col("qid")) & (F.col("cosine") >= threshold)).join(mine, "qid").join(theirs, "id")
@@ -110,49 +110,43 @@ def conflicts_for(new: DataFrame, rows: DataFrame, vectors: DataFrame, now: floa
     return met.select(F.col("qid").alias("a"), F.col("id").alias("b"), F.round("cosine", 4).alias("similarity"), kind.alias("kind"))
 
 
-#: Rows and distinct vectors of one component that are folded in a task at most.
-FOLD_ROWS = 2_000_000
-
-
-def leader_clusters(rows: DataFrame, threshold: float = 0.75, least: int = 2) -> DataFrame:
-    """id, leader, n, pos: seeds by falling importance absorb, by age, what is alike and
-    of a polarity that doesn't oppose theirs (a neutral seed takes its first member's).
+def leader_clusters(rows: DataFrame, threshold: float = 0.75, least: int = 2, **fine) -> DataFrame:
+    """id, leader, n, pos: seeds by falling importance, then by age and id, absorb what is
+    alike and of a polarity that doesn't oppose theirs (a neutral seed takes that of its
+    first member that has one). ``pos`` is a member's place in its cluster, by age.
 
-    Absorption runs along alike pairs only, so components of alike vectors are folded
-    each by itself, whatever their rows' types. A component of more than FOLD_ROWS rows
-    is refused. ``pos`` is a member's place in its cluster.
+    As one loop over all rows, but in rounds: a row settles once it comes before all rows
+    that could still take one of its undecided neighbours, so what it absorbs doesn't hang on
+    any other seed of the round. The rounds are as many as the longest such chain of rows
+    has links, whatever a cluster's size; rows meet by their vectors, one row a vector.
     """
     scratch = Scratch(rows.sparkSession)
-    near = similar_vectors(rows.withColumn("type", F.lit("")), threshold)
-    comp = components(near.select(F.col("q").alias("a"), F.col("p").alias("b")), scratch)
-    comp = comp.select(F.col("node").alias("vec_id"), F.col("component").alias("c"))
-    # A vector that is like no other one still clusters the rows that share it.
-    facts = rows.select("vec_id", "id", "importance", "created_at", "polarity").join(comp, "vec_id", "left").withColumn("c", F.coalesce("c", "vec_id"))
-    vectors = rows.select("vec_id", "x").dropDuplicates(["vec_id"]).join(comp, "vec_id", "left").withColumn("c", F.coalesce("c", "vec_id"))
-
-    def fold(pdf: pd.DataFrame, vec: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > FOLD_ROWS:
-            raise ValueError(f"a component of {len(pdf)} alike rows is more than {FOLD_ROWS}")
-        pdf = pdf.sort_values(["created_at", "id"]).reset_index(drop=True)
-        x = np.array(vec.x.tolist(), dtype=np.float64).reshape(len(vec), -1)
-        unit = x / np.maximum(np.sqrt((x * x).sum(axis=1)), 1e-300)[:, None]
-        place = {v: i for i, v in enumerate(vec.v)}
-        of = pdf.vec_id.map(place).to_numpy() if len(pdf) else np.empty(0, dtype=int)
-        mood_of, used, out = pdf.polarity.to_numpy(), np.zeros(len(pdf), dtype=bool), []
-        for i in np.argsort(-pdf.importance.to_numpy(), kind="stable"):
-            if used[i]:
-                continue
-            mood, members = int(mood_of[i]), [i]
-            used[i] = True
-            alike = unit @ unit[of[i]] >= threshold
-            for j in np.flatnonzero(~used & alike[of]):
-                if mood * int(mood_of[j]) >= 0:
-                    members.append(j)
-                    used[j] = True
-                    mood = mood or int(mood_of[j])
-            if len(members) >= least:
-                out.extend((pdf.id[k], pdf.id[i], len(members), at) for at, k in enumerate(members))
-        return pd.DataFrame(out, columns=["id", "leader", "n", "pos"])
-
-    vectors = vectors.select(F.col("c").alias("vc"), F.col("vec_id").alias("v"), F.col("x").alias("x"))
-    return facts.groupBy("c").cogroup(vectors.groupBy("vc")).applyInPandas(fold, "id string, leader string, n long, pos long")
+    near = similar_vectors(rows.withColumn("type", F.lit("")), threshold, **fine).select(F.col("p").alias("v"), F.col("q").alias("w"))
+    near = scratch.keep(near.unionByName(near.select(F.col("w").alias("v"), F.col("v").alias("w"))).distinct())
+    facts = rows.select("id", "vec_id", F.col("importance").cast("double").alias("importance"), F.col("created_at").cast("double").alias("created_at"), F.col("polarity").cast("int").alias("polarity"))
+    lone = facts.join(near.select(F.col("v").alias("vec_id")).distinct(), "vec_id", "left_anti").select("id", F.col("id").alias("leader"), F.lit(0).alias("late"), "created_at")
+    open_, settled = scratch.keep(facts), [lone]
+    order = F.struct((-F.col("importance")).alias("i"), F.col("created_at").alias("c"), F.col("id").alias("id"), F.col("polarity").alias("polarity"))
+    open_ = scratch.keep(open_.join(near.select(F.col("v").alias("vec_id")).distinct(), "vec_id", "left_semi"))
+    while not open_.isEmpty():
+        best = scratch.keep(open_.groupBy("vec_id").agg(F.min(order).alias("best")))
+        undecided = near.join(best.select(F.col("vec_id").alias("w"), "best"), "w")
+        first = scratch.keep(undecided.groupBy("v").agg(F.min("best").alias("first")).join(best.select(F.col("vec_id").alias("v")), "v", "left_semi"))
+        # What comes first among all that is alike to a vector's undecided neighbours.
+        ahead = near.join(first.select(F.col("v").alias("w"), "first"), "w").groupBy("v").agg(F.min("first").alias("ahead"))
+        seeds = scratch.keep(best.join(ahead.select(F.col("v").alias("vec_id"), "ahead"), "vec_id").where("best.id = ahead.id").select(F.col("best.id").alias("leader"), F.col("best.polarity").alias("mood")))
+        reach = first.join(seeds, F.col("first.id") == F.col("leader")).select(F.col("v").alias("vec_id"), "leader", "mood")
+        met = scratch.keep(open_.join(reach, "vec_id").select("id", "created_at", "polarity", "leader", "mood"))
+        turn = F.min_by("polarity", F.when(F.col("polarity") != 0, F.struct("created_at", "id")))
+        moods = met.where("mood = 0 AND id <> leader").groupBy("leader").agg(turn.alias("turn"))
+        taken = met.join(moods, "leader", "left").withColumn("mood", F.when(F.col("mood") != 0, F.col("mood")).otherwise(F.coalesce("turn", F.lit(0))))
+        taken = scratch.keep(taken.where("id = leader OR mood * polarity >= 0").select("id", "leader", (F.col("id") != F.col("leader")).cast("int").alias("late"), "created_at"))
+        settled.append(taken)
+        rest = scratch.keep(open_.join(taken.select("id"), "id", "left_anti").select(*open_.columns))
+        scratch.drop(open_, best, first, seeds, met)
+        open_ = rest
+    every = reduce(DataFrame.unionByName, settled)
+    sizes = every.groupBy("leader").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    placed = scratch.keep(numbered(every.join(sizes, "leader"), "leader", "late", "created_at", "id"))
+    starts = placed.groupBy("leader").agg(F.min("line").alias("start"))
+    return placed.join(starts, "leader").select("id", "leader", "n", (F.col("line") - F.col("start")).alias("pos"))

@@ -5,6 +5,8 @@ Each level is written down, as the next one reads it and all before it.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,30 +86,59 @@ def find_paths(pairs: DataFrame, edges: DataFrame, known: DataFrame, most: int =
     A path is an array of (id, rel it was reached by), the start's rel being empty. Of
     the shortest the one that a walk finds first which tries neighbours by (id, rel):
     the least as an array. A row and itself are a path of one.
+
+    Both ends search in turn, so that each goes half as deep, and hold only which nodes they
+    reached at which level. Once two levels meet, the nodes between that lie on a shortest
+    path are found backwards, and the least path forwards, a step of all pairs at a time.
     """
     scratch = Scratch(pairs.sparkSession)
-    ids = known.select("id")
-    asked = pairs.select("start", "end").distinct()
-    for one in ("start", "end"):
+    ids, key = known.select("id"), ["start", "end"]
+    asked = pairs.select(*key).distinct()
+    for one in key:
         asked = asked.join(ids.select(F.col("id").alias(one)), one, "left_semi")
     asked = scratch.keep(asked)
-    steps = undirected(edges)
+    steps = scratch.keep(undirected(edges))
+    links = steps.select("a", "b").distinct()
     hop = lambda id_, rel: F.array(F.struct(id_.alias("id"), rel.alias("rel")))
-    front = asked.select("start", "end", F.col("start").alias("id"), hop(F.col("start"), F.lit("")).alias("path"))
-    done = front.where("id = end").select("start", "end", "path")
-    front, seen = front.where("id <> end"), front.select("start", "end", "id")
-    for _ in range(most):
-        grown = front.join(steps, front.id == steps.a).select("start", "end", F.col("b").alias("id"), F.concat("path", hop(F.col("b"), F.col("rel"))).alias("path"))
-        grown = grown.join(seen, ["start", "end", "id"], "left_anti").groupBy("start", "end", "id").agg(F.min("path").alias("path"))
-        grown = scratch.keep(grown)
-        hits = grown.where("id = end").select("start", "end", "path")
-        done, seen = done.unionByName(hits), seen.unionByName(grown.select("start", "end", "id"))
-        front = grown.join(hits.select("start", "end"), ["start", "end"], "left_anti")
-        if grown.isEmpty():
+    done = asked.where("start = end").select(*key, hop(F.col("start"), F.lit("")).alias("path"))
+    open_ = asked.where("start <> end")
+    sides = [[open_.select(*key, F.col(one).alias("id"))] for one in key]
+    for depth in range(1, most + 1):
+        side = sides[(depth + 1) % 2]
+        near = side[-1].join(open_, key, "left_semi") if depth > 2 else side[-1]
+        new = near.join(links, near.id == links.a).select(*key, F.col("b").alias("id")).distinct()
+        for level in side:
+            new = new.join(level, [*key, "id"], "left_anti")
+        side.append(scratch.keep(new))
+        met = scratch.keep(sides[0][-1].join(sides[1][-1], [*key, "id"]).join(open_, key, "left_semi"))
+        if not met.isEmpty():
+            done = done.unionByName(_least(met, sides[0], sides[1], steps, scratch))
+        open_ = scratch.keep(open_.join(met.select(*key).distinct(), key, "left_anti"))
+        if open_.isEmpty() or side[-1].isEmpty():
             break
     return done
 
 
+def _least(met: DataFrame, there: list[DataFrame], back: list[DataFrame], steps: DataFrame, scratch: Scratch) -> DataFrame:
+    """start, end, path through ``met(start, end, id)``, where the last levels from both
+    ends meet."""
+    key, links = ["start", "end"], steps.select("a", "b").distinct()
+    on_path = [met]
+    for level in reversed(there[:-1]):
+        before = on_path[0].join(links, F.col("id") == F.col("b")).select(*key, F.col("a").alias("id")).distinct()
+        on_path.insert(0, scratch.keep(before.join(level, [*key, "id"], "left_semi")))
+    on_path += back[-2::-1]  # whatever leads nearer to the end lies on a shortest path
+    at = met.select(*key).distinct().select(*key, F.struct(F.lit(0).alias("k"), F.col("start").alias("id"), F.lit("").alias("rel")).alias("x"))
+    walked = [at]
+    for k, level in enumerate(on_path[1:], 1):
+        tried = at.select(*key, F.col("x.id").alias("a")).join(steps, "a").select(*key, F.col("b").alias("id"), "rel").join(level, [*key, "id"], "left_semi")
+        at = scratch.keep(tried.groupBy(*key).agg(F.min(F.struct("id", "rel")).alias("m")).select(*key, F.struct(F.lit(k).alias("k"), F.col("m.id").alias("id"), F.col("m.rel").alias("rel")).alias("x")))
+        walked.append(at)
+    every = reduce(DataFrame.unionByName, walked)
+    path = F.transform(F.sort_array(F.collect_list("x")), lambda x: F.struct(x["id"].alias("id"), x["rel"].alias("rel")))
+    return every.groupBy(*key).agg(path.alias("path"))
+
+
 def find_path(edges: DataFrame, known: DataFrame, start: str, end: str, most: int = 6) -> list[tuple[str, str]]:
     """(id, rel) along the path between two rows, [] if there is none."""
     one = edges.sparkSession.createDataFrame([(start, end)], "start string, end string")

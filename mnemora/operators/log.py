@@ -267,9 +267,13 @@ def metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """qid, recall, precision, rr, ap, ndcg of ranked ``hits(qid, id, rank)``.
 
     Relevance is binary. Precision divides by what was retrieved. A relevant id that
-    comes twice is credited once, but for precision. Queries without hits score 0.
+    comes twice is credited once, but for precision. Queries without hits score 0. Where
+    ``gold`` has a column k, a case counts only its k best hits, a null one ``k``.
     """
-    size = gold.groupBy("qid").agg(F.countDistinct("id").alias("n"))
+    own = F.coalesce(F.max("k"), F.lit(k)) if "k" in gold.columns else F.lit(k)
+    size = gold.groupBy("qid").agg(F.countDistinct("id").alias("n"), own.cast("int").alias("most"))
+    if "k" in gold.columns:
+        hits = hits.join(size.select("qid", "most"), "qid").where("rank <= most").drop("most")
     rel = hits.join(gold.select("qid", "id", F.lit(1).alias("rel")).distinct(), ["qid", "id"], "left").fillna(0, ["rel"])
     first = F.row_number().over(Window.partitionBy("qid", "id").orderBy("rank"))
     rel = rel.withColumn("new", F.when(first == 1, F.col("rel")).otherwise(0))
@@ -282,7 +286,7 @@ def metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
         F.sum(F.col("new") * F.col("seen") / F.col("rank")).alias("gain"),
         F.sum(F.col("new") / F.log2(F.col("rank") + 1.0)).alias("dcg"),
     )
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.col("most")).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     r6 = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return size.join(got, "qid", "left").select(
         "qid",

@@ -7,6 +7,7 @@ doesn't shift the statistics. Every order ends in pool position or id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -145,6 +146,54 @@ def vector_pool(rows: DataFrame, vectors: DataFrame, queries: DataFrame, n: int)
     return Scratch(rows.sparkSession).keep(pool)
 
 
+def within(rows: DataFrame, vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:
+    """qid, n, best: how many of ``rows(id, vec_id)`` have a cosine of ``least`` or more with
+    each of ``queries(qid, qx)``, and the greatest; queries without any have no row.
+
+    Tasks multiply their vectors with the queries and return a count and a maximum a query,
+    each vector weighing as many rows as share it; no pair of a query and a row is written.
+    """
+    queries = queries.select("qid", F.col("qx").cast("array<double>").alias("qx"))
+    qid_type = dict(queries.dtypes)["qid"]
+    weighed = vectors.select("vec_id", F.col("x").cast("array<double>").alias("x")).where(F.forall("x", lambda v: v.isNotNull()))
+    weighed = weighed.join(rows.groupBy("vec_id").agg(F.count("*").alias("n")), "vec_id").select("x", "n")
+    out = None
+    for part in _slices(queries, "qid", QUERIES_AT_ONCE):
+        batch = part.collect()
+        if not batch:
+            continue
+        ids, qx = pa.array([r.qid for r in batch]), np.array([r.qx for r in batch], dtype=np.float64)
+        norms = np.sqrt((qx * qx).sum(axis=1))
+
+        def run(blocks, ids=ids, qx=qx, norms=norms):
+            count, best = np.zeros(len(qx), dtype=np.int64), np.full(len(qx), -np.inf)
+            unit = qx / np.where(norms > 0, norms, 1)[:, None]
+            for b in blocks:
+                fits = np.array(b.column(0).value_lengths()) == qx.shape[1]
+                b = b.filter(pa.array(fits))
+                if not b.num_rows:
+                    continue
+                x, weight = np.array(b.column(0).flatten(), dtype=np.float64).reshape(b.num_rows, -1), b.column(1).to_numpy()
+                own = np.sqrt((x * x).sum(axis=1))
+                xu = x / np.where(own > 0, own, 1)[:, None]
+                for at in range(0, len(unit), ROWS_OF_PRODUCT):
+                    q, v = np.nonzero(unit[at : at + ROWS_OF_PRODUCT] @ xu.T >= least - 1e-9)
+                    q += at
+                    both = norms[q] * own[v]
+                    cos = np.divide((qx[q] * x[v]).sum(axis=1), both, out=np.zeros(len(q)), where=both > 0)
+                    q, v, cos = q[cos >= least], v[cos >= least], cos[cos >= least]
+                    np.add.at(count, q, weight[v])
+                    np.maximum.at(best, q, cos)
+            hit = np.flatnonzero(count)
+            yield pa.record_batch([ids.take(pa.array(hit)), pa.array(count[hit]), pa.array(best[hit])], names=["qid", "n", "best"])
+
+        one = weighed.mapInArrow(run, f"qid {qid_type}, n long, best double")
+        out = one if out is None else out.unionAll(one)
+    if out is None:
+        out = queries.select("qid", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("best")).where("false")
+    return out.groupBy("qid").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
+
+
 def bm25(pool: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """qid, id, lex in 0..1, matched for ``pool(qid, id, text)``, statistics from each
     pool; matched says whether any row of the query's pool has a word of it. Scores are
@@ -304,14 +353,17 @@ def containing(memories: DataFrame, words: DataFrame) -> DataFrame:
     return memories.select("id", F.lit("").alias("w")).where("false") if out is None else out
 
 
-def lexical_newcomers(pool: DataFrame, memories: DataFrame, queries: DataFrame, limit: int | None = None, most: int = 4, shortest: int = 3) -> DataFrame:
+def lexical_newcomers(
+    pool: DataFrame, memories: DataFrame, queries: DataFrame, limit: int | None = None, most: int = 4, shortest: int = 3, finder: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """qid, id, seen: rows beyond the pool whose text contains a probe of the query.
 
     Probes are tried longest first and each finds its first ``limit`` rows by id; of
-    all that are found, the pool's among them, the first ``limit`` count.
+    all that are found, the pool's among them, the first ``limit`` count. ``finder`` says
+    for words (w) which rows (id, w) hold them, if not ``containing`` by a scan.
     """
     words = probes(queries, most, shortest)
-    found = containing(memories, words).join(words, "w").select("qid", "id", "n")
+    found = (finder(words) if finder else containing(memories, words)).join(words, "w").select("qid", "id", "n")
     if limit is not None:
         each = Window.partitionBy("qid", "n").orderBy("id")
         found = found.withColumn("i", F.row_number().over(each)).where(F.col("i") <= limit)

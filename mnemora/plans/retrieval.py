@@ -10,9 +10,11 @@ from ..operators import lifecycle as Y
 from ..operators import log as L
 from ..operators import recall as R
 from ..operators import touches as D
+from ..operators import trigrams
+from ..scratch import Scratch
 from .aggregates import RANKS
 from .base import (
-    ACTIVE, CURRENT, HELD, HITS, LEXICAL, LIVE, ORACLES, SIGNALS, WEIGHTED, Tables, cos, hits, hybrid, pool_sql, query, r6, ranked_sql, semantic, semantic_sql, tok,
+    ACTIVE, CURRENT, HELD, HITS, LEXICAL, LIVE, ORACLES, SIGNALS, WEIGHTED, Tables, cos, hits, hybrid, pool_sql, query, r6, ranked_sql, semantic, semantic_sql, strings, tok,
 )
 from .fixture import DUCK, NOW, name_of
 from .scalar import phrases_sql
@@ -316,6 +318,27 @@ def union_lexical(t: Tables):
     return R.lexical_newcomers(t.pool(5), t.m, t.q, limit=5).select("qid", "id", F.col("seen").cast("long").alias("seen"))
 
 
+@query("union_lexical_index", pool_sql(5) + newcomers_sql(5) + " SELECT qid, id, seen FROM nw")
+def union_lexical_index(t: Tables):
+    """The same by an index of grams in place of a scan."""
+    index = trigrams.build(t.m, f"{Scratch(t.spark).root}/grams", 4096)
+    found = R.lexical_newcomers(t.pool(5), t.m, t.q, limit=5, finder=lambda words: trigrams.containing(index, words)[0])
+    return found.select("qid", "id", F.col("seen").cast("long").alias("seen"))
+
+
+@query(
+    "content_contains_index",
+    f""",
+    pw AS (SELECT DISTINCT unnest({tok("qtext")}) AS w FROM q UNION SELECT unnest(['th', 'a', 'nowhere to be found', '. ']))
+    SELECT w, count(*) AS n, min(m.id) AS first_id, max(m.id) AS last_id FROM pw JOIN m ON contains(m.text, w) GROUP BY w""",
+)
+def content_contains_index(t: Tables):
+    """Which rows hold each word of each query, and some short or absent strings."""
+    index = trigrams.build(t.m, f"{Scratch(t.spark).root}/grams", 4096)
+    words = t.q.select(F.explode(S.tokenize(F.col("qtext"))).alias("w")).unionAll(strings(t.spark, "th", "a", "nowhere to be found", ". ").withColumnRenamed("id", "w"))
+    return trigrams.containing(index, words)[0].groupBy("w").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+
+
 CORPUS = pool_sql() + newcomers_sql(20) + f""",
 p0 AS (SELECT qid, id, cosine, pool_pos FROM pool UNION ALL
   SELECT nw.qid, nw.id, {cos("qx", "x")}, 20 + seen FROM nw JOIN m ON m.id = nw.id JOIN v ON v.vec_id = m.vec_id JOIN q ON q.qid = nw.qid)"""
@@ -581,6 +604,36 @@ def evaluate(t: Tables):
     return _evaluated(t)
 
 
+def _as(sql: str, **names: str) -> str:
+    for old, new in names.items():
+        sql = sql.replace(f"{old} AS", f"{new} AS").replace(f"FROM {old}", f"FROM {new}")
+    return sql
+
+
+OWN_K = "[3, 5, 10][{0} % 3 + 1]"
+
+
+@query(
+    "evaluate_cases",
+    HYBRID
+    + _as(semantic_sql(CURRENT) + ranked_sql(10), sc="sa", best="ba")
+    + SCORED
+    + ranked_sql(10)
+    + GOLD
+    + f""",
+px AS (SELECT qid, id, rank AS r FROM best WHERE qid % 2 = 1 AND rank <= {OWN_K.format("qid")}
+  UNION ALL SELECT qid, id, rank FROM ba WHERE qid % 2 = 0 AND rank <= {OWN_K.format("qid")})"""
+    + metrics_sql("px", 10).replace("WHERE i <= max(n))", f"WHERE i <= least(max(n), {OWN_K.format('n.qid')}))")
+    + " SELECT * FROM ev",
+)
+def evaluate_cases(t: Tables):
+    """Each case with a k and a mode of its own: three, five or ten of a semantic or a hybrid recall."""
+    cases = gold(t).withColumn("k", F.get(F.array(F.lit(3), F.lit(5), F.lit(10)), (F.col("qid") % 3).cast("int")))
+    even = semantic(t, k=10).where("qid % 2 = 0").select("qid", "id", "rank")
+    odd = R.top(hybrid(t).where(R.eligible(NOW)), 10).where("qid % 2 = 1").select("qid", "id", "rank")
+    return L.metrics(even.unionByName(odd), cases, 5)
+
+
 @query("agg_eval_macro", pool_sql(10) + GOLD + POOL10 + metrics_sql("px", 10) + " SELECT " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in ("recall", "precision", "rr", "ap", "ndcg")) + " FROM ev")
 def agg_eval_macro(t: Tables):
     return _evaluated(t).agg(*(r6(F.avg(c)).alias(c) for c in ("recall", "precision", "rr", "ap", "ndcg")))

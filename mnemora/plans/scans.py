@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import archive as A
+from ..operators import metric
 from ..operators import recall as R
+from ..scratch import Scratch
 from .base import ACTIVE, CURRENT, LIVE, Tables, cos, joined, pool_sql, query, r6, strings
 from .fixture import NOW
 
@@ -83,9 +85,19 @@ def vector_query(t: Tables):
     FROM (SELECT qid, {cos("qx", "x")} AS c FROM q, m JOIN v ON v.vec_id = m.vec_id) WHERE c >= 0.2::DOUBLE GROUP BY qid""",
 )
 def join_query_memory(t: Tables):
-    """All rows that are at least that near; the pool is as large as the table."""
-    near = t.pool(t.sizes[0]).where("cosine >= 0.2")
-    return near.groupBy("qid").agg(F.count("*").alias("n"), r6(F.max("cosine")).alias("best"))
+    """How many rows are at least that near to each query, and how near the nearest is."""
+    return R.within(t.m, t.v, t.q, 0.2).withColumn("best", r6("best"))
+
+
+@query(
+    "vector_query_index",
+    f""" SELECT qid, vec_id, round(c, 6) AS cosine, rank::INT AS rank FROM (
+      SELECT qid, v.vec_id, {cos("qx", "x")} AS c, row_number() OVER (PARTITION BY qid ORDER BY {cos("qx", "x")} DESC, v.vec_id) AS rank FROM q, v) WHERE rank <= 10""",
+)
+def vector_query_index(t: Tables):
+    """The ten nearest vectors of each query by an index of cells, built for the call."""
+    index = metric.build_index(t.v, f"{Scratch(t.spark).root}/index", 64)
+    return metric.nearest(t.spark, index, t.q, 10)[0].withColumn("cosine", r6("cosine"))
 
 
 @query("pool_position", pool_sql(10, "pinned") + " SELECT qid, id, pool_pos FROM pool")

@@ -45,6 +45,21 @@ def classify_conflict(t: Tables):
     return C.conflicts(t.embedded("superseded_by = ''")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@query(
+    "conflict_classes",
+    FACTS
+    + f""",
+tg AS (SELECT fa.*, list_sort(list_distinct(tags)) AS tagged FROM fa WHERE superseded_by = ''),
+cc AS (SELECT *, min(id) OVER (PARTITION BY type, vec_id, tagged, polarity, neg) AS class FROM tg),
+cp AS (SELECT least(a.class, b.class) AS ca, greatest(a.class, b.class) AS cb, {cos("a.x", "b.x")} AS s, {KIND.format("")}
+  FROM cc a JOIN cc b ON a.type = b.type AND a.id < b.id AND (len(a.tags) = 0 OR len(b.tags) = 0 OR list_has_any(a.tags, b.tags)))
+SELECT ca, cb, round(max(s), 4) AS similarity, kind, count(*) AS n FROM cp WHERE s >= 0.8::DOUBLE GROUP BY ca, cb, kind""",
+)
+def conflict_classes(t: Tables):
+    """Clashes as pairs of classes of rows, with the number of pairs each stands for."""
+    return C.conflict_classes(t.embedded("superseded_by = ''"))[0]
+
+
 @query(
     "join_self_similarity",
     """,

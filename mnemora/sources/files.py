@@ -125,6 +125,25 @@ def archive_info(spark: SparkSession, path: str, model: str | None = None) -> Da
     return info.withColumn("same_model", same).join(rows, F.lit(True))
 
 
+def open_archive(spark: SparkSession, path: str, model: str, regenerate: bool = False) -> tuple[DataFrame, bool]:
+    """(rows, whether their vectors count) of an archive that may be imported.
+
+    One that isn't an archive, is of a newer version, or holds vectors of another model is
+    refused; the last not with ``regenerate``, where texts are embedded anew. Without
+    vectors the model doesn't matter.
+    """
+    try:
+        info = archive_info(spark, path, model).first()
+    except Exception as e:  # noqa: BLE001 - whatever makes a file unreadable is one kind of error here
+        raise ValueError(f"{path} can't be read as an archive: {str(e)[:200]}") from e
+    if info is None or not info.usable:
+        raise ValueError(f"{path} is no archive of version {VERSION} or older")
+    held = (info.dim or 0) > 0
+    if held and info.model and not info.same_model and not regenerate:
+        raise ValueError(f"the archive's vectors are of {info.model!r}, the store's of {model!r}; embed them anew (regenerate)")
+    return read_archive(spark, path), held and (info.same_model or not info.model)
+
+
 def read_trash(spark: SparkSession, path: str) -> DataFrame:
     """Trash entries, the row's snapshot as JSON; lines cut short are left out."""
     return read_lines(spark, path, TRASH).withColumn("collection", F.coalesce("collection", F.lit("")))

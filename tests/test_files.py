@@ -2,6 +2,8 @@ import gzip
 import json
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from mnemora.sources import files
@@ -83,3 +85,22 @@ def test_streams(spark, tmp_path):
         write(src / "2.log", [entry(500, "forget", "a")])
     got = {(r.batch, r.id): (r.op, r.after) for r in spark.read.parquet(str(tmp_path / "snap")).collect()}
     assert got == {(0, "a"): ("edit", "a@20"), (0, "b"): ("remember", "b@400"), (1, "a"): ("forget", "a@500")}
+
+
+def test_archives_that_may_be_opened(spark, tmp_path):
+    """Vectors of another model, newer versions and other files are refused; texts can be embedded anew."""
+    rows = spark.createDataFrame([("a", "x", 1.0, [1.0, 0.0])], "id string, text string, created_at double, vector array<double>").withColumn("meta", F.lit("{}"))
+    path = lambda name: str(tmp_path / name)
+    files.write_archive(rows, path("m.gz"), {"source": {"embedding_model": "m", "embedding_dim": 2}})
+    files.write_archive(rows.drop("vector"), path("none.gz"), {"source": {"embedding_model": "m", "embedding_dim": 0}})
+    files.write_archive(rows, path("new.gz"), {"version": 9})
+    (tmp_path / "odd.gz").write_text('{"a": 1}\n')
+    got, use = files.open_archive(spark, path("m.gz"), "m")
+    assert got.count() == 1 and use
+    with pytest.raises(ValueError, match="embed them anew"):
+        files.open_archive(spark, path("m.gz"), "other")
+    assert files.open_archive(spark, path("m.gz"), "other", regenerate=True)[1] is False
+    assert files.open_archive(spark, path("none.gz"), "other")[1] is False
+    for name in ("new.gz", "odd.gz", "missing.gz"):
+        with pytest.raises(ValueError):
+            files.open_archive(spark, path(name), "m")

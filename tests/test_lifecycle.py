@@ -135,8 +135,23 @@ def test_imports(spark):
     for bad in (new, new.where("id = 't1'").unionAll(new.where("id = 't1'"))):
         with pytest.raises(Exception, match="already there"):
             A.import_actions(bad.select("id"), store, "error").collect()
+        with pytest.raises(ValueError, match="collisions, among them (s0: already there|t1: comes twice)"):
+            A.imported(bad, links, store, edges, "error")
+    assert A.imported(new.where("id = 't1'"), links, store, edges, "error")[0].count() == 3
     with pytest.raises(ValueError):
         A.import_actions(new, store, "merge")
+    again = new.withColumn("seq", F.lit(1)).unionAll(new.withColumn("text", F.concat("text", F.lit(" later"))).withColumn("seq", F.lit(2)))
+    for policy, texts, counts in (
+        ("skip", {"a", "b", "c"}, {"add": 1, "skip": 3}),
+        ("overwrite", {"new a later", "b", "c later"}, {"add": 1, "replace": 3}),
+        ("rename", {"a", "b", "new a", "new a later", "c", "c later"}, {"add": 1, "rename": 3}),
+    ):
+        rows, after, summary = A.imported(again, links, store, edges, policy, "x")
+        got = {r.text: r for r in rows.collect()}
+        assert set(got) == texts and len({r.id for r in got.values()}) == rows.count() == len(texts)
+        assert {r.action: r.n for r in summary.collect()} == counts
+        if policy == "rename":
+            assert got["c"].superseded_by == got["new a"].id == got["c later"].superseded_by and ("t1", got["new a"].id, "related") in set(map(tuple, after.collect()))
 
 
 def test_numbered_and_collections(spark):

@@ -85,6 +85,35 @@ def test_paths(spark):
     assert graph.find_path(e, known, "a", "e", most=2) == []
 
 
+def brute_path(edges, start, end, most):
+    """The least of the shortest paths, of all of them written out."""
+    near = {}
+    for a, b, rel in edges:
+        near.setdefault(a, set()).add((b, rel))
+        near.setdefault(b, set()).add((a, rel))
+    paths = [[(start, "")]]
+    for _ in range(most + 1):
+        if hit := [p for p in paths if p[-1][0] == end]:
+            return min(hit)
+        paths = [[*p, step] for p in paths for step in near.get(p[-1][0], ()) if step[0] not in {x for x, _ in p}]
+    return None
+
+
+def test_paths_from_both_ends(spark):
+    """Equal to all paths written out: chains, hubs, parallel links, lengths up to the most."""
+    import random
+
+    rng = random.Random(8)
+    names = [f"n{i:02}" for i in range(26)]
+    edges = [(names[i], names[i + 1], "related") for i in range(9)] + [("n12", names[i], "refines") for i in range(13, 20)]
+    edges += [(rng.choice(names), rng.choice(names), rng.choice(("related", "refines"))) for _ in range(9)] + [("n12", "n13", "contradicts"), ("n20", "gone", "related"), ("gone", "n21", "related")]
+    pairs = [(a, b) for a in names[::2] for b in names[::3]] + [("n00", "n06"), ("n00", "n07"), ("n20", "n21"), ("n01", "gone")]
+    for most in (5, 6):
+        got = {(r.start, r.end): [tuple(x) for x in r.path] for r in graph.find_paths(spark.createDataFrame(pairs, "start string, end string"), links(spark, edges), ids(spark, names), most).collect()}
+        want = {p: path for p in set(pairs) if p[1] != "gone" and (path := brute_path(edges, *p, most))}
+        assert got == want and max(map(len, want.values())) == most + 1
+
+
 def greedy(rows, x, threshold, least):
     """Leader clustering as one loop over all rows: (importance, created_at, id, polarity)."""
     order = sorted(range(len(rows)), key=lambda i: (rows[i][1], rows[i][2]))
@@ -118,15 +147,109 @@ def test_leader_clusters(spark, n, distinct, threshold):
     assert got == greedy(rows, v[of], threshold, 2)
 
 
-def test_leader_clusters_of_a_large_component(spark, monkeypatch):
-    """Ten thousand rows of two vectors are one component; one that is too large is refused."""
-    rows = spark.range(10_000).select(F.lit(0.5).alias("importance"), F.col("id").cast("double").alias("created_at"), F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), F.lit(0).alias("polarity"), (F.col("id") % 2).alias("vec_id"), F.lit("t").alias("type"))
+def test_leader_clusters_of_a_large_component(spark):
+    """Ten thousand rows of two vectors are one component, and one cluster a polarity."""
+    rows = spark.range(10_000).select(F.lit(0.5).alias("importance"), F.col("id").cast("double").alias("created_at"), F.lpad(F.col("id").cast("string"), 5, "0").alias("id"), (F.col("id") % 3 - 1).cast("int").alias("polarity"), (F.col("id") % 2).alias("vec_id"), F.lit("t").alias("type"))
     rows = rows.withColumn("x", F.array(F.lit(1.0), F.col("vec_id") * 0.1))
-    got = conflicts.leader_clusters(rows).agg(F.count("*").alias("n"), F.max("n").alias("most"), F.min("leader").alias("leader")).first()
-    assert tuple(got) == (10_000, 10_000, "00000")
-    monkeypatch.setattr(conflicts, "FOLD_ROWS", 100)
-    with pytest.raises(Exception, match="is more than 100"):
-        conflicts.leader_clusters(rows).collect()
+    got = conflicts.leader_clusters(rows).groupBy("leader").agg(F.count("*").alias("n"), F.min("n").alias("said"), F.max("pos").alias("last"), F.countDistinct("pos").alias("places")).orderBy("leader").collect()
+    assert [tuple(r) for r in got] == [("00000", 6667, 6667, 6666, 6667), ("00002", 3333, 3333, 3332, 3333)]
+
+
+def some_vectors(seed, n, dim, spots, spread):
+    """Clustered unit-free vectors with repeats, and two that are zero."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((spots, dim))[rng.integers(0, spots, n)] + spread * rng.standard_normal((n, dim))
+    x *= rng.uniform(0.1, 9, (n, 1))
+    x[3], x[n - 1], x[n - 2] = x[5], 0, 0
+    return x
+
+
+def cosines(x, y):
+    norm = lambda m: np.sqrt((m * m).sum(axis=1))
+    scale = norm(x)[:, None] * norm(y)[None, :]
+    dots = np.array([[(a * b).sum() for b in y] for a in x])
+    return np.divide(dots, scale, out=np.zeros_like(scale), where=scale > 0)
+
+
+@pytest.mark.parametrize("threshold, spread, cell, block", [(0.8, 0.1, 20, 2048), (0.9, 0.3, 10, 7), (0.3, 1.0, 25, 30), (-0.2, 0.5, 20, 64)])
+def test_similar_vectors_in_cells(spark, threshold, spread, cell, block):
+    """As all pairs: clustered or not, cells cut into blocks or not, an obtuse threshold."""
+    from mnemora.operators import metric
+
+    n = 160
+    x = some_vectors(cell, n, 5, 12, spread)
+    kinds = ["ab"[i % 3 == 0] for i in range(n)]
+    frame = spark.createDataFrame([(kinds[i], i, x[i].tolist()) for i in range(n)], "type string, vec_id long, x array<double>").repartition(3)
+    got = {(r.type, r.p, r.q): r.similarity for r in metric.similar(frame, threshold, cell, 64, block).collect()}
+    cos = cosines(x, x)
+    want = {(kinds[i], i, j): cos[i, j] for i in range(n) for j in range(i, n) if kinds[i] == kinds[j] and cos[i, j] >= threshold}
+    assert got.keys() == want.keys() and metric.similar(frame, threshold, cell, 64, block).count() == len(want)
+    assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    if threshold == 0.8:
+        found = metric.cells_of(frame, cell, 64)
+        visits = metric._visits(metric._unit(x)[0], found, 0.1)[1]
+        assert len(found) > 4 and sum(map(len, visits)) < n * (len(found) - 1) / 2 / 2  # most cells are passed over
+    assert metric.similar(frame.where("false"), 0.5).count() == 0
+
+
+@pytest.mark.parametrize("spread, at_once", [(0.05, 100), (1.0, 7)])
+def test_nearest_by_index(spark, tmp_path, spread, at_once):
+    """As a scan of all vectors; of clustered ones most are never read."""
+    from mnemora.operators import metric
+
+    n, k = 400, 6
+    x, q = some_vectors(1, n, 6, 20, spread), some_vectors(1, 30, 6, 20, spread)[:-1]
+    odd = [(1000, None), (1001, [1.0]), (1002, [None] * 6)]
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)] + odd, "vec_id long, x array<double>").repartition(3)
+    queries = spark.createDataFrame([(f"q{i}", q[i].tolist()) for i in range(len(q))], "qid string, qx array<double>")
+    index = metric.build_index(frame, f"{tmp_path}/index", 20)
+    hits, report = metric.nearest(spark, index, queries, k, at_once)
+    got = {(r.qid, r.rank): (r.vec_id, r.cosine) for r in hits.collect()}
+    cos = cosines(q, x)
+    for i in range(len(q)):
+        order = sorted(range(n), key=lambda j: (-cos[i, j], j))[:k]
+        assert [got[f"q{i}", r + 1][0] for r in range(k)] == order
+        assert all(abs(got[f"q{i}", r + 1][1] - cos[i, j]) < 1e-12 for r, j in enumerate(order))
+    assert len(got) == k * len(q) and report["queries"] == len(q) and report["vectors_of_scan"] == n * len(q)
+    if spread < 0.1:
+        assert report["vectors_read"] < report["vectors_of_scan"] / 2
+    assert metric.nearest(spark, index, queries.where("false"), k)[0].count() == 0
+    assert metric.nearest(spark, metric.build_index(frame.where("false"), f"{tmp_path}/none"), queries, k)[0].count() == 0
+    assert metric.nearest(spark, index, queries, 1000)[0].count() == n * len(q)
+
+
+@pytest.mark.parametrize("spread, cell, block", [(0.05, 20, 2048), (1.0, 30, 9)])
+def test_nearest_join(spark, spread, cell, block):
+    """As a scan, ties included, with as many queries as vectors, zeros on both sides."""
+    from mnemora.operators import metric
+
+    n, k = 200, 5
+    x = some_vectors(2, n, 6, 15, spread)
+    x[10] = x[11] = x[12] = x[13] = x[14] = x[15]
+    odd = [(1000, None), (1001, [1.0]), (1002, [None] * 6)]
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(n)] + odd, "vec_id long, x array<double>").repartition(3)
+    queries = frame.where(F.col("vec_id") < n).select(F.concat(F.lit("q"), F.col("vec_id").cast("string")).alias("qid"), F.col("x").alias("qx"))
+    got = {}
+    for r in metric.nearest_join(frame, queries, k, cell, 64, block).collect():
+        got.setdefault(int(r.qid[1:]), []).append((r.vec_id, r.cosine))
+    cos = cosines(x, x)
+    for i in range(n):
+        last = sorted(cos[i], reverse=True)[k - 1]
+        want = {j for j in range(n) if cos[i, j] >= last}
+        assert {j for j, _ in got[i]} == want and len(got[i]) == len(want)
+        assert all(abs(c - cos[i, j]) < 1e-12 for j, c in got[i])
+    assert metric.nearest_join(frame, queries.where("false"), k).count() == 0 == metric.nearest_join(frame.where("false"), queries, k).count()
+
+
+def test_conflict_classes(spark):
+    """A vector that many rows share costs a few rows, and expands to the same pairs."""
+    rows = spark.range(300).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), F.lit("t").alias("type"), (F.col("id") % 150 == 7).cast("long").alias("vec_id"),
+                                   F.when(F.col("id") % 4 == 0, "never use it").otherwise("use it").alias("text"), F.array(F.lit("a")).alias("tags"), (F.col("id") % 2).cast("int").alias("polarity"))
+    rows = rows.withColumn("x", F.array(F.lit(1.0), F.col("vec_id") * 0.2))
+    pairs, members = conflicts.conflict_classes(rows)
+    assert members.count() == 300 and pairs.count() < 15
+    assert pairs.agg(F.sum("n")).first()[0] == 300 * 299 / 2 == conflicts.conflicts(rows).count()
+    assert {r.kind: r.n for r in pairs.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == {r.kind: r.n for r in conflicts.conflicts(rows).groupBy("kind").agg(F.count("*").alias("n")).collect()}
 
 
 def test_pack_skips_and_goes_on(spark):

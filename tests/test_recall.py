@@ -150,3 +150,28 @@ def test_reranker_hook(spark):
     assert got == {(1, "a"): (1, 2), (1, "bb"): (2, 1), (2, "c"): (1, 1)}
     with pytest.raises(Exception, match="scores for"):
         Y.rescored(rows, lambda pdf: [1.0] * 9).collect()
+
+
+def test_trigram_index(spark, tmp_path):
+    """As a scan for every probe, short and absent ones, ranges added later, odd texts."""
+    import random
+
+    from mnemora.operators import trigrams
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdeé北") for _ in range(rng.randrange(1, 7)))
+    rows = [(f"m{i:03}", " ".join(word() for _ in range(rng.randrange(12)))) for i in range(300)] + [("n1", None), ("n2", ""), ("n3", "ab"), ("n4", "x" * 5000 + "needle" + "y" * 5000), ("m000", "needle twice"), (None, "needle")]
+    frame = spark.createDataFrame(rows, "id string, text string").repartition(3)
+    more = [(f"z{i}", f"late needle {word()}") for i in range(20)]
+    index = trigrams.build(frame, f"{tmp_path}/grams", 50)
+    assert index.ranges == 7
+    index = trigrams.build(spark.createDataFrame(more, "id string, text string"), f"{tmp_path}/grams", 50, index.ranges)
+    probes = {word() for _ in range(60)} | {"needle", "dle t", "a", "é北", "absent one", "x" * 40, "ab", rows[5][1], rows[7][1][2:9]}
+    probes = {p for p in probes if p}
+    ask = lambda some: trigrams.containing(index, spark.createDataFrame([(p,) for p in some], "w string"))
+    hits, report = ask([*probes, *probes, None, ""])
+    want = sorted(((i, w) for i, t in rows + more for w in probes if w in (t or "")), key=repr)
+    assert sorted(map(tuple, hits.collect()), key=repr) == want and report["texts_read"] == report["texts_of_scan"] == 326
+    hits, report = ask(["needle", "x" * 40, "absent one"])
+    assert hits.count() == 24 and report["texts_read"] < 40
+    assert trigrams.containing(trigrams.build(frame.where("false"), f"{tmp_path}/none"), spark.createDataFrame([("abc",)], "w string"))[0].count() == 0
