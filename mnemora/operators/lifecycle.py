@@ -320,12 +320,21 @@ def restore(rows: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFram
 # --- reflection --------------------------------------------------------------------
 
 
-def extractive_summary(members: Column) -> Column:
-    """``[Reflection ×n] a | b``, the most important first, 512 characters at most, of
-    an array of structs (importance, pos, text)."""
-    order = F.array_sort(F.transform(members, lambda m: F.struct((-m["importance"]).alias("o"), m["pos"].alias("pos"), m["text"].alias("text"))))
-    body = F.array_join(F.transform(order, lambda m: m["text"]), " | ")
-    return F.substring(F.concat(F.lit("[Reflection ×"), F.size(members).cast("string"), F.lit("] "), body), 1, 512)
+#: Characters of an extractive summary, and members that can have a part in it at most:
+#: each takes at least the three of a separator.
+SUMMARY, IN_SUMMARY = 512, 172
+
+
+def extractive_summaries(members: DataFrame) -> DataFrame:
+    """leader, summary: ``[Reflection ×n] a | b``, the most important first, SUMMARY
+    characters at most, of ``members(leader, importance, pos, text)``. Each task keeps only
+    what can have a part, cut to what fits, so that a cluster's texts never meet."""
+    order = F.row_number().over(Window.partitionBy("leader").orderBy(F.desc("importance"), "pos"))
+    cut = F.substring(F.coalesce("text", F.lit("")), 1, SUMMARY).alias("text")
+    best = members.select("leader", "importance", "pos", cut).withColumn("r", order).where(F.col("r") <= IN_SUMMARY)
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), " | ")
+    met = best.groupBy("leader").agg(joined.alias("body")).join(members.groupBy("leader").agg(F.count("*").alias("n")), "leader")
+    return met.select("leader", F.substring(F.concat(F.lit("[Reflection ×"), F.col("n").cast("string"), F.lit("] "), F.col("body")), 1, SUMMARY).alias("summary"))
 
 
 def reflections(clusters: DataFrame, rows: DataFrame, consolidate: bool = False, summarizer: Callable[[list[dict]], str] | None = None) -> DataFrame:
@@ -338,21 +347,24 @@ def reflections(clusters: DataFrame, rows: DataFrame, consolidate: bool = False,
     fails, the extractive summary stands.
     """
     met = clusters.select("id", "leader", "pos").join(rows, "id")
-    member = F.struct("importance", "pos", "text", "id", "tags", "type")
     got = met.groupBy("leader").agg(
         F.round(F.avg("importance"), 3).alias("importance"),
         F.bool_or("pinned").alias("pinned"),
         S.trust_label(F.max(S.trust_rank(F.col("trust")))).alias("trust"),
         (F.max(S.level_of(F.col("tags"))) + 1).alias("level"),
-        F.collect_list(member).alias("members"),
     )
-    inherited = F.flatten(F.transform(F.array_sort(F.transform("members", lambda m: F.struct(m["pos"].alias("pos"), m["tags"].alias("tags")))), lambda m: m["tags"]))
+    each = met.select("leader", "pos", F.posexplode("tags").alias("at", "tag")).where("NOT startswith(tag, 'level:')")
+    each = each.groupBy("leader", "tag").agg(F.min(F.struct("pos", "at")).alias("first"))
+    inherited = F.transform(F.sort_array(F.collect_list(F.struct("first", "tag"))), lambda x: x["tag"])
+    got = got.join(each.groupBy("leader").agg(inherited.alias("inherited")), "leader", "left").join(extractive_summaries(met.select("leader", "importance", "pos", "text")), "leader")
     own = F.array(F.lit("reflection"), F.concat(F.lit("level:"), F.col("level").cast("string")))
-    tags = F.array_distinct(F.concat(own, F.filter(inherited, lambda t: ~t.startswith("level:"))))
-    text = extractive_summary(F.col("members"))
-    out = got.select("leader", text.alias("text"), "importance", (F.lit(consolidate) & F.col("pinned")).alias("pinned"), "trust", tags.alias("tags"), "level", "members")
+    tags = F.array_distinct(F.concat(own, F.coalesce("inherited", F.array().cast("array<string>"))))
+    out = got.select("leader", F.col("summary").alias("text"), "importance", (F.lit(consolidate) & F.col("pinned")).alias("pinned"), "trust", tags.alias("tags"), "level")
     if summarizer is None:
-        return out.drop("members")
+        return out
+    # A function of the user's own sees whole clusters, and so they must be of a size for it.
+    member = F.struct("importance", "pos", "text", "id", "tags", "type")
+    out = out.join(met.groupBy("leader").agg(F.collect_list(member).alias("members")), "leader")
 
     def rewrite(batches):
         for pdf in batches:

@@ -509,6 +509,18 @@ def first_sentences(members: Column) -> Column:
     return F.concat(F.lit("[×"), F.size(members).cast("string"), F.lit(" similar] "), F.array_join(heads, " | "))
 
 
+def first_sentence_summaries(rows: DataFrame, group: str) -> DataFrame:
+    """group, summary: ``[×n similar] a | b | c`` of ``rows(group, importance, pos, text)``.
+    Each task keeps a group's three best, so that its texts never meet."""
+    best = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("importance"), "pos"))
+    head = F.trim(F.substring_index("text", ".", 1)).alias("head")
+    three = rows.select(group, "importance", "pos", head).withColumn("r", best).where(F.col("r") <= 3)
+    heads = three.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("r", "head"))).alias("heads"))
+    line = F.array_join(F.filter(F.transform("heads", lambda x: x["head"]), lambda s: s != ""), " | ")
+    met = rows.groupBy(group).agg(F.count("*").alias("n")).join(heads, group)
+    return met.select(group, F.concat(F.lit("[×"), F.col("n").cast("string"), F.lit(" similar] "), line).alias("summary"))
+
+
 def compress(packed: DataFrame, budget: int, threshold: float = 0.30, least: int = 2) -> DataFrame:
     """qid, members, text, tokens: summaries of what ``pack`` passed over, if they fit.
 

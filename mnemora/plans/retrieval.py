@@ -275,8 +275,8 @@ def touch_delta(t: Tables):
     "touch_batches",
     """,
     tb AS (SELECT 'm' || lpad(((event_id * 13) % n)::VARCHAR, 8, '0') AS id, event_id // 64 AS seq FROM events, nn),
-    ts AS (SELECT id, count(*) AS n, 1700000000 - max_by((seq * 7919) % 1000, seq) AS at FROM tb GROUP BY id)
-    SELECT m.id, access_count + coalesce(n, 0) AS access_count, coalesce(at, last_accessed)::DOUBLE AS last_accessed FROM m LEFT JOIN ts USING (id)""",
+    ts AS (SELECT id, count(*) AS n, 1700000000 - max_by((seq * 7919) % 1000, seq) AS last_ FROM tb GROUP BY id)
+    SELECT m.id, access_count + coalesce(n, 0) AS access_count, coalesce(last_, last_accessed)::DOUBLE AS last_accessed FROM m LEFT JOIN ts USING (id)""",
 )
 def touch_batches(t: Tables):
     """A batch for every 64 events, whose times aren't in order: the first half is folded

@@ -217,10 +217,9 @@ def fn_choice_check(t: Tables):
     FROM m GROUP BY source""",
 )
 def fn_first_sentence_summary(t: Tables):
-    from ..operators.recall import first_sentences
+    from ..operators.recall import first_sentence_summaries
 
-    members = F.collect_list(F.struct("importance", F.col("i").alias("pos"), "text"))
-    return t.m.groupBy("source").agg(members.alias("m")).select("source", first_sentences(F.col("m")).alias("summary"))
+    return first_sentence_summaries(t.m.select("source", "importance", F.col("i").alias("pos"), "text"), "source").select("source", "summary")
 
 
 @query("fn_chunk_text")
@@ -282,10 +281,12 @@ def journal_scope(t: Tables):
     return t.m.groupBy(scope.alias("scope")).agg(F.count("*").alias("n"))
 
 
-@query("weights_config", "SELECT 0.55::DOUBLE AS cosine, 0.2::DOUBLE AS lexical, 0.15::DOUBLE AS recency, 0.1::DOUBLE AS importance, 1::DOUBLE AS core")
+@query("weights_config", "SELECT type, round(avg(0.1::DOUBLE * importance), 9) AS part, round(0.1::DOUBLE, 9) AS share FROM m GROUP BY type")
 def weights_config(t: Tables):
+    """What importance adds to a row's score under the default weights, and its share."""
     w = Weights()
-    return t.spark.createDataFrame([(w.cosine, w.lexical, w.recency, w.importance, round(w.core, 12))], "cosine double, lexical double, recency double, importance double, core double")
+    return t.m.groupBy("type").agg(F.round(F.avg(w.importance * F.col("importance")), 9).alias("part"), F.lit(round(w.importance / w.core, 9)).alias("share"))
+
 
 
 @query("tags_joined", "SELECT id, array_to_string(tags, ',') AS tags FROM m")

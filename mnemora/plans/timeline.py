@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import log as L
 from ..operators import trash as B
 from ..scratch import Scratch
-from ..sources import files
+from ..sources import files, rotation
 from .base import Tables, query, r6
 from .fixture import NOW, THEN, name_of
 
@@ -192,6 +192,22 @@ def journal_rotate(t: Tables):
     return t.spark.read.schema("ts double, op string, id string, day string").json(root).groupBy("day").agg(F.count("*").alias("n"))
 
 
+@query(
+    "journal_rotate_size",
+    """,
+    ln AS (SELECT seq, length(op || ' ' || id || ' ' || seq) + 1 AS b FROM jl),
+    sg AS (SELECT seq, b, ((sum(b) OVER (ORDER BY seq) - 1) // (4096 - (SELECT max(b) FROM ln) + 1))::INT AS segment FROM ln)
+    SELECT segment, count(*) AS n, sum(b)::BIGINT AS bytes, min(seq) AS first_seq, max(seq) AS last_seq FROM sg GROUP BY segment""",
+)
+def journal_rotate_size(t: Tables):
+    """Segments of at most 4,096 bytes; a first try stops halfway and is taken up again."""
+    log = rotation.Log(t.spark, f"{Scratch(t.spark).root}/log")
+    log.append(t.j.select("seq", F.concat_ws(" ", "op", "id", F.col("seq").cast("string")).alias("value")))
+    log.rotate(4096, stop="written")
+    log.recover(4096)
+    return log.segments().drop("rotation")
+
+
 @query(
     "prune_archives",
     "SELECT DISTINCT strftime(make_timestamp(us::BIGINT), '%Y%m%d') AS day FROM jl WHERE strftime(make_timestamp(us::BIGINT), '%Y%m%d') < strftime(make_timestamp(1705500000000000 - 3 * 86400000000), '%Y%m%d')",

@@ -104,3 +104,31 @@ def test_archives_that_may_be_opened(spark, tmp_path):
     for name in ("new.gz", "odd.gz", "missing.gz"):
         with pytest.raises(ValueError):
             files.open_archive(spark, path(name), "m")
+
+
+def test_rotation_by_size(spark, tmp_path):
+    """No segment above the bound, and every line read once, wherever a rotation stops."""
+    from mnemora.sources.rotation import Log
+
+    lines = [(i, f"line {i} " + "x" * (i * 7 % 50)) for i in range(200)]
+    frame = lambda some: spark.createDataFrame(some, "seq long, value string").repartition(3)
+    for stop in ("", "renamed", "written", "moved"):
+        log, read = Log(spark, f"{tmp_path}/log{stop}"), lambda log: sorted(map(tuple, log.read().collect()))
+        log.rotate(300)
+        assert read(log) == [] and log.segments().count() == 0
+        log.append(frame(lines[:120]))
+        log.rotate(300, stop)
+        assert read(log) == lines[:120]
+        log.append(frame(lines[120:150]))
+        assert read(log) == lines[:150]
+        log.append(frame(lines[150:]))
+        log.rotate(300)
+        log.rotate(300)
+        assert read(log) == lines
+        parts = log.segments().orderBy("first_seq").collect()
+        assert all(p.bytes <= 300 for p in parts) and sum(p.n for p in parts) == 200 and {p.rotation for p in parts} == {"000000001", "000000002"}
+        assert all(a.last_seq < b.first_seq for a, b in zip(parts, parts[1:]))
+        assert sorted(p.name for p in (tmp_path / f"log{stop}").iterdir()) == ["segments-000000001", "segments-000000002"]
+    log.append(frame([(1, "y" * 200)]))
+    with pytest.raises(ValueError, match="more than half"):
+        log.rotate(300)

@@ -100,6 +100,37 @@ def test_merge(spark):
     assert sorted(map(tuple, links.collect())) == [("s0", "gone", "related"), ("s0", "s2", "refines"), ("s3", "s0", "related")]
 
 
+def test_merges_that_share_rows(spark):
+    """A tree of merges and a long chain, as merging one by one, the innermost first."""
+    import random
+
+    rng = random.Random(5)
+    n = 60
+    names = [f"s{i:02}" for i in range(n)]
+    rows = stored(spark, *[f"t{i}" for i in range(n)]).withColumn("id", F.concat(F.lit("s"), F.lpad(F.regexp_extract("text", "[0-9]+", 0), 2, "0")))
+    rows = rows.withColumn("pinned", F.col("id") == "s09").withColumn("trust", F.when(F.col("id") == "s17", "reported").otherwise("trusted"))
+    chain = [(names[i], names[i + 1], i) for i in range(20)]  # s00 takes s01 takes s02 ...
+    tree = [(names[rng.randrange(25, i)], names[i], rng.randrange(9)) for i in range(26, 50)]
+    odd = [("s50", "s51", 0), ("s51", "s52", 0), ("s52", "s50", 0), ("s53", "s51", 9), ("s54", "s54", 0), ("s54", "nobody", 0), ("s55", "s50", 5)]
+    edges = [(rng.choice(names), rng.choice([*names, "gone"]), "related") for _ in range(40)]
+    frame = spark.createDataFrame(edges, "src string, dst string, rel string").distinct()
+    after, links = U.merge(rows, frame, spark.createDataFrame(chain + tree + odd, "target string, other string, pos int"))
+    kids = {}
+    for target, other, pos in sorted(chain + tree, key=lambda p: (p[2], p[1])):
+        kids.setdefault(target, []).append(other)
+    whole = lambda x: [x, *(y for k in kids.get(x, []) for y in whole(k))]
+    gone = {o for _, o, _ in chain + tree}
+    top = {y: x for x in names if x not in gone for y in whole(x)}
+    got = {r.id: r for r in after.collect()}
+    assert set(got) == set(names) - gone
+    for x, r in got.items():
+        members = whole(x)
+        assert r.text == "\n\n".join(f"t{int(y[1:])}" for y in members)
+        assert r.pinned == ("s09" in members) and r.trust == ("reported" if "s17" in members else "trusted")
+    want = {(top[a], top.get(b, b), rel) for a, b, rel in set(edges) if (b in top or a not in gone) and not (top[a] == top.get(b, b) and (a in gone or b in gone))}
+    assert set(map(tuple, links.collect())) == want
+
+
 def test_trash(spark):
     rows = stored(spark, "a", "b", "c").select("id", "text")
     left, entries = B.trash(rows, spark.createDataFrame([("s0",), ("nobody",)], "id string"), 5.0, "me", "main")
