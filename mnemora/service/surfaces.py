@@ -158,6 +158,10 @@ def mcp(store: Store, lines: IO[str], out: IO[str]) -> None:
         id_ = None
         try:
             ask = json.loads(line)
+            if not isinstance(ask, dict) or not isinstance(ask.get("params") or {}, dict):
+                out.write(json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32600, "message": "a request is an object, and so are its params"}}) + "\n")
+                out.flush()
+                continue
             id_, method, params = ask.get("id"), ask.get("method"), ask.get("params") or {}
             if id_ is None:
                 continue
@@ -179,6 +183,8 @@ def mcp(store: Store, lines: IO[str], out: IO[str]) -> None:
             reply = {"jsonrpc": "2.0", "id": id_, "result": result}
         except json.JSONDecodeError as e:
             reply = {"jsonrpc": "2.0", "id": id_, "error": {"code": -32700, "message": str(e)}}
+        except Exception as e:  # noqa: BLE001 - a failing command must not end the loop
+            reply = {"jsonrpc": "2.0", "id": id_, "error": {"code": -32603, "message": f"{type(e).__name__}: {e}"[:500]}}
         out.write(json.dumps(reply) + "\n")
         out.flush()
 

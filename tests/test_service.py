@@ -131,11 +131,12 @@ def test_http(store):
 
 def test_mcp_and_shell(store, tmp_path, monkeypatch):
     ask = lambda id_, method, **params: json.dumps({"jsonrpc": "2.0", "id": id_, "method": method, "params": params})
-    lines = [ask(1, "initialize"), json.dumps({"method": "notifications/initialized"}), ask(2, "tools/list"), ask(3, "tools/call", name="remember", arguments={"items": [{"text": "t"}]}), ask(4, "tools/call", name="get", arguments={"id": "no"}), ask(5, "other"), "{", ""]
+    lines = [ask(1, "initialize"), json.dumps({"method": "notifications/initialized"}), ask(2, "tools/list"), ask(3, "tools/call", name="remember", arguments={"items": [{"text": "t"}]}), ask(4, "tools/call", name="get", arguments={"id": "no"}), ask(5, "other"), "{", "", "[1, 2]", ask(6, "tools/call", name=["odd"]), ask(7, "initialize")]
     out = io.StringIO()
     surfaces.mcp(store, lines, out)
     got = [json.loads(x) for x in out.getvalue().splitlines()]
-    assert [g.get("id") for g in got] == [1, 2, 3, 4, 5, None]
+    assert [g.get("id") for g in got] == [1, 2, 3, 4, 5, None, None, 6, 7]
+    assert got[6]["error"]["code"] == -32600 and got[7]["error"]["code"] == -32603 and "result" in got[8]
     assert {t["name"] for t in got[1]["result"]["tools"]} == set(surfaces.COMMANDS)
     assert not got[2]["result"]["isError"] and got[3]["result"]["isError"] and got[4]["error"]["code"] == -32601 and got[5]["error"]["code"] == -32700
     monkeypatch.setenv("MNEMORA_PATH", store.path)
