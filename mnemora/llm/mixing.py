@@ -2,20 +2,23 @@
 
 Native DataFrame operations only. Each source's words, in a fixed order of its
 documents, are packed into blocks of ``block_words``. A source's target number of
-words sets how many slots it fills in the mix. Its slots are drawn over the output
-shards: halving the shards again and again, a binomial draw says how many go to the
-first half, so that a source's counts are a multinomial draw whose total is the
-target, and a shard's counts are one over the sources. A shard's slots of a source
-follow each other. The source's k-th slot takes block perm(k mod blocks) of pass
-k div blocks, where each pass has a permutation of its own (swap-or-not, Hoang,
-Morris and Rogaway 2012: exact for any number of blocks, nothing stored). Slots meet
-the blocks' documents in a join on (source, block). All draws are hashes of a seed,
-so reruns agree.
+words sets how many slots it fills in the mix. Every output shard has the same number of
+slots (the last one what is left), and how many of them each source fills is drawn:
+the slots of all sources, one after another, are permuted, and a shard gets those
+that come to lie in its stretch. A shard's counts are so a multinomial draw over the
+sources by their shares, given that all shards' counts add up to the targets, which
+is exact for any number of slots. A shard's slots of a source follow each other. The
+source's k-th slot takes block perm(k mod blocks) of pass k div blocks, where each
+pass has a permutation of its own. Both permutations are swap-or-not (Hoang, Morris
+and Rogaway 2012: exact for any number, nothing stored). Slots meet the blocks'
+documents in a join on (source, block). All draws are hashes of a seed, so reruns
+agree.
 """
 
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,8 +31,9 @@ BLOCK_WORDS, SHARD_BLOCKS, ROUNDS, SEED = 32, 4096, 10, 20240517
 CYCLE = (1, 2, 3)
 #: A source's words are used this many times at most.
 MOST = 3
-#: Binomials of more trials are drawn by the normal distribution, rounded.
-EXACT = 64
+#: Rounds of the permutation that draws the shards: slots whose rounds all went alike, a
+#: 2**-22th of them, stay neighbours, and a shard should hold hardly any such two.
+DRAW_ROUNDS = 22
 
 
 def size_of(text: Column) -> Column:
@@ -76,34 +80,35 @@ def permuted(df: DataFrame, index: str, n: str, key: list, out: str, rounds: int
     return df.withColumn(out, F.aggregate(F.array(*[F.lit(r) for r in range(rounds)]), F.col(index).cast("long"), one))
 
 
-def _uniform(*key) -> Column:
-    """In (0, 1), the same for the same key."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(SEED), *key), 11) * 2.0**-53 + 2.0**-54
+def drawn_place(g: Column, total: int) -> Column:
+    """A pseudorandom permutation of 0..total-1 at ``g``, the one that draws the shards."""
+    draw = random.Random(SEED)
+    turns = F.array(*[F.lit(draw.randrange(total)).cast("long") for _ in range(DRAW_ROUNDS)])
 
+    def one(x: Column, turn: Column) -> Column:
+        mate = turn - x + F.when(turn < x, F.lit(total).cast("long")).otherwise(F.lit(0).cast("long"))
+        return F.transform(F.array(mate), lambda m: F.when(F.xxhash64(F.lit(-SEED), turn, F.greatest(m, x)).bitwiseAND(1) == 1, m).otherwise(x))[0]
 
-def binomial(n: Column, p: Column, key: list) -> Column:
-    """Successes of n >= 1 trials of chance p, drawn by hashes of ``key``."""
-    few = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(EXACT)).cast("int")), F.lit(0).cast("long"), lambda s, i: s + F.when(_uniform(i, *key) < p, 1).otherwise(0))
-    normal = F.sqrt(-2 * F.log(_uniform(F.lit(-1), *key))) * F.cos(2 * math.pi * _uniform(F.lit(-2), *key))
-    many = F.round(n * p + F.sqrt(n * p * (1 - p)) * normal).cast("long")
-    return F.when(n <= EXACT, few).otherwise(F.greatest(F.lit(0).cast("long"), F.least(n, many)))
+    return F.aggregate(turns, g.cast("long"), one)
 
 
-def drawn_shards(sources: DataFrame, shards: int, parts: int) -> DataFrame:
+def drawn_shards(sources: DataFrame, total: int, shard_blocks: int, parts: int) -> DataFrame:
     """sid, blocks, shard, start, n: how many slots of ``sources(sid, blocks, slots)``,
-    from which on, fall into each shard; shards without any have no row."""
-    zero, levels = F.lit(0).cast("long"), (shards - 1).bit_length()
-    nodes = sources.where("slots > 0").select("sid", "blocks", zero.alias("shard"), F.lit(shards).cast("long").alias("wide"), zero.alias("start"), F.col("slots").alias("n"))
-    for level in range(levels):
-        if level == 8:  # from here on in many tasks
-            nodes = nodes.repartition(parts, "sid", "shard")
-        half = F.ceil(F.col("wide") / 2)
-        first = F.when(F.col("wide") == 1, F.col("n")).otherwise(binomial(F.col("n"), half / F.col("wide"), [F.col("sid"), F.col("shard"), F.col("wide")]))
-        nodes = nodes.withColumn("half", half).withColumn("first", first)
-        one = F.struct("shard", F.col("half").alias("wide"), "start", F.col("first").alias("n"))
-        two = F.struct((F.col("shard") + F.col("half")).alias("shard"), (F.col("wide") - F.col("half")).alias("wide"), (F.col("start") + F.col("first")).alias("start"), (F.col("n") - F.col("first")).alias("n"))
-        nodes = nodes.select("sid", "blocks", F.explode(F.array(one, two)).alias("node")).select("sid", "blocks", "node.*").where("wide > 0 AND n > 0")
-    return nodes.drop("wide")
+    ``total`` of all together, from which on, fall into each shard of ``shard_blocks``
+    slots; a shard that has none of a source has no row for it."""
+    zero, run = F.lit(0).cast("long"), max(1, -(-total // parts))
+    drawn = sources.where("slots > 0").withColumn("first", F.sum("slots").over(Window.orderBy("sid")) - F.col("slots"))
+    drawn = drawn.select("sid", "blocks", "first", "slots", F.explode(F.sequence(zero, F.col("slots") - 1, F.lit(run).cast("long"))).alias("low")).repartition(parts, "sid", "low")
+    g = F.explode(F.sequence(F.col("first") + F.col("low"), F.col("first") + F.least(F.col("low") + run, "slots") - 1))
+    drawn = drawn.select("sid", "blocks", g.alias("g")).select("sid", "blocks", F.floor(drawn_place(F.col("g"), max(1, total)) / shard_blocks).alias("shard"))
+    counts = drawn.groupBy("sid", "blocks", "shard").agg(F.count("*").alias("n"))
+    # Prefix sums over a source's shards in two levels, so that they are never in one task.
+    counts = counts.withColumn("bucket", F.floor(F.col("shard") / max(1, math.isqrt(total // shard_blocks))))
+    sums = counts.groupBy("sid", "bucket").agg(F.sum("n").alias("all"))
+    before = F.sum("all").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("all")
+    inner = F.sum("n").over(Window.partitionBy("sid", "bucket").orderBy("shard")) - F.col("n")
+    met = counts.withColumn("at", inner).join(sums.select("sid", "bucket", before.alias("base")).hint("merge"), ["sid", "bucket"])
+    return met.select("sid", "blocks", "shard", (F.col("base") + F.col("at")).alias("start"), "n")
 
 
 @dataclass
@@ -154,7 +159,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: DataFrame | None = N
     total = sources.agg(F.sum("slots")).first()[0] or 0
     # A number of partitions of its own: adaptive execution would join these few rows.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (16 * SHARD_BLOCKS))
-    shards = drawn_shards(sources, max(1, -(-total // shard_blocks)), parts)
+    shards = scratch.keep(drawn_shards(sources, total, shard_blocks, parts))
     slots = shards.repartition(parts, "sid", "shard").select("sid", "blocks", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
     slots = permuted(slots, "i", "blocks", [F.col("sid"), F.col("pass")], "block").select("shard", "sid", "slot", "pass", "block")
@@ -169,8 +174,8 @@ def taken_words(mix: Mix) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of each row of documents that the mix takes; rows without words
-    count with size 0. The mix takes about one shard's draw of blocks after another,
-    and all of them together meet each source's target to half a block."""
+    count with size 0. The mix takes one shard's draw of blocks after another, and
+    all of them together meet each source's target to half a block."""
     mix = mix_sources(table(spark, sf_dir, "documents"), Scratch(spark))
     got = mix.placed.join(taken_words(mix).hint("merge"), ["sid", "start"], "left").select("doc_id", "size", "sid", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
     ids = mix.sources.select("sid", F.col("source").alias("s_source"))

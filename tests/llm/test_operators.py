@@ -163,31 +163,41 @@ def test_suffix_long_text_and_clashing_columns(spark):
     assert got == [("a", long, 1, "a"), ("b", "", 2, "b"), ("c", "", 3, "c"), ("d", long[:60], 4, "d"), ("e", None, 5, "e"), ("f", "", 6, "f"), ("g", "", 7, "g"), ("g", "", 7, "g")]
 
 
-def test_binomials(spark):
-    """Means and spreads of drawn binomials, exact and approximate, and their bounds."""
-    for n, p in ((1, 0.5), (20, 0.3), (64, 0.5), (65, 0.5), (1000, 0.25), (10**6, 0.5)):
-        got = [r[0] for r in spark.range(4000).select(mixing.binomial(F.lit(n), F.lit(p), [F.col("id")])).collect()]
-        mean, sd = n * p, (n * p * (1 - p)) ** 0.5
-        assert 0 <= min(got) and max(got) <= n
-        assert abs(np.mean(got) - mean) < 5 * sd / 4000**0.5 + 0.01 and abs(np.std(got) / sd - 1) < 0.1
+def test_drawn_places(spark):
+    """A permutation of any number of slots, and a shard's share of a run of slots spreads
+    as drawing without replacement does."""
+    for total in (1, 2, 3, 64, 1001):
+        got = [r[0] for r in spark.range(total).select(mixing.drawn_place(F.col("id"), total)).collect()]
+        assert sorted(got) == list(range(total))
+    total, shard, run = 400_000, 500, 100_000
+    places = spark.range(run).select(F.floor(mixing.drawn_place(F.col("id"), total) / shard).alias("s")).groupBy("s").count().toPandas()["count"]
+    p = run / total
+    assert len(places) == total // shard
+    assert abs(places.std() / (shard * p * (1 - p) * (1 - shard / total)) ** 0.5 - 1) < 0.1
 
 
 def test_shards_are_drawn(spark):
-    """Each source's slots fall into shards in order, all of them, at random but repeatably."""
+    """Shards are of one length, the last of what is left; a source's slots fall into them in
+    order, all of them, at random but repeatably."""
     sources = spark.createDataFrame([(0, 900, 2000), (1, 50, 37), (2, 8, 0), (3, 100_000, 300_000)], "sid int, blocks long, slots long")
-    for shards in (1, 7, 300):
-        got = sorted(tuple(r) for r in mixing.drawn_shards(sources, shards, 5).collect())
-        assert got == sorted(tuple(r) for r in mixing.drawn_shards(sources, shards, 2).collect())
-        for sid, _, slots in (tuple(r) for r in sources.collect()):
+    total = 302_037
+    for length in (1000, 50_000, total, 10**7):
+        got = sorted(tuple(r) for r in mixing.drawn_shards(sources, total, length, 5).collect())
+        assert got == sorted(tuple(r) for r in mixing.drawn_shards(sources, total, length, 2).collect())
+        sizes = {}
+        for _, _, shard, _, n in got:
+            sizes[shard] = sizes.get(shard, 0) + n
+        assert sizes == {i: min(length, total - i * length) for i in range(-(-total // length))}
+        for sid, blocks, slots in (tuple(r) for r in sources.collect()):
             mine = [g for g in got if g[0] == sid]
-            assert sum(g[4] for g in mine) == slots and all(0 <= g[2] < shards and g[4] > 0 for g in mine)
+            assert sum(g[4] for g in mine) == slots and all(g[1] == blocks and g[4] > 0 for g in mine)
             at = 0
             for _, _, _, start, n in sorted(mine, key=lambda g: g[2]):
                 assert start == at
                 at += n
-        if shards == 300:
-            counts = [g[4] for g in got if g[0] == 3]
-            assert len(counts) == 300 and 20 < np.std(counts) < 45  # multinomial: about 31.6
+        if length == 1000:  # of source 0, 6.6 a shard are expected
+            counts = [next((g[4] for g in got if g[0] == 0 and g[2] == i), 0) for i in range(302)]
+            assert 2.1 < np.std(counts) < 3.1
 
 
 def test_mixed_blocks(spark):
@@ -198,6 +208,8 @@ def test_mixed_blocks(spark):
     shards = {(r.sid, r.shard): (r.start, r.n) for r in mix.shards.collect()}
     slots = {(r.sid, r.slot): (r.shard, r.block) for r in mix.slots.collect()}
     assert len({s for _, s in shards}) > 3
+    filled = [sum(n for (_, z), (_, n) in shards.items() if z == s) for s in sorted({s for _, s in shards})]
+    assert set(filled[:-1]) == {5} and 0 < filled[-1] <= 5
     assert all(shards[sid, s][0] <= k < sum(shards[sid, s]) for (sid, k), (s, _) in slots.items())
     text, order = {i: t for i, t, _ in rows}, {}
     for r in mix.placed.orderBy("sid", "start").collect():
