@@ -124,6 +124,10 @@ def judge_tile(ids: np.ndarray, weight: np.ndarray, unit: np.ndarray, chunk: np.
     return ids[hit], total[hit].astype(np.int64), root[hit]
 
 
+#: Squared lengths that are summed up without loss.
+SQUARES = (1e-250, 1e300)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of each row of ``vectors(vec_id, embedding,
     label)``.
@@ -131,8 +135,9 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Only vectors of equal label and length are compared. Null labels, and vectors
     that are null, empty, zero or hold null or non-finite components, link with
     nothing; nor do rows without vec_id, whose component is null. Repeated rows are
-    vectors of their own. Equal vectors are judged once, with their number. An empty
-    table has no rows; other columns are ignored.
+    vectors of their own. Equal vectors are judged once, with their number. Vectors of
+    any finite length count, be they too short or long to square. An empty table has
+    no rows; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
     # Tiles get floats as they are stored, and take products in double precision.
@@ -140,6 +145,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").alias("label"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("x"))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
     norm = F.aggregate("x", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
+    if not single:
+        # Doubles whose squares leave the range of doubles are scaled first; floats' don't.
+        most = F.array_max(F.transform("x", lambda v: F.abs(v)))
+        rows = rows.withColumn("x", F.when(fine & (most > 0) & ~norm.between(*SQUARES), F.transform("x", lambda v: v / most)).otherwise(F.col("x")))
     usable = rows.where(fine).where((norm > 0) & (norm < float("inf"))).select("vec_id", "label", "x", F.size("x").alias("dim"), F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2"))
     key = ["label", "dim", "h1", "h2"]
     classes = scratch.keep(usable.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("m")))

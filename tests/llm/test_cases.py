@@ -89,6 +89,13 @@ def test_near_duplicates_long_text_and_other_columns(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {2, 11, 13, 14}
 
 
+def test_vectors_of_extreme_lengths(spark):
+    """Doubles whose squares are no doubles any more are vectors like any other."""
+    rows = [(1, [1e200, 2e200], 1), (2, [1.0, 2.0], 1), (3, [2e-200, 4e-200], 1), (4, [-1e300, 1e300], 1), (5, [5e-324, 0.0], 1), (6, [0.0, 0.0], 1), (7, [3e-320, 0.0], 1), (8, [1e-130, -1.001e-130], 1)]
+    got = projections.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4), (5, 1, 5), (6, 0, 6), (7, 1, 5), (8, 0, 8)]
+
+
 def test_vectors_corner_cases(spark):
     kind = "vec_id long, embedding array<double>, label string, code int, t int, links string"
     none = spark.createDataFrame([], kind)
