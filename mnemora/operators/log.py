@@ -217,7 +217,8 @@ def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> t
     """(rows, edges, verdicts): the inverse of ``entries``, where that is safe.
 
     ``entries`` has seq, op, id, before and after (structs of the columns of ``rows``),
-    dst_id, rels (an array) and superseder_id; at most one entry a row, or a link.
+    dst_id, rels (an array) and superseder_id; at most one entry a row, or a link (for many of
+    a row see ``undo_chains``).
     ``verdicts`` is (seq, op, id, undone). A supersede is undone by ``restore`` and a
     restore by ``supersede``, with their links and pins. Refused: a forget whose row lives,
     an edit whose row has changed since in any column that isn't VOLATILE, a restore whose
@@ -263,6 +264,60 @@ def undo(entries: DataFrame, rows: DataFrame, edges: DataFrame, now: float) -> t
     return kept.select(*rows.columns), more, judged.select("seq", "op", "id", "undone")
 
 
+def undo_chains(entries: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows, verdicts): the entries of rows' lives undone newest first, any number a row.
+
+    ``entries`` has seq (one of its own each), op, id, before and after (structs of the
+    columns of ``rows``); ``verdicts`` is (seq, op, id, undone). Equal to one ``undo`` after
+    another, from the greatest seq to the least: a remember takes the row away, a forget
+    brings it back if it isn't there, an edit is undone if the row, as it is by then, is what
+    the edit left, but for VOLATILE. Entries refused are passed over. Those of other ops, or
+    without id, are never undone. An empty table changes nothing.
+
+    What a step leaves (a row's digest, or nothing) says which older entry is the next to
+    take: the latest that accepts it. So each entry knows its next by an as-of join, and the
+    entries that are undone are the path that starts at the row of today, walked by pointer
+    jumping: rounds are the bits of the longest path, and no row's entries meet in one task.
+    """
+    scratch = Scratch(rows.sparkSession)
+
+    def digest(at: str) -> Column:
+        steady = []
+        for f in rows.schema:
+            if f.name not in VOLATILE:
+                # Adding 0 makes one of the two zeros of a float.
+                part = F.col(f"{at}.`{f.name}`")
+                steady.append((part + 0.0 if f.dataType.typeName() in ("double", "float") else part).alias(f.name))
+        return F.when(F.col(at).isNotNull(), F.sha2(F.to_json(F.struct(*steady)), 256))
+
+    steps = entries.where("id IS NOT NULL AND (op = 'remember' OR op = 'forget' AND before IS NOT NULL OR op = 'edit' AND before IS NOT NULL AND after IS NOT NULL)")
+    # Newest first: the place of an entry is its seq, negated.
+    place = (-F.col("seq")).cast("long").alias("seq")
+    takes = F.when(F.col("op") == "edit", digest("after")).when(F.col("op") == "forget", "gone").otherwise("live").alias("takes")
+    leaves = F.when(F.col("op") != "remember", digest("before")).alias("leaves")
+    steps = scratch.keep(steps.select(place, "op", "id", takes, leaves))
+    low, high = steps.agg(F.min("seq"), F.max("seq")).first()
+    low, high = (0, 0) if low is None else (low, high)
+    today = rows.select("id", F.struct(*[F.col(c) for c in rows.columns]).alias("row"))
+    starts = scratch.keep(steps.select("id").distinct().join(today, "id", "left").select(F.lit(low - 1).cast("long").alias("seq"), "id", digest("row").alias("leaves")))
+    nothing = F.lit(None).cast("long")
+    looks = F.when(F.col("leaves").isNull(), F.array(F.lit("gone"))).otherwise(F.array(F.lit("live"), F.col("leaves")))
+    asking = steps.select("seq", "id", "leaves").unionByName(starts.select("seq", "id", "leaves")).select("seq", "id", F.explode(looks).alias("takes"), nothing.alias("closes"), F.lit(True).alias("asks"))
+    both = asking.unionByName(steps.select("seq", "id", "takes", F.col("seq").alias("closes"), F.lit(False).alias("asks")))
+    found = _until(both, ["id", "takes"], max(1, (high - low) // SEQ_CELLS)).where("asks").groupBy("id", "seq").agg(F.min("until").alias("next"))
+    jump = scratch.keep(found.where("next IS NOT NULL"))
+    path = starts.select("id", "seq")
+    while not jump.isEmpty():
+        path = scratch.keep(path.unionByName(path.join(jump, ["id", "seq"]).select("id", F.col("next").alias("seq"))))
+        jump = scratch.keep(jump.alias("a").join(jump.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.next") == F.col("b.seq"))).select("a.id", "a.seq", "b.next"))
+    undone = scratch.keep(path.where(F.col("seq") >= low).select("id", (-F.col("seq")).alias("seq"), F.lit(True).alias("hit")))
+    last = undone.groupBy("id").agg(F.min("seq").alias("seq"))
+    back = entries.join(last, ["id", "seq"], "left_semi").where("op <> 'remember'").select("before.*").select(*rows.columns)
+    kept = rows.join(last, "id", "left_anti").select(*rows.columns).unionByName(back)
+    verdicts = entries.select("seq", "op", "id").join(undone, ["id", "seq"], "left").select("seq", "op", "id", F.coalesce("hit", F.lit(False)).alias("undone"))
+    return kept, verdicts
+
+
 def metrics(hits: DataFrame, gold: DataFrame, k: int) -> DataFrame:
     """qid, recall, precision, rr, ap, ndcg of ranked ``hits(qid, id, rank)``.
 

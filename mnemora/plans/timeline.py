@@ -293,6 +293,42 @@ def undo_links(t: Tables):
     return L.undo(_entries(t), t.m, t.e, NOW)[1]
 
 
+def _lives(t: Tables):
+    """All remembers, edits and forgets of the log with snapshots of few different texts, so
+    that some fit each other, and the rows of today: three of four of the log's ids."""
+    snap = lambda n: F.struct(F.col("id"), F.concat(F.lit("v"), (n % 3).cast("string")).alias("text"))
+    before = F.when((F.col("op") != "forget") | (F.col("seq") % 11 != 0), snap(F.floor(F.col("seq") / 3)))
+    entries = t.j.where("op IN ('remember', 'edit', 'forget')").select("seq", "op", "id", before.alias("before"), snap(F.col("seq")).alias("after"))
+    number = F.substring("id", 2, 20).cast("long")
+    rows = t.j.select("id").distinct().where(number % 4 != 0).select("id", F.concat(F.lit("v"), (number % 3).cast("string")).alias("text"))
+    return entries, rows
+
+
+LIVES = """,
+le AS (SELECT seq, op, id, CASE WHEN op <> 'forget' OR seq % 11 <> 0 THEN 'v' || ((seq // 3) % 3) END AS old_, 'v' || (seq % 3) AS new_,
+    row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS k FROM jl WHERE op IN ('remember', 'edit', 'forget')),
+lr AS (SELECT id, 'v' || (substr(id, 2)::BIGINT % 3) AS text FROM (SELECT DISTINCT id FROM jl) WHERE substr(id, 2)::BIGINT % 4 <> 0),
+lf AS (
+  SELECT id, 0::BIGINT AS k, text, NULL::BIGINT AS seq, false AS undone FROM (SELECT DISTINCT id FROM jl) LEFT JOIN lr USING (id)
+  UNION ALL
+  SELECT id, k, CASE WHEN NOT ok THEN text WHEN op = 'remember' THEN NULL ELSE old_ END, seq, ok
+  FROM (SELECT lf.id, le.k, lf.text, le.seq, le.op, old_,
+      coalesce(CASE le.op WHEN 'remember' THEN lf.text IS NOT NULL WHEN 'forget' THEN lf.text IS NULL AND old_ IS NOT NULL ELSE lf.text = new_ END, false) AS ok
+    FROM lf JOIN le ON le.id = lf.id AND le.k = lf.k + 1))"""
+
+
+@query("undo_chains", LIVES + " SELECT seq, undone FROM lf WHERE k > 0")
+def undo_chains(t: Tables):
+    """All entries of all rows' lives, newest first: which of them are undone."""
+    return L.undo_chains(*_lives(t))[1].select("seq", "undone")
+
+
+@query("undo_chains_rows", LIVES + " SELECT id, arg_max(text, k) AS text FROM (SELECT id, k, coalesce(text, '') AS text FROM lf) GROUP BY id HAVING arg_max(text, k) <> ''")
+def undo_chains_rows(t: Tables):
+    """The rows that are left when all of them have been tried."""
+    return L.undo_chains(*_lives(t))[0].select("id", "text")
+
+
 @query("journal_values", "SELECT op, round(avg(us) / 1e6, 6) AS mean FROM jl GROUP BY op")
 def journal_values(t: Tables):
     return t.j.groupBy("op").agg(r6(F.avg("us") / 1e6).alias("mean"))

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -101,8 +103,6 @@ def brute_path(edges, start, end, most):
 
 def test_paths_from_both_ends(spark):
     """Equal to all paths written out: chains, hubs, parallel links, lengths up to the most."""
-    import random
-
     rng = random.Random(8)
     names = [f"n{i:02}" for i in range(26)]
     edges = [(names[i], names[i + 1], "related") for i in range(9)] + [("n12", names[i], "refines") for i in range(13, 20)]
@@ -287,6 +287,43 @@ def test_undo(spark):
     assert sorted(map(tuple, edges.collect())) == [("a", "c", "related"), ("b", "c", "refines"), ("b", "c", "related")]
 
 
+def test_undo_chains(spark):
+    """Any number of entries a row, newest first, as one undo after another; nulls, both
+    zeros, columns that reading changes, ops and ids that are never undone."""
+    rng = random.Random(8)
+    kind = "id string, text string, trust double, access_count long"
+    row = lambda i: (i, rng.choice(["a", "b", None]), rng.choice([0.0, -0.0, 1.0]), rng.randrange(9))
+    same = lambda a, b: a is not None and a[:3] == b[:3]
+    ids = [f"r{i}" for i in range(30)]
+    now = {i: row(i) for i in ids if rng.random() < 0.7}
+    entries = []
+    for seq in rng.sample(range(10**6), 900):
+        i = "r0" if rng.random() < 0.3 else rng.choice([*ids, "new", None])
+        op = rng.choices(["remember", "edit", "forget", "link"], [1, 12, 3, 1])[0]
+        entries.append((seq, op, i, row(i) if rng.random() < 0.9 else None, row(i) if rng.random() < 0.9 else None))
+    state, undone = dict(now), set()
+    for seq, op, i, before, after in sorted(entries, reverse=True):
+        live = state.get(i)
+        if i is None:
+            continue
+        if op == "remember" and live:
+            del state[i]
+        elif (op == "forget" and before and not live) or (op == "edit" and before and after and same(live, after)):
+            state[i] = before
+        else:
+            continue
+        undone.add(seq)
+    snap = "struct<id:string,text:string,trust:double,access_count:bigint>"
+    log_ = spark.createDataFrame(entries, f"seq long, op string, id string, before {snap}, after {snap}")
+    rows = spark.createDataFrame(list(now.values()), kind)
+    left, verdicts = log.undo_chains(log_, rows)
+    got = verdicts.collect()
+    assert len(got) == len(entries) and {r.seq for r in got if r.undone} == undone and len(undone) > 60
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, state.values()))
+    left, verdicts = log.undo_chains(log_.where("false"), rows)
+    assert verdicts.count() == 0 and left.count() == len(now)
+
+
 def test_replay_knows_undo(spark):
     rows = [(1, 1.0, "remember", "a", "one", None), (2, 2.0, "remember", "b", "two", None), (3, 3.0, "undo", "a", None, "remember"), (4, 4.0, "edit", "b", "three", None), (5, 5.0, "undo", "b", "two", "edit"), (6, 6.0, "undo", "b", None, "link")]
     j = spark.createDataFrame(rows, "seq long, us double, op string, id string, text string, of_op string").withColumn("dst_id", F.lit("x")).withColumn("rel", F.lit("related"))
@@ -324,8 +361,6 @@ def test_times_and_display(spark):
 def test_many_moments_equal_single_replays(spark):
     """Nukes, undos, links in snapshots, unlinks of all rels, ties of time and times that
     run backwards: every (id, moment) as a replay of its own."""
-    import random
-
     rng = random.Random(4)
     rows, us = [], 100.0
     for seq in range(600):
