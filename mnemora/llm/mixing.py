@@ -92,7 +92,7 @@ def drawn_place(g: Column, total: int) -> Column:
     return F.aggregate(turns, g.cast("long"), one)
 
 
-def drawn_shards(sources: DataFrame, total: int, shard_blocks: int, parts: int) -> DataFrame:
+def drawn_shards(sources: DataFrame, total: int, shard_blocks: int, parts: int, scratch: Scratch) -> DataFrame:
     """sid, blocks, shard, start, n: how many slots of ``sources(sid, blocks, slots)``,
     ``total`` of all together, from which on, fall into each shard of ``shard_blocks``
     slots; a shard that has none of a source has no row for it."""
@@ -101,7 +101,7 @@ def drawn_shards(sources: DataFrame, total: int, shard_blocks: int, parts: int)
     drawn = drawn.select("sid", "blocks", "first", "slots", F.explode(F.sequence(zero, F.col("slots") - 1, F.lit(run).cast("long"))).alias("low")).repartition(parts, "sid", "low")
     g = F.explode(F.sequence(F.col("first") + F.col("low"), F.col("first") + F.least(F.col("low") + run, "slots") - 1))
     drawn = drawn.select("sid", "blocks", g.alias("g")).select("sid", "blocks", F.floor(drawn_place(F.col("g"), max(1, total)) / shard_blocks).alias("shard"))
-    counts = drawn.groupBy("sid", "blocks", "shard").agg(F.count("*").alias("n"))
+    counts = scratch.keep(drawn.groupBy("sid", "blocks", "shard").agg(F.count("*").alias("n")))
     # Prefix sums over a source's shards in two levels, so that they are never in one task.
     counts = counts.withColumn("bucket", F.floor(F.col("shard") / max(1, math.isqrt(total // shard_blocks))))
     sums = counts.groupBy("sid", "bucket").agg(F.sum("n").alias("all"))
@@ -159,7 +159,7 @@ def mix_sources(docs: DataFrame, scratch: Scratch, weights: DataFrame | None = N
     total = sources.agg(F.sum("slots")).first()[0] or 0
     # A number of partitions of its own: adaptive execution would join these few rows.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // (16 * SHARD_BLOCKS))
-    shards = scratch.keep(drawn_shards(sources, total, shard_blocks, parts))
+    shards = drawn_shards(sources, total, shard_blocks, parts, scratch)
     slots = shards.repartition(parts, "sid", "shard").select("sid", "blocks", "shard", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("slot"))
     slots = slots.withColumn("pass", F.floor(F.col("slot") / F.col("blocks"))).withColumn("i", F.col("slot") % F.col("blocks"))
     slots = permuted(slots, "i", "blocks", [F.col("sid"), F.col("pass")], "block").select("shard", "sid", "slot", "pass", "block")

@@ -182,8 +182,8 @@ def test_shards_are_drawn(spark):
     sources = spark.createDataFrame([(0, 900, 2000), (1, 50, 37), (2, 8, 0), (3, 100_000, 300_000)], "sid int, blocks long, slots long")
     total = 302_037
     for length in (1000, 50_000, total, 10**7):
-        got = sorted(tuple(r) for r in mixing.drawn_shards(sources, total, length, 5).collect())
-        assert got == sorted(tuple(r) for r in mixing.drawn_shards(sources, total, length, 2).collect())
+        got = sorted(tuple(r) for r in mixing.drawn_shards(sources, total, length, 5, Scratch(spark)).collect())
+        assert got == sorted(tuple(r) for r in mixing.drawn_shards(sources, total, length, 2, Scratch(spark)).collect())
         sizes = {}
         for _, _, shard, _, n in got:
             sizes[shard] = sizes.get(shard, 0) + n
