@@ -428,3 +428,19 @@ def test_many_nukes_end_what_was_before_them(spark):
     assert {tuple(r) for r in rows.collect()} == want
     plan = rows._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan and "unboundedfollowing" not in plan.lower()
+
+
+def test_paths_through_a_hub_cost_no_more_than_their_pairs(spark, monkeypatch):
+    """Two hundred rows on one hub, of which pairs ask each other and rows beside it."""
+    monkeypatch.setattr(graph, "HUB", 10)
+    spokes = [f"s{i:03}" for i in range(200)]
+    edges = spark.createDataFrame([(s, "hub", "related") for s in spokes] + [(f"x{i:03}", f"s{i:03}", "refines") for i in range(0, 200, 2)], "src string, dst string, rel string")
+    known = spark.createDataFrame([(i,) for i in [*spokes, *(f"x{i:03}" for i in range(200))]], "id string")
+    pairs = [(s, f"s{(i + 1) % 200:03}") for i, s in enumerate(spokes)] + [(s, f"x{(i + 2) % 200:03}") for i, s in enumerate(spokes)]
+    kept, keep = [], graph.Scratch.keep
+    monkeypatch.setattr(graph.Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    got = {(r.start, r.end): [(x.id, x.rel) for x in r.path] for r in graph.find_paths(spark.createDataFrame(pairs, "start string, end string"), edges, known, 3).collect()}
+    want = {(a, b): [(a, ""), ("hub", "related"), (b, "related")] for a, b in pairs if b[0] == "s"}
+    want |= {(a, b): [(a, ""), ("hub", "related"), (f"s{b[1:]}", "related"), (b, "refines")] for a, b in pairs if b[0] == "x" and int(b[1:]) % 2 == 0}
+    assert got == want
+    assert max(df.count() for df in kept) < 1000
