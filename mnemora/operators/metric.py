@@ -19,9 +19,14 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 #: Vectors of a cell, on average, and cells at most: their pivots go to every task.
-CELL, CELLS = 4096, 4096
-#: Vectors of a cell that meet in a task are at most twice this many.
-BLOCK = 2048
+CELL, CELLS = 8192, 4096
+#: Vectors of a cell that meet in a task are at most about twice this many. Where cells don't
+#: part the vectors, each is sent once a block, so that twice the block is half the shuffle.
+BLOCK = 8192
+#: Rows of a block that a task multiplies at once.
+AT_ONCE = 512
+#: Vectors that a partition of meetings holds, about, whatever their number.
+MET = 32_768
 #: More than what rounding may add to a distance.
 SLACK = 1e-7
 
@@ -122,9 +127,9 @@ def similar(vectors: DataFrame, threshold: float, cell: int = CELL, cells: int =
     placed = vectors.select("type", "vec_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(place, f"type string, vec_id {vec_type}, x array<double>, own int, more array<int>")
     both = F.concat(F.array(F.struct(F.col("own").alias("cell"), F.lit(0).alias("role"))), F.transform("more", lambda c: F.struct(c.alias("cell"), F.lit(1).alias("role"))))
     in_cells = scratch.keep(placed.select("type", "vec_id", "x", F.explode(both).alias("at")).select("type", "vec_id", "x", "at.cell", "at.role"))
-    sizes = in_cells.groupBy("type", "cell").agg(*[F.ceil(F.count_if(F.col("role") == i) / block).alias(f"blocks{i}") for i in (0, 1)])
+    sizes = in_cells.groupBy("type", "cell").agg(*[F.ceil(F.count_if(F.col("role") == i) / block).alias(f"blocks{i}") for i in (0, 1)], *[F.count_if(F.col("role") == i).alias(f"n{i}") for i in (0, 1)])
     # Residents' blocks come first, visitors' after them; two visitors never meet.
-    dealt = in_cells.join(sizes.where("blocks0 > 0"), ["type", "cell"])
+    dealt = in_cells.join(sizes.where("blocks0 > 0").select("type", "cell", "blocks0", "blocks1"), ["type", "cell"])
     own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("role") == 0, F.col("blocks0")).otherwise(F.col("blocks1"))) + F.when(F.col("role") == 1, F.col("blocks0")).otherwise(F.lit(0))
     last = F.when(F.col("role") == 0, F.col("blocks0") + F.col("blocks1")).otherwise(F.col("blocks0")) - 1
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
@@ -136,21 +141,24 @@ def similar(vectors: DataFrame, threshold: float, cell: int = CELL, cells: int =
         x = matrix(table["x"])
         unit, norm = _unit(x)
         a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-        i, j = np.nonzero(unit[a] @ unit[b].T >= threshold - 1e-9)
-        i, j = a[i], b[j]
+        other, found = unit[b].T, []
+        for at in range(0, len(a), AT_ONCE):
+            i, j = np.nonzero(unit[a[at : at + AT_ONCE]] @ other >= threshold - 1e-9)
+            found.append((a[at + i], b[j]))
+        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=int)]) for k in (0, 1))
+        if low == high:
+            i, j = i[i <= j], j[i <= j]
         swap = ids[i] > ids[j]
         i, j = np.where(swap, j, i), np.where(swap, i, j)
-        keep = np.ones(len(i), dtype=bool)
-        if low == high:
-            _, first = np.unique(i * len(ids) + j, return_index=True)
-            keep[:] = False
-            keep[first] = True
         # The product rounds differently from a plain sum, which decides.
         cos = np.divide((x[i] * x[j]).sum(axis=1), norm[i] * norm[j], out=np.zeros(len(i)), where=norm[i] * norm[j] > 0)
-        keep &= cos >= threshold
+        keep = cos >= threshold
         kind = pa.array([table["type"][0].as_py()] * int(keep.sum()), pa.string())
         return pa.table({"type": kind, "p": ids[i][keep], "q": ids[j][keep], "similarity": cos[keep]})
 
+    blocks = F.col("blocks0") + F.col("blocks1")
+    sent = sizes.agg(F.sum(F.col("n0") * blocks + F.col("n1") * F.col("blocks0"))).first()[0]
+    dealt = dealt.repartition(max(scratch.spark.sparkContext.defaultParallelism, -(-int(sent or 0) // MET)), "type", "cell", "low", "high")
     return dealt.groupBy("type", "cell", "low", "high").applyInArrow(meet, f"type string, p {vec_type}, q {vec_type}, similarity double")
 
 
@@ -353,8 +361,10 @@ def _meetings(residents: DataFrame, asked: DataFrame, n: int, block: int, qid_ty
     """qid, vec_id, cosine: the n best, and ties, of each of ``asked(qid, x, cell)`` in the
     blocks of its cell, and then in the cells it was asked in."""
     asked = Scratch(asked.sparkSession).keep(asked)
-    count = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block).alias(name))
-    sizes = count(residents, "rs").join(count(asked, "qs"), "cell")
+    count = lambda df, name, n: df.groupBy("cell").agg(F.ceil(F.count("*") / block).alias(name), F.count("*").alias(n))
+    sizes = count(residents, "rs", "r").join(count(asked, "qs", "q"), "cell")
+    sent = sizes.agg(F.sum(F.col("r") * F.col("qs") + F.col("q") * F.col("rs"))).first()[0]
+    sizes = sizes.drop("r", "q")
     spread = lambda df, id_, own, mine, other: df.join(sizes, "cell").withColumn(own, F.pmod(F.xxhash64(id_), F.col(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col({"rb": "rs", "qb": "qs"}[other]) - 1)))
     none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     left = spread(residents, "vec_id", "rb", "rs", "qb").select("cell", "rb", "qb", "vec_id", none(qid_type, "qid"), "x")
@@ -378,6 +388,7 @@ def _meetings(residents: DataFrame, asked: DataFrame, n: int, block: int, qid_ty
                 out.append(pa.table({"qid": q["qid"].take(pa.array(i)), "vec_id": v["vec_id"].take(pa.array(j)), "cosine": pa.array(cos)}))
         return pa.concat_tables(out) if out else pa.table({"qid": q["qid"].slice(0, 0), "vec_id": v["vec_id"].slice(0, 0), "cosine": pa.array([], pa.float64())})
 
-    met = left.unionByName(right).groupBy("cell", "rb", "qb").applyInArrow(meet, f"qid {qid_type}, vec_id {vec_type}, cosine double")
+    both = left.unionByName(right).repartition(max(asked.sparkSession.sparkContext.defaultParallelism, -(-int(sent or 0) // MET)), "cell", "rb", "qb")
+    met = both.groupBy("cell", "rb", "qb").applyInArrow(meet, f"qid {qid_type}, vec_id {vec_type}, cosine double")
     rank = F.rank().over(Window.partitionBy("qid").orderBy(F.desc("cosine")))
     return met.withColumn("r", rank).where(F.col("r") <= n).drop("r")
