@@ -336,7 +336,8 @@ def content_contains_index(t: Tables):
     """Which rows hold each word of each query, and some short or absent strings."""
     index = trigrams.build(t.m, f"{Scratch(t.spark).root}/grams", 4096)
     words = t.q.select(F.explode(S.tokenize(F.col("qtext"))).alias("w")).unionAll(strings(t.spark, "th", "a", "nowhere to be found", ". ").withColumnRenamed("id", "w"))
-    return trigrams.containing(index, words)[0].groupBy("w").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    lists = trigrams.holding(index, words)[0].select("w", F.size("ids").alias("n"), F.array_min("ids").alias("first_id"), F.array_max("ids").alias("last_id"))
+    return lists.groupBy("w").agg(F.sum("n").cast("long").alias("n"), F.min("first_id").alias("first_id"), F.max("last_id").alias("last_id"))
 
 
 CORPUS = pool_sql() + newcomers_sql(20) + f""",
