@@ -175,3 +175,29 @@ def test_trigram_index(spark, tmp_path):
     hits, report = ask(["needle", "x" * 40, "absent one"])
     assert hits.count() == 24 and report["texts_read"] < 40
     assert trigrams.containing(trigrams.build(frame.where("false"), f"{tmp_path}/none"), spark.createDataFrame([("abc",)], "w string"))[0].count() == 0
+
+
+def test_trigram_lists_are_made_and_searched_in_parts(spark, tmp_path, monkeypatch):
+    """A range's lists in parts of bounded length, a long text a stretch at a time, and texts
+    with so many probes that one pass looks for all."""
+    import random
+
+    import pyarrow as pa
+
+    from mnemora.operators import trigrams as T
+
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcé北\0") for _ in range(rng.randrange(3, 40))) for _ in range(60)] + ["abcdé北" * 20]
+    brute = sorted((ord(t[i]) << 42 | ord(t[i + 1]) << 21 | ord(t[i + 2]), d) for d, t in enumerate(texts) for i in {t[k : k + 3]: k for k in range(len(t) - 2)}.values())
+    monkeypatch.setattr(T, "PART_LETTERS", 100)
+    made = list(T._postings([pa.record_batch([pa.array(range(a, b)), pa.array([0] * (b - a)), pa.array(texts[a:b])], names=["doc", "r", "text"]) for a, b in ((0, 30), (30, 61))]))
+    rows = [x for b in made for x in b.to_pylist()]
+    assert sorted((x["gram"], d) for x in rows for d in x["docs"]) == brute
+    parts = {p: {d for x in rows if x["part"] == p for d in x["docs"]} for p in {x["part"] for x in rows}}
+    assert len(parts) > 10 and all(min(ds) == p and (len(ds) == 1 or sum(len(texts[d]) for d in ds) <= 100) for p, ds in parts.items())
+    monkeypatch.undo()
+    long = [(f"m{i:02}", "".join(rng.choice("abc ") for _ in range(3000))) for i in range(40)]
+    probes = {t[k : k + n] for _, t in long[:4] for k in range(0, 200, 5) for n in (3, 4, 5, 9)} | {"zzzz", "b"}
+    index = T.build(spark.createDataFrame(long, "id string, text string"), f"{tmp_path}/grams", 15)
+    lists = T.holding(index, spark.createDataFrame([(p,) for p in probes], "w string"))[0].collect()
+    assert sorted((i, x.w) for x in lists for i in x.ids) == sorted((i, w) for i, t in long for w in probes if w in t)
