@@ -5,6 +5,9 @@ Under a root the active lines are in ``active``. A rotation renames that folder
 ``segments-<n>`` and deletes ``rotating-<n>``. Renames are whole or not at all, and a reader
 passes over ``half`` folders and over what is rotating once its segments stand; so each
 line is read once, whenever a rotation stops, and ``recover`` takes it up again.
+
+Segments lie whole and in order in files of many, a line with its segment's number: a
+large log has very many segments, but only as many files as tasks wrote it.
 """
 
 from __future__ import annotations
@@ -18,6 +21,8 @@ from pyspark.sql import functions as F
 from ..scratch import Scratch
 
 LINE = "seq long, value string"
+#: Segments that follow each other and go to one file.
+TOGETHER = 256
 
 
 class Log:
@@ -67,9 +72,11 @@ class Log:
         names = self._shown()[1]
         if not names:
             return self.spark.createDataFrame([], "rotation string, segment int, n long, bytes long, first_seq long, last_seq long")
-        rows = self.spark.read.schema(LINE).option("recursiveFileLookup", True).json([f"{self.root}/{n}" for n in names]).withColumn("file", F.input_file_name())
-        part = lambda what: F.regexp_extract("file", what, 1)
-        rows = rows.withColumn("rotation", part("/segments-([0-9]+)/")).withColumn("segment", part("/segment=([0-9]+)/").cast("int"))
+        rows = self.spark.read.schema(f"segment int, {LINE}").option("recursiveFileLookup", True).json([f"{self.root}/{n}" for n in names])
+        part = lambda what: F.regexp_extract(F.input_file_name(), what, 1)
+        # Older rotations have a folder a segment in place of the number in each line.
+        own = F.coalesce("segment", F.when(F.col("segment").isNull(), part("/segment=([0-9]+)/")).cast("int"))
+        rows = rows.select(part("/segments-([0-9]+)/").alias("rotation"), own.alias("segment"), "seq", "value")
         return rows.groupBy("rotation", "segment").agg(F.count("*").alias("n"), F.sum(size()).alias("bytes"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
     def rotate(self, most: int, stop: str = "") -> None:
@@ -100,9 +107,8 @@ class Log:
 
     def _finish(self, n: str, most: int, stop: str = "") -> None:
         rows = self.spark.read.schema(LINE).option("recursiveFileLookup", True).json(f"{self.root}/rotating-{n}")
-        numbered = segmented(rows, most)
-        out = numbered.repartition("segment").sortWithinPartitions("segment", "seq")
-        out.select("segment", "seq", "value").write.partitionBy("segment").option("compression", "gzip").json(f"{self.root}/half-{n}")
+        out = segmented(rows, most).repartition(F.floor(F.col("segment") / TOGETHER)).sortWithinPartitions("segment", "seq", "value")
+        out.select("segment", "seq", "value").write.option("compression", "gzip").json(f"{self.root}/half-{n}")
         if stop == "written":
             return
         self._move(f"half-{n}", f"segments-{n}")

@@ -132,3 +132,23 @@ def test_rotation_by_size(spark, tmp_path):
     log.append(frame([(1, "y" * 200)]))
     with pytest.raises(ValueError, match="more than half"):
         log.rotate(300)
+
+
+def test_rotation_makes_few_files_of_many_segments(spark, tmp_path):
+    """As many files as tasks, whole segments in each; a folder a segment is read too."""
+    import json
+
+    from mnemora.sources.rotation import Log
+
+    log = Log(spark, f"{tmp_path}/log")
+    log.append(spark.range(3000).selectExpr("id AS seq", "concat('line ', id) AS value"))
+    log.rotate(100)
+    found = [(p, json.loads(x)["segment"]) for p in (tmp_path / "log").rglob("*.gz") for x in __import__("gzip").open(p, "rt")]
+    segments = log.segments().collect()
+    assert len(segments) == len({s for _, s in found}) == len(set(found)) > 300 and len({p for p, _ in found}) <= 4
+    assert all(s.bytes <= 100 for s in segments) and sum(s.n for s in segments) == 3000
+    old = tmp_path / "log" / "segments-000000002" / "segment=7"
+    old.mkdir(parents=True)
+    (old / "part.json").write_text('{"seq": 9000, "value": "older"}\n')
+    assert [tuple(x) for x in log.segments().where("rotation = '000000002'").collect()] == [("000000002", 7, 1, 6, 9000, 9000)]
+    assert log.read().count() == 3001
