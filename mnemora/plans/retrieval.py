@@ -322,7 +322,7 @@ def union_lexical(t: Tables):
 def union_lexical_index(t: Tables):
     """The same by an index of grams in place of a scan."""
     index = trigrams.build(t.m, f"{Scratch(t.spark).root}/grams", 4096)
-    found = R.lexical_newcomers(t.pool(5), t.m, t.q, limit=5, finder=lambda words: trigrams.containing(index, words)[0])
+    found = R.lexical_newcomers(t.pool(5), t.m, t.q, limit=5, finder=lambda words: trigrams.first_containing(index, words, 5))
     return found.select("qid", "id", F.col("seen").cast("long").alias("seen"))
 
 

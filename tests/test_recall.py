@@ -201,3 +201,51 @@ def test_trigram_lists_are_made_and_searched_in_parts(spark, tmp_path, monkeypat
     index = T.build(spark.createDataFrame(long, "id string, text string"), f"{tmp_path}/grams", 15)
     lists = T.holding(index, spark.createDataFrame([(p,) for p in probes], "w string"))[0].collect()
     assert sorted((i, x.w) for x in lists for i in x.ids) == sorted((i, w) for i, t in long for w in probes if w in t)
+
+
+def test_trigram_lists_by_small_numbers(monkeypatch):
+    """Grams with small numbers give the lists that whole ones give."""
+    import random
+
+    from mnemora.operators import trigrams as T
+
+    rng = random.Random(3)
+    for letters in ("ab", "abcdé北\0", "".join(map(chr, range(1, 300)))):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 60))) for _ in range(50)] + ["aaa"]
+        made = []
+        for table in (T.TABLE, 0):
+            monkeypatch.setattr(T, "TABLE", table)
+            (lists,) = T._lists(list(range(7, 58)), texts)
+            made.append([x.tolist() for x in lists])
+            monkeypatch.undo()
+        assert made[0] == made[1] and len(made[0][0]) == len({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
+
+
+def test_trigram_first_rows_in_stretches(spark, tmp_path, monkeypatch):
+    """Each probe's first rows by id, whatever the stretches: rare probes with many false
+    candidates, repeated ids, several builds, short and absent probes."""
+    import random
+
+    from mnemora.operators import trigrams as T
+
+    rng = random.Random(9)
+    false = "abcd bcde"  # has both grams of "abcde" but for some rows not the word
+    rows = [(f"m{rng.randrange(10**6):06}", f"{false} {'abcde' if i % 97 == 5 else ''} {'th' if i % 3 else ''}") for i in range(300)]
+    rows += [("m5", "abcde"), ("m5", "abcde twice"), ("z9", "only here"), ("n0", None)]
+    more = [(f"m{rng.randrange(10**6):06}", f"{false} {'abcde' if i % 11 == 5 else ''}") for i in range(60)]
+    index = T.build(spark.createDataFrame(rows, "id string, text string").repartition(3), f"{tmp_path}/grams", 40)
+    index = T.build(spark.createDataFrame(more, "id string, text string"), f"{tmp_path}/grams", 40, index.ranges)
+    probes = ["abcde", "bcd", "only here", "absent", "th", "abcd bcde", "abcde twice"]
+    asked = spark.createDataFrame([(p,) for p in [*probes, "bcd", None, ""]], "w string")
+    monkeypatch.setattr(T, "STRETCH", 2)
+    for limit, many in ((1, 0), (3, 40), (1000, 40)):
+        monkeypatch.setattr(T, "MANY", many)  # with 0 one pass finds also what isn't due in a text
+        got = {}
+        for x in T.first_containing(index, asked, limit).collect():
+            got.setdefault(x.w, []).append(x.id)
+        for w in probes:
+            want = sorted(i for i, t in rows + more if w in (t or ""))
+            have = sorted(got.get(w, []))
+            assert have[:limit] == want[:limit] and not set(have) - set(want), (w, limit)
+        if limit == 1:
+            assert len(got["bcd"]) < 20  # not all 360
