@@ -275,7 +275,9 @@ def supersede(rows: DataFrame, edges: DataFrame, pairs: DataFrame, now: float) -
     scratch = Scratch(rows.sparkSession)
     one = F.max_by("new", "pos") if "pos" in pairs.columns else F.min("new")
     known = rows.select(F.col("id").alias("old"), F.col("superseded_by").alias("by"))
-    wanted = pairs.where("old <> new").join(rows.select(F.col("id").alias("new")), "new", "left_semi")
+    # Written down, as the join would else go into each part of a union, and one task hold the sorts of all.
+    pairs = scratch.keep(pairs.where("old <> new"))
+    wanted = pairs.join(rows.select(F.col("id").alias("new")), "new", "left_semi")
     wanted = wanted.groupBy("old").agg(one.alias("new")).join(known, "old").where("NOT new <=> by").select("old", "new")
     wanted = scratch.keep(wanted)
     marks = rows.where("superseded_by <> ''").select("id", F.col("superseded_by").alias("next"))

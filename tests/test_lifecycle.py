@@ -284,6 +284,21 @@ def test_supersede_in_chains(spark):
     assert {r.id for r in Y.supersede(rows, edges, spark.createDataFrame([("s00", "s02", 2), ("s00", "s01", 1)], "old string, new string, pos int"), NOW)[0].where("superseded_by = 's02'").collect()} == {"s00"}
 
 
+def test_supersede_joins_parts_of_a_union_once(spark, monkeypatch, capsys):
+    """No stage holds a join of its own for each part of the pairs."""
+    keep = Y.Scratch.keep
+    monkeypatch.setattr(Y.Scratch, "keep", lambda self, df: (df.explain(), keep(self, df))[1])
+    rows = stored(spark, *[f"t{i}" for i in range(12)])
+    pairs = spark.createDataFrame([], "old string, new string")
+    for i in range(5):
+        pairs = pairs.unionAll(rows.where(F.col("id") == f"s{i}").select(F.col("id").alias("old"), F.lit(f"s{i + 5}").alias("new")))
+    edges = spark.createDataFrame([], "src string, dst string, rel string")
+    after, links = Y.supersede(rows, edges, pairs, NOW)
+    plans = capsys.readouterr().out.split("== Physical Plan ==")[1:]
+    assert plans and max(p.count("LeftSemi") for p in plans) <= 1
+    assert {(r.id, r.superseded_by) for r in after.where("superseded_by <> ''").collect()} == {(f"s{i}", f"s{i + 5}") for i in range(5)} and links.count() == 5
+
+
 def test_restore_gives_back(spark):
     rows = stored(spark, "a", "b", "c").withColumn("pinned", F.col("id") == "s0")
     edges = spark.createDataFrame([("s1", "s0", "related")], "src string, dst string, rel string")
