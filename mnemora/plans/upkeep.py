@@ -329,9 +329,9 @@ def nuke(t: Tables):
 def _pairs(t: Tables) -> DataFrame:
     """Chains of two, a second wish for their first rows, loops of three, loops with older
     marks, and marks that stand already."""
-    to = lambda cond, by: t.m.where(cond).select(F.col("id").alias("old"), name_of(F.col("i") + by).alias("new"))
-    pairs = to("i % 50 = 1", 1).unionAll(to("i % 50 = 2", 3)).unionAll(to("i % 50 = 1", 7)).unionAll(to("i % 50 IN (20, 21)", 1)).unionAll(to("i % 50 = 22", -2))
-    return pairs.unionAll(to("i % 92 = 24", -1)).unionAll(to("i % 46 = 23", 1)).unionAll(to("i = 7", 0))
+    wishes = [("i % 50 = 1", 1), ("i % 50 = 2", 3), ("i % 50 = 1", 7), ("i % 50 IN (20, 21)", 1), ("i % 50 = 22", -2), ("i % 92 = 24", -1), ("i % 46 = 23", 1), ("i = 7", 0)]
+    new = F.array_compact(F.array(*[F.when(F.expr(cond), name_of(F.col("i") + by)) for cond, by in wishes]))
+    return t.m.select(F.col("id").alias("old"), F.explode(new).alias("new"))
 
 
 PAIRS = """,
