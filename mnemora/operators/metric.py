@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +21,13 @@ from ..scratch import Scratch
 
 #: Vectors of a cell, on average, and cells at most: their pivots go to every task.
 CELL, CELLS = 8192, 4096
-#: Vectors of a cell that meet in a task are at most about twice this many. Where cells don't
-#: part the vectors, each is sent once a block, so that twice the block is half the shuffle.
-BLOCK = 8192
-#: Rows of a block that a task multiplies at once.
-AT_ONCE = 512
-#: Vectors that a partition of meetings holds, about, whatever their number.
-MET = 32_768
+#: Vectors of a block, about, and bytes of them at most. Each block is written down once, and
+#: tasks read those that meet: what is written grows as the vectors do, whatever meets.
+BLOCK, BLOCK_BYTES = 8192, 4 << 20
+#: Rows of a block that a task multiplies at once, and pairs of them that it confirms at once.
+AT_ONCE, CONFIRMED = 512, 65_536
+#: Blocks of a partition: a task holds the pairs of two partitions' blocks.
+BLOCKS_AT_ONCE = 4
 #: More than what rounding may add to a distance.
 SLACK = 1e-7
 
@@ -103,63 +104,136 @@ def _visits(unit: np.ndarray, cells: Cells, reach: float) -> tuple[np.ndarray, l
     return own, [np.flatnonzero(row).tolist() for row in may]
 
 
+def _pack(x: np.ndarray) -> tuple[bytes, bool]:
+    """Vectors as bytes, and whether these are doubles: of what floats hold exactly, they are floats."""
+    with np.errstate(over="ignore"):
+        narrow = x.astype(np.float32)
+    wide = not np.array_equal(narrow, x)
+    return (x if wide else narrow).tobytes(), wide
+
+
+def _unpack(row: dict) -> np.ndarray:
+    x = np.frombuffer(row["x"].as_buffer(), dtype=np.float64 if row["wide"].as_py() else np.float32)
+    return x.reshape(len(row["ids"].values), -1).astype(np.float64)
+
+
+def _slack(dim: int) -> float:
+    """More than what products of unit vectors in single precision are off."""
+    return (dim + 8) * 2.0**-23
+
+
+def _toward(unit: np.ndarray, cells: Cells, own: int, other: int, reach: np.ndarray | float) -> np.ndarray:
+    """Which vectors of one cell may have neighbours within ``reach`` in the other."""
+    mine, theirs = unit @ cells.pivots[own], unit @ cells.pivots[other]
+    border = (mine - theirs) / max(cells.apart[own, other], 1e-9)
+    dist = np.sqrt(np.maximum(0, 2 - 2 * theirs))
+    return (border <= reach + SLACK) & (dist <= cells.radius[other] + reach + SLACK)
+
+
+def _blocks(placed: DataFrame, name: str, keys: list[str], block: int, pack, schema: str, scratch: Scratch) -> DataFrame:
+    """``placed(name, *keys, x, ...)`` in blocks: a row for each, as ``pack`` makes it of a table.
+
+    They lie in as many partitions as keep a task's meetings few and all cores busy.
+    """
+    dim = placed.select(F.size("x")).first()
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, dim[0] if dim else 1))))
+    sizes = scratch.keep(placed.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("pieces")))
+    total = int(sizes.agg(F.sum("pieces")).first()[0] or 1)
+    cores = scratch.spark.sparkContext.defaultParallelism
+    parts = min(total, max(-(-total // BLOCKS_AT_ONCE), int(np.ceil(np.sqrt(8 * cores)))))
+    dealt = placed.join(F.broadcast(sizes), keys).withColumn("piece", F.pmod(F.xxhash64(name), F.col("pieces"))).drop("pieces")
+    return scratch.keep(dealt.repartition(parts, *keys, "piece").groupBy(*keys, "piece").applyInArrow(pack, schema))
+
+
+def _pairs(one: DataFrame, two: DataFrame, may) -> DataFrame:
+    """Rows of two tables of blocks where ``may`` holds, columns ending in 1 and 2. Tasks read
+    the tables where they are written down: nothing is sent by key, so no copy is stored."""
+    named = lambda df, i: df.select(*[F.col(c).alias(f"{c}{i}") for c in df.columns])
+    return named(one, 1).hint("shuffle_replicate_nl").join(named(two, 2), may)
+
+
+def _both(batches):
+    """The two blocks of each pair of ``_pairs``, as dicts of scalars."""
+    for b in batches:
+        for i in range(b.num_rows):
+            yield tuple({c[:-1]: b.column(k)[i] for k, c in enumerate(b.schema.names) if c.endswith(side)} for side in "12")
+
+
+def _cosines(x: np.ndarray, y: np.ndarray, xn: np.ndarray, yn: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """By a plain sum: a product of matrices rounds differently."""
+    scale = xn[i] * yn[j]
+    return np.divide((x[i] * y[j]).sum(axis=1), scale, out=np.zeros(len(i)), where=scale > 0)
+
+
+def _hits(dots: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of products that are ``least`` of their row or more. Few rows have any."""
+    some = np.flatnonzero(~(dots.max(axis=1) < least))
+    i, j = np.nonzero(dots[some] >= least[some, None])
+    return some[i], j
+
+
 def similar(vectors: DataFrame, threshold: float, cell: int = CELL, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
     """type, p, q, similarity of vectors (vec_id p <= q) of one type of cosine ``threshold``
     or more, of distinct ``vectors(type, vec_id, x)``. Exact.
 
-    A pair is judged in the lower of its two vectors' cells: there one of them lives, and
-    the other visits. A cell that is large all the same is cut into blocks of about
-    ``block`` vectors, of which each two meet in a task of their own. A vector and itself
-    are a pair; zeros have a cosine of 0 with all.
+    Vectors are written down in blocks, each of one type and cell, of about ``block``; two
+    blocks meet if a vector of the higher cell may have a neighbour in the lower one. A vector
+    and itself are a pair; zeros have a cosine of 0 with all.
     """
     scratch = Scratch(vectors.sparkSession)
     reach = float(np.sqrt(max(0.0, 2 - 2 * threshold)))
+    vec_type = dict(vectors.dtypes)["vec_id"]
+    vectors = scratch.keep(vectors.select("type", "vec_id", F.col("x").cast("array<double>").alias("x")))
     # From a right angle on nothing is out of reach.
     found = cells_of(vectors.select("vec_id", "x"), cell, cells) if threshold > 0 else Cells(np.zeros((1, 1)), np.zeros((1, 1)), np.array([2.0]))
 
     def place(batches):
         for b in batches:
             if b.num_rows:
-                own, more = _visits(_unit(matrix(b.column(2)))[0], found, reach)
-                yield pa.record_batch([*b.columns, pa.array(own, pa.int32()), pa.array(more, pa.list_(pa.int32()))], names=["type", "vec_id", "x", "own", "more"])
+                own = near_pivots(_unit(matrix(b.column(2)))[0], found.pivots)[1]
+                yield pa.record_batch([*b.columns, pa.array(own, pa.int32())], names=["type", "vec_id", "x", "cell"])
 
-    vec_type = dict(vectors.dtypes)["vec_id"]
-    placed = vectors.select("type", "vec_id", F.col("x").cast("array<double>").alias("x")).mapInArrow(place, f"type string, vec_id {vec_type}, x array<double>, own int, more array<int>")
-    both = F.concat(F.array(F.struct(F.col("own").alias("cell"), F.lit(0).alias("role"))), F.transform("more", lambda c: F.struct(c.alias("cell"), F.lit(1).alias("role"))))
-    in_cells = scratch.keep(placed.select("type", "vec_id", "x", F.explode(both).alias("at")).select("type", "vec_id", "x", "at.cell", "at.role"))
-    sizes = in_cells.groupBy("type", "cell").agg(*[F.ceil(F.count_if(F.col("role") == i) / block).alias(f"blocks{i}") for i in (0, 1)], *[F.count_if(F.col("role") == i).alias(f"n{i}") for i in (0, 1)])
-    # Residents' blocks come first, visitors' after them; two visitors never meet.
-    dealt = in_cells.join(sizes.where("blocks0 > 0").select("type", "cell", "blocks0", "blocks1"), ["type", "cell"])
-    own = F.pmod(F.xxhash64("vec_id"), F.when(F.col("role") == 0, F.col("blocks0")).otherwise(F.col("blocks1"))) + F.when(F.col("role") == 1, F.col("blocks0")).otherwise(F.lit(0))
-    last = F.when(F.col("role") == 0, F.col("blocks0") + F.col("blocks1")).otherwise(F.col("blocks0")) - 1
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    dealt = dealt.select("type", "cell", "vec_id", "x", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-
-    def meet(table: pa.Table) -> pa.Table:
-        ids, blocks = table["vec_id"].to_numpy(), table["own"].to_numpy()
-        low, high = table["low"][0].as_py(), table["high"][0].as_py()
+    def pack(table: pa.Table) -> pa.Table:
         x = matrix(table["x"])
-        unit, norm = _unit(x)
-        a, b = np.flatnonzero(blocks == low), np.flatnonzero(blocks == high)
-        other, found = unit[b].T, []
-        for at in range(0, len(a), AT_ONCE):
-            i, j = np.nonzero(unit[a[at : at + AT_ONCE]] @ other >= threshold - 1e-9)
-            found.append((a[at + i], b[j]))
-        i, j = (np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=int)]) for k in (0, 1))
-        if low == high:
-            i, j = i[i <= j], j[i <= j]
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        # The product rounds differently from a plain sum, which decides.
-        cos = np.divide((x[i] * x[j]).sum(axis=1), norm[i] * norm[j], out=np.zeros(len(i)), where=norm[i] * norm[j] > 0)
-        keep = cos >= threshold
-        kind = pa.array([table["type"][0].as_py()] * int(keep.sum()), pa.string())
-        return pa.table({"type": kind, "p": ids[i][keep], "q": ids[j][keep], "similarity": cos[keep]})
-
-    blocks = F.col("blocks0") + F.col("blocks1")
-    sent = sizes.agg(F.sum(F.col("n0") * blocks + F.col("n1") * F.col("blocks0"))).first()[0]
-    dealt = dealt.repartition(max(scratch.spark.sparkContext.defaultParallelism, -(-int(sent or 0) // MET)), "type", "cell", "low", "high")
-    return dealt.groupBy("type", "cell", "low", "high").applyInArrow(meet, f"type string, p {vec_type}, q {vec_type}, similarity double")
+        data, wide = _pack(x)
+        near = sorted({c for row in _visits(_unit(x)[0], found, reach)[1] for c in row})
+        one = lambda name: table[name].slice(0, 1)
+        ids = pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), table["vec_id"].combine_chunks())
+        return pa.table({"type": one("type"), "cell": one("cell"), "piece": one("piece"), "ids": ids, "x": pa.array([data], pa.binary()), "wide": [wide], "near": pa.array([near], pa.list_(pa.int32()))})
+
+    placed = vectors.withColumn("cell", F.lit(0)) if len(found) == 1 else vectors.mapInArrow(place, f"type string, vec_id {vec_type}, x array<double>, cell int")
+    blocks = _blocks(placed, "vec_id", ["type", "cell"], block, pack, f"type string, cell int, piece long, ids array<{vec_type}>, x binary, wide boolean, near array<int>", scratch)
+
+    def meet(batches):
+        for one, two in _both(batches):
+            own, other = one["cell"].as_py(), two["cell"].as_py()
+            same = own == other and one["piece"].as_py() == two["piece"].as_py()
+            x, y = _unpack(one), _unpack(two)
+            (xu, xn), (yu, yn) = _unit(x), _unit(y)
+            a, b = np.arange(len(x)), np.arange(len(y))
+            if own != other:
+                a, b = np.flatnonzero(_toward(xu, found, own, other, reach)), np.flatnonzero(_toward(yu, found, other, own, reach))
+            xf, yf, least = xu[a].astype(np.float32), np.ascontiguousarray(yu[b].astype(np.float32).T), np.full(AT_ONCE, threshold - _slack(x.shape[1]), dtype=np.float32)
+            if not len(b):
+                continue
+            left, right = one["ids"].values, two["ids"].values
+            for at in range(0, len(a), AT_ONCE):
+                dots = xf[at : at + AT_ONCE] @ yf
+                rows, columns = _hits(dots, least[: len(dots)])
+                for cut in range(0, len(rows), CONFIRMED):
+                    i, j = a[at + rows[cut : cut + CONFIRMED]], b[columns[cut : cut + CONFIRMED]]
+                    if same:
+                        i, j = i[i <= j], j[i <= j]
+                    cos = _cosines(x, y, xn, yn, i, j)
+                    i, j, cos = (v[cos >= threshold] for v in (i, j, cos))
+                    p, q = left.take(pa.array(i)), right.take(pa.array(j))
+                    swap = pc.greater(p, q)
+                    kind = pa.array([one["type"].as_py()] * len(cos), pa.string())
+                    yield pa.record_batch([kind, pc.if_else(swap, q, p), pc.if_else(swap, p, q), pa.array(cos)], names=["type", "p", "q", "similarity"])
+
+    within = (F.col("cell1") == F.col("cell2")) & (F.col("piece1") <= F.col("piece2"))
+    pairs = _pairs(blocks, blocks, (F.col("type1") == F.col("type2")) & (within | F.array_contains("near1", F.col("cell2"))))
+    return pairs.mapInArrow(meet, f"type string, p {vec_type}, q {vec_type}, similarity double")
 
 
 # --- an index for nearest vectors --------------------------------------------------------
@@ -293,24 +367,29 @@ def _scan(spark, index: Index, order: list[int], wanted: np.ndarray, batch: list
     return scratch.keep(found.withColumn("r", rank).where(F.col("r") <= n).drop("r"))
 
 
-def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CELL, cells: int = CELLS, block: int = BLOCK) -> DataFrame:
+def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CELL, cells: int = CELLS, block: int = BLOCK, least: float | None = None, ties: str | None = None) -> DataFrame:
     """qid, vec_id, cosine: the n nearest of ``vectors(vec_id, x)`` to each of
     ``queries(qid, qx)`` and all that are as near as the last of them; exact.
 
-    For queries as many as the vectors: both sides stay on the executors. A query first meets
-    the vectors of its own cell, which bounds how far its n-th may be, and then those of
-    the cells that the bound doesn't rule out; a cell's vectors and queries meet in blocks.
+    For queries as many as the vectors: both sides stay on the executors, written down once in
+    blocks of about ``block``, each of one cell. A query first meets the vectors of its own
+    cell, which bounds how far its n-th may be, and then those of the cells that the bound
+    doesn't rule out. With ``least`` only neighbours of that cosine or more count, and they
+    are all found at once. With ``ties``, a column of ``vectors``, equal cosines stand in its
+    order, and a query has n neighbours and no more, however many vectors are equal.
     Zeros have a cosine of 0 with all: zero vectors are a cell of their own, a right angle
     from everything, and zero queries meet every cell. Vectors that are null, hold nulls or
     are of another length than the queries are no neighbours.
     """
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    queries = queries.select("qid", F.col("qx").cast("array<double>").alias("x"))
+    queries = scratch.keep(queries.select("qid", F.col("qx").cast("array<double>").alias("x")))
     dims = [r[0] for r in queries.select(F.size("x")).distinct().limit(2).collect()]
     if len(dims) > 1:
         raise ValueError("queries must have vectors of one length")
     qid_type, vec_type = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["vec_id"]
-    usable = vectors.select("vec_id", F.col("x").cast("array<double>").alias("x")).where((F.size("x") == (dims[0] if dims else -1)) & F.forall("x", lambda v: v.isNotNull()))
+    tie_type = dict(vectors.dtypes)[ties] if ties else "int"
+    usable = vectors.select("vec_id", F.col("x").cast("array<double>").alias("x"), (F.col(ties) if ties else F.lit(0)).alias("tie"))
+    usable = scratch.keep(usable.where((F.size("x") == (dims[0] if dims else -1)) & F.forall("x", lambda v: v.isNotNull())))
     found = cells_of(usable, cell, cells)
 
     def own_cell(unit: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -324,71 +403,88 @@ def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CEL
                 unit, norm = _unit(matrix(b.column(1)))
                 yield pa.record_batch([*b.columns, pa.array(own_cell(unit, norm))], names=[*b.schema.names, "cell"])
 
-    residents = scratch.keep(usable.mapInArrow(place, f"vec_id {vec_type}, x array<double>, cell int"))
-    sizes = {r.cell: r["count"] for r in residents.groupBy("cell").count().collect()}  # at most ``cells`` of them
-    first = scratch.keep(_meetings(residents, queries.mapInArrow(place, f"qid {qid_type}, x array<double>, cell int"), n, block, qid_type, vec_type))
+    one = lambda table, name: table[name].slice(0, 1)
+    lists = lambda column: pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column.combine_chunks())
+
+    def pack(table: pa.Table) -> pa.Table:
+        data, wide = _pack(matrix(table["x"]))
+        return pa.table({"cell": one(table, "cell"), "ids": lists(table["vec_id"]), "x": pa.array([data], pa.binary()), "wide": [wide], "ties": lists(table["tie"])})
+
+    residents = usable.mapInArrow(place, f"vec_id {vec_type}, x array<double>, tie {tie_type}, cell int")
+    residents = _blocks(residents, "vec_id", ["cell"], block, pack, f"cell int, ids array<{vec_type}>, x binary, wide boolean, ties array<{tie_type}>", scratch)
+    filled = np.array(sorted(r.cell for r in residents.select("cell").distinct().collect()), dtype=int)  # at most ``cells`` of them
+
+    def reaches(bound: np.ndarray, norm: np.ndarray) -> np.ndarray:
+        """How far neighbours of a cosine of ``bound`` may be; -inf sets no bound."""
+        return np.where((bound <= 0) & (norm == 0) | np.isneginf(bound), np.inf, np.sqrt(np.maximum(0, 2 - 2 * np.maximum(bound, -1))))
+
+    def low(unit: np.ndarray, norm: np.ndarray, own: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """How far the vectors of the cells ``to`` are from queries, at least."""
+        out = np.zeros((len(unit), len(to)))
+        if len(found) > 1:
+            home, live = np.maximum(own, 0), to != ZEROS
+            dots = unit @ found.pivots[to[live]].T
+            mine = (unit * found.pivots[home]).sum(axis=1)
+            apart = found.apart[home][:, to[live]]
+            border = np.where(apart > 0, (mine[:, None] - dots) / np.where(apart > 0, apart, 1), 0)
+            out[:, live] = np.maximum(np.maximum(0, np.sqrt(np.maximum(0, 2 - 2 * dots)) - found.radius[to[live]]), border)
+            out[:, ~live] = np.sqrt(2)
+            out[norm == 0] = 0
+        return out
+
+    def ask(at_home: bool, away: bool):
+        """Packs queries, and the cells they are asked in: their own, others within reach, or both."""
+
+        def pack(table: pa.Table) -> pa.Table:
+            x, own, bound = matrix(table["x"]), table["cell"][0].as_py(), table["least"].to_numpy()
+            unit, norm = _unit(x)
+            within = low(unit, norm, np.full(len(x), own), filled) <= reaches(bound, norm)[:, None] + SLACK if away else np.zeros((1, len(filled)), dtype=bool)
+            near = sorted({int(c) for c in filled[within.any(axis=0)] if c != own} | ({own} if at_home else set()))
+            data, wide = _pack(x)
+            return pa.table({"cell": one(table, "cell"), "ids": lists(table["qid"]), "x": pa.array([data], pa.binary()), "wide": [wide], "least": lists(table["least"]), "near": pa.array([near], pa.list_(pa.int32()))})
+
+        return pack
+
+    def meet(batches):
+        for query, stored in _both(batches):
+            q, x = _unpack(query), _unpack(stored)
+            (qu, qn), (xu, xn) = _unit(q), _unit(x)
+            bound, own, to = query["least"].values.to_numpy(), query["cell"].as_py(), stored["cell"].as_py()
+            a = np.arange(len(q)) if own == to else np.flatnonzero(low(qu, qn, np.full(len(q), own), np.array([to]))[:, 0] <= reaches(bound, qn) + SLACK)
+            slack, xf = _slack(x.shape[1]), np.ascontiguousarray(xu.astype(np.float32).T)
+            names, known = query["ids"].values, stored["ids"].values
+            order = np.argsort(np.argsort(stored["ties"].values.to_numpy(zero_copy_only=False), kind="stable"))
+            for at in range(0, len(a), AT_ONCE):
+                part = a[at : at + AT_ONCE]
+                dots, cut = qu[part].astype(np.float32) @ xf, (bound[part] - slack).astype(np.float32)
+                rows, columns = _hits(dots, cut)
+                many = np.flatnonzero(np.bincount(rows, minlength=len(part)) > n)
+                if len(many):
+                    cut[many] = np.partition(np.where(dots[many] >= cut[many, None], dots[many], -np.inf), -n, axis=1)[:, -n] - np.float32(2 * slack)
+                    rows, columns = _hits(dots, cut)
+                cos = np.concatenate([_cosines(q, x, qn, xn, part[rows[c : c + CONFIRMED]], columns[c : c + CONFIRMED]) for c in range(0, len(rows), CONFIRMED)] or [np.zeros(0)])
+                keep = np.flatnonzero(cos >= bound[part[rows]])
+                if ties:
+                    keep = keep[np.lexsort((order[columns[keep]], -cos[keep], rows[keep]))]
+                    sort = rows[keep]
+                    keep = keep[np.arange(len(sort)) - np.searchsorted(sort, sort) < n]
+                yield pa.record_batch([names.take(pa.array(part[rows[keep]])), known.take(pa.array(columns[keep])), pa.array(cos[keep]), stored["ties"].values.take(pa.array(columns[keep]))], names=["qid", "vec_id", "cosine", "tie"])
+
+    def met(asked: DataFrame, at_home: bool, away: bool) -> DataFrame:
+        placed = asked.mapInArrow(place, f"qid {qid_type}, x array<double>, least double, cell int")
+        blocks = _blocks(placed, "qid", ["cell"], block, ask(at_home, away), f"cell int, ids array<{qid_type}>, x binary, wide boolean, least array<double>, near array<int>", scratch)
+        pairs = _pairs(blocks, residents, F.array_contains("near1", F.col("cell2")))
+        return best(pairs.mapInArrow(meet, f"qid {qid_type}, vec_id {vec_type}, cosine double, tie {tie_type}"))
+
+    def best(near: DataFrame) -> DataFrame:
+        by = Window.partitionBy("qid").orderBy(F.desc("cosine"), *(["tie", "vec_id"] if ties else []))
+        return near.withColumn("r", (F.row_number() if ties else F.rank()).over(by)).where(F.col("r") <= n).drop("r")
+
+    bounded = lambda df, to: df.select("qid", "x", to.cast("double").alias("least"))
+    none = F.lit(float("-inf"))
+    if least is not None or len(found) == 1:
+        return met(bounded(queries, F.lit(least) if least is not None else none), True, True).select("qid", "vec_id", "cosine")
+    first = scratch.keep(met(bounded(queries, none), True, False))
     bound = first.groupBy("qid").agg(F.count("*").alias("k"), F.min("cosine").alias("least")).where(F.col("k") >= n).select("qid", "least")
-    filled = np.array(sorted(sizes), dtype=int)
-
-    def roam(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            unit, norm = _unit(matrix(b.column(1)))
-            own, least = own_cell(unit, norm), b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
-            reach = np.where(np.isnan(least) | (norm == 0), np.inf, np.sqrt(np.maximum(0, 2 - 2 * least)))
-            low = np.zeros((len(unit), len(filled)))
-            if len(found) > 1:
-                live = filled != ZEROS
-                dots = unit @ found.pivots.T
-                home = dots.argmax(axis=1)
-                border = (dots[np.arange(len(unit)), home][:, None] - dots) / np.where(found.apart[home] > 0, found.apart[home], 1)
-                border[np.arange(len(unit)), home] = 0
-                far = np.maximum(np.maximum(0, np.sqrt(np.maximum(0, 2 - 2 * dots)) - found.radius), border)
-                low[:, live] = far[:, filled[live]]
-                low[:, ~live] = np.sqrt(2)
-                low[norm == 0] = 0
-            more = (low <= reach[:, None] + SLACK) & (filled != own[:, None])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([filled[row].tolist() for row in more], pa.list_(pa.int32()))], names=["qid", "x", "cells"])
-
-    others = queries.join(bound, "qid", "left").select("qid", "x", "least").mapInArrow(roam, f"qid {qid_type}, x array<double>, cells array<int>")
-    then = _meetings(residents, others.select("qid", "x", F.explode("cells").alias("cell")), n, block, qid_type, vec_type)
-    rank = F.rank().over(Window.partitionBy("qid").orderBy(F.desc("cosine")))
-    return first.unionByName(then).withColumn("r", rank).where(F.col("r") <= n).drop("r")
-
-
-def _meetings(residents: DataFrame, asked: DataFrame, n: int, block: int, qid_type: str, vec_type: str) -> DataFrame:
-    """qid, vec_id, cosine: the n best, and ties, of each of ``asked(qid, x, cell)`` in the
-    blocks of its cell, and then in the cells it was asked in."""
-    asked = Scratch(asked.sparkSession).keep(asked)
-    count = lambda df, name, n: df.groupBy("cell").agg(F.ceil(F.count("*") / block).alias(name), F.count("*").alias(n))
-    sizes = count(residents, "rs", "r").join(count(asked, "qs", "q"), "cell")
-    sent = sizes.agg(F.sum(F.col("r") * F.col("qs") + F.col("q") * F.col("rs"))).first()[0]
-    sizes = sizes.drop("r", "q")
-    spread = lambda df, id_, own, mine, other: df.join(sizes, "cell").withColumn(own, F.pmod(F.xxhash64(id_), F.col(mine))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col({"rb": "rs", "qb": "qs"}[other]) - 1)))
-    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
-    left = spread(residents, "vec_id", "rb", "rs", "qb").select("cell", "rb", "qb", "vec_id", none(qid_type, "qid"), "x")
-    right = spread(asked, "qid", "qb", "qs", "rb").select("cell", "rb", "qb", none(vec_type, "vec_id"), "qid", "x")
-
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        is_query = np.array(table["vec_id"].is_null())
-        v, q = table.filter(pa.array(~is_query)), table.filter(pa.array(is_query))
-        out = []
-        if v.num_rows and q.num_rows:
-            x, qx = matrix(v["x"]), matrix(q["x"])
-            (xu, own), (qu, norms) = _unit(x), _unit(qx)
-            for at in range(0, len(qu), 256):
-                near = qu[at : at + 256] @ xu.T
-                cut = np.partition(near, -n, axis=1)[:, [-n]] if near.shape[1] > n else near.min(axis=1, keepdims=True)
-                i, j = np.nonzero(near >= cut - 1e-9)
-                i += at
-                scale = norms[i] * own[j]
-                cos = np.divide((qx[i] * x[j]).sum(axis=1), scale, out=np.zeros(len(i)), where=scale > 0)
-                out.append(pa.table({"qid": q["qid"].take(pa.array(i)), "vec_id": v["vec_id"].take(pa.array(j)), "cosine": pa.array(cos)}))
-        return pa.concat_tables(out) if out else pa.table({"qid": q["qid"].slice(0, 0), "vec_id": v["vec_id"].slice(0, 0), "cosine": pa.array([], pa.float64())})
-
-    both = left.unionByName(right).repartition(max(asked.sparkSession.sparkContext.defaultParallelism, -(-int(sent or 0) // MET)), "cell", "rb", "qb")
-    met = both.groupBy("cell", "rb", "qb").applyInArrow(meet, f"qid {qid_type}, vec_id {vec_type}, cosine double")
-    rank = F.rank().over(Window.partitionBy("qid").orderBy(F.desc("cosine")))
-    return met.withColumn("r", rank).where(F.col("r") <= n).drop("r")
+    then = met(bounded(queries.join(bound, "qid", "left"), F.coalesce("least", none)), False, True)
+    return best(first.unionByName(then)).select("qid", "vec_id", "cosine")

@@ -263,6 +263,40 @@ def test_nearest_join(spark, spread, cell, block):
     assert metric.nearest_join(frame, queries.where("false"), k).count() == 0 == metric.nearest_join(frame.where("false"), queries, k).count()
 
 
+def test_nearest_join_above_a_bound_with_ties(spark, monkeypatch):
+    """As a scan; of very many equal vectors each query has n, the first by name, and what is
+    written down doesn't grow with how many blocks meet."""
+    from mnemora.operators import metric
+
+    n, k, least = 300, 4, 0.6
+    x = some_vectors(7, n, 6, 15, 0.3).astype(np.float32).astype(float)
+    x[40:240:2] = x[40]
+    name = [f"r{(i * 7) % n:03}" for i in range(n)]
+    frame = spark.createDataFrame([(i, x[i].tolist(), name[i]) for i in range(n)], "vec_id long, x array<double>, name string").repartition(3)
+    queries = frame.select(F.col("vec_id").alias("qid"), F.col("x").alias("qx"))
+    cos = cosines(x, x)
+    want = {i: sorted((j for j in range(n) if cos[i, j] >= least), key=lambda j: (-cos[i, j], name[j]))[:k] for i in range(n)}
+    for cell, block in ((20, 2048), (300, 10)):
+        kept, got = [], {}
+        with monkeypatch.context() as m:
+            keep = metric.Scratch.keep
+            m.setattr(metric.Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+            for r in metric.nearest_join(frame, queries, k, cell, 64, block, least, "name").collect():
+                got.setdefault(r.qid, []).append((-r.cosine, name[r.vec_id], r.vec_id))
+        assert {i: [v[-1] for v in sorted(got.get(i, []))] for i in range(n)} == want
+        blocks = [df for df in kept if "ids" in df.columns]
+        assert [df.select(F.sum(F.size("ids"))).first()[0] for df in blocks] == [n, n]  # each vector once
+
+
+def test_blocks_hold_what_floats_hold(spark):
+    """A block is half as large where single precision loses nothing, and whole where it would."""
+    from mnemora.operators import metric
+
+    x = np.array([[0.5, 0.25], [1.0, np.float32(0.1)]])
+    assert metric._pack(x)[1] is False and len(metric._pack(x)[0]) == 16
+    assert all(metric._pack(v)[1] for v in (x + 1e-12, x * 1e300, np.array([[np.nan, 1.0]])))
+
+
 def test_conflict_classes(spark):
     """A vector that many rows share costs a few rows, and expands to the same pairs."""
     rows = spark.range(300).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("id"), F.lit("t").alias("type"), (F.col("id") % 150 == 7).cast("long").alias("vec_id"),
