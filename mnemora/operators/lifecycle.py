@@ -72,7 +72,7 @@ def build(items: DataFrame, now: float, importance: Callable[[Column, Column, Co
 
     Ids are hashes of pos, text and time, so that a task that runs again gives the same
     ones. Texts are stripped, importance is kept in 0..1; a missing one is what
-    ``importance(text, type, tags)`` says, or 0.5.
+    ``importance(text, type, tags)`` says, or 0.5. A vec_id is kept.
     """
     ok = problem(items)
     text = F.trim("text")
@@ -94,7 +94,8 @@ def build(items: DataFrame, now: float, importance: Callable[[Column, Column, Co
     }
     names = [x.split()[0] for x in ROW.split(", ")]
     kinds = dict(x.split() for x in ROW.split(", "))
-    return ok.select("pos", *[fresh.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in names])
+    known = [c for c in ("vec_id",) if c in items.columns]
+    return ok.select("pos", *[fresh.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in names], *known)
 
 
 def remember_many(rows: DataFrame, fresh: DataFrame, now: float, idempotent: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -65,6 +65,13 @@ def test_conflict_policies(spark):
         Y.remember(rows, old, fresh, new, NOW, "merge")
 
 
+def test_built_rows_keep_their_vectors(spark):
+    """So that texts needn't meet their vectors' ids again by pos."""
+    built = Y.build(items(spark, [(1, "x", 7), (2, "y", 9)], ", vec_id long"), NOW)
+    assert {r.pos: r.vec_id for r in built.collect()} == {1: 7, 2: 9}
+    assert "vec_id" not in Y.build(items(spark, [(1, "x")]), NOW).columns
+
+
 def test_consolidation(spark):
     rows = stored(spark, "alpha", "beta", "gamma").withColumn("pinned", F.col("id") == "s1")
     edges = spark.createDataFrame([("s2", "s0", "related")], "src string, dst string, rel string")
