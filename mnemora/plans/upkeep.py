@@ -30,19 +30,19 @@ SELECT a, b, round(s, 4) AS similarity, kind FROM cf WHERE s >= 0.8::DOUBLE"""
 
 @query("conflicts_all_pairs", conflicts_sql())
 def conflicts_all_pairs(t: Tables):
-    return C.conflicts(t.embedded("superseded_by = ''"))
+    return C.conflicts(t.m.where("superseded_by = ''"), vectors=t.v)
 
 
 @query("contradiction_fn", conflicts_sql("WHEN abs(length(a.text) - length(b.text)) > 500 THEN 'custom' "))
 def contradiction_fn(t: Tables):
     """A rule of the user's own, on pairs that polarity and negations leave open."""
-    differ = lambda one, two: F.abs(F.length(one("text")) - F.length(two("text"))) > 500
-    return C.conflicts(t.embedded("superseded_by = ''"), contradicts=differ)
+    differ = lambda one, two: F.abs(one("length") - two("length")) > 500
+    return C.conflicts(t.m.where("superseded_by = ''"), contradicts=differ, reads={"length": F.length("text")}, vectors=t.v)
 
 
 @query("classify_conflict", conflicts_sql().replace("SELECT a, b, round(s, 4) AS similarity, kind FROM cf", "SELECT kind, count(*) AS n FROM cf") + " GROUP BY kind")
 def classify_conflict(t: Tables):
-    return C.conflicts(t.embedded("superseded_by = ''")).groupBy("kind").agg(F.count("*").alias("n"))
+    return C.conflicts(t.m.where("superseded_by = ''"), vectors=t.v).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -57,7 +57,7 @@ SELECT ca, cb, round(max(s), 4) AS similarity, kind, count(*) AS n FROM cp WHERE
 )
 def conflict_classes(t: Tables):
     """Clashes as pairs of classes of rows, with the number of pairs each stands for."""
-    return C.conflict_classes(t.embedded("superseded_by = ''"))[0]
+    return C.conflict_classes(t.m.where("superseded_by = ''"), vectors=t.v)[0]
 
 
 @query(

@@ -308,6 +308,25 @@ def test_conflict_classes(spark):
     assert {r.kind: r.n for r in pairs.groupBy("kind").agg(F.sum("n").alias("n")).collect()} == {r.kind: r.n for r in conflicts.conflicts(rows).groupBy("kind").agg(F.count("*").alias("n")).collect()}
 
 
+def test_a_rule_that_says_what_it_reads(spark):
+    """The same clashes as by whole texts, which then meet no other row; nulls stay rows."""
+    texts = ["use it", "use it " * 9, "never use it", None, ""]
+    rows = spark.createDataFrame([(f"r{i:02}", "t", i % 3, texts[i % 5], ["a"], 0, [1.0, 0.1 * (i % 3)]) for i in range(30)], "id string, type string, vec_id long, text string, tags array<string>, polarity int, x array<double>")
+    by_text = conflicts.conflicts(rows.na.fill("", ["text"]), contradicts=lambda a, b: F.abs(F.length(a("text")) - F.length(b("text"))) > 20)
+    reads = {"length": F.length(F.coalesce("text", F.lit("")))}
+    pairs, members = conflicts.conflict_classes(rows.na.fill("", ["text"]), contradicts=lambda a, b: F.abs(a("length") - b("length")) > 20, reads=reads)
+    got = conflicts.conflicts(rows.na.fill("", ["text"]), contradicts=lambda a, b: F.abs(a("length") - b("length")) > 20, reads=reads)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, by_text.collect())) and {r.kind for r in got.collect()} == {"negation", "custom", "duplicate"}
+    assert members.count() == 30 and members.select("class").distinct().count() == 12  # of one length, two texts are a class
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan
+    null = conflicts.conflicts(rows, contradicts=lambda a, b: F.abs(a("length") - b("length")) > 20, reads={"length": F.length("text")})
+    assert null.count() == got.count()
+    vectors = rows.select("vec_id", "x").distinct()
+    apart = conflicts.conflicts(rows.drop("x").na.fill("", ["text"]), contradicts=lambda a, b: F.abs(a("length") - b("length")) > 20, reads=reads, vectors=vectors)
+    assert sorted(map(tuple, apart.collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_pack_skips_and_goes_on(spark):
     hits = spark.createDataFrame([(1, "a", 1, 5), (1, "b", 2, 9), (1, "c", 3, 4)], "qid long, id string, rank int, cost int")
     assert [r.id for r in recall.pack(hits, 10).where("fits").orderBy("rank").collect()] == ["a", "c"]
