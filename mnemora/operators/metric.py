@@ -130,13 +130,15 @@ def _toward(unit: np.ndarray, cells: Cells, own: int, other: int, reach: np.ndar
     return (border <= reach + SLACK) & (dist <= cells.radius[other] + reach + SLACK)
 
 
-def _blocks(placed: DataFrame, name: str, keys: list[str], block: int, pack, schema: str, scratch: Scratch) -> DataFrame:
+def _blocks(placed: DataFrame, name: str, keys: list[str], block: int, pack, schema: str, scratch: Scratch, dim: int = 0) -> DataFrame:
     """``placed(name, *keys, x, ...)`` in blocks: a row for each, as ``pack`` makes it of a table.
 
     They lie in as many partitions as keep a task's meetings few and all cores busy.
     """
-    dim = placed.select(F.size("x")).first()
-    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, dim[0] if dim else 1))))
+    if not dim:
+        first = placed.select(F.size("x")).first()
+        dim = max(1, first[0]) if first else 1
+    block = max(1, min(block, BLOCK_BYTES // (8 * max(1, dim))))
     sizes = scratch.keep(placed.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("pieces")))
     total = int(sizes.agg(F.sum("pieces")).first()[0] or 1)
     cores = scratch.spark.sparkContext.defaultParallelism
@@ -367,29 +369,17 @@ def _scan(spark, index: Index, order: list[int], wanted: np.ndarray, batch: list
     return scratch.keep(found.withColumn("r", rank).where(F.col("r") <= n).drop("r"))
 
 
-def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CELL, cells: int = CELLS, block: int = BLOCK, least: float | None = None, ties: str | None = None) -> DataFrame:
-    """qid, vec_id, cosine: the n nearest of ``vectors(vec_id, x)`` to each of
-    ``queries(qid, qx)`` and all that are as near as the last of them; exact.
+def asker(vectors: DataFrame, qid_type: str, dim: int, n: int | None, cell: int = CELL, cells: int = CELLS, block: int = BLOCK, ties: str | None = None):
+    """(ask, found): writes ``vectors(vec_id, x)`` of ``dim`` components down in blocks, and ``ask``
+    looks for neighbours of any queries in them, as ``nearest_join`` says; None for n finds all.
 
-    For queries as many as the vectors: both sides stay on the executors, written down once in
-    blocks of about ``block``, each of one cell. A query first meets the vectors of its own
-    cell, which bounds how far its n-th may be, and then those of the cells that the bound
-    doesn't rule out. With ``least`` only neighbours of that cosine or more count, and they
-    are all found at once. With ``ties``, a column of ``vectors``, equal cosines stand in its
-    order, and a query has n neighbours and no more, however many vectors are equal.
-    Zeros have a cosine of 0 with all: zero vectors are a cell of their own, a right angle
-    from everything, and zero queries meet every cell. Vectors that are null, hold nulls or
-    are of another length than the queries are no neighbours.
+    ``ask(asked, at_home, away)`` gives qid, vec_id, cosine, tie of ``asked(qid, x, least)`` in
+    their own cell or in the others within reach of ``least``. ``found`` are the cells.
     """
-    spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession)
-    queries = scratch.keep(queries.select("qid", F.col("qx").cast("array<double>").alias("x")))
-    dims = [r[0] for r in queries.select(F.size("x")).distinct().limit(2).collect()]
-    if len(dims) > 1:
-        raise ValueError("queries must have vectors of one length")
-    qid_type, vec_type = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["vec_id"]
+    scratch, vec_type = Scratch(vectors.sparkSession), dict(vectors.dtypes)["vec_id"]
     tie_type = dict(vectors.dtypes)[ties] if ties else "int"
     usable = vectors.select("vec_id", F.col("x").cast("array<double>").alias("x"), (F.col(ties) if ties else F.lit(0)).alias("tie"))
-    usable = scratch.keep(usable.where((F.size("x") == (dims[0] if dims else -1)) & F.forall("x", lambda v: v.isNotNull())))
+    usable = scratch.keep(usable.where((F.size("x") == dim) & F.forall("x", lambda v: v.isNotNull())))
     found = cells_of(usable, cell, cells)
 
     def own_cell(unit: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -411,7 +401,7 @@ def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CEL
         return pa.table({"cell": one(table, "cell"), "ids": lists(table["vec_id"]), "x": pa.array([data], pa.binary()), "wide": [wide], "ties": lists(table["tie"])})
 
     residents = usable.mapInArrow(place, f"vec_id {vec_type}, x array<double>, tie {tie_type}, cell int")
-    residents = _blocks(residents, "vec_id", ["cell"], block, pack, f"cell int, ids array<{vec_type}>, x binary, wide boolean, ties array<{tie_type}>", scratch)
+    residents = _blocks(residents, "vec_id", ["cell"], block, pack, f"cell int, ids array<{vec_type}>, x binary, wide boolean, ties array<{tie_type}>", scratch, dim)
     filled = np.array(sorted(r.cell for r in residents.select("cell").distinct().collect()), dtype=int)  # at most ``cells`` of them
 
     def reaches(bound: np.ndarray, norm: np.ndarray) -> np.ndarray:
@@ -432,7 +422,7 @@ def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CEL
             out[norm == 0] = 0
         return out
 
-    def ask(at_home: bool, away: bool):
+    def packed(at_home: bool, away: bool):
         """Packs queries, and the cells they are asked in: their own, others within reach, or both."""
 
         def pack(table: pa.Table) -> pa.Table:
@@ -458,33 +448,59 @@ def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CEL
                 part = a[at : at + AT_ONCE]
                 dots, cut = qu[part].astype(np.float32) @ xf, (bound[part] - slack).astype(np.float32)
                 rows, columns = _hits(dots, cut)
-                many = np.flatnonzero(np.bincount(rows, minlength=len(part)) > n)
+                many = np.flatnonzero(np.bincount(rows, minlength=len(part)) > n) if n else ()
                 if len(many):
                     cut[many] = np.partition(np.where(dots[many] >= cut[many, None], dots[many], -np.inf), -n, axis=1)[:, -n] - np.float32(2 * slack)
                     rows, columns = _hits(dots, cut)
                 cos = np.concatenate([_cosines(q, x, qn, xn, part[rows[c : c + CONFIRMED]], columns[c : c + CONFIRMED]) for c in range(0, len(rows), CONFIRMED)] or [np.zeros(0)])
                 keep = np.flatnonzero(cos >= bound[part[rows]])
-                if ties:
+                if n and ties:
                     keep = keep[np.lexsort((order[columns[keep]], -cos[keep], rows[keep]))]
                     sort = rows[keep]
                     keep = keep[np.arange(len(sort)) - np.searchsorted(sort, sort) < n]
                 yield pa.record_batch([names.take(pa.array(part[rows[keep]])), known.take(pa.array(columns[keep])), pa.array(cos[keep]), stored["ties"].values.take(pa.array(columns[keep]))], names=["qid", "vec_id", "cosine", "tie"])
 
-    def met(asked: DataFrame, at_home: bool, away: bool) -> DataFrame:
+    def look(asked: DataFrame, at_home: bool, away: bool) -> DataFrame:
         placed = asked.mapInArrow(place, f"qid {qid_type}, x array<double>, least double, cell int")
-        blocks = _blocks(placed, "qid", ["cell"], block, ask(at_home, away), f"cell int, ids array<{qid_type}>, x binary, wide boolean, least array<double>, near array<int>", scratch)
+        blocks = _blocks(placed, "qid", ["cell"], block, packed(at_home, away), f"cell int, ids array<{qid_type}>, x binary, wide boolean, least array<double>, near array<int>", scratch, dim)
         pairs = _pairs(blocks, residents, F.array_contains("near1", F.col("cell2")))
-        return best(pairs.mapInArrow(meet, f"qid {qid_type}, vec_id {vec_type}, cosine double, tie {tie_type}"))
+        return _best(pairs.mapInArrow(meet, f"qid {qid_type}, vec_id {vec_type}, cosine double, tie {tie_type}"), n, ties)
+
+    return look, found
+
+
+def _best(near: DataFrame, n: int | None, ties: str | None) -> DataFrame:
+    if not n:
+        return near
+    by = Window.partitionBy("qid").orderBy(F.desc("cosine"), *(["tie", "vec_id"] if ties else []))
+    return near.withColumn("r", (F.row_number() if ties else F.rank()).over(by)).where(F.col("r") <= n).drop("r")
 
-    def best(near: DataFrame) -> DataFrame:
-        by = Window.partitionBy("qid").orderBy(F.desc("cosine"), *(["tie", "vec_id"] if ties else []))
-        return near.withColumn("r", (F.row_number() if ties else F.rank()).over(by)).where(F.col("r") <= n).drop("r")
 
+def nearest_join(vectors: DataFrame, queries: DataFrame, n: int, cell: int = CELL, cells: int = CELLS, block: int = BLOCK, least: float | None = None, ties: str | None = None) -> DataFrame:
+    """qid, vec_id, cosine: the n nearest of ``vectors(vec_id, x)`` to each of
+    ``queries(qid, qx)`` and all that are as near as the last of them; exact.
+
+    For queries as many as the vectors: both sides stay on the executors, written down once in
+    blocks of about ``block``, each of one cell. A query first meets the vectors of its own
+    cell, which bounds how far its n-th may be, and then those of the cells that the bound
+    doesn't rule out. With ``least`` only neighbours of that cosine or more count, and they
+    are all found at once. With ``ties``, a column of ``vectors``, equal cosines stand in its
+    order, and a query has n neighbours and no more, however many vectors are equal.
+    Zeros have a cosine of 0 with all: zero vectors are a cell of their own, a right angle
+    from everything, and zero queries meet every cell. Vectors that are null, hold nulls or
+    are of another length than the queries are no neighbours.
+    """
+    scratch = Scratch(vectors.sparkSession)
+    queries = scratch.keep(queries.select("qid", F.col("qx").cast("array<double>").alias("x")))
+    dims = [r[0] for r in queries.select(F.size("x")).distinct().limit(2).collect()]
+    if len(dims) > 1:
+        raise ValueError("queries must have vectors of one length")
+    ask, found = asker(vectors, dict(queries.dtypes)["qid"], dims[0] if dims else -1, n, cell, cells, block, ties)
     bounded = lambda df, to: df.select("qid", "x", to.cast("double").alias("least"))
     none = F.lit(float("-inf"))
     if least is not None or len(found) == 1:
-        return met(bounded(queries, F.lit(least) if least is not None else none), True, True).select("qid", "vec_id", "cosine")
-    first = scratch.keep(met(bounded(queries, none), True, False))
+        return ask(bounded(queries, F.lit(least) if least is not None else none), True, True).select("qid", "vec_id", "cosine")
+    first = scratch.keep(ask(bounded(queries, none), True, False))
     bound = first.groupBy("qid").agg(F.count("*").alias("k"), F.min("cosine").alias("least")).where(F.col("k") >= n).select("qid", "least")
-    then = met(bounded(queries.join(bound, "qid", "left"), F.coalesce("least", none)), False, True)
-    return best(first.unionByName(then)).select("qid", "vec_id", "cosine")
+    then = ask(bounded(queries.join(bound, "qid", "left"), F.coalesce("least", none)), False, True)
+    return _best(first.unionByName(then), n, ties).select("qid", "vec_id", "cosine")

@@ -122,7 +122,7 @@ def reflect_clusters(t: Tables):
 @query("leader_cluster")
 def leader_cluster(t: Tables):
     """Looser clusters of every type and state at once, of three rows and more."""
-    return C.leader_clusters(t.embedded(), 0.4, 3).select("id", "leader", "n")
+    return C.leader_clusters(t.m, 0.4, 3, vectors=t.v).select("id", "leader", "n")
 
 
 @query("reflect_create")

@@ -177,6 +177,26 @@ def test_leader_clusters_in_several_stretches(spark):
     assert got == greedy(rows, v[of], 0.7, 2)
 
 
+def test_leader_clusters_write_few_links(spark, monkeypatch):
+    """Of very many alike vectors, only the links of those that lead are looked for and kept;
+    rows of a vector that is zero are alike to nothing."""
+    rng = np.random.default_rng(5)
+    v = np.vstack([np.array([1.0, 0.0, 0.0]) + 0.3 * rng.standard_normal((158, 3)), np.zeros((2, 3))])
+    rows = [(float(rng.integers(0, 4)) / 4, float(i % 7), f"r{i:03}", int(rng.integers(-1, 2))) for i in range(160)]
+    frame = spark.createDataFrame([(*r, i, "t") for i, r in enumerate(rows)], "importance double, created_at double, id string, polarity int, vec_id long, type string")
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, x array<double>")
+    monkeypatch.setattr(conflicts, "NODES_AT_ONCE", 4, raising=False)
+    kept, keep = [], conflicts.Scratch.keep
+    monkeypatch.setattr(conflicts.Scratch, "keep", lambda self, df: kept.append(keep(self, df)) or kept[-1])
+    monkeypatch.setattr(conflicts.Scratch, "drop", lambda self, *frames: None)
+    got = {tuple(r) for r in conflicts.leader_clusters(frame.join(vectors, "vec_id"), 0.8, links_at_once=600).select("id", "leader", "n", "pos").collect()}
+    assert max(df.count() for df in kept) < 2500  # of about 14,000 links
+    with np.errstate(invalid="ignore"):
+        assert got == greedy(rows, v, 0.8, 2)
+    apart = {tuple(r) for r in conflicts.leader_clusters(frame, 0.8, vectors=vectors).select("id", "leader", "n", "pos").collect()}
+    assert apart == got
+
+
 def some_vectors(seed, n, dim, spots, spread):
     """Clustered unit-free vectors with repeats, and two that are zero."""
     rng = np.random.default_rng(seed)
